@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, quality
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES = {
     "op2_chat_format": chat.SQL,
