@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, quality
+from . import bpe, chat, quality
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
+    "op5_bpe": bpe.op5_bpe,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES = {
