@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, quality
+from . import bpe, chat, packing, quality
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
+    "op4_packing": packing.op4_packing,
     "op5_bpe": bpe.op5_bpe,
     "op10_quality_rules": quality.op10_quality_rules,
 }
