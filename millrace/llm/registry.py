@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, packing, quality, topk
+from . import bpe, chat, langid, packing, quality, topk
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
     "op4_packing": packing.op4_packing,
     "op5_bpe": bpe.op5_bpe,
     "op6_topk": topk.op6_topk,
+    "op7_language_id": langid.op7_language_id,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES = {
