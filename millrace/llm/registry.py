@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, packing, quality, topk
+from . import bpe, chat, langid, linededup, neardup, packing, quality, topk
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
@@ -10,6 +10,8 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_topk": topk.op6_topk,
     "op7_language_id": langid.op7_language_id,
+    "op8_minhash": neardup.op8_minhash,
+    "op9_line_dedup": linededup.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES = {
