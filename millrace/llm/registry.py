@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, linededup, neardup, packing, quality, topk
+from . import bpe, chat, langid, linededup, neardup, packing, pii, quality, topk
 
 QUERIES = {
     "op2_chat_format": chat.op2_chat_format,
+    "op3_pii": pii.op3_pii,
     "op4_packing": packing.op4_packing,
     "op5_bpe": bpe.op5_bpe,
     "op6_topk": topk.op6_topk,
