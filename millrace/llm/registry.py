@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, linededup, neardup, packing, pii, quality, topk
+from . import bpe, chat, langid, linededup, mixing, neardup, packing, pii, quality, topk
 
 QUERIES = {
+    "op1_lm_score": mixing.op1_lm_score,
     "op2_chat_format": chat.op2_chat_format,
     "op3_pii": pii.op3_pii,
     "op4_packing": packing.op4_packing,
