@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import q_rest, q_search, q_text
+
+QUERIES = q_text.Q | q_search.Q | q_rest.Q
+ORACLES = q_text.O | q_search.O | q_rest.O
