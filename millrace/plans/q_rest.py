@@ -202,7 +202,7 @@ def chunk_lines(spark, sf):
     return c.select("doc_id", "first", "last", F.length("text").cast("long").alias("chars"))
 
 
-@q("chunk_headings", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), h AS (SELECT *, sum(CASE WHEN regexp_matches(s, '^[A-Z][a-z]{0,3}\\b') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM l) SELECT doc_id, sec, min(n) AS first, max(n) AS last, CAST(sum(length(s)) AS BIGINT) AS chars FROM h GROUP BY doc_id, sec")
+@q("chunk_headings", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), h AS (SELECT *, sum(CASE WHEN regexp_matches(s, '^[A-Z][a-z]{0,3}[ .,]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM l) SELECT doc_id, sec, min(n) AS first, max(n) AS last, CAST(sum(length(s)) AS BIGINT) AS chars FROM h GROUP BY doc_id, sec")
 def chunk_headings(spark, sf):
     c = P.heading_sections(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "^[A-Z][a-z]{0,3}[ .,]")
     return c.select("doc_id", F.col("sec").cast("long").alias("sec"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), F.col("chars").cast("long").alias("chars"))
