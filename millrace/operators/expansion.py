@@ -15,11 +15,13 @@ def boost_embedded(scores: DataFrame, chunks: DataFrame, queries: DataFrame) ->
     """Natural queries with cased names inside: defining candidates gain, others with a fitting stem enter."""
     names = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("query", F.lit(EMBEDDED), 0))).alias("symbol"))
     top = scores.groupBy("query_id").agg(F.max("score").alias("top"))
-    pairs = chunks.withColumn("stem", F.lower(T.stem(F.col("file")))).join(names.join(top, "query_id"), how="cross")
+    found = R.defining(chunks, names).join(top, "query_id").withColumn("stem", F.lower(T.stem(F.col("file"))))
+    tier = F.col("top") * 1.5 * F.when(R.stem_matches(F.col("stem"), F.lower("symbol")), 1.5).otherwise(1.0)
+    best = found.groupBy("query_id", "chunk_id", "stem").agg(F.max(tier).alias("tier"))
     stem, flat, low = F.col("stem"), F.replace(F.col("stem"), F.lit("_"), F.lit("")), F.lower("symbol")
     enters = (stem == low) | (flat == low) | ((F.length(stem) >= 4) & low.startswith(stem)) | ((F.length(flat) >= 4) & low.startswith(flat))
-    tier = F.when(R.defines(F.col("text"), F.col("symbol")), F.col("top") * 1.5 * F.when(R.stem_matches(stem, low), 1.5).otherwise(1.0)).otherwise(0.0)
-    rated = pairs.groupBy("query_id", "chunk_id").agg(F.max(tier).alias("tier"), F.bool_or(enters).alias("enters"))
+    # any name of the query may let a defining chunk in
+    rated = best.join(names, "query_id").groupBy("query_id", "chunk_id").agg(F.max("tier").alias("tier"), F.bool_or(enters).alias("enters"))
     both = rated.join(scores, ["query_id", "chunk_id"], "full_outer")
     return both.filter("score IS NOT NULL OR (enters AND tier > 0)").select("query_id", "chunk_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("tier", F.lit(0.0))).alias("score"))
 

@@ -101,17 +101,27 @@ def stem_matches(stem: Column, name: Column) -> Column:
     return (stem == name) | (flat == name) | (F.rtrim(stem, F.lit("s")) == name) | (F.rtrim(flat, F.lit("s")) == name)
 
 
+def defining(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(query_id, symbol, chunk_id, file) of the chunks that define a symbol (query_id, symbol).
+
+    Each chunk's defined names are found once and meet the symbols by an equi-join.
+    """
+    exact = chunks.select("chunk_id", "file", F.explode(F.array_distinct(defined_names(F.col("text")))).alias("symbol")).join(symbols, "symbol")
+    low = F.array_distinct(F.transform(defined_names(F.col("text"), SQL_KEYWORDS, "(?im)"), F.lower))
+    folded = chunks.select("chunk_id", "file", F.explode(low).alias("low")).join(symbols.withColumn("low", F.lower("symbol")), "low")
+    cols = ["query_id", "symbol", "chunk_id", "file"]
+    return exact.select(*cols).unionByName(folded.select(*cols)).distinct()
+
+
 def boost_definitions(scores: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Symbol queries: defining candidates gain the tier; other chunks with a matching stem enter at the tier."""
-    q = queries.select("query_id", T.symbol_name(F.trim("query")).alias("symbol"))
+    found = defining(chunks, queries.select("query_id", T.symbol_name(F.trim("query")).alias("symbol")))
     top = scores.groupBy("query_id").agg(F.max("score").alias("top"))
-    d = chunks.withColumn("stem", F.lower(T.stem(F.col("file"))))
-    pairs = d.join(q.join(top, "query_id"), how="cross").withColumn("stem_ok", stem_matches(F.col("stem"), F.lower("symbol")))
-    tier = F.when(defines(F.col("text"), F.col("symbol")), F.col("top") * 3.0 * F.when(F.col("stem_ok"), 1.5).otherwise(1.0)).otherwise(0.0)
-    rated = pairs.select("query_id", "chunk_id", "stem_ok", tier.alias("tier"))
-    own = scores.join(rated, ["query_id", "chunk_id"]).select("query_id", "chunk_id", (F.col("score") + F.col("tier")).alias("score"))
-    new = rated.filter("stem_ok AND tier > 0").join(scores, ["query_id", "chunk_id"], "left_anti").select("query_id", "chunk_id", F.col("tier").alias("score"))
-    return own.unionByName(new)
+    ok = stem_matches(F.lower(T.stem(F.col("file"))), F.lower("symbol"))
+    rated = found.join(top, "query_id").select("query_id", "chunk_id", ok.alias("stem_ok"), (F.col("top") * 3.0 * F.when(ok, 1.5).otherwise(1.0)).alias("tier"))
+    both = rated.join(scores, ["query_id", "chunk_id"], "full_outer")
+    kept = both.filter("score IS NOT NULL OR (stem_ok AND tier > 0)")
+    return kept.select("query_id", "chunk_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("tier", F.lit(0.0))).alias("score"))
 
 
 def keyword_ratio(query: Column, path: Column) -> Column:

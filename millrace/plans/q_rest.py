@@ -419,3 +419,11 @@ def encode_mean(spark, sf):
 def search_response(spark, sf):
     x = S.within_budget(hits(spark, sf, 5), 4000)
     return x.select("query_id", F.to_json(F.struct("file", "rank", F.round("score", 4).alias("score"))).alias("row"))
+
+
+@q("mode_downgrade")
+def mode_downgrade(spark, sf):
+    from ..sources.index import MODES, resolve_mode
+
+    rows = [(m, v, n, resolve_mode(m, v, n)) for m in MODES for v in (False, True) for n in (False, True)]
+    return spark.createDataFrame(rows, "mode string, vectors boolean, scorer boolean, served string")
