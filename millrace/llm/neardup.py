@@ -10,9 +10,9 @@ a probability of about 1e-7. Candidates within the distance are confirmed on ful
 
 Only connectivity is asked for, so links inside a component need not be looked at:
 documents with equal sets are one node; in a first round each document is compared with the
-member of its bucket that lies nearest to the bucket's most frequent signature; in later
-rounds buckets that still hold several components compare all pairs across components,
-nearest first, ``STEP`` for each document and round, until none is left. So nothing is
+member of its bucket that lies nearest to the bucket's most frequent signature; then
+all pairs across components that still share a bucket and whose sizes allow a link are
+compared, nearest first, ``STEP`` for each document and round, until none is left. So nothing is
 dropped, and a group of n near copies costs about n comparisons instead of n * n.
 
 Components come from alternating large-star and small-star steps on the links. Node lists,
@@ -39,7 +39,7 @@ from .common import dropped, stored, table
 
 CHUNKS, WIDTH, ERRORS = 10, 6, 2
 PLACES, DISTANCE = CHUNKS * WIDTH, CHUNKS * (ERRORS + 1) - 1
-STEP = 64
+STEP = 256
 #: Bucket members that are compared at a time.
 SLICE = 4096
 #: Lists of up to so many ids (8 bytes each) are broadcast; longer ones are joined by shuffles.
@@ -228,8 +228,8 @@ def _centres(buckets: DataFrame) -> DataFrame:
     return _by_key(buckets.select("key", "id", "sig"), "key", "id").mapInArrow(work, "a long, b long")
 
 
-def _across(buckets: DataFrame) -> DataFrame:
-    """(a, b, far): pairs within the distance in different components that share a bucket."""
+def _across(buckets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, far): pairs within the distance in different components that share a bucket, if their sizes allow a link."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in _runs(batches):
@@ -237,19 +237,20 @@ def _across(buckets: DataFrame) -> DataFrame:
             ids, comp = t.column("id").to_numpy(), t.column("comp").to_numpy()
             if (comp == comp[0]).all():
                 continue
+            size = t.column("n").to_numpy()
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, PLACES)
             names, count = np.unique(comp, return_counts=True)
             main = comp == names[count.argmax()]
             rest = np.flatnonzero(~main)
             for x in rest.tolist():  # each stray against the main component and the strays after it
-                other = np.flatnonzero((main | (np.arange(len(ids)) > x)) & (comp != comp[x]))
+                other = np.flatnonzero((main | (np.arange(len(ids)) > x)) & (comp != comp[x]) & (100 * np.minimum(size, size[x]) >= percent * np.maximum(size, size[x])))
                 far = (sig[other] != sig[x]).sum(1)
                 near = far <= DISTANCE
                 if near.any():
                     o = ids[other[near]]
                     yield pa.record_batch([pa.array(np.minimum(o, ids[x])), pa.array(np.maximum(o, ids[x])), pa.array(far[near].astype(np.int32))], ["a", "b", "far"])
 
-    return _by_key(buckets.select("key", "id", "comp", "sig"), "key", "id").mapInArrow(work, "a long, b long, far int")
+    return _by_key(buckets.select("key", "id", "comp", "n", "sig"), "key", "id").mapInArrow(work, "a long, b long, far int")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -296,41 +297,40 @@ def linked(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFr
     """(id, n, comp) of each (id, text): set size and the smallest id of the component."""
     spark = docs.sparkSession
     signs = stored(signed(docs.select(F.col("id").cast("long"), "text"), shingle_words), "signs")
-    groups = signs.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
+    groups = signs.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = stored(groups, "nodes")
     filed = stored(_filed(nodes), "filed")
     buckets = filed.join(nodes.select("id", "sig"), "id")
     todo = stored(_centres(buckets).distinct(), "pairs")
     label = spark.createDataFrame([], "id long, comp long")
-    tested, sets, links = None, None, None
-    live = filed
-    first = True
-    while True:
-        if not first:
-            named = live.join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-            mixed_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-            now = stored(named.join(mixed_keys, "key"), "live")
-            live = now.select("key", "id")
-            pairs = _across(now.join(nodes.select("id", "sig"), "id")).distinct().join(tested, ["a", "b"], "left_anti")
-            pairs = stored(pairs, "across")
-            ends = pairs.select("a", "b", "far", F.col("a").alias("end")).unionByName(pairs.select("a", "b", "far", F.col("b").alias("end")))
-            nth = F.row_number().over(Window.partitionBy("end").orderBy("far", "a", "b"))
-            # of each document's pairs the nearest now, the others in the next rounds
-            todo = stored(ends.withColumn("nth", nth).filter(F.col("nth") <= STEP).select("a", "b").distinct(), "pairs")
-        if todo.isEmpty():
-            break
+    sets, links, pairs = None, None, None
+    while not todo.isEmpty():
         ids = todo.select(F.col("a").alias("id")).unionByName(todo.select(F.col("b").alias("id"))).distinct()
         if sets is not None:
             ids = ids.join(sets.select("id"), "id", "left_anti")
         ids = stored(ids, "ids")
-        wanted = docs.select(F.col("id").cast("long"), "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-        more = stored(sets_of(wanted, shingle_words).dropDuplicates(["id"]), "sets")
-        sets = more if sets is None else sets.unionByName(more)
+        missing = ids.count()
+        if missing:
+            wanted = docs.select(F.col("id").cast("long"), "text").join(F.broadcast(ids) if missing <= BROADCAST_IDS else ids, "id", "left_semi")
+            more = stored(sets_of(wanted, shingle_words).dropDuplicates(["id"]), "sets")
+            sets = more if sets is None else sets.unionByName(more)
         found = stored(_confirmed(todo, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        tested = todo.select("a", "b") if tested is None else tested.unionByName(todo.select("a", "b"))
-        label = components(links)
-        first = False
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            label = components(links)
+        if pairs is None:  # after the first round, all pairs that are still between components
+            named = filed.join(label, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+            open_keys = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+            held = named.join(open_keys, "key").join(nodes.select("id", "n", "sig"), "id")
+            pairs = stored(_across(held, percent).distinct().join(todo, ["a", "b"], "left_anti"), "across")
+        else:
+            pairs = stored(pairs.join(todo.select("a", "b"), ["a", "b"], "left_anti"), "across")
+        far_apart = pairs.join(label.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left")
+        live = far_apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "far")
+        ends = live.select("a", "b", "far", F.col("a").alias("end")).unionByName(live.select("a", "b", "far", F.col("b").alias("end")))
+        nth = F.row_number().over(Window.partitionBy("end").orderBy("far", "a", "b"))
+        # of each document's pairs the nearest now, the others in the next rounds
+        todo = stored(ends.withColumn("nth", nth).filter(F.col("nth") <= STEP).select("a", "b").distinct(), "pairs")
     node_of = nodes.join(label, "id", "left").select("print", F.coalesce("comp", "id").alias("comp"))
     return signs.join(node_of, "print", "left").select("id", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")).alias("comp"))
 
