@@ -39,7 +39,7 @@ from .common import stored, table
 from .neardup import _HASHES, _runs
 
 ORDERS = (1, 2, 3, 4, 6)
-BITS = (16, 20, 20, 21, 21, 21)  # log2 of the slots of each order and of the word context
+BITS = (16, 18, 20, 20, 20, 20)  # log2 of the slots of each order and of the word context
 K = len(BITS)
 CHUNK = 1 << 16
 FIRST = np.cumsum([0, *(1 << b for b in BITS)])
@@ -91,7 +91,8 @@ def _tree() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 START, SIZE, NODE, BIT, DEPTH = _tree()
-SPREAD = (NODE * np.uint32(0x9E3779B1)).astype(np.uint32)
+SPREAD = (NODE * np.uint32(0x85EBCA77) ^ (NODE << np.uint32(17))).astype(np.uint32)
+STAGE = 8 * np.minimum(DEPTH // 2, 2)
 _R = np.uint64(0x5851F42D4C957F2D)
 _RINV = np.uint64(pow(int(_R), -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
@@ -132,7 +133,8 @@ class Texts:
         edge = np.maximum.accumulate(np.where((b == 32) | (b == 0), at + 1, 0))
         since = np.concatenate([[0], edge[:-1]])
         word = ((total[:-1] - total[since]) * down[since]) >> np.uint64(32)
-        self.contexts = [back[0] << np.uint32(8), two * np.uint32(0x85EBCA6B), three * np.uint32(0xC2B2AE35), four * np.uint32(0x27D4EB2F), six, word.astype(np.uint32) * np.uint32(0x165667B1) + np.uint32(77)]
+        short = [back[0] << np.uint32(8), two, three, four, six, word.astype(np.uint32) ^ np.uint32(0x5BD1E995)]
+        self.contexts = [short[0], *(_mixed(c + np.uint32(k)) for k, c in enumerate(short[1:]))]
 
     def bits(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the bytes at ``places``: bits of each, path index of every bit, and its byte's number."""
@@ -144,25 +146,34 @@ class Texts:
 
     def slots(self, k: int, places: np.ndarray, path: np.ndarray, rep: np.ndarray) -> np.ndarray:
         """The slot of every bit in table k."""
-        context = self.contexts[k][places][rep]
+        context = self.contexts[k].take(places).take(rep)
         if k == 0:
-            return context + NODE[path]
-        h = context + SPREAD[path]
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x846CA68B)
-        return (h ^ (h >> np.uint32(13))) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS[k])
+            return (context + NODE.take(path)).astype(np.intp)
+        context ^= SPREAD.take(path)
+        context *= np.uint32(0x9E3779B1)
+        context >>= np.uint32(32 - BITS[k])
+        return context.astype(np.intp)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return h ^ (h >> np.uint32(16))
 
 
 def count(streams: list[bytes], tables: list[np.ndarray]) -> None:
     """Add every bit of the streams to tables of 2 * slot + bit."""
     t = Texts(streams)
     places = np.flatnonzero(np.repeat(np.tile([False, True], len(streams)), np.ravel(np.stack([np.full(len(streams), PAD), t.sizes], 1))))
-    for a in range(0, len(places), 1 << 18):
-        own = places[a : a + (1 << 18)]
+    for a in range(0, len(places), 1 << 15):
+        own = places[a : a + (1 << 15)]
         _, path, rep = t.bits(own)
-        bit = BIT[path].astype(np.uint32)
+        bit = BIT.take(path)
         for k in range(K):
-            index = t.slots(k, own, path, rep) * np.uint32(2) + bit
-            tables[k] += np.bincount(index, minlength=len(tables[k])).astype(np.uint32)
+            index = t.slots(k, own, path, rep)
+            index *= 2
+            index += bit
+            np.add.at(tables[k], index, np.uint32(1))
 
 
 def stretched(n: np.ndarray) -> np.ndarray:
@@ -190,17 +201,20 @@ def score(streams: list[bytes], tables: list[np.ndarray], weights: np.ndarray, l
             size, path, rep = t.bits(places)
             cost_bits = np.add.reduceat(size, np.cumsum(n) - n)
             first = np.cumsum(cost_bits) - cost_bits
-            lane = np.repeat(live, cost_bits)
-            x = [tables[k][t.slots(k, places, path, rep)].astype(np.float32) * np.float32(1 / 2048) for k in range(K)]
-            gate = (x[3] != 0).astype(np.int64) + 2 * (x[4] != 0) + 4 * (x[5] != 0) + 8 * np.minimum(DEPTH[path] // 2, 2)
+            x = [tables[k].take(t.slots(k, places, path, rep)).astype(np.float32) * np.float32(1 / 2048) for k in range(K)]
+            gate = (x[3] != 0).astype(np.intp)
+            gate += np.where(x[4] != 0, 2, 0)
+            gate += np.where(x[5] != 0, 4, 0)
+            gate += STAGE.take(path)
             z = np.zeros(len(path), np.float32)
             for k in range(K):
-                z += (weights[:, k][gate] + delta[:, k][lane]) * x[k]
+                z += (weights[:, k][gate] + np.repeat(delta[live, k], cost_bits)) * x[k]
             np.clip(z, -12, 12, out=z)
-            one = BIT[path]
+            one = BIT.take(path)
             odds = np.exp(-z)
-            miss = one - 1 / (1 + odds)
-            cost = np.where(one == 1, np.log1p(odds), np.log1p(odds) + z)
+            odds += 1
+            miss = one - 1 / odds
+            cost = np.log(odds) + np.where(one == 1, np.float32(0), z)
             out[np.array(lanes)[live]] -= np.add.reduceat(cost, first, dtype=np.float64)
             bits += len(path)
             scale = np.sqrt(cost_bits).astype(np.float32)
