@@ -66,3 +66,43 @@ def weighted_mean(weights: DataFrame, rows: DataFrame) -> DataFrame:
     mean = cells.groupBy("chunk_id", "i").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("x"))
     vec = mean.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return vec.select("chunk_id", F.transform("v", lambda c: F.when(F.col("norm") > 0, c["x"] / F.col("norm")).otherwise(0.0)).alias("vec"), "norm")
+
+
+def pack_markdown(text: str, budget: int) -> list[tuple[int, int, str]]:
+    """As :func:`pack_lines`, for Markdown: a heading starts a chunk; front matter, fenced code, tables and lists stay whole."""
+    lines = text.splitlines(keepends=True) or [""]
+    blocks: list[list[int]] = []  # [first, end, starts a chunk]
+    k = 0
+    while k < len(lines):
+        end, head = k + 1, bool(re.match(r"#{1,6} ", lines[k]))
+        if k == 0 and lines[0].strip() == "---":
+            end = next((j + 1 for j in range(1, len(lines)) if lines[j].strip() == "---"), 1)
+        elif m := re.match(r"\s*(```+|~~~+)", lines[k]):
+            end = next((j + 1 for j in range(k + 1, len(lines)) if lines[j].strip().startswith(m[1])), len(lines))
+        elif re.match(r"\s*\|", lines[k]):
+            while end < len(lines) and re.match(r"\s*\|", lines[end]):
+                end += 1
+        elif re.match(r"\s*(?:[-*+]|\d+[.)]) ", lines[k]):
+            while end < len(lines) and re.match(r"\s*(?:[-*+]|\d+[.)]) |\s+\S", lines[end]):
+                end += 1
+        blocks.append([k, end, head])
+        k = end
+    out: list[tuple[int, int, str]] = []
+    start, size = 0, 0
+    for a, z, head in blocks:
+        n = sum(len(x.encode()) for x in lines[a:z])
+        if a > start and (head or size + n > budget):
+            out.append((start + 1, a, "".join(lines[start:a])))
+            start, size = a, 0
+        size += n
+    out.append((start + 1, len(lines), "".join(lines[start:])))
+    return out
+
+
+def markdown_chunks(docs: DataFrame, key: str, budget: int = 1500) -> DataFrame:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(k, *c) for k, t in zip(b[key], b["text"], strict=True) for c in pack_markdown(t or "", budget)]
+            yield pd.DataFrame(rows, columns=[key, "first", "last", "text"])
+
+    return docs.select(key, "text").mapInPandas(work, f"{key} string, first int, last int, text string")
