@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 from .common import SPACES, WORD, stored, table
 
 LEAST_WORDS = 10
-#: Lists of up to so many documents and blocks are broadcast; longer ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -164,9 +162,9 @@ def removals(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` (doc_id, text, ..) with the blocks deleted, and the column ``gone``."""
     gone = stored(removals(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), least).withColumnRenamed("id", "doc_id"), "gone")
-    size = gone.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("blocks")).first()
     inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    both = inner.join(F.broadcast(gone) if size.n + size.blocks <= BROADCAST_ROWS else gone, "doc_id", "left")
+    # always by a shuffle, so that small and large inputs behave alike
+    both = inner.join(gone.hint("merge"), "doc_id", "left")
     left = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.exists("gone", lambda g: i.between(g["first"], g["last"])))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
     return both.select("row", text.alias("text"), "gone")
