@@ -16,6 +16,9 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -25,12 +28,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import byte_letters
 from .common import stored, table
 
 CAPACITY = 2048
 SALTS = 64
 #: Words whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
+#: Signs that end a word as a piece of their own.
+SIGNS = frozenset(".,;:!?")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Fixed value: white space beyond the six ASCII kinds, as str.split sees it.
 _ODD = regex.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
@@ -38,33 +44,56 @@ _SPACES = regex.compile(r"[\x20\x09-\x0D]+")
 
 
 class WordIds(dict):
-    """Token ids of each word, as little-endian bytes. The tokenizer drops white space, so words are independent."""
+    """Token ids of each word, as little-endian bytes. The tokenizer drops white space, so words are independent.
+
+    A new word of Latin letters and signs is cut by the tokenizer's own pattern, and its model is asked
+    for each piece that was not seen before; any other word goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.odd = regex.compile(r"[^\x21-\x7e\xa1-\xac\xae-\xff]").search
+        self.mark = os.path.commonprefix([t["content"] for t in spec["added_tokens"]])
+        self.letters = {b: c for b, c in byte_letters().items() if chr(b) != c}
+        self.pieces: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        core = word[:-1] if word[-1:] in SIGNS else word
+        if core.isalpha() and (core.isascii() or not self.odd(core)):
+            low = core.lower()
+            ids = self.pieces.get(low) or self.piece(low)
+            if core is not word:
+                ids += self.pieces.get(word[-1]) or self.piece(word[-1])
+        elif self.odd(word) or self.mark in word:
+            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        else:
+            ids = b"".join([self.pieces.get(x) or self.piece(x) for x in self.find(word.lower())])
         if len(word) < 100:
             if len(self) >= REMEMBERED:
                 self.clear()
             self[word] = ids
         return ids
 
+    def piece(self, piece: str) -> bytes:
+        raw = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.tokenize(raw)]
+        data = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) < 100:
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            self.pieces[piece] = data
+        return data
+
     def text(self, text: str) -> bytes:
-        words = _SPACES.split(text) if _ODD(text) else text.split()
-        new = list({w for w in words if w not in self})
-        if len(new) > 1:
-            if len(self) + len(new) > REMEMBERED:
-                self.clear()
-                new = list(set(words))
-            for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self[word] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, _SPACES.split(text) if _ODD(text) else text.split()))
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -74,9 +103,6 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
     """The pieces of each (doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in _LOADED:
             _LOADED[path] = WordIds(path)
         words = _LOADED[path]
