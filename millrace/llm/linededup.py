@@ -1,16 +1,20 @@
-"""Line dedup by pairwise alignment.
+"""Line dedup by runs of shared lines.
 
-Lines (trimmed of white space, blank ones left out) are known by 96-bit hashes. For each
-line that several documents hold, the first is the holder with the smallest id. Each
-later document is aligned with the first holders of its lines, one pair after another: the
-two sequences of shared lines are matched by patience diff (common ends first, then the
-longest ascending chain of lines that occur once on both sides, then the gaps between, and
-so on). Blocks of matched lines that follow each other in both documents and have at least
-``LEAST_WORDS`` words are deleted from the later document; so the first copy always stays.
+Lines (trimmed of white space, blank ones left out) are known by 96-bit hashes. A run is a
+sequence of lines that follow each other. A run of a document is deleted if it has at least
+``LEAST_WORDS`` words and a document with a smaller id holds it too, whichever that is, at
+whatever place and however often either holds it; so the first copy always stays.
 
-A line is followed to its first holder only, never to all other holders: a line that
-n documents share gives n - 1 pairs and needs no limit on its frequency, while rare lines,
-which is to say nearly all, still decide which documents meet.
+Such runs are found by their least windows: from each line on, the fewest lines that have
+``LEAST_WORDS`` words, and the same from each line back. A run of enough words is the union
+of the least windows in it, and whether a window is one depends on its lines alone, so both
+documents have the same. Equal windows meet by the hash of their lines: each counts its
+smallest id, and all others of the window go. That is exact for all holders of a line
+without forming pairs of documents, so lines of any frequency take part. A window has at
+most ``LEAST_WORDS`` lines, and a line starts one window and ends one.
+
+:func:`patience` aligns one pair of line sequences; all blocks of ``LEAST_WORDS`` words
+that it finds in two documents are such runs.
 
 Defined results: null and empty texts have no lines and stay as they are; rows without an
 id are left alone; rows of equal id count as one document and never lose lines to each
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,73 +93,105 @@ def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def blocks(rows: list[tuple], least: int = LEAST_WORDS) -> list[tuple[int, int, int]]:
-    """Blocks (first line, last line, lines) to delete from one document.
-
-    rows: (place, line number, key, words, first holder, places there) of its shared lines.
-    """
-    pairs: dict[int, list[tuple]] = {}
-    for r in rows:
-        pairs.setdefault(r[4], []).append(r)
-    gone: dict[int, int] = {}
-    for own in pairs.values():
-        own.sort(key=lambda r: r[0])
-        theirs = sorted({(j, r[2]) for r in own for j in r[5]})
-        match = patience([r[2] for r in own], [k for _, k in theirs])
-        run: list[tuple] = []
-        for i, j in [*match, (None, None)]:
-            r = own[i] if i is not None else None
-            if run and (r is None or r[0] != run[-1][0][0] + 1 or theirs[j][0] != run[-1][1] + 1):
-                if sum(x[3] for x, _ in run) >= least:
-                    gone.update((x[0], x[1]) for x, _ in run)
-                run = []
-            if r is not None:
-                run.append((r, theirs[j][0]))
+def windows(doc: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First lines and lengths of the least windows; doc numbers the documents of the lines in order."""
+    n = len(doc)
+    sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(words, dtype=np.int64)])
+    own = np.searchsorted(doc, doc, "left"), np.searchsorted(doc, doc, "right")
+    end = np.searchsorted(sums, sums[:-1] + least, "left")
+    start = np.searchsorted(sums, sums[1:] - least, "right") - 1
+    ahead = np.flatnonzero(end <= own[1])
+    back = np.flatnonzero(start >= own[0])
+    back = back[end[start[back]] != back + 1]
+    first = np.concatenate([ahead, start[back]])
+    return first, np.concatenate([end[ahead], np.arange(1, n + 1)[back]]) - first
+
+
+def chained(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each window's values in their order."""
+    values = values.astype(np.int64).view(np.uint64)
+    out = np.zeros(len(first), np.uint64)
+    for k in range(int(size.max(initial=0))):
+        live = np.flatnonzero(size > k)
+        x = (out[live] ^ values[first[live] + k]) + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out[live] = x ^ (x >> np.uint64(31))
+    return out
+
+
+def joined(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """Blocks (first line, last line, lines) of the windows (place, lines, first line, last line), by place, of one document."""
     out: list[list[int]] = []
-    last = None
-    for place in sorted(gone):
-        if last is not None and place == last + 1:
-            out[-1][1], out[-1][2] = gone[place], out[-1][2] + 1
+    for place, size, a, b in rows:
+        if out and place <= out[-1][1]:
+            if place + size > out[-1][1]:
+                out[-1][1], out[-1][3] = place + size, b
         else:
-            out.append([gone[place], gone[place], 1])
-        last = place
-    return [tuple(x) for x in out]
+            out.append([place, place + size, a, b])
+    return [(a, b, end - place) for place, end, a, b in out]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, place, no, key, words) of the lines that are not blank; place counts only these."""
+    """(id, place, no, h, g, words) of the lines that are not blank, by document and place; place counts only these."""
     split = docs.select("id", F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.trim(x, F.lit(SPACES)).alias("s"), i.alias("no"))).alias("lines"))
     full = split.select("id", F.posexplode(F.filter("lines", lambda x: x["s"] != "")).alias("place", "line"))
-    return full.select("id", "place", "line.no", F.struct(F.xxhash64("line.s").alias("h"), F.hash("line.s").alias("g")).alias("key"), F.regexp_count("line.s", F.lit(WORD)).alias("words"))
+    return full.select("id", "place", "line.no", F.xxhash64("line.s").alias("h"), F.hash("line.s").alias("g"), F.regexp_count("line.s", F.lit(WORD)).alias("words"))
+
+
+def windows_of(docs: DataFrame, least: int) -> DataFrame:
+    """(h, g, id, place, lines, first, last): the least windows of all documents."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(cols: list[np.ndarray]) -> pa.RecordBatch:
+            id_, place, no, h, g, words = cols
+            at, size = windows(np.cumsum(place == 0), words, least)
+            keys = chained(h, at, size).view(np.int64), (chained(g, at, size) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            out = [*keys, id_[at], place[at], size.astype(np.int32), no[at], no[at + size - 1]]
+            return pa.record_batch([pa.array(x) for x in out], ["h", "g", "id", "place", "lines", "first", "last"])
+
+        # a document's lines come one after the other, but may be cut by the end of a batch
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            starts = np.flatnonzero(cols[1] == 0)
+            if len(starts):
+                parts = [*held, [c[: starts[-1]] for c in cols]]
+                yield done([np.concatenate(c) for c in zip(*parts, strict=True)])
+                held = [[c[starts[-1] :] for c in cols]]
+            else:
+                held.append(cols)
+        if held:
+            yield done([np.concatenate(c) for c in zip(*held, strict=True)])
+
+    return lines_of(docs).mapInArrow(work, "h long, g int, id long, place int, lines int, first int, last int")
 
 
 def removals(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(id, gone) with gone an array of blocks (first, last, lines), for documents that lose lines."""
-    lines = stored(lines_of(docs.filter("id IS NOT NULL AND text <> ''")).distinct(), "lines")
-    held = lines.groupBy("key", "id").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    first = held.groupBy("key").agg(F.min("id").alias("first"), F.min_by("places", "id").alias("there"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = lines.join(first, "key").filter("id > first").select("id", "place", "no", "key.h", "key.g", "words", "first", "there")
+    all_ = stored(windows_of(docs.filter("id IS NOT NULL AND text <> ''"), least), "windows")
+    # stored, so that a window of many documents may be dealt to several tasks of the join
+    shared = stored(all_.groupBy("h", "g").agg(F.min("id").alias("holder"), F.max("id").alias("other")).filter("holder < other").drop("other"), "shared")
+    later = all_.join(shared.hint("merge"), ["h", "g"]).filter("id > holder").select("id", "place", "lines", "first", "last")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_ = later.repartition(n, "id").sortWithinPartitions("id", "first", "place")
+    sorted_ = later.repartition(n, "id").sortWithinPartitions("id", "place")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(doc: int, rows: list) -> pa.RecordBatch | None:
-            gone = blocks(rows, least)
-            if not gone:
-                return None
+        def done(doc: int, rows: list) -> pa.RecordBatch:
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lines", pa.int32())]))
-            return pa.record_batch([pa.array([doc], pa.int64()), pa.array([[dict(zip(("first", "last", "lines"), g, strict=True)) for g in gone]], kind)], ["id", "gone"])
+            gone = [dict(zip(("first", "last", "lines"), g, strict=True)) for g in joined(rows)]
+            return pa.record_batch([pa.array([doc], pa.int64()), pa.array([gone], kind)], ["id", "gone"])
 
         last, rows = None, []
         for b in batches:
-            for doc, place, no, h, g, words, holder, there in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for doc, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if doc != last:
-                    if rows and (out := done(last, rows)):
-                        yield out
+                    if rows:
+                        yield done(last, rows)
                     last, rows = doc, []
-                rows.append((place, no, (h, g), words, holder, there))
-        if rows and (out := done(last, rows)):
-            yield out
+                rows.append(row)
+        if rows:
+            yield done(last, rows)
 
     return sorted_.mapInArrow(work, "id long, gone array<struct<first: int, last: int, lines: int>>")
 

@@ -292,6 +292,40 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def plain_runs(docs, least):
+    """Places that go, by comparing all runs of all documents: docs are (id, lines)."""
+    out = {}
+    for k, x in docs:
+        gone = out[k] = set()
+        for a in range(len(x)):
+            for b in range(a + 1, len(x) + 1):
+                if sum(len(s.split()) for s in x[a:b]) >= least and any(j < k and y[i : i + b - a] == x[a:b] for j, y in docs for i in range(len(y))):
+                    gone |= set(range(a, b))
+    return out
+
+
+def test_line_dedup_meets_every_holder(spark):
+    passage = [f"p{i} " * 6 + "end" for i in range(8)]
+    rows = [(1, "\n".join(passage[::2])), (2, "\n".join(["own two", *passage])), (3, "\n".join(["own three", *passage, "tail"]))]
+    out = {r.row.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # lines of the first document stand alone in the others; the second holds the whole passage
+    assert out == {1: rows[0][1], 2: rows[1][1], 3: "own three\ntail"}
+
+
+def test_line_dedup_plain(spark):
+    rnd = random.Random(14)
+    line = [" ".join(f"{c}{i}" for i in range(rnd.randint(1, 12))) for c in "abcdefg"]
+    texts = [(k, [rnd.choice(line) for _ in range(rnd.randint(0, 14))]) for k in range(60)]
+    df = spark.createDataFrame([(k, "\n".join(x)) for k, x in texts], "doc_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = {r.row.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, gone in plain_runs(texts, linededup.LEAST_WORDS).items():
+        assert out[k] == "\n".join(s for i, s in enumerate(texts[k][1]) if i not in gone)
+
+
 # --- 10 --------------------------------------------------------------------------------------------
 def plain_stats(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
