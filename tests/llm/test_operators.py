@@ -326,6 +326,14 @@ def test_line_dedup_plain(spark):
         assert out[k] == "\n".join(s for i, s in enumerate(texts[k][1]) if i not in gone)
 
 
+def test_line_dedup_repeats_and_order(spark):
+    p = "\n".join(f"p{i} two three" for i in range(5))
+    q = "\n".join(f"q{i} two three" for i in range(5))
+    rows = [(1, f"{q}\n{p}"), (2, f"{p}\n{p}"), (3, f"{p}\n{p}\n{q}"), (4, f"own\n{p}\nend\n{q}")]
+    out = {r.row.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "", 3: "", 4: "own\nend"}
+
+
 # --- 10 --------------------------------------------------------------------------------------------
 def plain_stats(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
