@@ -1,18 +1,21 @@
 r"""Language-model scoring by online logistic context mixing.
 
 A text is its tokens (ASCII letters lower-cased), each followed by a space, and a line end.
-Each byte is a path in a fixed binary tree. For each bit, hashed contexts (the last 1, 2,
-3, 4 and 6 bytes, and the word so far) give predictions from counts of zeros and ones; a
+Each byte is a path in a fixed binary tree. For each bit, contexts (the last 1, 2, 3, 4 and
+6 bytes, and the word so far) give predictions from counts of zeros and ones; a
 logistic mixer combines them with weights chosen by a gate (which of the long contexts were
 seen, and the depth in the tree), and the weights are refined adaptively: each document has
 its own correction, updated after every block of ``BLOCK`` bytes by the gradient of what it
 cost, never ahead of it. So the bits' probabilities multiply to the text's.
 
-Learning. Every training document's bits are counted on the executors; partial tables are
-added by shuffles and end in ``SLOTS`` hashed counters (a fixed size whatever the corpus;
-what is gathered grows with the input). One training document in ``TUNE`` by hash is held
-back from the first tables to fit the mixer's weights on unseen text, by averaged
-online descent; then its counts are added too.
+Learning. A document asks for the pairs of each context and the byte after it. Blocks of
+documents send their distinct pairs with their counts to the contexts' partitions, which add
+up the bits of all training documents and send back the predictions for each pair, so the
+model grows with the input and is never in one place. The contexts of bytes are known in
+full and words by 48-bit hashes, so a count belongs to its context alone. One training
+document in ``TUNE`` by hash is in blocks of its own, which also get the predictions
+without these documents, to fit the mixer's weights on unseen text by averaged online
+descent.
 
 The unigram base score needs exact token counts. Blocks of documents send their distinct
 tokens' counts to the tokens' partitions and get the totals back, so no vocabulary is ever
@@ -28,22 +31,28 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
-from .neardup import _HASHES, _runs
+from .common import dropped, stored, table
+from .neardup import _HASHES, _runs, mixed
 
 ORDERS = (1, 2, 3, 4, 6)
-BITS = (16, 18, 20, 20, 20, 20)  # log2 of the slots of each order and of the word context
+#: log2 of the slots of each order and of the word context, where :func:`score` is given plain tables.
+BITS = (16, 18, 20, 20, 20, 20)
 K = len(BITS)
-CHUNK = 1 << 16
-FIRST = np.cumsum([0, *(1 << b for b in BITS)])
-SLOTS = int(FIRST[-1])
+#: Contexts whose bits are added at a time.
+CONTEXTS = 4096
+#: Bytes of text whose contexts are in memory at a time, or one text if longer.
+GROUP = 1 << 20
+#: Partitions of pairs for each block, so that one is small beside a block.
+SHARDS = 4
 BLOCK = 512
 LANES = 48
 PAD = 8
@@ -121,20 +130,29 @@ class Texts:
         b = self.bytes = np.frombuffer(gap + gap.join(streams), np.uint8)
         self.sizes = np.array([len(s) for s in streams])
         self.starts = np.cumsum(self.sizes + PAD) - self.sizes
-        w = b.astype(np.uint32)
-        back = [np.concatenate([np.zeros(j, np.uint32), w[:-j]]) for j in range(1, 7)]
-        two = back[0] | back[1] << np.uint32(8)
-        three = two | back[2] << np.uint32(16)
-        four = three | back[3] << np.uint32(24)
-        six = four * np.uint32(0x2C1B3C6D) + (back[4] | back[5] << np.uint32(8)) * np.uint32(0x297A2D39)
+
+    def pairs(self) -> Iterator[np.ndarray]:
+        """Order by order, its number (8 bits), the context (48 bits) and the byte (8 bits) of every place."""
+        b = self.bytes
+        w = b.astype(np.uint64)
+        last, k = np.zeros(len(b), np.uint64), 0
+        for j in range(1, 7):
+            last[j:] |= w[:-j] << np.uint64(8 * j)
+            if j in ORDERS:
+                yield last | w | np.uint64(k << 56)
+                k += 1
+        del last
         up, down = _powers(len(b) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b + np.uint64(1)) * up[: len(b)], dtype=np.uint64)])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((w + np.uint64(1)) * up[: len(b)], dtype=np.uint64)])
         at = np.arange(len(b))
         edge = np.maximum.accumulate(np.where((b == 32) | (b == 0), at + 1, 0))
         since = np.concatenate([[0], edge[:-1]])
-        word = ((total[:-1] - total[since]) * down[since]) >> np.uint64(32)
-        short = [back[0] << np.uint32(8), two, three, four, six, word.astype(np.uint32) ^ np.uint32(0x5BD1E995)]
-        self.contexts = [short[0], *(_mixed(c + np.uint32(k)) for k, c in enumerate(short[1:]))]
+        word = mixed((total[:-1] - total[since]) * down[since]) >> np.uint64(16)
+        yield word << np.uint64(8) | w | np.uint64(k << 56)
+
+    def places(self) -> np.ndarray:
+        """The places of all bytes of the streams."""
+        return np.repeat(self.starts - np.cumsum(self.sizes) + self.sizes, self.sizes) + np.arange(self.sizes.sum())
 
     def bits(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For the bytes at ``places``: bits of each, path index of every bit, and its byte's number."""
@@ -144,11 +162,9 @@ class Texts:
         path = np.arange(len(rep)) - np.repeat(np.cumsum(size) - size, size) + START[sym][rep]
         return size, path, rep
 
-    def slots(self, k: int, places: np.ndarray, path: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    def slots(self, k: int, pairs: np.ndarray, places: np.ndarray, path: np.ndarray, rep: np.ndarray) -> np.ndarray:
         """The slot of every bit in table k."""
-        context = self.contexts[k].take(places).take(rep)
-        if k == 0:
-            return (context + NODE.take(path)).astype(np.intp)
+        context = _mixed((mixed(pairs >> np.uint64(8)) >> np.uint64(32)).astype(np.uint32)).take(places).take(rep)
         context ^= SPREAD.take(path)
         context *= np.uint32(0x9E3779B1)
         context >>= np.uint32(32 - BITS[k])
@@ -161,19 +177,72 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(16))
 
 
-def count(streams: list[bytes], tables: list[np.ndarray]) -> None:
-    """Add every bit of the streams to tables of 2 * slot + bit."""
+def pairs_of(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of context and byte, ascending, and their counts."""
     t = Texts(streams)
-    places = np.flatnonzero(np.repeat(np.tile([False, True], len(streams)), np.ravel(np.stack([np.full(len(streams), PAD), t.sizes], 1))))
-    for a in range(0, len(places), 1 << 15):
-        own = places[a : a + (1 << 15)]
-        _, path, rep = t.bits(own)
-        bit = BIT.take(path)
-        for k in range(K):
-            index = t.slots(k, own, path, rep)
-            index *= 2
-            index += bit
-            np.add.at(tables[k], index, np.uint32(1))
+    places = t.places()
+    own = [np.unique(x.take(places), return_counts=True) for x in t.pairs()]
+    return np.concatenate([u for u, _ in own]), np.concatenate([n for _, n in own])
+
+
+def shard_of(pairs: np.ndarray, parts: int) -> np.ndarray:
+    """The partition of each pair's context."""
+    out = np.empty(len(pairs), np.int32)
+    for a in range(0, len(pairs), 1 << 18):
+        out[a : a + (1 << 18)] = (mixed(pairs[a : a + (1 << 18)] >> np.uint64(8)) >> np.uint64(33)) % np.uint64(parts)
+    return out
+
+
+def packed(pairs: np.ndarray) -> bytes:
+    """Byte by byte, for the upper bytes of ascending pairs repeat."""
+    return zlib.compress(np.ascontiguousarray(pairs.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, .. of each of the ranges."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _groups(order, streams: list[bytes], most: int | None = None) -> Iterator[list[int]]:
+    """Numbers of streams, in order, ``most`` at a time and about ``GROUP`` bytes."""
+    own, n = [], 0
+    for i in order:
+        if own and (len(own) == most or n + len(streams[i]) > GROUP):
+            yield own
+            own, n = [], 0
+        own.append(i)
+        n += len(streams[i])
+    if own:
+        yield own
+
+
+class Counted:
+    """The predictions for the pairs of some streams, from what their partitions sent."""
+
+    def __init__(self, streams: list[bytes], parts: int, sent: dict[int, bytes]):
+        own = [pairs_of([streams[i] for i in g])[0] for g in _groups(range(len(streams)), streams)]
+        self.pairs = np.unique(np.concatenate(own or [np.empty(0, np.uint64)]))
+        del own
+        shard = shard_of(self.pairs, parts)
+        order = np.argsort(shard, kind="stable")
+        size = SIZE[(self.pairs[order] & np.uint64(255)).astype(np.intp)]
+        self.first = np.empty(len(order), np.int64)
+        self.first[order] = np.cumsum(size) - size
+        self.values = np.frombuffer(b"".join(zlib.decompress(sent[p]) for p in np.unique(shard).tolist()), np.int16)
+
+    def firsts(self, t: Texts) -> list[np.ndarray]:
+        """For each order and place of ``t``, where the values of its path begin."""
+        places, out = t.places(), []
+        for x in t.pairs():
+            u, inverse = np.unique(x.take(places), return_inverse=True)
+            first = np.zeros(len(x), np.int64)
+            first[places] = self.first.take(np.searchsorted(self.pairs, u)).take(inverse)
+            out.append(first)
+        return out
 
 
 def stretched(n: np.ndarray) -> np.ndarray:
@@ -186,13 +255,17 @@ def initial() -> np.ndarray:
     return np.full((GATES, K), 0.32, np.float32)
 
 
-def score(streams: list[bytes], tables: list[np.ndarray], weights: np.ndarray, learn: bool = False, rate: float = 0.02, own_rate: float = 0.02) -> tuple[np.ndarray, int]:
-    """ln of each stream's probability, and the number of bits. ``learn``: also move ``weights`` in place."""
+def score(streams: list[bytes], tables: Counted | list[np.ndarray], weights: np.ndarray, learn: bool = False, rate: float = 0.02, own_rate: float = 0.02) -> tuple[np.ndarray, int]:
+    """ln of each stream's probability, and the number of bits. ``learn``: also move ``weights`` in place.
+
+    Plain tables hold the predictions of each order by hashed slots.
+    """
     out, bits = np.zeros(len(streams)), 0
     order = sorted(range(len(streams)), key=lambda i: len(streams[i]))
-    for g in range(0, len(order), LANES):
-        lanes = order[g : g + LANES]
+    for lanes in _groups(order, streams, LANES):
         t = Texts([streams[i] for i in lanes])
+        firsts = tables.firsts(t) if isinstance(tables, Counted) else None
+        pairs = list(t.pairs()) if firsts is None else []
         delta = np.zeros((len(lanes), K), np.float32)
         for at in range(0, int(t.sizes.max()), BLOCK):
             live = np.flatnonzero(t.sizes > at)
@@ -201,7 +274,12 @@ def score(streams: list[bytes], tables: list[np.ndarray], weights: np.ndarray, l
             size, path, rep = t.bits(places)
             cost_bits = np.add.reduceat(size, np.cumsum(n) - n)
             first = np.cumsum(cost_bits) - cost_bits
-            x = [tables[k].take(t.slots(k, places, path, rep)).astype(np.float32) * np.float32(1 / 2048) for k in range(K)]
+            if firsts is None:
+                seen = [tables[k].take(t.slots(k, pairs[k], places, path, rep)) for k in range(K)]
+            else:
+                depth = np.arange(len(path)) - np.repeat(np.cumsum(size) - size, size)
+                seen = [tables.values.take(first_.take(places).take(rep) + depth) for first_ in firsts]
+            x = [v.astype(np.float32) * np.float32(1 / 2048) for v in seen]
             gate = (x[3] != 0).astype(np.intp)
             gate += np.where(x[4] != 0, 2, 0)
             gate += np.where(x[5] != 0, 4, 0)
@@ -231,72 +309,125 @@ def _hashes(tokens: list[bytes]) -> np.ndarray:
 
 
 def _gather(rows: DataFrame, parts: int) -> DataFrame:
-    """Partial counts of (id, text, held, fold, block): kind 0 chunks of context counts, kind 1 tokens of a block."""
+    """Partial counts of (id, text, held, fold, block): kind 0 pairs of a block, kind 1 tokens of a block."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, list[np.ndarray]] = {}
-        vocab: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        waiting: dict[int, list[bytes]] = {}
+        Parts = dict[int, list[tuple[np.ndarray, np.ndarray]]]
+        pairs: Parts = {}
+        vocab: Parts = {}
+        folds: dict[int, int] = {}
+        waiting: dict[tuple[int, bool], list[bytes]] = {}
+        size: Counter = Counter()
+
+        def merged(own: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            h = np.concatenate([x for x, _ in own])
+            order = np.argsort(h)
+            h = h[order]
+            first = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
+            n = np.concatenate([n for _, n in own])[order]
+            return h[first], np.add.reduceat(n, first) if len(first) else n
+
+        def by_order(own: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            cuts = [np.searchsorted(u, np.arange(K + 1, dtype=np.uint64) << np.uint64(56)) for u, _ in own]
+            out = [merged([(u[c[k] : c[k + 1]], n[c[k] : c[k + 1]]) for (u, n), c in zip(own, cuts, strict=True)]) for k in range(K)]
+            return np.concatenate([u for u, _ in out]), np.concatenate([n for _, n in out])
+
+        def add(to: Parts, block: int, u: np.ndarray, n: np.ndarray) -> None:
+            to.setdefault(block, []).append((u, n))
+            if len(to[block]) >= 16:
+                to[block] = [(by_order if to is pairs else merged)(to[block])]
+
+        def flush(block: int, held: bool) -> None:
+            size[block, held] = 0
+            u, n = pairs_of(waiting.pop((block, held)))
+            add(pairs, block, u, n * (not held))
 
-        def flush(fold: int) -> None:
-            if fold not in tables:
-                tables[fold] = [np.zeros(2 << b, np.uint32) for b in BITS]
-            count(waiting.pop(fold), tables[fold])
+        row = lambda *x: pa.record_batch([pa.array([v], t) for v, t in zip(x, [pa.int32()] * 4 + [pa.binary()] * 2, strict=True)], ["kind", "part", "block", "fold", "a", "b"])
 
-        def merged(block: int) -> tuple[np.ndarray, np.ndarray]:
-            h, inverse = np.unique(np.concatenate([x for x, _ in vocab[block]]), return_inverse=True)
-            return h, np.bincount(inverse, np.concatenate([n for _, n in vocab[block]]), len(h)).astype(np.int64)
+        def done(block: int) -> Iterator[pa.RecordBatch]:
+            for key in list(waiting):
+                flush(*key)
+            u, n = by_order(pairs.pop(block))
+            of = shard_of(u, SHARDS * parts)
+            order = np.argsort(of, kind="stable")
+            ps, at = np.unique(of[order], return_index=True)
+            for p, own in zip(ps.tolist(), np.split(order, at[1:]), strict=True):
+                yield row(0, p, block, folds[block], packed(u[own]), zlib.compress(n[own].astype(np.uint32).tobytes(), 1))
+            h, n = merged(vocab.pop(block))
+            of = (h >> np.uint64(40)) % np.uint64(parts)
+            for p in np.unique(of).tolist():
+                yield row(1, p, block, folds[block], h[of == p].tobytes(), n[of == p].tobytes())
 
+        # blocks come one after the other
+        last = None
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                held, folds, where = (part.column(j).to_pylist() for j in (2, 3, 4))
+            where = b.column(4).to_numpy()
+            cuts = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1).tolist(), len(where)]
+            for k, end in [(k, min(k + 512, z)) for a, z in zip(cuts[:-1], cuts[1:], strict=True) for k in range(a, z, 512)]:
+                if last is not None and where[k] != last:
+                    yield from done(last)
+                last = int(where[k])
+                part = b.slice(k, end - k)
                 seen: dict[tuple[int, bool], list[np.ndarray]] = {}
-                for text, h, fold, block in zip(part.column(1).to_pylist(), held, folds, where, strict=True):
+                for text, h, fold, block in zip(*(part.column(j).to_pylist() for j in (1, 2, 3, 4)), strict=True):
                     tokens = tokens_of(text)
-                    seen.setdefault((block, h), []).append(_hashes(tokens))
-                    if not h:
-                        waiting.setdefault(fold, []).append(stream(tokens))
+                    folds[block] = fold
+                    seen.setdefault((block, bool(h)), []).append(_hashes(tokens))
+                    waiting.setdefault((block, bool(h)), []).append(x := stream(tokens))
+                    size[block, bool(h)] += len(x)
+                    if size[block, bool(h)] > GROUP:
+                        flush(block, bool(h))
                 for (block, h), own in seen.items():
                     u, n = np.unique(np.concatenate(own), return_counts=True)
-                    vocab.setdefault(block, []).append((u, n * (not h)))
-                    if len(vocab[block]) >= 16:
-                        vocab[block] = [merged(block)]
-                for fold in [f for f, s in waiting.items() if sum(map(len, s)) > 1 << 20]:
-                    flush(fold)
-        for fold in list(waiting):
-            flush(fold)
-        row = lambda *x: pa.record_batch([pa.array([v], t) for v, t in zip(x, [pa.int32()] * 4 + [pa.binary()] * 2, strict=True)], ["kind", "part", "block", "fold", "a", "b"])
-        for fold, own in tables.items():
-            for k in range(K):
-                pairs = own[k].reshape(-1, 2)
-                for c in range(0, len(pairs), CHUNK):
-                    at = np.flatnonzero(pairs[c : c + CHUNK].any(1))
-                    if len(at):
-                        yield row(0, int(FIRST[k] + c) // CHUNK, 0, fold, zlib.compress(at.astype(np.uint16).tobytes(), 1), zlib.compress(pairs[c : c + CHUNK][at].tobytes(), 1))
-        for block in vocab:
-            h, n = merged(block)
-            of = (h >> np.uint64(40)) % np.uint64(parts)
-            for p in np.unique(of).tolist():
-                yield row(1, p, block, 0, h[of == p].tobytes(), n[of == p].tobytes())
+                    add(vocab, block, u, n * (not h))
+        if last is not None:
+            yield from done(last)
 
     return rows.mapInArrow(work, RAW)
 
 
-def _add_chunks(raw: DataFrame) -> DataFrame:
-    """(part, rest, full): the stretched tables without and with the tuning documents, chunk by chunk."""
+def predicted(pairs: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Path lengths of the ascending pairs, and for each of ``counts`` the stretched predictions along their paths."""
+    sym = (pairs & np.uint64(255)).astype(np.intp)
+    context = pairs >> np.uint64(8)
+    new = np.concatenate([np.ones(min(len(pairs), 1), bool), context[1:] != context[:-1]])
+    number = np.cumsum(new)
+    size = SIZE[sym]
+    first = np.cumsum(size) - size
+    out = [np.empty(int(size.sum()), np.int16) for _ in counts]
+    cuts = [*np.flatnonzero(new)[::CONTEXTS].tolist(), len(pairs)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        path = _spread(START[sym[lo:hi]], size[lo:hi])
+        rep = np.repeat(np.arange(lo, hi), size[lo:hi])
+        node = (number[rep] - number[lo]) * 256 + NODE[path]
+        for v, n in zip(out, counts, strict=True):
+            sums = np.bincount(2 * node + BIT[path], n[rep], 512 * CONTEXTS).reshape(-1, 2)
+            v[first[lo] : first[lo] + len(path)] = stretched(sums[node])
+    return size, out
+
+
+def _add_pairs(raw: DataFrame) -> DataFrame:
+    """(block, part, rest, full): predictions for each block's pairs, with and, for tuning blocks, without the tuning documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, fold, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = sums.setdefault(part, np.zeros((2, CHUNK, 2), np.int64))
-                own[fold, np.frombuffer(zlib.decompress(a), np.uint16)] += np.frombuffer(zlib.decompress(b), np.uint32).reshape(-1, 2)
-        for part, own in sums.items():
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([stretched(own[0]).tobytes()], pa.binary()), pa.array([stretched(own.sum(0)).tobytes()], pa.binary())], ["part", "rest", "full"])
+        for part, parts in _runs(batches):
+            blocks, folds, a, b = ([x for p in parts for x in p.column(j).to_pylist()] for j in (1, 2, 3, 4))
+            own = [unpacked(x) for x in a]
+            n = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in b]).astype(np.int64)
+            u, inverse = np.unique(np.concatenate(own), return_inverse=True)
+            tuning = np.repeat(folds, [len(x) for x in own]) == 1
+            size, (rest, full) = predicted(u, [np.bincount(inverse, n * ~tuning, len(u)), np.bincount(inverse, n, len(u))])
+            first, at = np.cumsum(size) - size, 0
+            for block, fold, x in zip(blocks, folds, own, strict=True):
+                mine = inverse[at : at + len(x)]
+                at += len(x)
+                index = _spread(first[mine], size[mine])
+                sent = [zlib.compress(v[index].tobytes(), 1) if want else None for v, want in ((rest, fold), (full, True))]
+                yield pa.record_batch([pa.array([v], t) for v, t in zip((block, int(part), *sent), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "part", "rest", "full"])
 
     n = max(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return raw.filter("kind = 0").select("part", "fold", "a", "b").repartition(n, "part").mapInArrow(work, "part int, rest binary, full binary")
+    own = raw.filter("kind = 0").select("part", "block", "fold", "a", "b").repartition(n, "part").sortWithinPartitions("part", "block")
+    return own.mapInArrow(work, "block int, part int, rest binary, full binary")
 
 
 def _add_tokens(raw: DataFrame) -> DataFrame:
@@ -320,24 +451,20 @@ def _add_tokens(raw: DataFrame) -> DataFrame:
     return own.mapInArrow(work, "block int, part int, h binary, n binary, known long, total long")
 
 
-def _tables(blob: dict[int, bytes]) -> list[np.ndarray]:
-    whole = np.zeros(SLOTS, np.int16)
-    for part, data in blob.items():
-        whole[part * CHUNK : (part + 1) * CHUNK] = np.frombuffer(data, np.int16)
-    return [whole[FIRST[k] : FIRST[k + 1]] for k in range(K)]
+def _sent(rows: pa.Table, name: str) -> dict[int, bytes]:
+    return {p: v for p, v in zip(rows.column("part").to_pylist(), rows.column(name).to_pylist(), strict=True) if v is not None}
 
 
-def _tuned(rows: DataFrame, shared) -> np.ndarray:
-    """Weights fitted online on the tuning documents of each task, averaged by bits."""
+def _tuned(rows: DataFrame, answers: DataFrame, parts: int) -> np.ndarray:
+    """Weights fitted online on the tuning documents of each block, averaged by bits."""
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, weights, bits = _tables(shared.value["rest"]), initial(), 0
-        for b in batches:
-            bits += score([stream(tokens_of(t)) for t in b.column(0).to_pylist()], tables, weights, learn=True)[1]
-        if bits:
-            yield pa.record_batch([pa.array(range(weights.size), pa.int32()), pa.array(weights.ravel().astype(float) * bits), pa.array([float(bits)] * weights.size)], ["i", "w", "n"])
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        streams, weights = [stream(tokens_of(t)) for t in left.column("text").to_pylist()], initial()
+        bits = score(streams, Counted(streams, SHARDS * parts, _sent(right, "rest")), weights, learn=True)[1]
+        return pa.table({"i": pa.array(range(weights.size), pa.int32()), "w": pa.array(weights.ravel().astype(float) * bits), "n": pa.array([float(bits)] * weights.size)})
 
-    got = rows.mapInArrow(work, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
+    grouped = rows.filter("fold = 1").select("text", "block").groupBy("block").cogroup(answers.filter("rest IS NOT NULL").select("block", "part", "rest").groupBy("block"))
+    got = grouped.applyInArrow(work, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
     weights = initial().ravel()
     for r in got:
         weights[r.i] = r.w
@@ -350,19 +477,21 @@ def score_texts(docs: DataFrame, held: Column) -> DataFrame:
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
     chars = given.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    rows = given.select("*", (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(TUNE)) == 0).cast("int").alias("fold"), F.pmod(F.xxhash64("doc_id", F.md5("text")), F.lit(blocks)).cast("int").alias("block"))
-    raw = stored(_gather(rows.repartition(max(blocks, 1), "block"), blocks), "gathered")
-    chunks = stored(_add_chunks(raw), "chunks")
-    got = chunks.collect()  # SLOTS * 4 bytes, whatever the input
-    context = spark.sparkContext
-    rest, full = (context.broadcast({name: {r.part: bytes(r[name]) for r in got}}) for name in ("rest", "full"))
-    weights = _tuned(rows.filter("fold = 1 AND NOT held").select("text"), rest)
+    tuning = -(-blocks // TUNE)
+    folds = given.select("*", ((F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(TUNE)) == 0) & ~F.coalesce("held", F.lit(False))).cast("int").alias("fold"), F.xxhash64("doc_id", F.md5("text")).alias("hash"))
+    rows = folds.select("doc_id", "text", "held", "fold", F.when(F.col("fold") == 1, blocks + F.pmod("hash", F.lit(tuning))).otherwise(F.pmod("hash", F.lit(blocks))).cast("int").alias("block"))
+    raw = stored(_gather(rows.repartition(blocks + tuning, "block").sortWithinPartitions("block"), blocks), "gathered")
+    answers = stored(_add_pairs(raw), "answers")
+    weights = _tuned(rows, answers, blocks)
     vocab = stored(_add_tokens(raw), "tokens")
+    dropped(raw)
     stats = vocab.agg(F.sum("known").alias("known"), F.sum("total").alias("total")).first()
     known, total = stats.known or 0, stats.total or 0
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        tables = _tables(full.value["full"])
+        answered = right.filter(pc.is_valid(right.column("full")))
+        right = right.filter(pc.is_valid(right.column("h")))
+        tables = Counted([stream(tokens_of(t)) for t in left.column("text").to_pylist()], SHARDS * blocks, _sent(answered, "full"))
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("h").to_pylist()])
         n = np.concatenate([np.frombuffer(x, np.int64) for x in right.column("n").to_pylist()])
         order = np.argsort(h)
@@ -380,7 +509,8 @@ def score_texts(docs: DataFrame, held: Column) -> DataFrame:
         rows_ = len(out[0])
         return pa.table({"doc_id": left.column("doc_id").combine_chunks(), "held_out": left.column("held").combine_chunks(), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()), "train_tokens": pa.array([total] * rows_, pa.int64()), "base_score": pa.array(out[2], pa.float64()), "score": pa.array(out[3], pa.float64())})
 
-    grouped = rows.select("doc_id", "text", "held", "block").groupBy("block").cogroup(vocab.select("block", "h", "n").groupBy("block"))
+    both = vocab.select("block", "h", "n").unionByName(answers.select("block", "part", "full"), allowMissingColumns=True)
+    grouped = rows.select("doc_id", "text", "held", "block").groupBy("block").cogroup(both.groupBy("block"))
     return grouped.applyInArrow(work, SCORED)
 
 

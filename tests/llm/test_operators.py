@@ -65,6 +65,42 @@ def test_lm_score_does_not_depend_on_the_batch():
     assert whole == pytest.approx([mixing.score([s], tables, mixing.initial())[0][0] for s in streams], rel=1e-5)
 
 
+def test_lm_counts_belong_to_their_context():
+    """Predictions equal those of a dictionary for more contexts than a table of 2 ** 20 slots can hold."""
+    rnd = np.random.default_rng(15)
+    streams = [bytes(rnd.integers(97, 123, 300_000, np.uint8)) + b" \n" for _ in range(2)]
+    pairs, n = mixing.pairs_of(streams)
+    assert np.count_nonzero(pairs >> np.uint64(56) == 4) > 590_000  # pairs of order 6, each of several bits
+    own = mixing.shard_of(pairs, 3)
+    sent = {p: zlib.compress(mixing.predicted(pairs[own == p], [n[own == p]])[1][0].tobytes()) for p in range(3)}
+    model = mixing.Counted(streams, 3, sent)
+    want = {}
+    for s in streams:
+        for i, c in enumerate(s):
+            at = want.setdefault((bytes(6) + s)[i : i + 6], {})
+            for j in range(mixing.START[c], mixing.START[c] + mixing.SIZE[c]):
+                at.setdefault(int(mixing.NODE[j]), [0, 0])[mixing.BIT[j]] += 1
+    t = mixing.Texts(streams)
+    first = model.firsts(t)[4]
+    for k, s in enumerate(streams):
+        for i in range(0, len(s), 997):
+            c, at = s[i], want[(bytes(6) + s)[i : i + 6]]
+            path = mixing.NODE[mixing.START[c] : mixing.START[c] + mixing.SIZE[c]].tolist()
+            got = model.values[first[t.starts[k] + i] :][: len(path)]
+            assert got.tolist() == mixing.stretched(np.array([at[x] for x in path])).tolist()
+
+
+def test_lm_blocks_do_not_change_the_model(spark, monkeypatch):
+    rnd = random.Random(16)
+    texts = [" ".join("".join(rnd.choice("abcdef") for _ in range(rnd.randint(1, 6))) for _ in range(rnd.randint(0, 50))) for _ in range(200)] + ODD
+    held = F.col("doc_id") % 10 == 0
+    monkeypatch.setattr(mixing, "_tuned", lambda *_: mixing.initial())
+    one = {r.doc_id: r.score for r in mixing.score_texts(docs(spark, texts), held).collect()}
+    monkeypatch.setattr(mixing, "BLOCK_CHARS", 1500)
+    many = {r.doc_id: r.score for r in mixing.score_texts(docs(spark, texts), held).collect()}
+    assert many == pytest.approx(one, rel=1e-5)
+
+
 # --- 2 ---------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     said = ["\\### Assistant: </turn> ok", "<+>", "\\s\\e", "a: b", "", None, "</turn>\n### user: x", "\U0001f600 <+</turn>"]
