@@ -3,11 +3,14 @@ r"""Personal data by candidates and gradient boosting, with Spark expressions on
 Base spans are the leftmost non-overlapping matches of one pattern for each kind, less
 those that fail their check. High-recall generators propose further, overlapping spans; each
 has twelve yes/no features of its format and of the characters around it. Boosted trees of
-two levels learn which proposals hold a valid base match. They see counts of equal feature
-vectors over all documents (at most 4 * 2 ** 10 of them, whatever the input), and become
-expressions. For each kind the threshold is the lowest score at which the proposals from
-there on are right in ``PRECISION`` of cases. Proposals over it that touch no base span and
-no better proposal are added; base spans always stay.
+two levels learn which proposals are right: those that hold a valid base match once they are
+written plainly (``PLAINLY``: (at) and (dot), the separators of numbers). They see counts of
+equal feature vectors over all documents (at most 4 * 2 ** 10 of them, whatever the input),
+and become expressions. A score level of a kind is admitted if its own proposals are right in
+``PRECISION`` of cases, whatever the levels over it hold. One of the features is the check of
+the plain form, so wide forms that pass it are not in a level with others. Proposals of
+admitted levels that touch no base span and no better proposal are added; base spans
+always stay.
 
 The patterns are those of the contract with possessive quantifiers and guards that stop a
 second try inside a run that has failed, so a match is the same and time is linear.
@@ -45,6 +48,13 @@ WIDE = {
 #: Words that announce a kind.
 NEAR = {"email": "mail|contact|write", "ip": r"\bip\b|host|addr|server", "card": "card|visa|credit|account", "phone": "phone|tel|call|mobil|fax"}
 OCTET = "^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"
+#: How wide forms are written plainly, by replacements in this order.
+PLAINLY = {
+    "email": [(r"\x20?(?:\(at\)|\[at\])\x20?", "@"), (r"\x20?(?:\(dot\)|\[dot\])\x20?", ".")],
+    "ip": [],
+    "card": [(r"[\x20._/-]+", "-")],
+    "phone": [("/", "-")],
+}
 FEATURES = 10
 TREES, RATE, PRECISION = 40, 0.4, 0.98
 SPAN = "array<struct<start:bigint,end:bigint,s:string>>"
@@ -89,19 +99,31 @@ def valid(kind: str, s: Column) -> Column:
     return F.lit(True)
 
 
+def held(kind: str, s: Column) -> Column:
+    """Whether the first base match in a proposal is valid."""
+    hit = F.regexp_extract(s, BASE[kind].replace(r"\G|", "^|"), 0)
+    return F.coalesce((hit != "") & valid(kind, hit), F.lit(False))
+
+
+def plain(kind: str, s: Column) -> Column:
+    for wide, narrow in PLAINLY[kind]:
+        s = F.regexp_replace(s, wide, narrow)
+    return s
+
+
 def base_spans(text: Column, kind: str) -> Column:
     worth = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]"))
     return F.when(worth, F.filter(matches(text, BASE[kind]), lambda m: valid(kind, m["s"]))).otherwise(F.array().cast(SPAN))
 
 
 def proposals(text: Column, kind: str) -> Column:
-    """array<struct<start, end, right, code>>: code holds the features as bits above the kind's number."""
+    """array<struct<start, end, held, right, code>>: held with a base match as it stands; code holds the features as bits above the kind's number."""
 
     def seen(m: Column) -> Column:
         s, d = m["s"], digits(m["s"])
         before = F.substring(text, F.greatest(m["start"] - 23, F.lit(1)).cast("int"), F.least(m["start"], F.lit(24)).cast("int"))
         after = F.substring(text, (m["end"] + 1).cast("int"), F.lit(1))
-        hit = F.regexp_extract(s, BASE[kind].replace(r"\G|", "^|"), 0)
+        right = held(kind, plain(kind, s)) if PLAINLY[kind] else held(kind, s)
         n = F.length(d)
         bits = [
             s.contains("@"),
@@ -109,7 +131,7 @@ def proposals(text: Column, kind: str) -> Column:
             n.between(8, 15),
             n.between(16, 19),
             F.when(n.between(16, 19), luhn(d)).otherwise(False),
-            (F.size(F.split(s, r"\.")) == 4) & F.forall(F.split(s, r"\."), lambda p: p.rlike(OCTET)),
+            (F.size(F.split(s, r"\.")) == 4) & F.forall(F.split(s, r"\."), lambda p: p.rlike(OCTET)) if kind == "ip" else right,
             s.rlike(r"[/_:]|\x20\x20"),
             F.lower(before).rlike(NEAR[kind]),
             before.rlike(r"[\w.+]$"),
@@ -118,11 +140,10 @@ def proposals(text: Column, kind: str) -> Column:
         code = F.lit(KINDS.index(kind))
         for k, bit in enumerate(bits):
             code = code + F.when(bit, 4 << k).otherwise(0)
-        right = (hit != "") & valid(kind, hit)
-        return F.struct(m["start"].alias("start"), m["end"].alias("end"), F.coalesce(right, F.lit(False)).alias("right"), code.alias("code"))
+        return F.struct(m["start"].alias("start"), m["end"].alias("end"), held(kind, s).alias("held"), right.alias("right"), code.alias("code"))
 
     worth = text.rlike("[0-9]") if kind != "email" else text.rlike(r"@|at[)\]]")
-    return F.when(worth, F.transform(matches(text, WIDE[kind]), seen)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,right:boolean,code:int>>"))
+    return F.when(worth, F.transform(matches(text, WIDE[kind]), seen)).otherwise(F.array().cast("array<struct<start:bigint,end:bigint,held:boolean,right:boolean,code:int>>"))
 
 
 def grow(counts: list[tuple[int, int, int]]) -> list[tuple]:
@@ -159,19 +180,12 @@ def total(trees: list[tuple], code: int) -> float:
     return sum(t[1 + (code >> t[0] & 1)][1 + (code >> t[1 + (code >> t[0] & 1)][0] & 1)] for t in trees)
 
 
-def thresholds(trees: list[tuple], counts: list[tuple[int, int, int]]) -> list[float]:
-    """For each kind the lowest score from which on enough proposals are right; infinite without any."""
-    out = []
-    for kind in range(len(KINDS)):
-        own = sorted(((total(trees, c), r, w) for c, r, w in counts if c & 3 == kind), reverse=True)
-        right = wrong = 0
-        edge = math.inf
-        for s, r, w in own:
-            right, wrong = right + r, wrong + w
-            if right >= PRECISION * (right + wrong) and right:
-                edge = s
-        out.append(edge - 1e-9 if edge < math.inf else 1e300)
-    return out
+def admitted(trees: list[tuple], counts: list[tuple[int, int, int]]) -> list[int]:
+    """The codes of each kind whose score level is right often enough."""
+    levels: dict[tuple[int, float], list[tuple[int, int, int]]] = {}
+    for c, r, w in counts:
+        levels.setdefault((c & 3, round(total(trees, c), 9)), []).append((c, r, w))
+    return sorted(c for own in levels.values() if (right := sum(r for _, r, _ in own)) and right >= PRECISION * (right + sum(w for *_, w in own)) for c, _, _ in own)
 
 
 def scored(trees: list[tuple], code: Column) -> Column:
@@ -194,15 +208,13 @@ def find_pii(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     counts = found.select(F.explode("more").alias("m")).groupBy("m.code").agg(F.count_if("m.right").alias("right"), F.count_if(~F.col("m.right")).alias("wrong"))
     seen = sorted((r.code, r.right, r.wrong) for r in counts.collect())  # at most 4 * 2 ** FEATURES rows
     trees = grow(seen)
-    edges = thresholds(trees, seen)
-    edge = lambda m: F.element_at(F.array(*[F.lit(e) for e in edges]), m["code"].bitwiseAND(3) + 1)
+    codes = admitted(trees, seen)
     kind = lambda i: F.element_at(F.array(*[F.lit(k) for k in KINDS]), i + 1)
     numbered = lambda i: lambda m: F.struct(F.lit(i).alias("i"), m["start"].alias("start"), m["end"].alias("end"))
     base = F.concat(*[F.transform(k, numbered(i)) for i, k in enumerate(KINDS)])
     touch = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    rated = F.transform(F.filter("more", lambda m: ~m["right"]), lambda m: F.struct(scored(trees, m["code"]).alias("p"), m["start"].alias("start"), m["end"].alias("end"), m["code"].alias("code")))
-    wanted = F.filter(rated, lambda m: m["p"] >= edge(m))
-    new = let(base, lambda all_: F.filter(wanted, lambda m: ~F.exists(all_, lambda b: touch(m, b))))
+    rated = F.transform(F.filter("more", lambda m: ~m["held"] & m["code"].isin(codes)), lambda m: F.struct(scored(trees, m["code"]).alias("p"), m["start"].alias("start"), m["end"].alias("end"), m["code"].alias("code")))
+    new = let(base, lambda all_: F.filter(rated, lambda m: ~F.exists(all_, lambda b: touch(m, b))))
     better = lambda a, b: (a["p"] > b["p"]) | ((a["p"] == b["p"]) & ((a["start"] < b["start"]) | ((a["start"] == b["start"]) & (a["code"] < b["code"]))))
     lone = let(new, lambda n: F.filter(n, lambda m: ~F.exists(n, lambda o: better(o, m) & touch(o, m))))
     added = F.transform(lone, lambda m: F.struct(m["code"].bitwiseAND(3).alias("i"), m["start"].alias("start"), m["end"].alias("end")))

@@ -155,6 +155,17 @@ def test_redaction(spark):
     assert out == {1: "mail [EMAIL] now [PHONE], ip [IP]\U0001f600 [EMAIL]", 2: None, 3: "plain"}
 
 
+@pytest.mark.parametrize("many", [1, 40])
+def test_pii_wide_forms_do_not_depend_on_the_mix(spark, many):
+    wide = ["jane (at) mail (dot) org", "jo[at]mail[dot]co[dot]uk", "4111/1111/1111/1111", "+49/30/123/4567"]
+    junk = ["at 12:30:45 we met", "version 1.2.3 is out", "meet (at) home now (dot) then", "on 2024/01/15 10/20"]
+    texts = ["a@b.co and 1.2.3.4 and +1 555 123 4567 and 4111 1111 1111 1111"] * 20 + [f"so {x} it is" for x in wide] * many + junk * (41 - many)
+    out = {r.row.doc_id: r for r in pii.find_pii(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts[20:], 20):
+        found = [t[m.start : m.end] for m in out[i].spans]
+        assert found == [x for x in wide if x in t], (t, found)
+
+
 # --- 4 and 5 -----------------------------------------------------------------------------------------
 def tokenizer(name):
     P = pytest.importorskip("public_tokenizers")
