@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import retrieval as R
 
+#: Fixed value: a name with capitals inside.
 EMBEDDED = r"\b(?:[A-Z][a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*|[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]+)\b"
 
 
-def boost_embedded(scores: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def names_of(queries: DataFrame, predicted: DataFrame | None = None) -> DataFrame:
+    """(query_id, symbol, whole): the query as a name where it is ``whole``, else the cased names in it and those predicted (query_id, name)."""
+    inner = F.regexp_extract_all("query", F.lit(EMBEDDED), 0)
+    if predicted is not None:
+        told = predicted.groupBy("query_id").agg(F.collect_list("name").alias("told"))  # of the batch
+        queries, inner = queries.join(told, "query_id", "left"), F.concat(inner, F.coalesce("told", F.array().cast("array<string>")))
+    own = F.when(F.col("whole"), F.array(T.symbol_name(F.trim("query")))).otherwise(F.array_distinct(inner))
+    return queries.select("query_id", F.explode(own).alias("symbol"), "whole")
+
+
+def boost_embedded(scores: DataFrame, chunks: DataFrame, queries: DataFrame, predicted: DataFrame | None = None) -> DataFrame:
     """Natural queries with cased names inside: defining candidates gain, others with a fitting stem enter."""
-    names = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("query", F.lit(EMBEDDED), 0))).alias("symbol"))
-    top = scores.groupBy("query_id").agg(F.max("score").alias("top"))
-    found = R.defining(chunks, names).join(top, "query_id").withColumn("stem", F.lower(T.stem(F.col("file"))))
-    tier = F.col("top") * 1.5 * F.when(R.stem_matches(F.col("stem"), F.lower("symbol")), 1.5).otherwise(1.0)
-    best = found.groupBy("query_id", "chunk_id", "stem").agg(F.max(tier).alias("tier"))
-    stem, flat, low = F.col("stem"), F.replace(F.col("stem"), F.lit("_"), F.lit("")), F.lower("symbol")
-    enters = (stem == low) | (flat == low) | ((F.length(stem) >= 4) & low.startswith(stem)) | ((F.length(flat) >= 4) & low.startswith(flat))
-    # any name of the query may let a defining chunk in
-    rated = best.join(names, "query_id").groupBy("query_id", "chunk_id").agg(F.max("tier").alias("tier"), F.bool_or(enters).alias("enters"))
-    both = rated.join(scores, ["query_id", "chunk_id"], "full_outer")
-    return both.filter("score IS NOT NULL OR (enters AND tier > 0)").select("query_id", "chunk_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("tier", F.lit(0.0))).alias("score"))
+    return R.raised(scores, R.tiers(scores, chunks, names_of(queries.withColumn("whole", F.lit(False)), predicted)))
 
 
 def adaptive_head(scores: DataFrame, gap: float, small: int, large: int) -> DataFrame:
@@ -37,6 +38,11 @@ def mixed(a: Column, b: Column, weight: float) -> Column:
     return F.zip_with(a, b, lambda x, y: weight * x.cast("double") + (1 - weight) * y.cast("double"))
 
 
+def unit(v: Column) -> Column:
+    """A vector at length 1; a zero vector stays."""
+    return F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(0.0))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
@@ -56,17 +62,16 @@ def _first(rows: DataFrame, by: str, k: int) -> DataFrame:
 
 def expand_prf(queries: DataFrame, chunks: DataFrame, top: int, k: int) -> DataFrame:
     """Terms of the first hits by score * idf * tf, without those of the query."""
-    post = R.postings(chunks)
-    _, df, stats = R.bm25_stats(post, chunks)
     hits = R.ranked(R.bm25(queries, chunks), top).select("query_id", "chunk_id", "score")
-    gain = hits.join(post, "chunk_id").join(df, "term").crossJoin(stats).groupBy("query_id", "term").agg(F.round(F.sum(F.col("score") * R.idf(F.col("n"), F.col("df")) * F.col("tf")), 4).alias("g"))
+    own = R.scanned(chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    all_ = R.scanned(chunks, own.terms.select("term"))
+    gain = hits.join(own.postings, "chunk_id").join(all_.terms, "term").crossJoin(all_.stats).groupBy("query_id", "term").agg(F.round(F.sum(F.col("score") * R.idf(F.col("n"), F.col("df")) * F.col("tf")), 4).alias("g"))
     return _first(_new_terms(gain.filter(_useful(F.col("term"))), queries), "g", k).select("query_id", "rank", "term")
 
 
 def centroids(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """(term, centroid, norm): unit mean vector of the chunks with a term of middle frequency, and the mean's length."""
-    post = R.postings(chunks)
-    _, df, stats = R.bm25_stats(post, chunks)
+    post, df, stats = R.scanned(chunks)
     middle = df.crossJoin(stats).filter((F.col("df") >= 5) & (F.col("df") <= F.greatest(F.lit(50.0), F.col("n") / 100)) & _useful(F.col("term"))).select("term")
     cells = post.join(middle, "term").join(vectors, "chunk_id").select("term", F.posexplode("vec").alias("i", "x"))
     means = cells.groupBy("term", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -76,16 +81,15 @@ def centroids(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def expand_centroid(qvecs: DataFrame, cents: DataFrame, k: int, least: float) -> DataFrame:
-    near = R.cosine(qvecs, cents.select(F.col("term").alias("chunk_id"), F.col("centroid").alias("vec")))
-    near = near.select("query_id", F.col("chunk_id").alias("term"), F.round("score", 6).alias("score")).filter(F.col("score") >= least)
-    return _first(near, "score", k).select("query_id", "rank", "term", "score")
+    near = R.knn(qvecs, cents.select(F.col("term").alias("chunk_id"), F.col("centroid").alias("vec")), k)
+    return near.filter(F.col("score") >= least).select("query_id", "rank", F.col("chunk_id").alias("term"), F.round("score", 6).alias("score"))
 
 
 def expand_oracle(queries: DataFrame, chunks: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     """Terms of the relevant chunks by idf: what expansion could reach at best."""
-    post = R.postings(chunks)
-    _, df, stats = R.bm25_stats(post, chunks)
-    terms = qrels.join(post, "chunk_id").join(df, "term").crossJoin(stats).select("query_id", "term", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf")).distinct()
+    own = R.scanned(chunks.join(qrels.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    all_ = R.scanned(chunks, own.terms.select("term"))
+    terms = qrels.join(own.postings, "chunk_id").join(all_.terms, "term").crossJoin(all_.stats).select("query_id", "term", F.round(R.idf(F.col("n"), F.col("df")), 6).alias("idf")).distinct()
     return _first(_new_terms(terms, queries), "idf", k).select("query_id", "rank", "term", "idf")
 
 

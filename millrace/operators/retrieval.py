@@ -1,13 +1,19 @@
 """Ranked retrieval over many queries at once: BM25, vectors, fusion, boosts, penalties, top-k.
 
-Queries are always the small side (a batch the caller states); they meet postings by an
-equi-join on the term, so plans shuffle by term or, for small batches, broadcast by size.
-All rankings break ties by id, and scores are rounded to 9 places before ranking, since the
-order of float sums is not fixed.
+Queries are a batch the caller states. A scan keeps only the terms of the batch before
+anything is shuffled, and takes lengths from the chunk itself; a stored index reads only the
+buckets of these terms. Vectors and query vectors meet as blocks, one matrix product for
+each pair of blocks. All rankings break ties by id, and scores are rounded to 9 places before
+ranking, since the order of float sums is not fixed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,37 +21,53 @@ from ..functions import text as T
 
 K1, B = 1.5, 0.75
 RRF, FETCH = 60, 5
+#: Keywords before a defined name.
 KEYWORDS = "class|module|defmodule|def|interface|struct|enum|trait|type|func|function|object|abstract class|data class|fn|fun|package|namespace|protocol|record|typedef"
 SQL_KEYWORDS = "CREATE TABLE|CREATE VIEW|CREATE PROCEDURE|CREATE FUNCTION"
 NAME = r"((?:[A-Za-z_][A-Za-z0-9_]*(?:\.|::))*[A-Za-z_][A-Za-z0-9_]*)"
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf) of (chunk_id, text, deleted); deleted chunks have none."""
-    return chunks.filter(~F.col("deleted")).select("chunk_id", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
+class Index(NamedTuple):
+    """postings (chunk_id, dl, term, tf), terms (term, df) and stats, one row (n, avgdl) over all live chunks, empty ones too."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
 
+    def of(self, wanted: DataFrame) -> Index:
+        """What concerns the terms (term) of a batch."""
+        return Index(self.postings.join(wanted, "term", "left_semi"), self.terms.join(wanted, "term", "left_semi"), self.stats)
 
-def bm25_stats(post: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Document lengths, document frequencies, and one row (n, avgdl) over all live chunks, empty ones too."""
-    length = chunks.filter(~F.col("deleted")).select("chunk_id").join(post.groupBy("chunk_id").agg(F.sum("tf").alias("dl")), "chunk_id", "left").na.fill(0, ["dl"])
-    return length, post.groupBy("term").agg(F.count("*").alias("df")), length.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
+def scanned(chunks: DataFrame, wanted: DataFrame | None = None) -> Index:
+    """The index of (chunk_id, text, deleted), or of the terms (term) of a batch in it; deleted chunks have no part."""
+    live = chunks.filter(~F.coalesce("deleted", F.lit(False))).select("chunk_id", T.terms(F.coalesce("text", F.lit(""))).alias("terms"))
+    each = live.select("chunk_id", F.size("terms").cast("long").alias("dl"), F.explode("terms").alias("term"))
+    if wanted is not None:
+        each = each.join(wanted.select("term").distinct(), "term", "left_semi")
+    post = each.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    stats = live.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    return Index(post, post.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, times): a repeated term counts each time."""
-    return queries.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+def query_terms(queries: DataFrame, predicted: DataFrame | None = None) -> DataFrame:
+    """(query_id, term, times) of (query_id, query): a repeated term counts each time; predicted (query_id, name) count as well."""
+    bag = queries.select("query_id", "query")
+    if predicted is not None:
+        bag = bag.unionByName(predicted.select("query_id", F.col("name").alias("query")))
+    return bag.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score) of all chunks with a positive score."""
-    post = postings(chunks)
-    length, df, stats = bm25_stats(post, chunks)
-    wanted = query_terms(queries)
-    hit = wanted.join(post, "term").join(df, "term").join(length, "chunk_id").crossJoin(stats)  # stats is one row
+def bm25(queries: DataFrame, chunks: DataFrame | Index, predicted: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, score) of all chunks with a positive score; ``chunks`` are scanned, or are a stored index."""
+    wanted = query_terms(queries, predicted)
+    names = wanted.select("term").distinct()
+    index = chunks.of(names) if isinstance(chunks, Index) else scanned(chunks, names)
+    hit = wanted.join(index.postings, "term").join(index.terms, "term").crossJoin(index.stats)  # stats is one row
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     score = F.sum(F.col("times") * idf(F.col("n"), F.col("df")) * part)
     return hit.groupBy("query_id", "chunk_id").agg(F.round(score, 9).alias("score")).filter("score > 0")
@@ -57,22 +79,62 @@ def ranked(scores: DataFrame, k: int, by: str = "score", id_: str = "chunk_id")
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def cosine(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, score): dot products of (query_id, qvec) with (chunk_id, vec), in double.
+def _blocks(rows: DataFrame, id_: str, vec: str, most: int, tag: str) -> DataFrame:
+    """Blocks of up to ``most`` vectors of a partition: ids, width and the values in double as bytes. Null vectors have no part."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            full = b.filter(b.column(1).is_valid())
+            for k in range(0, full.num_rows, most):
+                part = full.slice(k, most)
+                vecs = part.column(1).to_pylist()
+                width = max(map(len, vecs))
+                cells = np.array([[*v, *[0.0] * (width - len(v))] for v in vecs], np.float64)
+                yield pa.record_batch([pa.array([part.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([width], pa.int32()), pa.array([cells.tobytes()], pa.binary())], [f"{tag}ids", f"{tag}width", f"{tag}cells"])
+
+    kind = rows.schema[id_].dataType.simpleString()
+    return rows.select(id_, vec).mapInArrow(work, f"{tag}ids array<{kind}>, {tag}width int, {tag}cells binary")
+
+
+def knn(queries: DataFrame, vectors: DataFrame, k: int, itself: bool = True) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k largest dot products of (query_id, qvec) with (chunk_id, vec), in double.
 
-    Every query meets every vector, as the exact scan asks; the query batch is the small side.
+    Every query meets every vector, as the exact scan asks, in blocks: a pair of blocks is one
+    matrix product and keeps k for each query. ``itself``: a vector with the query's own id takes part.
     """
-    dot = F.aggregate(F.zip_with("qvec", "vec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return vectors.join(queries, how="cross").select("query_id", "chunk_id", F.round(dot, 9).alias("score"))
+    pairs = _blocks(vectors, "chunk_id", "vec", 4096, "v").crossJoin(_blocks(queries, "query_id", "qvec", 512, "q"))
+    q, c = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                vids, width, cells, qids, qwidth, qcells = (x[r].as_py() for x in b.columns)
+                n = min(width, qwidth)
+                x = np.frombuffer(cells).reshape(len(vids), -1)[:, :n]
+                scores = np.round(np.frombuffer(qcells).reshape(len(qids), -1)[:, :n] @ x.T, 9)
+                out = []
+                for i, own in zip(qids, scores, strict=True):
+                    most = min(k + (not itself), len(own))
+                    near = np.flatnonzero(own >= np.partition(own, len(own) - most)[len(own) - most]).tolist()
+                    best = sorted((-own[j], vids[j]) for j in near if itself or vids[j] != i)[:k]
+                    out += [(i, v, -float(s)) for s, v in best]
+                yield pa.record_batch([pa.array([o[0] for o in out], b.column(3).type.value_type), pa.array([o[1] for o in out], b.column(0).type.value_type), pa.array([o[2] for o in out], pa.float64())], ["query_id", "chunk_id", "score"])
+
+    return ranked(pairs.mapInArrow(work, f"query_id {q}, chunk_id {c}, score double"), k)
 
 
 def fuse(arms: list[tuple[DataFrame, Column]]) -> DataFrame:
-    """Weighted reciprocal-rank fusion of ranked arms (query_id, chunk_id, rank)."""
-    parts = [a.select("query_id", "chunk_id", (w / (RRF + F.col("rank"))).alias("s")) for a, w in arms]
+    """Weighted reciprocal-rank fusion of ranked arms (query_id, chunk_id, rank).
+
+    Arms are joined, not put under each other: the union of two window results was seen to be
+    taken for one that is partitioned by query, which gave sums of a part of the rows.
+    """
+    parts = [a.select("query_id", "chunk_id", (w / (RRF + F.col("rank"))).alias(f"s{k}")) for k, (a, w) in enumerate(arms)]
     both = parts[0]
     for p in parts[1:]:
-        both = both.unionByName(p)
-    return both.groupBy("query_id", "chunk_id").agg(F.round(F.sum("s"), 12).alias("score"))
+        both = both.join(p, ["query_id", "chunk_id"], "full_outer")
+    score = sum((F.coalesce(f"s{k}", F.lit(0.0)) for k in range(1, len(parts))), F.coalesce("s0", F.lit(0.0)))
+    return both.select("query_id", "chunk_id", F.round(score, 12).alias("score"))
 
 
 def coherence(scores: DataFrame, files: DataFrame) -> DataFrame:
@@ -113,17 +175,39 @@ def defining(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     return exact.select(*cols).unionByName(folded.select(*cols)).distinct()
 
 
-def boost_definitions(scores: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Symbol queries: defining candidates gain the tier; other chunks with a matching stem enter at the tier."""
-    found = defining(chunks, queries.select("query_id", T.symbol_name(F.trim("query")).alias("symbol")))
+def tiers(scores: DataFrame, chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, tier, enters) of the chunks that define a name (query_id, symbol, whole) of a query.
+
+    ``whole``: the name is the query itself; its chunks gain more, and only those with its stem enter. For a
+    name inside a query or predicted, a stem that begins it lets a chunk enter as well.
+    """
     top = scores.groupBy("query_id").agg(F.max("score").alias("top"))
-    ok = stem_matches(F.lower(T.stem(F.col("file"))), F.lower("symbol"))
-    rated = found.join(top, "query_id").select("query_id", "chunk_id", ok.alias("stem_ok"), (F.col("top") * 3.0 * F.when(ok, 1.5).otherwise(1.0)).alias("tier"))
-    both = rated.join(scores, ["query_id", "chunk_id"], "full_outer")
-    kept = both.filter("score IS NOT NULL OR (stem_ok AND tier > 0)")
+    found = defining(chunks, names.select("query_id", "symbol")).join(names, ["query_id", "symbol"]).join(top, "query_id").withColumn("stem", F.lower(T.stem(F.col("file"))))
+    tier = F.col("top") * F.when(F.col("whole"), 3.0).otherwise(1.5) * F.when(stem_matches(F.col("stem"), F.lower("symbol")), 1.5).otherwise(1.0)
+    best = found.groupBy("query_id", "chunk_id", "stem").agg(F.max(tier).alias("tier"))
+    stem, flat, low = F.col("stem"), F.replace(F.col("stem"), F.lit("_"), F.lit("")), F.lower("symbol")
+    begins = (stem == low) | (flat == low) | ((F.length(stem) >= 4) & low.startswith(stem)) | ((F.length(flat) >= 4) & low.startswith(flat))
+    # any name of the query may let a defining chunk in
+    enters = F.bool_or(F.when(F.col("whole"), stem_matches(stem, low)).otherwise(begins))
+    return best.join(names, "query_id").groupBy("query_id", "chunk_id").agg(F.max("tier").alias("tier"), enters.alias("enters"))
+
+
+def whole_names(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", T.symbol_name(F.trim("query")).alias("symbol"), F.lit(True).alias("whole"))
+
+
+def raised(scores: DataFrame, tiers: DataFrame) -> DataFrame:
+    """Scores (query_id, chunk_id, score) plus tiers; chunks that were no candidates enter at their tier if they may."""
+    both = tiers.join(scores, ["query_id", "chunk_id"], "full_outer")
+    kept = both.filter("score IS NOT NULL OR (enters AND tier > 0)")
     return kept.select("query_id", "chunk_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("tier", F.lit(0.0))).alias("score"))
 
 
+def boost_definitions(scores: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Symbol queries: defining candidates gain the tier; other chunks with a matching stem enter at the tier."""
+    return raised(scores, tiers(scores, chunks, whole_names(queries)))
+
+
 def keyword_ratio(query: Column, path: Column) -> Column:
     """The share of a query's keywords that occur among the parts of a file's stem and directory."""
     words = F.filter(F.regexp_extract_all(query, F.lit(T.IDENT), 0), lambda w: F.length(w) > 2)
@@ -149,10 +233,14 @@ def boost_stems(scores: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def saturated(scores: DataFrame, k: int, penalise: bool = True) -> DataFrame:
-    """Top k of (query_id, chunk_id, file, score) where the n-th chunk of a file counts 0.5 ** (n - 1)."""
+    """Top k of (query_id, chunk_id, file, score) where the n-th chunk of a file counts 0.5 ** (n - 1).
+
+    Equal scores go by start_line, where there is one, then file and chunk_id.
+    """
+    line = ["start_line"] if "start_line" in scores.columns else []
     pen = F.round(F.col("score") * (T.path_penalty(F.col("file")) if penalise else F.lit(1.0)), 12)
     q = Window.partitionBy("query_id")
-    x = scores.withColumn("pen", pen).withColumn("pos", F.row_number().over(q.orderBy(F.desc("pen"), "file", "chunk_id")) - 1)
+    x = scores.withColumn("pen", pen).withColumn("pos", F.row_number().over(q.orderBy(F.desc("pen"), *line, "file", "chunk_id")) - 1)
     nth = F.row_number().over(Window.partitionBy("query_id", "file").orderBy("pos")) - 1
     x = x.withColumn("eff", F.col("pen") * F.pow(F.lit(0.5), nth))
     x = x.withColumn("low", F.min("eff").over(q.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)))
@@ -161,16 +249,33 @@ def saturated(scores: DataFrame, k: int, penalise: bool = True) -> DataFrame:
     return ranked(x.select("query_id", "chunk_id", "file", F.col("eff").alias("score")), k)
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, qvecs: DataFrame, k: int) -> DataFrame:
-    """BM25 and vector arms fused, then coherence, stem boost, penalties and top k."""
-    alpha = F.when(T.query_kind(F.col("query")) == "symbol", 0.3).otherwise(0.5)
-    weight = queries.select("query_id", alpha.alias("alpha"))
+def boosted(scores: DataFrame, chunks: DataFrame, queries: DataFrame, predicted: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, file, score): symbol queries by definitions, natural ones by stems, then by names in them or predicted."""
+    from .expansion import names_of
+
+    live = chunks.filter(~F.coalesce("deleted", F.lit(False)))
+    symbol = T.query_kind(F.col("query")) == "symbol"
+    # an empty query has no words that a stem could hold
+    stems = boost_stems(scores, queries.select("query_id", F.when(symbol, "").otherwise(F.col("query")).alias("query"))).drop("file")
+    names = names_of(queries.withColumn("whole", symbol), predicted)
+    return raised(stems, tiers(stems, live, names)).join(chunks.select("chunk_id", "file"), "chunk_id")
+
+
+def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, qvecs: DataFrame, k: int, alpha: float | None = None, predicted: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+    """BM25 and vector arms fused, then coherence, boosts by the kind of query, penalties and top k.
+
+    ``alpha``, the weight of the vectors, is 0.3 for symbol queries and 0.5 for others if it is not
+    given; path penalties hold below 1. Deleted chunks are in neither arm.
+    """
+    auto = F.when(T.query_kind(F.col("query")) == "symbol", 0.3).otherwise(0.5)
+    weight = queries.select("query_id", (auto if alpha is None else F.lit(float(alpha))).alias("alpha"))
     fetch = FETCH * k
-    dense = ranked(cosine(qvecs, vectors), fetch).join(weight, "query_id")
-    lexical = ranked(bm25(queries, chunks), fetch).join(weight, "query_id")
+    alive = vectors.join(chunks.filter("deleted").select("chunk_id"), "chunk_id", "left_anti")
+    dense = knn(qvecs, alive, fetch).join(weight, "query_id")
+    lexical = ranked(bm25(queries, chunks if index is None else index, predicted), fetch).join(weight, "query_id")
     fused = fuse([(dense, F.col("alpha")), (lexical, 1 - F.col("alpha"))])
-    files = chunks.select("chunk_id", "file")
-    return saturated(boost_stems(coherence(fused, files), queries), k)
+    out = boosted(coherence(fused, chunks.select("chunk_id", "file")), chunks, queries, predicted)
+    return saturated(out, k, alpha is None or alpha < 1)
 
 
 def blend(scored: DataFrame, head: int = 50, beta: float = 0.25) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import evaluation as E
 from ..operators import expansion as X
 from ..operators import retrieval as R
 from .q_text import PENALTY_SQL
-from .sample import ASKED, CORPUS, Literal, asked, corpus, table, terms_sql
+from .sample import ASKED, ASKED2, CORPUS, CORPUS2, PREDICTED, Literal, asked, asked2, corpus, corpus2, table, terms_sql
 
 Q, O = {}, {}
 
@@ -58,16 +58,14 @@ def r6(df, *cols):
 
 @q("bm25_stats", f"WITH {POST} SELECT term, df, n, round(avgdl, 6) AS avgdl FROM dfs, stats")
 def bm25_stats(spark, sf):
-    c = corpus(spark, sf)
-    _, df, stats = R.bm25_stats(R.postings(c), c)
-    return r6(df.crossJoin(stats).select("term", "df", "n", "avgdl"), "avgdl")
+    index = R.scanned(corpus(spark, sf))
+    return r6(index.terms.crossJoin(index.stats).select("term", "df", "n", "avgdl"), "avgdl")
 
 
-@q("term_idf", f"WITH {POST} SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs, stats WHERE df >= 5")
+@q("term_idf", f"WITH {POST} SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs, stats")
 def term_idf(spark, sf):
-    c = corpus(spark, sf)
-    _, df, stats = R.bm25_stats(R.postings(c), c)
-    return r6(df.filter("df >= 5").crossJoin(stats).select("term", R.idf(F.col("n"), F.col("df")).alias("idf")), "idf")
+    index = R.scanned(corpus(spark, sf))
+    return r6(index.terms.crossJoin(index.stats).select("term", R.idf(F.col("n"), F.col("df")).alias("idf")), "idf")
 
 
 @q("bm25_score", f"WITH {BM25} SELECT query_id, count(*) AS hits, round(sum(score), 4) AS total, round(max(score), 6) AS best FROM bm25 GROUP BY query_id")
@@ -100,7 +98,7 @@ KNN_TOP = f"WITH {KNN}, {rank_sql('cos', 10, 'top')} SELECT query_id, rank, chun
 
 @q("knn_cosine", KNN_TOP)
 def knn_cosine(spark, sf):
-    return r6(R.ranked(R.cosine(qvecs(spark, sf), vectors(spark, sf)), 10).select("query_id", "rank", "chunk_id", "score"), "score")
+    return r6(R.knn(qvecs(spark, sf), vectors(spark, sf), 10).select("query_id", "rank", "chunk_id", "score"), "score")
 
 
 Q["search_semantic"], O["search_semantic"] = Q["knn_cosine"], KNN_TOP
@@ -109,7 +107,7 @@ Q["search_semantic"], O["search_semantic"] = Q["knn_cosine"], KNN_TOP
 @q("search_qvec", f"WITH {VECS}, v AS (SELECT query_id, list_transform(qvec, lambda x: -x) AS qvec FROM qv), cos AS (SELECT query_id, chunk_id, {DOT} AS score FROM v, vecs), {rank_sql('cos', 3, 'top')} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM top")
 def search_qvec(spark, sf):
     turned = qvecs(spark, sf).withColumn("qvec", F.transform("qvec", lambda x: -x))
-    return r6(R.ranked(R.cosine(turned, vectors(spark, sf)), 3).select("query_id", "rank", "chunk_id", "score"), "score")
+    return r6(R.knn(turned, vectors(spark, sf), 3).select("query_id", "rank", "chunk_id", "score"), "score")
 
 
 @q("topk", "SELECT orders.o_orderkey AS id, o_totalprice AS score FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -122,7 +120,7 @@ fused AS (SELECT query_id, chunk_id, round(sum(s), 12) AS score FROM (SELECT que
 
 
 def fused(spark, sf):
-    lex, sem = bm25_top(spark, sf, 50), R.ranked(R.cosine(qvecs(spark, sf), vectors(spark, sf)), 50)
+    lex, sem = bm25_top(spark, sf, 50), R.knn(qvecs(spark, sf), vectors(spark, sf), 50)
     return R.fuse([(sem, F.lit(0.5)), (lex, F.lit(0.5))])
 
 
@@ -188,12 +186,35 @@ def boost_stem(spark, sf):
     return R.boost_stems(literal_scores(spark, sf), ASK2.df(spark)).withColumn("score", F.round("score", 8))
 
 
-HYBRID = f"""{COH}, {stems_sql('coh')}, {saturation_sql('stm', 10)} SELECT query_id, rank, chunk_id, file, round(score, 8) AS score FROM sat WHERE rank <= 10"""
-
-
-@q("search_hybrid", HYBRID.replace("0.5::DOUBLE / (60 + rank) AS s FROM sem", "(CASE WHEN regexp_full_match(trim(query), '[A-Z][A-Za-z0-9_]*') THEN 0.3 ELSE 0.5 END)::DOUBLE / (60 + rank) AS s FROM sem JOIN asked USING (query_id)").replace("0.5::DOUBLE / (60 + rank) AS s FROM lex", "(CASE WHEN regexp_full_match(trim(query), '[A-Z][A-Za-z0-9_]*') THEN 0.7 ELSE 0.5 END)::DOUBLE / (60 + rank) AS s FROM lex JOIN asked USING (query_id)"))
+#: A query that is one name, as SQL; the same words as in the class query.
+IS_SYMBOL = r"regexp_full_match(trim(query), '(?:[A-Za-z_][A-Za-z0-9_]*(?:(?:::|\\|->|\.)[A-Za-z_][A-Za-z0-9_]*)+|_[A-Za-z0-9_]*|[A-Za-z][A-Za-z0-9]*[A-Z_][A-Za-z0-9_]*|[A-Z][A-Za-z0-9_]*)')"
+DEFINED2 = r"""(list_contains(list_transform(regexp_extract_all(text, '(?m)(?:^|\s)(?:class|module|defmodule|def|interface|struct|enum|trait|type|func|function|object|abstract class|data class|fn|fun|package|namespace|protocol|record|typedef)\s+((?:[A-Za-z_][A-Za-z0-9_]*(?:\.|::))*[A-Za-z_][A-Za-z0-9_]*)(?:\s|[<({:\[;]|$)', 1), lambda n: regexp_extract(n, '[A-Za-z0-9_]*$')), symbol)
+ OR list_contains(list_transform(regexp_extract_all(text, '(?im)(?:^|\s)(?:create table|create view|create procedure|create function)\s+((?:[A-Za-z_][A-Za-z0-9_]*(?:\.|::))*[A-Za-z_][A-Za-z0-9_]*)(?:\s|[<({:\[;]|$)', 1), lambda n: lower(regexp_extract(n, '[A-Za-z0-9_]*$'))), lower(symbol)))"""
+SAME_STEM = "(stem = n OR replace(stem, '_', '') = n OR rtrim(stem, 's') = n OR rtrim(replace(stem, '_', ''), 's') = n)"
+STEM = "lower(regexp_replace(string_split(file, '/')[-1], '\\.[^.]*$', ''))"
+BM25H = BM25.replace(CORPUS, CORPUS2).replace(ASKED, ASKED2).replace(terms_sql("asked", "query_id", "query", "wanted"), terms_sql("bag", "query_id", "query", "wanted"))
+HYBRID = f"""WITH {BM25H}, vecs AS (SELECT vec_id AS chunk_id, embedding AS vec FROM embeddings WHERE vec_id NOT IN (SELECT chunk_id FROM corpus WHERE deleted)), qv AS (SELECT item_id AS query_id, embedding AS qvec FROM benchmark JOIN embeddings ON item_id * 3 = vec_id),
+cos AS (SELECT query_id, chunk_id, {DOT} AS score FROM qv, vecs), {rank_sql('bm25', 50, 'lex')}, {rank_sql('cos', 50, 'sem')},
+kinds AS (SELECT query_id, query, {IS_SYMBOL} AS sym, trim(query) AS q FROM asked), named AS (SELECT query_id, CASE WHEN contains(q, '::') THEN string_split(q, '::')[-1] WHEN contains(q, '\\') THEN string_split(q, '\\')[-1] WHEN contains(q, '->') THEN string_split(q, '->')[-1] WHEN contains(q, '.') THEN string_split(q, '.')[-1] ELSE q END AS symbol FROM kinds WHERE sym),
+fused AS (SELECT query_id, chunk_id, round(sum(CASE WHEN arm = 1 THEN a ELSE 1 - a END / (60 + rank)), 12) AS score FROM (SELECT query_id, chunk_id, rank, 1 AS arm FROM sem UNION ALL SELECT query_id, chunk_id, rank, 2 FROM lex) JOIN (SELECT query_id, CASE WHEN sym THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS a FROM kinds) USING (query_id) GROUP BY ALL),
+{COH[len(FUSED) + 2:]},
+tops AS (SELECT query_id, max(score) AS top FROM coh GROUP BY query_id),
+d1 AS (SELECT query_id, chunk_id, symbol, top, {STEM} AS stem, lower(symbol) AS n, {DEFINED2} AS def FROM named JOIN tops USING (query_id), corpus WHERE NOT deleted),
+d2 AS (SELECT query_id, chunk_id, {SAME_STEM} AS ok, top * 3.0::DOUBLE * CASE WHEN {SAME_STEM} THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END AS tier FROM d1 WHERE def),
+by_name AS (SELECT query_id, chunk_id, coalesce(c.score, 0) + coalesce(tier, 0) AS score FROM d2 FULL JOIN (SELECT * FROM coh WHERE query_id IN (SELECT query_id FROM named)) c USING (query_id, chunk_id) WHERE c.score IS NOT NULL OR (ok AND tier > 0)),
+plain AS (SELECT * FROM coh WHERE query_id NOT IN (SELECT query_id FROM named)), {stems_sql('plain')},
+inner_names AS (SELECT DISTINCT query_id, symbol FROM (SELECT query_id, unnest(regexp_extract_all(query, '\\b(?:[A-Z][a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*|[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]+)\\b')) AS symbol FROM kinds WHERE NOT sym UNION ALL SELECT query_id, name FROM predicted)),
+tops2 AS (SELECT query_id, max(score) AS top FROM stm GROUP BY query_id),
+e1 AS (SELECT query_id, chunk_id, symbol, top, {STEM} AS stem, lower(symbol) AS n, {DEFINED2} AS def FROM inner_names JOIN tops2 USING (query_id), corpus WHERE NOT deleted),
+e2 AS (SELECT query_id, chunk_id, max(CASE WHEN def THEN top * 1.5::DOUBLE * CASE WHEN {SAME_STEM} THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END ELSE 0 END) AS tier, bool_or(stem = n OR replace(stem, '_', '') = n OR (length(stem) >= 4 AND starts_with(n, stem)) OR (length(replace(stem, '_', '')) >= 4 AND starts_with(n, replace(stem, '_', '')))) AS inj FROM e1 GROUP BY ALL),
+by_words AS (SELECT query_id, chunk_id, coalesce(s.score, 0) + coalesce(tier, 0) AS score FROM e2 FULL JOIN stm s USING (query_id, chunk_id) WHERE s.score IS NOT NULL OR (inj AND tier > 0)),
+both_kinds AS (SELECT b.query_id, b.chunk_id, file, b.score FROM (SELECT * FROM by_name UNION ALL SELECT * FROM by_words) b JOIN corpus USING (chunk_id)),
+{saturation_sql('both_kinds', 10)} SELECT query_id, rank, chunk_id, file, round(score, 8) AS score FROM sat WHERE rank <= 10"""
+
+
+@q("search_hybrid", HYBRID)
 def search_hybrid(spark, sf):
-    out = R.hybrid(asked(spark, sf), corpus(spark, sf), vectors(spark, sf), qvecs(spark, sf), 10)
+    out = R.hybrid(asked2(spark, sf), corpus2(spark, sf), vectors(spark, sf), qvecs(spark, sf), 10, predicted=PREDICTED.df(spark))
     return out.select("query_id", "rank", "chunk_id", "file", F.round("score", 8).alias("score"))
 
 
@@ -209,11 +230,11 @@ def search_filtered(spark, sf):
     return r6(filtered(hits, 10, ["py", ".GO"], "src", "__init__").select("query_id", "rank", "chunk_id", "file", "score"), "score")
 
 
-@q("find_related", f"WITH vecs AS (SELECT vec_id AS chunk_id, embedding AS vec FROM embeddings), qv AS (SELECT chunk_id AS query_id, vec AS qvec FROM vecs WHERE chunk_id % 50 = 0), cos AS (SELECT query_id, chunk_id, {DOT} AS score FROM qv, vecs WHERE query_id <> chunk_id), {rank_sql('cos', 5, 'top')} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM top")
+@q("find_related", f"WITH vecs AS (SELECT vec_id AS chunk_id, embedding AS vec FROM embeddings), qv AS (SELECT chunk_id AS query_id, vec AS qvec FROM vecs WHERE chunk_id % 20 = 0), cos AS (SELECT query_id, chunk_id, {DOT} AS score FROM qv, vecs WHERE query_id <> chunk_id), {rank_sql('cos', 5, 'top')} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM top")
 def find_related(spark, sf):
     v = vectors(spark, sf)
-    own = v.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec"))
-    return r6(R.ranked(R.cosine(own, v).filter("query_id <> chunk_id"), 5).select("query_id", "rank", "chunk_id", "score"), "score")
+    own = v.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("vec").alias("qvec"))
+    return r6(R.knn(own, v, 5, itself=False).select("query_id", "rank", "chunk_id", "score"), "score")
 
 
 DEFS = Literal("chunks", "chunk_id int, file string, text string", [
@@ -272,12 +293,12 @@ def rerank_adaptive(spark, sf):
     return X.adaptive_head(blend_in(spark, sf), 0.05, 10, 50)
 
 
-@q("vector_blend", "SELECT a.vec_id, list_transform(list_transform(list_zip(a.embedding, b.embedding), lambda p: 0.3::DOUBLE * p[1]::DOUBLE + 0.7::DOUBLE * p[2]::DOUBLE), lambda x: round(x, 6))[1] AS first, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: pow(0.3::DOUBLE * p[1]::DOUBLE + 0.7::DOUBLE * p[2]::DOUBLE, 2)))), 6) AS norm FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1")
+@q("vector_blend", "WITH m AS (SELECT a.vec_id, list_transform(list_zip(a.embedding, b.embedding), lambda p: 0.3::DOUBLE * p[1]::DOUBLE + 0.7::DOUBLE * p[2]::DOUBLE) AS mix FROM embeddings a JOIN embeddings b ON a.vec_id = b.vec_id + 1), n AS (SELECT *, sqrt(list_sum(list_transform(mix, lambda x: x * x))) AS norm FROM m) SELECT vec_id, CAST(i AS INTEGER) AS i, round(mix[i + 1] / norm, 6) + 0.0 AS x FROM n, (SELECT unnest(range(0, 64)) AS i) WHERE norm > 0")
 def vector_blend(spark, sf):
     a = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("s"))
     b = table(spark, sf, "embeddings").select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("q"))
     x = a.join(b, "vec_id").withColumn("mix", X.mixed(F.col("s"), F.col("q"), 0.3))
-    return x.select("vec_id", F.round(F.col("mix")[0], 6).alias("first"), F.round(X.norm(F.col("mix")), 6).alias("norm"))
+    return x.select("vec_id", F.posexplode(X.unit(F.col("mix"))).alias("i", "x")).withColumn("x", F.round("x", 6) + 0.0)
 
 
 PRF = f"""{BM25}, {rank_sql('bm25', 10, 'top')},
@@ -295,23 +316,36 @@ tv AS (SELECT term, i, avg(vec[i]::DOUBLE) AS x FROM mid JOIN post USING (term)
 cent AS (SELECT term, list(x ORDER BY i) AS c, sqrt(sum(x * x)) AS norm FROM tv GROUP BY term)"""
 
 
-@q("term_centroid", f"WITH {CENT} SELECT term, round(c[1] / norm, 6) AS first, round(norm, 6) AS norm FROM cent WHERE norm > 0")
+@q("term_centroid", f"WITH {CENT} SELECT term, CAST(i AS INTEGER) AS i, round(c[i + 1] / norm, 6) + 0.0 AS x, round(norm, 6) AS norm FROM cent, (SELECT unnest(range(0, 64)) AS i) WHERE norm > 0")
 def term_centroid(spark, sf):
     c = X.centroids(corpus(spark, sf), vectors(spark, sf))
-    return c.select("term", F.round(F.col("centroid")[0], 6).alias("first"), F.round("norm", 6).alias("norm"))
+    return c.select("term", F.posexplode("centroid").alias("i", "x"), F.round("norm", 6).alias("norm")).withColumn("x", F.round("x", 6) + 0.0)
 
 
-@q("expand_centroid", f"WITH {CENT}, {VECS}, s AS (SELECT query_id, term, round(list_sum(list_transform(list_zip(qvec, c), lambda p: p[1]::DOUBLE * p[2])) / norm, 6) AS score FROM qv, cent WHERE norm > 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) AS rank FROM s WHERE score >= 0.3) SELECT query_id, rank, term, score FROM r WHERE rank <= 8")
+@q("expand_centroid", f"WITH {CENT}, {VECS}, s AS (SELECT query_id, term, round(list_sum(list_transform(list_zip(qvec, c), lambda p: p[1]::DOUBLE * p[2])) / norm, 9) AS score FROM qv, cent WHERE norm > 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, term) AS rank FROM s) SELECT query_id, rank, term, round(score, 6) AS score FROM r WHERE rank <= 8 AND score >= 0.3")
 def expand_centroid(spark, sf):
     return X.expand_centroid(qvecs(spark, sf), X.centroids(corpus(spark, sf), vectors(spark, sf)), 8, 0.3)
 
 
+#: Words of an item by which documents are found before the whole item is looked for in them.
+ANCHOR = 5
 QREL = "qrel AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 def qrels(spark, sf):
+    """Documents that hold a benchmark item. The pieces of an item between blanks, but the first and last, are
+    pieces of the document, so documents and items meet by the hash of ``ANCHOR`` of them; items with too few meet all."""
+    pieces = F.split("item", " ")
     b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    return table(spark, sf, "documents").join(b, F.contains("text", "item")).select("query_id", F.col("doc_id").alias("chunk_id"))
+    b = b.withColumn("key", F.when(F.size(pieces) >= ANCHOR + 2, F.xxhash64(F.slice(pieces, 2, ANCHOR))))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    own = F.split("text", " ")
+    runs = F.transform(F.sequence(F.lit(1), F.size(own) - ANCHOR + 1), lambda i: F.xxhash64(F.slice(own, i, ANCHOR)))
+    keys = d.filter(F.size(own) >= ANCHOR).select("doc_id", F.explode(runs).alias("key"))
+    met = keys.join(b.filter("key IS NOT NULL"), "key").select("doc_id", "query_id", "item").distinct().join(d, "doc_id")
+    short = d.join(b.filter("key IS NULL"), F.contains("text", "item"))
+    cols = ["query_id", F.col("doc_id").alias("chunk_id")]
+    return met.filter(F.contains("text", "item")).select(*cols).unionByName(short.select(*cols))
 
 
 @q("expand_oracle", f"WITH {BM25}, {QREL}, g AS (SELECT DISTINCT query_id, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM qrel JOIN post USING (chunk_id) JOIN dfs USING (term), stats), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idf DESC, term) AS rank FROM g WHERE (query_id, term) NOT IN (SELECT query_id, term FROM wanted)) SELECT query_id, rank, term, idf FROM r WHERE rank <= 8")

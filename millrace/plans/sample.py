@@ -15,8 +15,8 @@ PATH = """CASE doc_id % 11
   ELSE 'src/' || source || '/doc_' || CAST(doc_id % 97 AS STRING) || '.py' END"""
 
 CORPUS = f"corpus AS (SELECT doc_id AS chunk_id, {PATH} AS file, text, doc_id % 7 = 6 AS deleted FROM documents)"
-#: Queries: the first six words of each benchmark item.
-ASKED = "asked AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark)"
+#: Queries: the benchmark items.
+ASKED = "asked AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 #: Parts of an identifier and the terms of a text, as DuckDB lists.
 TERMS = """tok AS (
   SELECT {keys}, unnest(list_transform(regexp_extract_all({text}, '[a-zA-Z_][a-zA-Z0-9_]*'), lambda r:
@@ -38,7 +38,7 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 class Literal:
@@ -63,3 +63,23 @@ class Literal:
 
         names = ", ".join(c.strip().split(" ")[0] for c in self.columns.split(","))
         return f"{self.name}({names}) AS (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in self.rows)})"
+
+
+#: Chunks of code and queries that ask for names, next to the documents and the benchmark items.
+CODE = Literal("code", "chunk_id long, file string, text string", [
+    (900001, "ledger/open_ledger.py", "import os\ndef openLedger(path):\n    return Ledger(path)"), (900002, "ledger/tests/ledger_test.py", "book = openLedger('a')\nassert book"),
+    (900003, "ledger/ledger.py", "class Ledger:\n    def openLedger(self): pass"), (900004, "post/parcel_queue.go", "type ParcelQueue struct { size int }"), (900005, "post/sorter.go", "func SortParcels(q ParcelQueue) {}"),
+    (900006, "post/ledger.sql", "create table ledger (id int)"), (900007, "post/depot.py", "class ParcelQueue:\n    pass\n# openLedger is called by the parcel queue"),
+])
+EXTRA = Literal("extra", "query_id long, query string", [(900001, "openLedger"), (900002, "store.Ledger"), (900003, "how does openLedger fill the ParcelQueue"), (900004, "waiting line of parcels"), (900005, "parcel queue size")])
+PREDICTED = Literal("predicted", "query_id long, name string", [(900004, "ParcelQueue")])
+CORPUS2 = f"{CODE.cte}, {EXTRA.cte}, {PREDICTED.cte}, " + CORPUS.replace(" FROM documents)", " FROM documents UNION ALL SELECT chunk_id, file, text, false FROM code)")
+ASKED2 = ASKED.replace(" FROM benchmark)", " FROM benchmark UNION ALL SELECT query_id, query FROM extra), bag AS (SELECT * FROM asked UNION ALL SELECT query_id, name FROM predicted)")
+
+
+def corpus2(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus(spark, sf).unionByName(CODE.df(spark).withColumn("deleted", F.lit(False)))
+
+
+def asked2(spark: SparkSession, sf: str) -> DataFrame:
+    return asked(spark, sf).unionByName(EXTRA.df(spark))
