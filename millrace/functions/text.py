@@ -140,3 +140,28 @@ def type_shorthand(name: Column) -> Column:
     for long, short in SHORT_TYPES:
         name = F.replace(name, F.lit(long), F.lit(short))
     return name
+
+
+def relative_time(now: Column, then: Column) -> Column:
+    """How long ago, in the largest whole unit; dates of the future and of one to two years ago as they are."""
+    s = (F.unix_micros(now) - F.unix_micros(then)) / 1_000_000
+    ago = lambda seconds, unit: F.concat(F.floor(s / seconds).cast("string"), F.lit(f"{unit} ago"))
+    day, date = 86400, F.date_format(then, "yyyy-MM-dd")
+    return (
+        F.when(s < 0, date).when(s < 60, ago(1, "s")).when(s < 3600, ago(60, "m")).when(s < day, ago(3600, "h")).when(s < 7 * day, ago(day, "d"))
+        .when(s < 30 * day, ago(7 * day, "w")).when(s < 365 * day, ago(30 * day, "mo")).when(s < 730 * day, date).otherwise(ago(365 * day, "y"))
+    )
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(n, 0)
+
+
+def plural(n: Column, noun: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(f" {noun}"), F.when(n == 1, "").otherwise("s"))
+
+
+def quoted(name: Column) -> Column:
+    """An identifier in double quotes."""
+    return F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -59,15 +59,51 @@ def render_tables(cols: DataFrame) -> DataFrame:
     return cols.groupBy("table").agg(rows.alias("rows")).select("table", body.alias("body"))
 
 
+def routines(params: DataFrame) -> DataFrame:
+    """(schema, name, kind, signature) of parameter rows (schema, name, kind, ordinal, param, type, returns); ordinal null: none."""
+    row = F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", F.concat_ws(" ", F.when(F.col("param") != "", F.col("param")), "type").alias("s")))
+    args = F.array_sort(F.collect_list(row))
+    x = params.groupBy("schema", "name", "kind").agg(args.alias("args"), F.max("returns").alias("returns"))
+    text = F.concat(qualified(F.col("schema"), F.col("name")), F.lit("("), F.array_join(F.transform("args", lambda a: a["s"]), ", "), F.lit(")"), F.when(F.coalesce("returns", F.lit("")) != "", F.concat(F.lit(" → "), F.col("returns"))).otherwise(""))
+    return x.select("schema", "name", "kind", text.alias("signature"))
+
+
+def views(rows: DataFrame, most: int = 50) -> DataFrame:
+    """(view, body) of (schema, name, kind, definition): views and materialised ones, bodies of up to ``most`` lines."""
+    lines = F.split(F.rtrim(F.trim(F.col("definition"), F.lit(" \n\t\r")), F.lit(";")), "\n")
+    body = F.array_join(F.when(F.size(lines) > most, F.concat(F.slice(lines, 1, most), F.array(F.lit("...")))).otherwise(lines), "\n")
+    return rows.filter(F.upper("kind").isin("VIEW", "MATERIALIZED VIEW")).select(qualified(F.col("schema"), F.col("name")).alias("view"), body.alias("body"))
+
+
 def sample_cell(value: Column, most: int = 80) -> Column:
-    """A cell for display: NULL for nulls, cut after 80 characters."""
+    """A cell for display: NULL for nulls, bytes by their number, text cut after 80 characters."""
     s = value.cast("string")
     return F.when(s.isNull(), "NULL").when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("…"))).otherwise(s)
 
 
 def latency(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Count, extremes, mean and nearest-rank percentiles of a value by group."""
-    w = Window.partitionBy(group)
-    x = rows.withColumn("at", F.row_number().over(w.orderBy(value))).withColumn("n", F.count("*").over(w))
-    pick = lambda p: F.max(F.when(F.col("at") == F.ceil(F.col("n") * p), F.col(value)))
-    return x.groupBy(group).agg(F.max("n").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(value), 6).alias("mean"), pick(F.lit(50) / 100).alias("p50"), pick(F.lit(95) / 100).alias("p95"), pick(F.lit(99) / 100).alias("p99"))
+    """Count, extremes, mean and nearest-rank percentiles of a value by group.
+
+    The percentiles add up counts of equal values before the shuffle, so a large group is no row-by-row sort.
+    """
+    pick = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})").alias(f"p{int(100 * p)}")
+    return rows.groupBy(group).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(value), 6).alias("mean"), pick(0.5), pick(0.95), pick(0.99))
+
+
+def usage_report(rows: DataFrame) -> DataFrame:
+    """(period, call, calls, saved, bar, percent) of usage rows (call, ts, file_chars, snippet_chars) for today, the last 7 days and all time.
+
+    Days are counted back from that of the last row. Saved characters count four to a token; bar and percent are their
+    share of the files' characters, rounded half up.
+    """
+    last = rows.agg(F.date_trunc("day", F.max("ts")).alias("today"))  # one row
+    sums = lambda c: [F.count_if(c).alias("calls"), F.sum(F.when(c, F.greatest(F.col("file_chars") - F.col("snippet_chars"), F.lit(0)))).alias("saved"), F.sum(F.when(c, F.greatest("file_chars", F.lit(0)))).alias("whole")]
+    since = {"today": F.col("ts") >= F.col("today"), "last 7 days": F.col("ts") >= F.col("today") - F.expr("INTERVAL 6 DAYS"), "all time": F.lit(True)}
+    one = rows.crossJoin(last).groupBy("call").agg(*[F.struct(*sums(c)).alias(f"p{i}") for i, c in enumerate(since.values())])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("period"), F.col(f"p{i}").alias("p")) for i, name in enumerate(since)]))
+    x = one.select("call", each.alias("e")).select("call", "e.period", "e.p.*").filter("calls > 0")
+    share = F.least(F.greatest(F.col("saved") / F.greatest("whole", F.lit(1)), F.lit(0.0)), F.lit(1.0))
+    t = F.floor(F.col("saved") / 4)
+    text = F.when(t >= 1000000, F.format_string("%.1fM", t / 1000000)).when(t >= 1000, F.format_string("%.1fk", t / 1000)).otherwise(t.cast("string"))
+    cells = F.floor(share * 16 + 0.5).cast("int")
+    return x.select("period", "call", "calls", text.alias("saved"), F.concat(F.repeat(F.lit("#"), cells), F.repeat(F.lit("-"), 16 - cells)).alias("bar"), F.floor(share * 100 + 0.5).cast("int").alias("percent"))

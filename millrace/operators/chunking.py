@@ -25,13 +25,18 @@ def heading_sections(docs: DataFrame, key: str, heading: str = "^#{1,6} ") -> Da
     return x.withColumn("sec", sec).groupBy(key, "sec").agg((F.min("n") + 1).alias("first"), (F.max("n") + 1).alias("last"), F.sum(F.length("s")).alias("chars"))
 
 
+def lines_of(text: str) -> list[str]:
+    """The lines of a text with their ends; only \\n ends a line."""
+    return re.findall(r"[^\n]*\n|[^\n]+", text) or [""]
+
+
 #: Lines at which a chunk of code may start, by language family.
 BOUNDARY = re.compile(r"^(?:def |class |func |fn |pub |type |interface |function |export |public |private |#{1,6} |CREATE |[A-Z][A-Za-z ]+\.$)")
 
 
 def pack_lines(text: str, budget: int) -> list[tuple[int, int, str]]:
     """(first line, last line, text) chunks of at most ``budget`` bytes where lines allow it; put together they are the text."""
-    lines = text.splitlines(keepends=True) or [""]
+    lines = lines_of(text)
     out: list[tuple[int, int, str]] = []
     start, size, edge = 0, 0, None
     for k, line in enumerate(lines):
@@ -70,7 +75,7 @@ def weighted_mean(weights: DataFrame, rows: DataFrame) -> DataFrame:
 
 def pack_markdown(text: str, budget: int) -> list[tuple[int, int, str]]:
     """As :func:`pack_lines`, for Markdown: a heading starts a chunk; front matter, fenced code, tables and lists stay whole."""
-    lines = text.splitlines(keepends=True) or [""]
+    lines = lines_of(text)
     blocks: list[list[int]] = []  # [first, end, starts a chunk]
     k = 0
     while k < len(lines):
@@ -106,3 +111,55 @@ def markdown_chunks(docs: DataFrame, key: str, budget: int = 1500) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "first", "last", "text"])
 
     return docs.select(key, "text").mapInPandas(work, f"{key} string, first int, last int, text string")
+
+
+def routed_chunks(docs: DataFrame, budget: int = 1500, skip: DataFrame | None = None) -> DataFrame:
+    """(path, first, last, text, kind) of files (path, text): Markdown by its blocks, others by lines; SQL files also by object.
+
+    Folders (dir) in ``skip`` are migrations, whose objects come from their fold and not from each file.
+    """
+    from .ddl import parsed
+
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    md = ext.isin("md", "markdown", "mdx")
+    by_block = markdown_chunks(docs.filter(md), "path", budget).withColumn("kind", F.lit("markdown"))
+    by_line = packed_chunks(docs.filter(~md), "path", budget).withColumn("kind", F.lit("lines"))
+    sql = docs.filter(ext.isin("sql", "ddl"))
+    if skip is not None:
+        sql = sql.withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1)).join(skip.select("dir").distinct(), "dir", "left_anti")
+    one = F.lit(1)
+    objects = parsed(sql).select("path", one.alias("first"), F.size(F.split("body", "\n")).alias("last"), F.col("body").alias("text"), F.col("kind"))
+    return by_block.unionByName(by_line).unionByName(objects)
+
+
+def tree_chunks(text: str, budget: int) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of Python source by its syntax tree: statements that fit together share a chunk,
+    larger ones are cut at their own statements. Put together the chunks are the text; what does not parse goes by lines."""
+    import ast
+
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError, RecursionError):
+        return pack_lines(text, budget)
+    lines = lines_of(text)
+    size = [len(x.encode()) for x in lines]
+
+    def starts(body: list, lo: int, hi: int) -> list[int]:
+        """Lines (from 0) in lo .. hi at which a chunk may start."""
+        out = [lo]
+        for node in body:
+            a = min([node.lineno, *(d.lineno for d in getattr(node, "decorator_list", []))]) - 1
+            if lo < a < hi:
+                out.append(a)
+            if sum(size[a : node.end_lineno]) > budget and getattr(node, "body", None) and isinstance(node.body, list):
+                out += [x for x in starts(node.body, max(a, lo), min(node.end_lineno, hi)) if x > a]
+        return sorted(set(out))
+
+    edges = [*starts(tree.body, 0, len(lines)), len(lines)]
+    out, at = [], 0
+    for a, b in zip(edges[:-1], edges[1:]):
+        if a > at and sum(size[at:b]) > budget:
+            out.append((at + 1, a, "".join(lines[at:a])))
+            at = a
+    out.append((at + 1, len(lines), "".join(lines[at:])))
+    return out

@@ -22,22 +22,29 @@ EXAMPLES = [
 IDENT = r'(?:"(?:[^"]|"")+"|`[^`]+`|[A-Za-z_][\w$]*)'
 NAME = rf"({IDENT}(?:\s*\.\s*{IDENT})*)"
 CONSTRAINT = re.compile(r"^(?:CONSTRAINT|PRIMARY\s+KEY|UNIQUE|FOREIGN\s+KEY|CHECK|EXCLUDE|KEY|INDEX)\b", re.I)
-CLASSES = [("timestamp", r"^\d{14}"), ("versioned", r"^V\d+__"), ("numbered", r"^\d+_")]
+#: File names of migrations, the first that fits.
+CLASSES = [("timestamp", r"^\d{14}_[\w.\-]+\.sql$"), ("versioned", r"^V\d+__[\w.\-]+\.sql$"), ("numbered", r"^\d+_[\w.\-]+\.sql$")]
+#: Fixed value: lines of a view's body that are shown.
+VIEW_LINES = 50
+PLAIN = re.compile(r"[^-/'\"`$;()]+")
+DOLLAR = re.compile(r"\$(?:[A-Za-z_]\w*)?\$")
 
 
 def statements(text: str) -> list[str]:
     """Statements without comments; quotes, dollar quotes and nested comments hide semicolons; a tail without one counts."""
     out, buf, i, depth = [], [], 0, 0
     while i < len(text):
-        if text.startswith("--", i):
+        if (m := PLAIN.match(text, i)) is not None:
+            buf.append(m[0])
+            i = m.end()
+        elif text.startswith("--", i):
             i = (text.find("\n", i) + 1 or len(text) + 1) - 1
             buf.append(" ")
         elif text.startswith("/*", i):
             level, i = 1, i + 2
-            while i < len(text) and level:
-                step = 2 if text[i : i + 2] in ("/*", "*/") else 1
-                level += {"/*": 1, "*/": -1}.get(text[i : i + 2], 0)
-                i += step
+            while level:
+                m = re.compile(r"/\*|\*/").search(text, i)
+                level, i = (level + (1 if m[0] == "/*" else -1), m.end()) if m else (0, len(text))
             buf.append(" ")
         elif text[i] in "'\"`":
             j = i + 1
@@ -45,7 +52,7 @@ def statements(text: str) -> list[str]:
                 j += 2 if text[j] == text[i] else 1
             buf.append(text[i : j + 1])
             i = j + 1
-        elif (m := re.match(r"\$(?:[A-Za-z_]\w*)?\$", text[i:])) is not None:
+        elif (m := DOLLAR.match(text, i)) is not None:
             j = text.find(m[0], i + len(m[0]))
             j = len(text) if j < 0 else j + len(m[0])
             buf.append(text[i:j])
@@ -58,7 +65,11 @@ def statements(text: str) -> list[str]:
             buf.append(text[i])
             i += 1
     out.append("".join(buf))
-    return [s for x in out if (s := " ".join(x.split()))]
+    return [s for x in out if (s := x.strip() if VIEW.match(x) else " ".join(x.split()))]
+
+
+#: Views keep their lines.
+VIEW = re.compile(r"\s*CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?(?:MATERIALIZED\s+)?VIEW\b", re.I)
 
 
 def parts(body: str) -> list[str]:
@@ -94,7 +105,8 @@ def parse(statement: str) -> tuple[str, str, dict] | None:
     if m := re.match(rf"CREATE\s+(UNIQUE\s+)?INDEX\s+(?:CONCURRENTLY\s+)?(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s+ON\s+(?:ONLY\s+)?{NAME}\s*(.*)$", statement, re.I | re.S):
         return "index", bare(m[2]), {"table": bare(m[3]), "rest": m[4], "unique": bool(m[1])}
     if m := re.match(rf"CREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?(?:MATERIALIZED\s+)?VIEW\s+(?:IF\s+NOT\s+EXISTS\s+)?{NAME}\s*(?:\([^)]*\))?\s+AS\s+(.*)$", statement, re.I | re.S):
-        return "view", bare(m[1]), {"body": m[2]}
+        lines = m[2].split("\n")
+        return "view", bare(m[1]), {"body": "\n".join([*lines[:VIEW_LINES], *(["..."] if len(lines) > VIEW_LINES else [])])}
     if m := re.match(rf"ALTER\s+TABLE\s+(?:IF\s+EXISTS\s+)?(?:ONLY\s+)?{NAME}\s+(.*)$", statement, re.I | re.S):
         return "alter", bare(m[1]), {"action": m[2]}
     return None
@@ -150,8 +162,14 @@ def migration_dirs(files: DataFrame) -> DataFrame:
     return x.filter("class IS NOT NULL").groupBy("dir", "class").agg(F.count("*").alias("n")).filter("n >= 2")
 
 
-def apply_action(table: dict, action: str) -> bool:
-    """Apply one ALTER TABLE action to a table; False where it is none that a schema shows."""
+def _renamed(text: str, old: str, new: str) -> str:
+    """A rule or an index's columns with one name for another, outside of quoted strings."""
+    word = rf"[\"`]{re.escape(old)}[\"`]|(?<![\w$.'\"`]){re.escape(old)}(?![\w$(\"`])"
+    return re.sub(rf"('(?:[^']|'')*')|{word}", lambda m: m[1] or new, text, flags=re.I)
+
+
+def apply_action(table: dict, action: str, indexes: list[dict] = ()) -> bool:
+    """Apply one ALTER TABLE action to a table and its indexes; False where it is none that a schema shows, or what it names is not there."""
     cols = table["columns"]
     at = {c.lower(): i for i, (c, _) in enumerate(cols)}
     if m := re.match(rf"ADD\s+(?:COLUMN\s+)(?:IF\s+NOT\s+EXISTS\s+)?({IDENT})\s+(.*)$", action, re.I | re.S):
@@ -162,18 +180,38 @@ def apply_action(table: dict, action: str) -> bool:
             table["constraints"].append(m[1])
         elif c := re.match(rf"({IDENT})\s+(.*)$", m[1], re.S):
             cols.append([bare(c[1]), c[2]])
-    elif m := re.match(rf"DROP\s+CONSTRAINT\s+(?:IF\s+EXISTS\s+)?({IDENT})", action, re.I):
-        table["constraints"] = [r for r in table["constraints"] if not re.match(rf"CONSTRAINT\s+[\"`]?{re.escape(bare(m[1]))}[\"`]?\b", r, re.I)]
-    elif m := re.match(rf"DROP\s+(?:COLUMN\s+)?(?:IF\s+EXISTS\s+)?({IDENT})", action, re.I):
-        table["columns"] = [c for c in cols if c[0].lower() != bare(m[1]).lower()]
+    elif m := re.match(rf"DROP\s+CONSTRAINT\s+(IF\s+EXISTS\s+)?({IDENT})", action, re.I):
+        kept = [r for r in table["constraints"] if not re.match(rf"CONSTRAINT\s+[\"`]?{re.escape(bare(m[2]))}[\"`]?(?!\w)", r, re.I)]
+        if len(kept) == len(table["constraints"]) and not m[1]:
+            return False
+        table["constraints"] = kept
+    elif m := re.match(rf"DROP\s+(?:COLUMN\s+)?(IF\s+EXISTS\s+)?({IDENT})", action, re.I):
+        if bare(m[2]).lower() not in at and not m[1]:
+            return False
+        table["columns"] = [c for c in cols if c[0].lower() != bare(m[2]).lower()]
     elif m := re.match(rf"ALTER\s+(?:COLUMN\s+)?({IDENT})\s+(?:SET\s+DATA\s+)?TYPE\s+(.*)$", action, re.I | re.S):
-        if (i := at.get(bare(m[1]).lower())) is not None:
-            cols[i][1] = m[2]
+        if (i := at.get(bare(m[1]).lower())) is None:
+            return False
+        # what follows the type (keys, defaults) stays
+        rest = re.search(r"\b(?:NOT\s+NULL|NULL|DEFAULT|PRIMARY\s+KEY|UNIQUE|REFERENCES|CHECK|CONSTRAINT|GENERATED|COLLATE)\b.*$", cols[i][1], re.I | re.S)
+        cols[i][1] = " ".join([re.sub(r"\s+USING\b.*$", "", m[2], flags=re.I | re.S), *([rest[0]] if rest else [])])
+    elif m := re.match(rf"ALTER\s+(?:COLUMN\s+)?({IDENT})\s+(SET|DROP)\s+(NOT\s+NULL|DEFAULT)\s*(.*)$", action, re.I | re.S):
+        if (i := at.get(bare(m[1]).lower())) is None:
+            return False
+        gone = r"\s*\bNOT\s+NULL\b" if m[3].upper().startswith("NOT") else r"\s*\bDEFAULT\s+(?:'(?:[^']|'')*'|\S+?\([^)]*\)|\S+)"
+        cols[i][1] = re.sub(gone, "", cols[i][1], flags=re.I)
+        if m[2].upper() == "SET":
+            cols[i][1] += " NOT NULL" if m[3].upper().startswith("NOT") else f" DEFAULT {m[4]}"
     elif m := re.match(rf"RENAME\s+CONSTRAINT\s+({IDENT})\s+TO\s+({IDENT})", action, re.I):
         table["constraints"] = [re.sub(rf"^(CONSTRAINT\s+)[\"`]?{re.escape(bare(m[1]))}[\"`]?", rf"\g<1>{bare(m[2])}", r, flags=re.I) for r in table["constraints"]]
     elif m := re.match(rf"RENAME\s+(?:COLUMN\s+)?({IDENT})\s+TO\s+({IDENT})", action, re.I):
-        if (i := at.get(bare(m[1]).lower())) is not None:
-            cols[i][0] = bare(m[2])
+        if (i := at.get(bare(m[1]).lower())) is None:
+            return False
+        old, new = cols[i][0], bare(m[2])
+        cols[i][0] = new
+        table["constraints"] = [_renamed(r, old, new) for r in table["constraints"]]
+        for x in indexes:
+            x["rest"] = _renamed(x["rest"], old, new)
     else:
         return False
     return True
@@ -195,8 +233,9 @@ def replay(files: list[tuple[str, str]]) -> list[tuple[str, str, str]]:
             elif name.lower() not in tables:
                 left.append(got)
             else:
+                own = [x for k, _, x in rest if k == "index" and x["table"].lower() == name.lower()]
                 for a in parts(d["action"]):
-                    if not apply_action(tables[name.lower()][1], a):
+                    if not apply_action(tables[name.lower()][1], a, own):
                         left.append((kind, name, {"action": a}))
     return rendered([*(("table", n, d) for n, d in tables.values()), *rest, *left])
 

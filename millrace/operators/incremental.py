@@ -19,14 +19,31 @@ def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def reconcile(chunks: DataFrame, changes: DataFrame, fresh: DataFrame) -> DataFrame:
     """Chunks (file, seq, text) without those of changed or deleted files and folders, plus the fresh ones, numbered anew."""
-    whole = changes.select("file").distinct()
-    gone = chunks.select("file").distinct().withColumn("up", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("file", "/"))), lambda i: F.array_join(F.slice(F.split("file", "/"), 1, i), "/"))))
-    dead = gone.join(whole, gone.up == whole.file, "left_semi").select("file").distinct()
-    return numbered(chunks.join(dead, "file", "left_anti").unionByName(fresh))
+    return numbered(chunks.join(_under(chunks, changes), "file", "left_anti").unionByName(fresh))
+
+
+def _under(chunks: DataFrame, changes: DataFrame) -> DataFrame:
+    """Files (file) of the chunks that are changed or in a changed folder."""
+    whole = changes.select(F.col("file").alias("changed")).distinct()
+    ups = F.transform(F.sequence(F.lit(1), F.size(F.split("file", "/"))), lambda i: F.array_join(F.slice(F.split("file", "/"), 1, i), "/"))
+    gone = chunks.select("file").distinct().withColumn("up", F.explode(ups))
+    return gone.join(whole, F.col("up") == F.col("changed"), "left_semi").select("file").distinct()
+
+
+def touched(chunks: DataFrame, changes: DataFrame) -> DataFrame:
+    """The chunks of changed files and of files in changed folders."""
+    return chunks.join(_under(chunks, changes), "file", "left_semi")
+
+
+def reused(texts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file, seq, hash, tokens or null) of chunks (file, seq, text), from a cache (hash, tokens), and the cache with what still lives."""
+    keyed = texts.select("file", "seq", F.sha2("text", 256).alias("hash"))
+    hit = keyed.join(cache.dropDuplicates(["hash"]), "hash", "left").select("file", "seq", "hash", "tokens")
+    return hit, cache.join(keyed.select("hash").distinct(), "hash", "left_semi")
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """chunk_id by (file, seq), from 0. Offsets come from per-file counts, so no task sees all rows."""
+    """chunk_id by (file, seq), from 0. Offsets come from counts by file, whose running sum is taken in one task: a row for each file, not for each chunk."""
     local = chunks.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("seq")) - 1)
     counts = chunks.groupBy("file").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")

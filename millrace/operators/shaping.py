@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+SPAN = 64
+
+
 def filtered(hits: DataFrame, k: int, extensions: list[str] = (), contains: str = "", without: str = "") -> DataFrame:
     """Filters on a ranking's files, after retrieval as asked; ranks are given anew."""
     ok = F.lit(True)
@@ -45,12 +48,21 @@ def explained(query: Column, text: Column) -> Column:
 
 
 def render_markdown(hits: DataFrame) -> DataFrame:
-    """(query_id, body) of (query_id, rank, file, first, last, score, text)."""
-    item = F.format_string("## %d. %s:%d-%d [score=%.3f]\n```\n%s\n```", "rank", "file", "first", "last", "score", "text")
+    """(query_id, body) of (query_id, rank, file, first, last, score, text), with whole texts, trimmed."""
+    item = F.format_string("## %d. %s:%d-%d [score=%.3f]\n```\n%s\n```", "rank", "file", "first", "last", "score", F.trim("text", F.lit(" \n\t\r")))
     rows = F.array_sort(F.collect_list(F.struct("rank", item.alias("s"))))
     return hits.groupBy("query_id").agg(F.array_join(F.transform(rows, lambda r: r["s"]), "\n\n").alias("body"))
 
 
+def render_json(hits: DataFrame) -> DataFrame:
+    """(query_id, body, hits): the hits (query_id, rank, file, score, text) of each query as a JSON array by rank."""
+    # what to_json makes of {"v": text}, without {"v": and }
+    text = lambda c: F.expr(f"substring(to_json(named_struct('v', {c})), 6, length(to_json(named_struct('v', {c}))) - 6)")
+    item = F.concat(F.lit('{"file":'), text("file"), F.lit(',"rank":'), F.col("rank"), F.lit(',"score":'), F.format_string("%.4f", "score"), F.lit(',"text":'), text("text"), F.lit("}"))
+    rows = F.array_sort(F.collect_list(F.struct("rank", item.alias("s"))))
+    return hits.groupBy("query_id").agg(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["s"]), ","), F.lit("]")).alias("body"), F.count("*").alias("hits"))
+
+
 def grep(texts: DataFrame, words: list[str]) -> DataFrame:
     low = F.lower("text")
     return texts.filter(F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(low, w)))
@@ -61,7 +73,12 @@ def same_path(a: Column, b: Column) -> Column:
 
 
 def resolve(points: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The chunk (chunk_id, file, first, last) that holds each (file, line): inside a chunk before on its last line."""
-    near = points.join(chunks, "file").filter("first <= line AND line <= last")
+    """The chunk (chunk_id, file, first, last) that holds each (file, line): inside a chunk before on its last line.
+
+    Chunks are filed under the spans of ``SPAN`` lines that they touch, so points meet those near them.
+    """
+    spans = F.sequence(F.floor(F.col("first") / SPAN), F.floor(F.col("last") / SPAN))
+    filed = chunks.withColumn("span", F.explode(spans))
+    near = points.withColumn("span", F.floor(F.col("line") / SPAN)).join(filed, ["file", "span"]).filter("first <= line AND line <= last")
     w = Window.partitionBy("file", "line").orderBy(F.col("line") == F.col("last"), "chunk_id")
     return near.withColumn("n", F.row_number().over(w)).filter("n = 1").select("file", "line", "chunk_id")

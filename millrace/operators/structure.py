@@ -13,10 +13,38 @@ def strip_label(text: Column) -> Column:
     return F.regexp_replace(text, "^" + SENTINEL + "[^\n]*\n", "")
 
 
+def callers_of(files: DataFrame) -> DataFrame:
+    """(path, callers): of each file's primary function, the sorted base names without extension of the other files that call it."""
+    own = files.select("path", _primary(F.col("functions"))["name"].alias("name")).filter("name IS NOT NULL")
+    base = F.regexp_replace(F.substring_index("caller", "/", -1), r"(.)\.[^.]*$", "$1")
+    calls = files.select(F.col("path").alias("caller"), F.explode(F.array_distinct("call_refs.callee")).alias("name"))
+    met = own.join(calls, "name").filter("caller <> path").groupBy("path").agg(F.array_sort(F.collect_set(base)).alias("callers"))
+    return met
+
+
+def _primary(f: Column) -> Column:
+    """The first function that is no method, else the first."""
+    return F.coalesce(F.get(F.filter(f, lambda x: ~x["is_method"]), F.lit(0)), F.get(f, F.lit(0)))
+
+
+def full_label(files: DataFrame, most: int = 8) -> DataFrame:
+    """As :func:`label`, with the sections called by, imports, params and returns, and siblings after it."""
+    one = _primary(F.col("functions"))
+    cut = lambda a: F.array_join(F.slice(a, 1, most), ", ")
+    part = lambda name, v: F.when((v != "") & v.isNotNull(), F.concat(F.lit(name + ": "), v))
+    mine = F.filter("classes", lambda c: c["name"] == one["enclosing_class"])
+    siblings = F.array_sort(F.array_except(F.flatten(F.transform(mine, lambda c: F.transform(c["methods"], lambda m: m["name"]))), F.array(one["name"])))
+    x = files.join(label(files, most), "path").join(callers_of(files), "path", "left")
+    more = [part("called by", cut(F.col("callers"))), part("imports", cut(F.col("imports"))), part("params", cut(one["params"])), part("returns", one["return_type"]), part("siblings", F.when(one["enclosing_class"] != "", cut(siblings)))]
+    rest = F.concat_ws(" | ", *more)
+    whole = F.when(rest == "", F.col("label")).when(F.col("label") == "", F.concat(F.lit(SENTINEL), rest)).otherwise(F.concat_ws(" | ", "label", rest))
+    return x.select("path", whole.alias("label"))
+
+
 def label(files: DataFrame, most: int = 8, raises: int = 4) -> DataFrame:
     """(path, label) of (path, functions, call_refs, raises): primary function, calls, raises; empty sections are left out."""
     f = F.col("functions")
-    primary = F.coalesce(F.get(F.filter(f, lambda x: ~x["is_method"]), F.lit(0)), F.get(f, F.lit(0)))["name"]
+    primary = _primary(f)["name"]
     calls = F.array_join(F.slice(F.array_distinct(F.transform("call_refs", lambda c: c["callee"])), 1, most), ", ")
     thrown = F.array_join(F.slice("raises", 1, raises), ", ")
     part = lambda name, v: F.when((v != "") & v.isNotNull(), F.concat(F.lit(name + ": "), v))
@@ -26,8 +54,9 @@ def label(files: DataFrame, most: int = 8, raises: int = 4) -> DataFrame:
 
 def apply_label(chunks: DataFrame, labels: DataFrame) -> DataFrame:
     """Every chunk of a labelled file starts with the label."""
-    x = chunks.join(labels, chunks.file == labels.path, "left")
-    return x.select(*chunks.columns[:-1], F.when(F.coalesce("label", F.lit("")) != "", F.concat("label", F.lit("\n"), "text")).otherwise(F.col("text")).alias("text"))
+    x = chunks.join(labels.select(F.col("path").alias("_path"), F.col("label").alias("_label")), F.col("file") == F.col("_path"), "left")
+    text = F.when(F.coalesce("_label", F.lit("")) != "", F.concat("_label", F.lit("\n"), "text")).otherwise(F.col("text"))
+    return x.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in chunks.columns])
 
 
 def definitions(files: DataFrame) -> DataFrame:

@@ -125,6 +125,30 @@ def enrich_label(spark, sf):
     return U.label(structs(spark))
 
 
+PARAMS = {"authenticate": ["name", "secret"], "audit": ["who"]}
+
+
+def rich(spark):
+    """The structures with some parameters, and one class whose method comes first."""
+    from pyspark.sql import functions as F
+
+    names = F.create_map(*[x for k, v in PARAMS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    full = F.transform("functions", lambda f: f.withField("params", F.coalesce(names[f["name"]], F.array().cast("array<string>"))).withField("return_type", F.when(f["name"] == "audit", "int").otherwise("")))
+    own = structs(spark).withColumn("functions", full)
+    only = [("auth/role.py", [Row(name="grant", params=["to"], return_type="bool", is_method=True, enclosing_class="Role", start_line=4, end_line=6)], [Row(name="Role", methods=[_fn("revoke", 8, "Role"), _fn("grant", 4, "Role"), _fn("check", 12, "Role")], start_line=2, end_line=20)], ["log"], [], [])]
+    return own.unionByName(spark.createDataFrame(only, STRUCT))
+
+
+@q("enrich_full", """SELECT * FROM (VALUES
+ ('auth/login.py', '# label: func: authenticate | calls: hash, helper | raises: ValueError | called by: admin, app | imports: hashlib | params: name, secret'),
+ ('auth/admin.py', '# label: func: audit | calls: authenticate, log | raises: PermissionError, ValueError | called by: app | imports: authenticate, User | params: who | returns: int'),
+ ('web/app.py', '# label: func: main | calls: audit, authenticate, Login | imports: audit'),
+ ('web/empty.py', ''), ('util.py', '# label: func: log | called by: admin'),
+ ('auth/role.py', '# label: func: grant | imports: log | params: to | returns: bool | siblings: check, revoke')) AS t(path, label)""")
+def enrich_full(spark, sf):
+    return U.full_label(rich(spark))
+
+
 @q("graph_expand", f"""WITH {DEFS}, {REFS}, seeds(query_id, file) AS (VALUES (1, 'web/app.py'), (2, 'auth/login.py')), d AS (SELECT DISTINCT name, path AS file FROM defs WHERE NOT contains(name, '.')), c AS (SELECT name, path AS file FROM refs WHERE kind = 'call'),
 h AS (SELECT query_id, c.file, s.file AS seed FROM seeds s JOIN d ON d.file = s.file JOIN c ON c.name = d.name UNION ALL SELECT query_id, d.file, s.file FROM seeds s JOIN c ON c.file = s.file JOIN d ON d.name = c.name)
 SELECT query_id, file, count(*) * 0.5::DOUBLE AS gain FROM h WHERE file <> seed GROUP BY query_id, file""")
@@ -159,9 +183,9 @@ def match_explain(spark, sf):
     return x.select("query_id", "chunk_id", F.when(F.col("e") == "semantic", 0).otherwise(F.size(F.split("e", ", "))).cast("long").alias("n"))
 
 
-@q("render_md", f"{HITS} SELECT query_id, string_agg(printf('## %d. %s:%d-%d [score=%.3f]', rank, file, 1, 9, score) || chr(10) || '```' || chr(10) || substr(text, 1, 40) || chr(10) || '```', chr(10) || chr(10) ORDER BY rank) AS body FROM hits WHERE rank <= 3 GROUP BY query_id")
+@q("render_md", f"{HITS} SELECT query_id, string_agg(printf('## %d. %s:%d-%d [score=%.3f]', rank, file, 1, length(text) - length(replace(text, chr(10), '')) + 1, score) || chr(10) || '```' || chr(10) || trim(text, ' ' || chr(10) || chr(9) || chr(13)) || chr(10) || '```', chr(10) || chr(10) ORDER BY rank) AS body FROM hits WHERE rank <= 3 GROUP BY query_id")
 def render_md(spark, sf):
-    x = hits(spark, sf, 3).withColumn("text", F.substring("text", 1, 40)).withColumn("first", F.lit(1)).withColumn("last", F.lit(9))
+    x = hits(spark, sf, 3).withColumn("first", F.lit(1)).withColumn("last", F.size(F.split("text", "\n")))
     return S.render_markdown(x)
 
 
@@ -180,11 +204,11 @@ def path_match(spark, sf):
     return left.join(right, S.same_path(F.col("l"), F.col("r")))
 
 
-@q("resolve_chunk", """WITH c AS (SELECT o_orderkey AS chunk_id, CAST(o_custkey % 50 AS VARCHAR) AS file, o_orderkey % 400 AS first, o_orderkey % 400 + 50 AS last FROM orders WHERE o_orderkey < 2000), p AS (SELECT DISTINCT CAST(c_custkey % 50 AS VARCHAR) AS file, c_custkey % 300 AS line FROM customer),
+@q("resolve_chunk", """WITH c AS (SELECT o_orderkey AS chunk_id, CAST(o_custkey % 50 AS VARCHAR) AS file, o_orderkey % 400 AS first, o_orderkey % 400 + 50 AS last FROM orders), p AS (SELECT DISTINCT CAST(c_custkey % 50 AS VARCHAR) AS file, c_custkey % 300 AS line FROM customer),
 r AS (SELECT p.file, p.line, c.chunk_id, row_number() OVER (PARTITION BY p.file, p.line ORDER BY (line = last), chunk_id) AS n FROM p JOIN c ON p.file = c.file AND line BETWEEN first AND last) SELECT file, line, chunk_id FROM r WHERE n = 1""")
 def resolve_chunk(spark, sf):
     k = F.col("o_orderkey")
-    c = table(spark, sf, "orders").filter("o_orderkey < 2000").select(k.alias("chunk_id"), (F.col("o_custkey") % 50).cast("string").alias("file"), (k % 400).alias("first"), (k % 400 + 50).alias("last"))
+    c = table(spark, sf, "orders").select(k.alias("chunk_id"), (F.col("o_custkey") % 50).cast("string").alias("file"), (k % 400).alias("first"), (k % 400 + 50).alias("last"))
     p = table(spark, sf, "customer").select((F.col("c_custkey") % 50).cast("string").alias("file"), (F.col("c_custkey") % 300).alias("line")).distinct()
     return S.resolve(p, c)
 
@@ -282,15 +306,27 @@ def usage_rollup(spark, sf):
     return usage_sums(spark, sf)
 
 
-@q("usage_report", f"""WITH {USE}, s AS (SELECT call, CAST(sum(greatest(file_chars - snippet_chars, 0)) AS BIGINT) // 4 AS tokens, CAST(floor(16 * sum(greatest(file_chars - snippet_chars, 0)) / greatest(sum(greatest(file_chars, 0)), 1)::DOUBLE + 0.5) AS INTEGER) AS cells FROM u GROUP BY call)
-SELECT call, CASE WHEN tokens >= 1000000 THEN printf('%.1fM', tokens / 1000000.0::DOUBLE) WHEN tokens >= 1000 THEN printf('%.1fk', tokens / 1000.0::DOUBLE) ELSE CAST(tokens AS VARCHAR) END AS saved, repeat('#', least(greatest(cells, 0), 16)) || repeat('-', 16 - least(greatest(cells, 0), 16)) AS bar FROM s""")
+@q("usage_report", f"""WITH {USE}, p AS (SELECT 1 AS n, 'today' AS period, today AS since FROM m UNION ALL SELECT 2, 'last 7 days', today - INTERVAL 6 DAY FROM m UNION ALL SELECT 3, 'all time', TIMESTAMP '1970-01-01 00:00:00' FROM m),
+s AS (SELECT n, period, call, count(*) AS calls, CAST(sum(greatest(file_chars - snippet_chars, 0)) AS BIGINT) AS saved, CAST(sum(greatest(file_chars, 0)) AS BIGINT) AS whole FROM p JOIN u ON ts >= since GROUP BY ALL),
+r AS (SELECT *, saved // 4 AS tokens, least(greatest(saved / greatest(whole, 1)::DOUBLE, 0), 1) AS share FROM s)
+SELECT period, call, calls, CASE WHEN tokens >= 1000000 THEN printf('%.1fM', tokens / 1000000.0::DOUBLE) WHEN tokens >= 1000 THEN printf('%.1fk', tokens / 1000.0::DOUBLE) ELSE CAST(tokens AS VARCHAR) END AS saved,
+ repeat('#', CAST(floor(share * 16 + 0.5) AS INTEGER)) || repeat('-', 16 - CAST(floor(share * 16 + 0.5) AS INTEGER)) AS bar, CAST(floor(share * 100 + 0.5) AS INTEGER) AS percent FROM r""")
 def usage_report(spark, sf):
-    u = usage(spark, sf).withColumn("saved", F.greatest(F.col("file_chars") - F.col("snippet_chars"), F.lit(0)))
-    s = u.groupBy("call").agg(F.floor(F.sum("saved") / 4).alias("tokens"), (F.sum("saved") / F.greatest(F.sum(F.greatest("file_chars", F.lit(0))), F.lit(1))).alias("share"))
-    cells = F.least(F.greatest(F.floor(F.col("share") * 16 + 0.5), F.lit(0)), F.lit(16)).cast("int")
-    t = F.col("tokens")
-    text = F.when(t >= 1000000, F.format_string("%.1fM", t / 1000000)).when(t >= 1000, F.format_string("%.1fk", t / 1000)).otherwise(t.cast("string"))
-    return s.withColumn("c", cells).select("call", text.alias("saved"), F.concat(F.repeat(F.lit("#"), F.col("c")), F.repeat(F.lit("-"), 16 - F.col("c"))).alias("bar"))
+    return K.usage_report(usage(spark, sf))
+
+
+@q("relative_time", """WITH t(s) AS (VALUES (-5), (0), (59), (60), (3599), (3600), (86399), (86400), (604799), (604800), (2591999), (2592000), (31535999), (31536000), (63071999), (63072000), (200000000)), d AS (SELECT s, TIMESTAMP '2024-05-06 07:08:09' - to_seconds(s) AS moment FROM t)
+SELECT s, CASE WHEN s < 0 THEN strftime(moment, '%Y-%m-%d') WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' WHEN s < 604800 THEN s // 86400 || 'd ago' WHEN s < 2592000 THEN s // 604800 || 'w ago' WHEN s < 31536000 THEN s // 2592000 || 'mo ago' WHEN s < 63072000 THEN strftime(moment, '%Y-%m-%d') ELSE s // 31536000 || 'y ago' END AS ago FROM d""")
+def relative_time(spark, sf):
+    now = F.lit("2024-05-06 07:08:09").cast("timestamp")
+    t = spark.createDataFrame([(s,) for s in (-5, 0, 59, 60, 3599, 3600, 86399, 86400, 604799, 604800, 2591999, 2592000, 31535999, 31536000, 63071999, 63072000, 200000000)], "s int")
+    return t.select("s", T.relative_time(now, now - F.make_interval(secs=F.col("s"))).alias("ago"))
+
+
+@q("number_words", "SELECT o_orderkey AS n, CASE WHEN o_orderkey = 1 THEN '1 row' ELSE o_orderkey || ' rows' END AS words, format('{:,}', o_orderkey * 12345) AS big, '\"' || o_orderpriority || '\"' AS name FROM orders")
+def number_words(spark, sf):
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(k.alias("n"), T.plural(k, "row").alias("words"), T.thousands(k * 12345).alias("big"), T.quoted(F.col("o_orderpriority")).alias("name"))
 
 
 @q("latency_stats", "WITH r AS (SELECT event_type AS call, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT call, max(n) AS n, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean, max(value) FILTER (pos = ceil(n * 50 / 100)) AS p50, max(value) FILTER (pos = ceil(n * 95 / 100)) AS p95, max(value) FILTER (pos = ceil(n * 99 / 100)) AS p99 FROM r GROUP BY call")
@@ -298,9 +334,9 @@ def latency_stats(spark, sf):
     return K.latency(table(spark, sf, "events").select(F.col("event_type").alias("call"), "value"), "call", "value")
 
 
-@q("recent_commits", "SELECT event_id, ts FROM (SELECT event_id, ts, props FROM events ORDER BY ts DESC, event_id LIMIT 100) WHERE event_id % 3 = 0")
+@q("recent_commits", "SELECT event_id, ts FROM (SELECT event_id, ts, props FROM events WHERE starts_with(event_type, 'p') ORDER BY ts DESC, event_id LIMIT 100)")
 def recent_commits(spark, sf):
-    return table(spark, sf, "events").select("event_id", "ts").orderBy(F.desc("ts"), "event_id").limit(100).filter("event_id % 3 = 0")
+    return table(spark, sf, "events").filter(F.col("event_type").startswith("p")).select("event_id", "ts").orderBy(F.desc("ts"), "event_id").limit(100)
 
 
 # --- catalogue: the driver's tables described as a schema ------------------------------------------
@@ -348,6 +384,23 @@ def index_columns(spark, sf):
     return K.index_columns(IDX.df(spark))
 
 
+ROUTINES = Literal("routines", "schema string, name string, kind string, ordinal int, param string, type string, returns string", [
+    ("public", "add_tax", "FUNCTION", 2, "rate", "numeric", "numeric"), ("public", "add_tax", "FUNCTION", 1, "net", "numeric", "numeric"), ("sales", "close_day", "PROCEDURE", None, "", None, None), ("sales", "move", "PROCEDURE", 1, "", "bigint", None),
+])
+LONG_VIEW = "SELECT 1" + "\n, 2" * 60
+VIEWS = Literal("vs", "schema string, name string, kind string, definition string", [("public", "recent", "VIEW", " SELECT id FROM orders; "), ("sales", "sums", "MATERIALIZED VIEW", LONG_VIEW), ("public", "orders", "BASE TABLE", "")])
+
+
+@q("routine_signatures", _quoted(f"WITH {ROUTINES.cte} SELECT schema, name, kind, CASE WHEN schema = 'public' THEN name ELSE schema || '.' || name END || '(' || coalesce(string_agg(trim(param || ' ' || type), ', ' ORDER BY ordinal), '') || ')' || coalesce(' → ' || max(returns), '') AS signature FROM routines GROUP BY schema, name, kind"))
+def routine_signatures(spark, sf):
+    return K.routines(ROUTINES.df(spark))
+
+
+@q("catalog_views", """SELECT * FROM (VALUES ('recent', 'SELECT id FROM orders'), ('sales.sums', 'SELECT 1' || repeat(chr(10) || ', 2', 49) || chr(10) || '...')) AS t(view, body)""")
+def catalog_views(spark, sf):
+    return K.views(VIEWS.df(spark))
+
+
 @q("render_table", _quoted(f"WITH {COLS.cte} SELECT table, 'TABLE ' || table || chr(10) || string_agg('  ' || column || ' ' || replace(type, 'character varying', 'varchar') || CASE WHEN not_null THEN ' NOT NULL' ELSE '' END, chr(10) ORDER BY ordinal) AS body FROM cols GROUP BY table"))
 def render_table(spark, sf):
     no = F.lit(False)
@@ -405,20 +458,19 @@ def extract_defs(spark, sf):
     return G.extracted(spark.createDataFrame(G.EXAMPLES, "path string, text string")).select("path", F.size("functions").alias("functions"), F.size("classes").alias("classes"), F.size("call_refs").alias("calls"), F.size("imports").alias("imports"))
 
 
-@q("encode_mean", f"""WITH {CORPUS}, d AS (SELECT chunk_id, text FROM corpus WHERE chunk_id % 20 = 0), {terms_sql('d', 'chunk_id', 'text', 'terms')}, n AS (SELECT count(*) AS n FROM embeddings), w AS (SELECT chunk_id, length(term) % (SELECT n FROM n) AS vec_id, 1.0::DOUBLE + length(term) % 3 AS w FROM terms),
-x AS (SELECT chunk_id, i, sum(w * embedding[i]::DOUBLE) / sum(w) AS x FROM w JOIN embeddings USING (vec_id), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), z AS (SELECT chunk_id, sqrt(sum(x * x)) AS norm, max(CASE WHEN i = 1 THEN x END) AS first FROM x GROUP BY chunk_id) SELECT chunk_id, round(first / norm, 6) AS first, round(norm, 6) AS norm FROM z""")
+@q("encode_mean", f"""WITH {CORPUS}, {terms_sql('corpus', 'chunk_id', 'text', 'terms')}, n AS (SELECT count(*) AS n FROM embeddings), w AS (SELECT chunk_id, length(term) % (SELECT n FROM n) AS vec_id, 1.0::DOUBLE + length(term) % 3 AS w FROM terms),
+x AS (SELECT chunk_id, i, sum(w * embedding[i]::DOUBLE) / sum(w) AS x FROM w JOIN embeddings USING (vec_id), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), z AS (SELECT chunk_id, sqrt(sum(x * x)) AS norm FROM x GROUP BY chunk_id) SELECT chunk_id, CAST(i - 1 AS INTEGER) AS i, round(x / norm, 5) + 0.0 AS x FROM x JOIN z USING (chunk_id)""")
 def encode_mean(spark, sf):
-    t = corpus(spark, sf).filter("chunk_id % 20 = 0").select("chunk_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    t = corpus(spark, sf).select("chunk_id", F.explode(T.terms(F.col("text"))).alias("term"))
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     n = e.agg(F.count("*").alias("n"))
     w = t.crossJoin(n).select("chunk_id", (F.length("term") % F.col("n")).alias("vec_id"), (1.0 + F.length("term") % 3).alias("w"))
-    return P.weighted_mean(w, e).select("chunk_id", F.round(F.col("vec")[0], 6).alias("first"), F.round("norm", 6).alias("norm"))
+    return P.weighted_mean(w, e).select("chunk_id", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 5) + 0.0)
 
 
-@q("search_response")
+@q("search_response", f"{HITS}, c AS (SELECT query_id, rank, file, text, score, {TOKENS_SQL} + {TOKENS_SQL.replace('text', 'file')} + 8 AS cost FROM hits WHERE rank <= 5), u AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM c), r AS (SELECT * FROM u WHERE rank = 1 OR used <= 4000) SELECT query_id, '[' || string_agg('{{\"file\":' || to_json(file) || ',\"rank\":' || rank || ',\"score\":' || printf('%.4f', score) || ',\"text\":' || to_json(text) || '}}', ',' ORDER BY rank) || ']' AS body, count(*) AS hits FROM r GROUP BY query_id")
 def search_response(spark, sf):
-    x = S.within_budget(hits(spark, sf, 5), 4000)
-    return x.select("query_id", F.to_json(F.struct("file", "rank", F.round("score", 4).alias("score"))).alias("row"))
+    return S.render_json(S.within_budget(hits(spark, sf, 5), 4000))
 
 
 @q("mode_downgrade")

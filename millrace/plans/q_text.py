@@ -10,20 +10,20 @@ from .sample import CORPUS, PATH, Literal, corpus, table, terms_sql
 
 Q, O = {}, {}
 
-NAMES = Literal("names", "name string", [(x,) for x in ("HandlerStack", "my_func", "simple", "getHTTPResponse", "XMLParser", "ABc1D", "myVar_x", "_hidden", "x", "HTTP", "parse2JSON")])
-ASKS = Literal("asks", "query string", [(x,) for x in ("getUser", "HTTPServer", "TestParse", "parse_config", "_handler", "Foo::Bar", "user.profile", "Foo->bar", "Acme\\Widget", "session", "getuser", "save model to disk", "how does parse work", "a", " User ", "a.b::c", "x->y.z")])
-PATHS = Literal("paths", "path string", [(x,) for x in ("pkg/auth.go", "foo_test.go", "pkg/tests/x.go", "a/__init__.py", "compat/x.go", "legacy/y.go", "examples/z.go", "types/foo.d.ts", "tests/foo_test.go", "legacy/__init__.py", "src/app.test.tsx", "docs_src/a.py", "testing/b.rb", "src\\tests\\c.py", "UserTest.php", "contest/a.go")])
+NAMES = Literal("names", "name string", [(x,) for x in ("OrderBook", "tax_rate", "plain", "readCSVHeader", "TLSSocket", "ABc1D", "oddCase_x", "_inner", "x", "CSV", "split2Rows")])
+ASKS = Literal("asks", "query string", [(x,) for x in ("payInvoice", "CSVReader", "BookTest", "tax_rate", "_inner", "Ledger::Row", "order.total", "Cart->add", "Shop\\Cart", "ledger", "payinvoice", "close the books at night", "where are taxes added", "b", " Order ", "p.q::r", "m->n.o")])
+PATHS = Literal("paths", "path string", [(x,) for x in ("shop/cart.go", "cart_test.go", "shop/tests/rows.py", "shop/__init__.py", "compat/old.rs", "legacy/tax.c", "examples/demo.kt", "types/shop.d.ts", "tests/cart_test.go", "legacy/__init__.py", "web/cart.test.tsx", "docs_src/start.py", "testing/run.rb", "web\\tests\\row.py", "OrderTest.php", "latest/cart.go")])
 SIZES = Literal("sizes", "size string", [(x,) for x in ("10", "4KB", "4KiB", " 2 MiB ", "1gb", "1GiB", "1.5MB", "12b", "7TB", "", "KB", "9223372036854775807", "5000000000gb", "-1")])
 DSNS = Literal("dsns", "dsn string", [(x,) for x in ("postgres://u:p@h/db", "postgresql://h/db", "sqlite:///tmp/x.db", "sqlite3://x", "mysql://h/db", "u:p@tcp(h:3306)/db", "u@unix(/s)/db", "oracle://h", "plain", "POSTGRES://h")])
 REPOS = Literal("repos", "source string", [(x,) for x in ("https://GitHub.com/A/b.git", "http://h/x/", "https://h/x?y=1#z", "ssh://h/x", "git@h:x/y.git", "/tmp/repo", "  https://H/a/  ", "", "file:///x")])
 TYPES = Literal("types", "name string", [(x,) for x in ("character varying(255)", "timestamp without time zone", "timestamp with time zone", "time with time zone", "character(3)", "integer", "time without time zone")])
 WIDTHS = Literal("widths", "name string", [(x,) for x in ("bigint(20) unsigned", "int(11)", "varchar(20)", "tinyint(1)", "decimal(10,2)", "mediumint(8)", "point(3)")])
 TEXTS = Literal("texts", "id int, text string", [
-    (1, "class ValidateToken:\n  pass"), (2, "  func ValidateToken(x)"), (3, "pub fn ValidateToken<T>"), (4, "x = ValidateToken()"), (5, "funcValidateToken()"),
-    (6, "defmodule App.ValidateToken do"), (7, "create table Users (id int)"), (8, "class A::B::C {"), (9, "# see ValidateToken"), (10, "type ValidateToken struct {"),
+    (1, "class SettleOrder:\n  pass"), (2, "  func SettleOrder(x)"), (3, "pub fn SettleOrder<T>"), (4, "x = SettleOrder()"), (5, "funcSettleOrder()"),
+    (6, "defmodule App.SettleOrder do"), (7, "create table Stores (id int)"), (8, "class A::B::C {"), (9, "# see SettleOrder"), (10, "type SettleOrder struct {"),
     (11, ""), (12, "# label: func: login | calls: a, b\ndef login(): pass"), (13, "\n\n  first line  \nsecond"), (14, "a b_c 123456789 + (x)"), (15, "CREATE VIEW app.Active AS SELECT 1"),
 ])
-STEMS = Literal("stems", "stem string, name string", [("user", "user"), ("users", "user"), ("user_s", "user"), ("my_func", "myfunc"), ("class", "clas"), ("usr", "user"), ("my_funcs", "myfunc"), ("s", "")])
+STEMS = Literal("stems", "stem string, name string", [("order", "order"), ("orders", "order"), ("order_s", "order"), ("tax_rate", "taxrate"), ("glass", "glas"), ("ordr", "order"), ("tax_rates", "taxrate"), ("s", "")])
 SAMPLES = Literal("samples", "id int, text string", [(1, "// Code generated by x. DO NOT EDIT."), (2, "DO NOT EDIT below this line"), (3, "@generated"), (4, "plain"), (5, "This generated file: do not edit"), (6, ""), (7, "auto-generated; please do not edit")])
 RULES = Literal("rules", "family string, scope string, seq int, rule string", [
     ("git", "", 1, "*.log"), ("git", "", 2, "!keep.log"), ("git", "", 3, "/build/"), ("git", "sub", 4, "tmp"), ("own", "", 1, "docs/**/draft.md"), ("own", "", 2, "a?c.txt"), ("git", "", 5, "secret/"),
@@ -126,14 +126,14 @@ def stem_match(spark, sf):
     return STEMS.df(spark).select("stem", "name", stem_matches(F.col("stem"), F.col("name")).alias("ok"))
 
 
-@q("defines_symbol", f"""WITH {TEXTS.cte}, s(symbol) AS (VALUES ('ValidateToken'), ('users'), ('Users'), ('C'), ('B'), ('Active'))
+@q("defines_symbol", f"""WITH {TEXTS.cte}, s(symbol) AS (VALUES ('SettleOrder'), ('stores'), ('Stores'), ('C'), ('B'), ('Active'))
 SELECT id, symbol, list_contains(list_transform(regexp_extract_all(text, '(?m)(?:^|\\s)(?:class|module|defmodule|def|interface|struct|enum|trait|type|func|function|object|abstract class|data class|fn|fun|package|namespace|protocol|record|typedef)\\s+((?:[A-Za-z_][A-Za-z0-9_]*(?:\\.|::))*[A-Za-z_][A-Za-z0-9_]*)(?:\\s|[<({{:\\[;]|$)', 1), lambda n: regexp_extract(n, '[A-Za-z0-9_]*$')), symbol)
  OR list_contains(list_transform(regexp_extract_all(text, '(?im)(?:^|\\s)(?:CREATE TABLE|CREATE VIEW|CREATE PROCEDURE|CREATE FUNCTION)\\s+((?:[A-Za-z_][A-Za-z0-9_]*(?:\\.|::))*[A-Za-z_][A-Za-z0-9_]*)(?:\\s|[<({{:\\[;]|$)', 1), lambda n: lower(regexp_extract(n, '[A-Za-z0-9_]*$'))), lower(symbol)) AS defines
 FROM texts, s""")
 def defines_symbol(spark, sf):
     from ..operators.retrieval import defines
 
-    symbols = spark.createDataFrame([(x,) for x in ("ValidateToken", "users", "Users", "C", "B", "Active")], "symbol string")
+    symbols = spark.createDataFrame([(x,) for x in ("SettleOrder", "stores", "Stores", "C", "B", "Active")], "symbol string")
     return TEXTS.df(spark).join(symbols, how="cross").select("id", "symbol", defines(F.col("text"), F.col("symbol")).alias("defines"))
 
 
@@ -157,9 +157,9 @@ def approx_tokens(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.approx_tokens(F.col("text")).alias("tokens"))
 
 
-@q("scan_minified", "SELECT page_id, strlen(html) AS bytes, strlen(html) >= 2048 AND strlen(html) // (strlen(html) - strlen(replace(html, chr(10), '')) + 1) > 60 AS minified FROM pages")
+@q("scan_minified", "SELECT page_id, strlen(html) AS bytes, strlen(html) >= 2048 AND strlen(html) // (strlen(html) - strlen(replace(html, chr(10), '')) + 1) > 1000 AS minified FROM pages")
 def scan_minified(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.octet_length("html").cast("long").alias("bytes"), C.minified(F.col("html"), most=60).alias("minified"))
+    return table(spark, sf, "pages").select("page_id", F.octet_length("html").cast("long").alias("bytes"), C.minified(F.col("html")).alias("minified"))
 
 
 @q("scan_generated", f"""WITH {SAMPLES.cte}, l AS (SELECT id, text, lower(text) AS l FROM samples)
@@ -169,10 +169,10 @@ def scan_generated(spark, sf):
 
 
 @q("scan_admit", f"""WITH {CORPUS} SELECT file, chunk_id, strlen(text) AS bytes FROM corpus
-WHERE strlen(text) <= 20000 AND NOT contains(text, chr(0)) AND NOT (strlen(text) >= 2048 AND strlen(text) // (strlen(text) - strlen(replace(text, chr(10), '')) + 1) > 1000)""")
+WHERE strlen(text) <= 2097152 AND NOT contains(text, chr(0)) AND NOT (strlen(text) >= 2048 AND strlen(text) // (strlen(text) - strlen(replace(text, chr(10), '')) + 1) > 1000)""")
 def scan_admit(spark, sf):
     rows = corpus(spark, sf).withColumn("bytes", F.octet_length("text").cast("long"))
-    return C.admitted(rows, largest=20000).select("file", "chunk_id", "bytes")
+    return C.admitted(rows).select("file", "chunk_id", "bytes")
 
 
 IGNORE_SQL = f"""WITH {RULES.cte}, {FILES.cte},

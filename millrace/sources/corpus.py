@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,15 @@ PRUNED = (".git", ".millrace")
 
 
 def files(spark: SparkSession, root: str, largest: int = LARGEST) -> DataFrame:
-    """(file, bytes, text) below a folder; size and type filters reach the file listing."""
+    """(file, bytes, text) below a folder; the size filter reaches the file listing.
+
+    Files with a NUL byte among the first ``SNIFF`` are binary and left out; in others, bytes that are no
+    UTF-8 become replacement characters.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    raw = raw.filter(F.col("length") <= largest)
+    raw = raw.filter((F.col("length") <= largest) & ~F.contains(F.substring("content", 1, SNIFF), F.lit(b"\x00")))
     rel = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").replace(".", "[.]") + "/", "")
-    text = raw.select(rel.alias("file"), F.col("length").alias("bytes"), F.decode("content", "UTF-8").alias("text"))
+    text = raw.select(rel.alias("file"), F.col("length").alias("bytes"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return text.filter(~F.col("file").rlike(r"(^|/)[.](git|millrace)(/|$)"))
 
 
@@ -45,16 +51,50 @@ def generated(text: Column) -> Column:
 
 def admitted(rows: DataFrame, largest: int = LARGEST, longest_line: int = 1000, skip_generated: bool = False) -> DataFrame:
     """Rows (.., bytes, text) that are indexed: not too large, binary, minified or, if asked, generated."""
+    return rows.filter(indexable(largest, longest_line, skip_generated))
+
+
+def indexable(largest: int = LARGEST, longest_line: int = 1000, skip_generated: bool = False) -> Column:
+    """Whether a row (bytes, text) is indexed; the same test for a walk and for one change of a stream."""
     ok = (F.col("bytes") <= largest) & ~F.substring("text", 1, SNIFF).contains("\x00") & ~minified(F.col("text"), longest_line)
-    return rows.filter(ok & ~generated(F.col("text")) if skip_generated else ok)
+    return ok & ~generated(F.col("text")) if skip_generated else ok
+
+
+def matched(rules: DataFrame):
+    """The test of :func:`ignored` as an expression of a path, for streams; the rules are few and become part of the plan."""
+    by_family: dict[str, list] = {}
+    for r in sorted(rules.collect(), key=lambda r: (len(r.scope) * 1000 + r.seq)):
+        by_family.setdefault(r.family, []).append(r)
+
+    def test(path: Column) -> Column:
+        parts = F.split(path, "/")
+        nodes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("node"), (i < F.size(parts)).alias("is_dir")))
+
+        def hidden(n: Column) -> Column:
+            out = F.lit(False)
+            for own in by_family.values():
+                last = F.lit(False)
+                for r in own:
+                    inside = F.lit(True) if r.scope == "" else n["node"].startswith(r.scope + "/")
+                    rest = n["node"] if r.scope == "" else F.substring(n["node"], len(r.scope) + 2, 1 << 20)
+                    hit = inside & (n["is_dir"] | F.lit(not r.dir_only)) & F.regexp_like(rest, F.lit(r.regex))
+                    last = F.when(hit, not r.negate).otherwise(last)
+                out = out | last
+            return out
+
+        return F.exists(nodes, hidden)
+
+    return test
 
 
 def rule_regex(rule: str) -> tuple[str, bool, bool]:
     """(anchored pattern, negated, directories only) of an ignore line.
 
-    ``*`` and ``?`` stay inside a component, ``**`` spans components where it is one itself; a slash
-    inside the rule ties it to its folder.
+    ``*`` and ``?`` stay inside a component, ``**`` spans components where it is one itself; ``[a-z]`` and
+    ``[!a-z]`` are classes, a backslash takes the next character as it is, blanks at the end do not count
+    unless one stands before them; a slash inside the rule ties it to its folder.
     """
+    rule = re.sub(r"(?<!\\)\s+$", "", rule)
     negate = rule.startswith("!")
     rule = rule[1:] if negate else rule
     dir_only = rule.endswith("/")
@@ -67,8 +107,12 @@ def rule_regex(rule: str) -> tuple[str, bool, bool]:
         if part == "**":
             out += ".*" if last else "(?:.*/)?"
             continue
-        for c in part:
-            out += "[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in r"\.+^$(){}|[]" else c
+        for own in re.finditer(r"\\(.)|\[([!^]?)(\]?[^\]]*)\]|(.)", part):
+            escaped, sign, chars, c = own.groups()
+            if chars is not None:
+                out += "[" + ("^/" if sign else "") + re.sub(r"([\\\[\]&~])", r"\\\1", chars) + "]"
+            else:
+                out += "[^/]*" if c == "*" else "[^/]" if c == "?" else re.sub(r"([\\.+^$(){}|\[\]*?])", r"\\\1", escaped or c)
         out += "" if last else "/"
     return f"^{out}$", negate, dir_only
 

@@ -90,11 +90,42 @@ def maintained(changes: DataFrame, store: Published, fresh: Callable[[DataFrame]
         files = batch.select("file").distinct()
         if files.isEmpty():
             return
-        store.publish(I.reconcile(store.current().select("file", "seq", "text"), files, fresh(files)))
+        now = store.current().select("file", "seq", "text")
+        new = fresh(files)
+        # files whose chunks are as they were change nothing; without others nothing is published
+        print_ = lambda d, name: d.groupBy("file").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("seq", "text")))).alias(name))
+        under = I.touched(now, files)
+        both = print_(under, "was").join(print_(new, "is"), "file", "full_outer")
+        if both.filter(~F.col("was").eqNullSafe(F.col("is"))).isEmpty():
+            return
+        store.publish(I.reconcile(now, files, new))
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def admitted_stream(changes: DataFrame, rules: DataFrame, **limits) -> DataFrame:
+    """Changes (path, op, bytes, text) of a stream whose files would be indexed: the walk's filters and ignore rules; removals always pass."""
+    from ..sources import corpus as C
+
+    ok = C.indexable(**limits)
+    out = changes.filter((F.col("op") == "remove") | F.coalesce(ok, F.lit(False)))
+    hidden = C.matched(rules)
+    return out.filter(~hidden(F.col("path")))
+
+
+def resynced(manifest: DataFrame, listing: DataFrame, batch: DataFrame) -> DataFrame:
+    """After lost events: changes (file, change) of a fresh listing against the manifest, and the batch's own files, once each."""
+    lost = I.manifest_diff(manifest, listing)
+    told = batch.select("file").distinct().join(listing.select("file", F.lit(1).alias("there")), "file", "left").select("file", F.when(F.col("there").isNull(), "deleted").otherwise("changed").alias("told"))
+    both = lost.join(told, "file", "full_outer")
+    return both.select("file", F.coalesce("change", "told").alias("change"))
+
+
+def recorded(rows: DataFrame, path: str) -> None:
+    """Append usage rows (ts, call, results, snippet_chars, file_chars), one JSON line each."""
+    rows.select("ts", "call", "results", "snippet_chars", "file_chars").write.mode("append").json(path)
+
+
 def usage_stream(lines: DataFrame) -> DataFrame:
     """Running sums of a JSON-lines usage log (value); lines that don't parse are left out."""
     row = F.from_json("value", "ts double, call string, results int, snippet_chars long, file_chars long")
