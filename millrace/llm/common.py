@@ -47,6 +47,21 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, key: str, values: tuple[int, ...], tag: str) -> list[DataFrame]:
+    """As :func:`stored`, one table for each value of the last column, an int."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/millrace-{tag}-{uuid.uuid4().hex}"
+    df.write.partitionBy(key).parquet(path)
+    fields = df.drop(key).schema
+    out = []
+    for v in values:
+        at = f"{path}/{key}={v}"
+        target = spark._jvm.org.apache.hadoop.fs.Path(at)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(target)  # for values without rows
+        out.append(spark.read.schema(fields).parquet(at))
+    return out
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by :func:`stored` once nothing reads it any more."""
     spark = df.sparkSession

@@ -1,21 +1,24 @@
 r"""Language-model scoring by online logistic context mixing.
 
 A text is its tokens (ASCII letters lower-cased), each followed by a space, and a line end.
-Each byte is a path in a fixed binary tree. For each bit, contexts (the last 1, 2, 3, 4 and
-6 bytes, and the word so far) give predictions from counts of zeros and ones; a
-logistic mixer combines them with weights chosen by a gate (which of the long contexts were
-seen, and the depth in the tree), and the weights are refined adaptively: each document has
-its own correction, updated after every block of ``BLOCK`` bytes by the gradient of what it
-cost, never ahead of it. So the bits' probabilities multiply to the text's.
-
-Learning. A document asks for the pairs of each context and the byte after it. Blocks of
-documents send their distinct pairs with their counts to the contexts' partitions, which add
-up the bits of all training documents and send back the predictions for each pair, so the
-model grows with the input and is never in one place. The contexts of bytes are known in
-full and words by 48-bit hashes, so a count belongs to its context alone. One training
+Each byte is a path in a fixed binary tree. For each bit, contexts give predictions from
+counts of zeros and ones: the last 1, 2 and 3 bytes of the token, and up to 6 bytes of the
+token or, for its first two bytes, the end of the token before. A logistic mixer adds
+them with weights chosen by a gate (place in the token, depth in the tree, whether the
+longest context was seen), a last stage refines the sum by a table of gate and sum, and the
+weights are refined adaptively: each document has its own correction, updated after every
+``STEP`` tokens by the gradient of what they cost, never ahead of them. So the bits'
+probabilities multiply to the text's.
+
+Learning. Blocks of documents, kept as token numbers, send their distinct pairs of context and byte with their counts
+to the contexts' partitions, which add up the bits of all training documents and send back
+the predictions for each pair, so the model grows with the input and is never in one place.
+Contexts are known in full, so a count belongs to its context alone.
+Counts are additive and a context lies in the token (or is the pair of an ending and a
+beginning), so a block works on its distinct tokens, and repetitions only gather. One training
 document in ``TUNE`` by hash is in blocks of its own, which also get the predictions
-without these documents, to fit the mixer's weights on unseen text by averaged online
-descent.
+without these documents, to fit the mixer's weights and the last stage on unseen text by
+averaged online descent.
 
 The unigram base score needs exact token counts. Blocks of documents send their distinct
 tokens' counts to the tokens' partitions and get the totals back, so no vocabulary is ever
@@ -23,47 +26,48 @@ in one place; tokens are known by 64-bit hashes.
 
 Defined results: a null text is empty and has the one token that ends it; without training
 tokens the base is 0 / 0 and base_score is null; rows without an id are training rows;
-repeated rows are scored one by one; texts of any length are scored whole; an empty
-table gives an empty result; other columns are ignored.
+repeated rows are scored one by one; texts of any length are scored whole, a block is a text
+at least; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.compute
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dropped, stored, table
-from .neardup import _HASHES, _runs, mixed
+from .common import dropped, stored, stored_by, table
+from .neardup import _runs, mixed
 
-ORDERS = (1, 2, 3, 4, 6)
-#: log2 of the slots of each order and of the word context, where :func:`score` is given plain tables.
-BITS = (16, 18, 20, 20, 20, 20)
-K = len(BITS)
+#: Predictions for a bit: the last 1, 2 and 3 bytes of the token, and the long context, up to LONG bytes or the token before.
+K = 4
+#: Kinds of pairs: contexts of 1, 2 and 3 bytes, of up to LONG bytes, the ending before.
+SHORT, FAR, BEFORE = (0, 1, 2), 3, 4
 #: Contexts whose bits are added at a time.
-CONTEXTS = 4096
-#: Bytes of text whose contexts are in memory at a time, or one text if longer.
-GROUP = 1 << 20
-#: Partitions of pairs for each block, so that one is small beside a block.
-SHARDS = 4
-BLOCK = 512
-LANES = 48
-PAD = 8
+CONTEXTS = 256
+#: Blocks for each partition of pairs and of tokens.
+SHARE = 4
+STEP = 16
 TUNE = 16
-BLOCK_CHARS = 16_000_000
-GATES = 24
-END = np.uint64(0x9E3779B97F4A7C15)
+BLOCK_CHARS = 5_000_000
+#: A prediction is a log odds in this fraction.
+UNIT = 16
+PLACES, STAGES, LONG = 4, 3, 6
+GATES = 2 * PLACES * STAGES
+#: The mixer's sum is held within this; the last stage has so many cells of it for each gate.
+MOST, CELLS = 10.0, 17
 #: Fixed value: letters of European text by frequency.
 LETTERS = "etaoinsrhldcumfpgwybvkxjqz"
-RAW = "kind int, part int, block int, fold int, a binary, b binary"
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+END = b"\n"
+RAW = "part int, block int, fold int, a binary, b binary, ids array<bigint>, held array<boolean>, sizes array<int>, kind int"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
 def _tree() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,89 +104,140 @@ def _tree() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 START, SIZE, NODE, BIT, DEPTH = _tree()
-SPREAD = (NODE * np.uint32(0x85EBCA77) ^ (NODE << np.uint32(17))).astype(np.uint32)
-STAGE = 8 * np.minimum(DEPTH // 2, 2)
-_R = np.uint64(0x5851F42D4C957F2D)
-_RINV = np.uint64(pow(int(_R), -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        _POWERS[:] = [np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, r, np.uint64))]) for r in (_R, _RINV)]
-    return _POWERS[0], _POWERS[1]
+def opened(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").lower().split()
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: the upper bytes of ascending or of small ones repeat."""
+    return squeezed(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
 
 
-def stream(tokens: list[bytes]) -> bytes:
-    return b" ".join(tokens) + b" \n" if tokens else b"\n"
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(opened(data), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-class Texts:
-    """Streams laid end to end with zero bytes between, and the contexts of every byte."""
+def tokens_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
 
-    def __init__(self, streams: list[bytes]):
-        gap = b"\0" * PAD
-        b = self.bytes = np.frombuffer(gap + gap.join(streams), np.uint8)
-        self.sizes = np.array([len(s) for s in streams])
-        self.starts = np.cumsum(self.sizes + PAD) - self.sizes
 
-    def pairs(self) -> Iterator[np.ndarray]:
-        """Order by order, its number (8 bits), the context (48 bits) and the byte (8 bits) of every place."""
-        b = self.bytes
-        w = b.astype(np.uint64)
-        last, k = np.zeros(len(b), np.uint64), 0
-        for j in range(1, 7):
-            last[j:] |= w[:-j] << np.uint64(8 * j)
-            if j in ORDERS:
-                yield last | w | np.uint64(k << 56)
-                k += 1
-        del last
-        up, down = _powers(len(b) + 1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((w + np.uint64(1)) * up[: len(b)], dtype=np.uint64)])
-        at = np.arange(len(b))
-        edge = np.maximum.accumulate(np.where((b == 32) | (b == 0), at + 1, 0))
-        since = np.concatenate([[0], edge[:-1]])
-        word = mixed((total[:-1] - total[since]) * down[since]) >> np.uint64(16)
-        yield word << np.uint64(8) | w | np.uint64(k << 56)
-
-    def places(self) -> np.ndarray:
-        """The places of all bytes of the streams."""
-        return np.repeat(self.starts - np.cumsum(self.sizes) + self.sizes, self.sizes) + np.arange(self.sizes.sum())
-
-    def bits(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For the bytes at ``places``: bits of each, path index of every bit, and its byte's number."""
-        sym = self.bytes[places]
-        size = SIZE[sym]
-        rep = np.repeat(np.arange(len(places)), size)
-        path = np.arange(len(rep)) - np.repeat(np.cumsum(size) - size, size) + START[sym][rep]
-        return size, path, rep
+class Numbers(dict):
+    """Numbers of things by first look-up."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = n = len(self)
+        return n
 
-    def slots(self, k: int, pairs: np.ndarray, places: np.ndarray, path: np.ndarray, rep: np.ndarray) -> np.ndarray:
-        """The slot of every bit in table k."""
-        context = _mixed((mixed(pairs >> np.uint64(8)) >> np.uint64(32)).astype(np.uint32)).take(places).take(rep)
-        context ^= SPREAD.take(path)
-        context *= np.uint32(0x9E3779B1)
-        context >>= np.uint32(32 - BITS[k])
-        return context.astype(np.intp)
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, .. of each of the ranges."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
-    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
-    return h ^ (h >> np.uint32(16))
 
+class Block:
+    """The distinct tokens of some texts, where each text has them, and their pairs of context and byte.
 
-def pairs_of(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs of context and byte, ascending, and their counts."""
-    t = Texts(streams)
-    places = t.places()
-    own = [np.unique(x.take(places), return_counts=True) for x in t.pairs()]
-    return np.concatenate([u for u, _ in own]), np.concatenate([n for _, n in own])
+    A pair is its kind (8 bits), the context (48 bits) and the byte (8 bits); ``pairs`` is ascending.
+    """
+
+    def __init__(self, tokens: list[bytes], seq: np.ndarray, sizes: np.ndarray):
+        self.tokens, self.seq, self.sizes = tokens, seq, sizes.astype(np.int64)
+        first = np.cumsum(self.sizes) - self.sizes
+        before = np.concatenate([np.zeros(1, np.int32), self.seq[:-1]])[: len(self.seq)]
+        before[first] = 0
+        b = self.bytes = np.frombuffer(END + b"".join(t + b" " for t in self.tokens[1:]), np.uint8)
+        n = self.length = np.array([1, *(len(t) + 1 for t in self.tokens[1:])], np.int64)
+        start = self.start = np.cumsum(n) - n
+        self.owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        place = self.place = np.arange(len(b), dtype=np.int32) - start.astype(np.int32)[self.owner]
+        w = b.astype(np.uint64)
+        back = [np.zeros(len(b), np.uint64) for _ in range(4)]
+        for j in (1, 2, 3):
+            back[j][j:] = np.where(place[j:] >= j, w[:-j], np.uint64(0))
+        own, self.at = [], []
+        # three bytes before each byte, and from these pairs the shorter ones
+        u, inverse = np.unique((back[3] << np.uint64(24) | back[2] << np.uint64(16) | back[1] << np.uint64(8) | w).astype(np.uint32), return_inverse=True)
+        for k in (2, 1, 0):
+            own.append(u.astype(np.uint64) | np.uint64(k << 56))
+            self.at.append(inverse.astype(np.int32))
+            u, shorter = np.unique(u & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            inverse = shorter[inverse]
+        own, self.at = own[::-1], self.at[::-1]
+        # up to LONG bytes before each byte
+        late = np.flatnonzero(place >= 3)
+        long = back[1][late] | back[2][late] << np.uint64(8) | back[3][late] << np.uint64(16)
+        for j in range(4, LONG + 1):
+            long |= np.where(place[late] >= j, w[np.maximum(late - j, 0)], np.uint64(0)) << np.uint64(8 * (j - 1))
+        u, inverse = np.unique(np.uint64(FAR << 56) | long << np.uint64(8) | w[late], return_inverse=True)
+        own.append(u)
+        at = np.full(len(b), -1, np.int32)
+        at[late] = inverse
+        self.at.append(at)
+        # endings and beginnings: numbers of both, and the pairs of each combination
+        last = np.maximum(start + n - 2, 0)
+        ending = back[2][last] << np.uint64(16) | back[1][last] << np.uint64(8) | w[last]
+        ending[0] = 0
+        second = np.where(n > 1, w[np.minimum(start + 1, len(b) - 1)], np.uint64(256))
+        ends, of_end = np.unique(ending, return_inverse=True)
+        heads, of_head = np.unique(w[start] << np.uint64(16) | second, return_inverse=True)
+        combo, self.combo = np.unique(of_end[before] * len(heads) + of_head[self.seq], return_inverse=True)
+        e = ends[combo // len(heads)]
+        h = heads[combo % len(heads)]
+        one = np.uint64(BEFORE << 56) | e << np.uint64(8) | h >> np.uint64(16)
+        two = np.uint64(BEFORE << 56 | 1 << 40) | (h >> np.uint64(16)) << np.uint64(32) | e << np.uint64(8) | (h & np.uint64(255))
+        both = (h & np.uint64(511)) < 256
+        u, inverse = np.unique(np.concatenate([one, two[both]]), return_inverse=True)
+        own.append(u)
+        # a token with each beginning, for what the first bytes are
+        of_combo = np.zeros(len(heads), np.int64)
+        of_combo[of_head] = np.arange(len(n))
+        self.sample = of_combo[combo % len(heads)]
+        self.first, self.second = inverse[: len(one)], np.full(len(one), -1)
+        self.second[both] = inverse[len(one) :]
+        self.base = np.cumsum([0, *map(len, own)])
+        self.pairs = np.concatenate(own)
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Block:
+        ids = Numbers({END: 0})
+        docs = [np.fromiter(map(ids.__getitem__, own), np.int32, len(own)) for x in texts for own in [[*tokens_of(x), END]]]
+        seq = np.concatenate(docs or [np.empty(0, np.int32)])
+        # the end stays first, the others by frequency, so that most numbers are small
+        order = np.argsort(-np.bincount(seq, minlength=len(ids)), kind="stable")
+        order = np.concatenate([[0], order[order > 0]])
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order))
+        tokens = list(ids)
+        return cls([tokens[k] for k in order.tolist()], number[seq], np.array([len(d) for d in docs], np.int32))
+
+    def packed(self) -> tuple[bytes, bytes]:
+        return squeezed(b"\n".join(self.tokens[1:])), planes(self.seq)
+
+    @classmethod
+    def unpacked(cls, tokens: bytes, seq: bytes, sizes: list[int]) -> Block:
+        return cls([END, *opened(tokens).split()], from_planes(seq, np.int32), np.array(sizes))
+
+    def counts(self, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each pair, and each token, is in the texts that are ``learned`` from."""
+        occurs = np.repeat(learned, self.sizes)
+        tokens = np.bincount(self.seq[occurs], minlength=len(self.tokens))
+        at_byte = tokens[self.owner]
+        out = [np.bincount(self.at[k], at_byte, self.base[k + 1] - self.base[k]) for k in SHORT]
+        late = self.at[FAR] >= 0
+        out.append(np.bincount(self.at[FAR][late], at_byte[late], self.base[4] - self.base[3]))
+        combos = np.bincount(self.combo[occurs], minlength=len(self.first))
+        n = self.base[5] - self.base[4]
+        both = self.second >= 0
+        out.append(np.bincount(self.first, combos, n) + np.bincount(self.second[both], combos[both], n))
+        return np.concatenate(out).astype(np.int64), tokens
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens' distinct hashes, ascending, and each token's number among them."""
+        return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, self.tokens), np.uint64, len(self.tokens)), return_inverse=True)
 
 
 def shard_of(pairs: np.ndarray, parts: int) -> np.ndarray:
@@ -193,227 +248,242 @@ def shard_of(pairs: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-def packed(pairs: np.ndarray) -> bytes:
-    """Byte by byte, for the upper bytes of ascending pairs repeat."""
-    return zlib.compress(np.ascontiguousarray(pairs.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
-
+def packed_counts(n: np.ndarray) -> bytes:
+    return planes(n.astype(np.int64))
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
-
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The numbers start, start + 1, .. of each of the ranges."""
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+def unpacked_counts(data: bytes) -> np.ndarray:
+    return from_planes(data, np.int64)
 
 
-def _groups(order, streams: list[bytes], most: int | None = None) -> Iterator[list[int]]:
-    """Numbers of streams, in order, ``most`` at a time and about ``GROUP`` bytes."""
-    own, n = [], 0
-    for i in order:
-        if own and (len(own) == most or n + len(streams[i]) > GROUP):
-            yield own
-            own, n = [], 0
-        own.append(i)
-        n += len(streams[i])
-    if own:
-        yield own
+def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each partition with the numbers of its members, ascending."""
+    order = np.argsort(part, kind="stable")
+    names, at = np.unique(part[order], return_index=True)
+    yield from zip(names.tolist(), np.split(order, at[1:]), strict=True)
 
 
-class Counted:
-    """The predictions for the pairs of some streams, from what their partitions sent."""
+def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Counts to the log odds of a one in 1 / UNIT; 0 where nothing was seen."""
+    return np.clip(np.rint(np.log((ones + 0.3) / (zeros + 0.3)) * UNIT), -127, 127).astype(np.int8)
 
-    def __init__(self, streams: list[bytes], parts: int, sent: dict[int, bytes]):
-        own = [pairs_of([streams[i] for i in g])[0] for g in _groups(range(len(streams)), streams)]
-        self.pairs = np.unique(np.concatenate(own or [np.empty(0, np.uint64)]))
-        del own
-        shard = shard_of(self.pairs, parts)
-        order = np.argsort(shard, kind="stable")
-        size = SIZE[(self.pairs[order] & np.uint64(255)).astype(np.intp)]
-        self.first = np.empty(len(order), np.int64)
-        self.first[order] = np.cumsum(size) - size
-        self.values = np.frombuffer(b"".join(zlib.decompress(sent[p]) for p in np.unique(shard).tolist()), np.int16)
-
-    def firsts(self, t: Texts) -> list[np.ndarray]:
-        """For each order and place of ``t``, where the values of its path begin."""
-        places, out = t.places(), []
-        for x in t.pairs():
-            u, inverse = np.unique(x.take(places), return_inverse=True)
-            first = np.zeros(len(x), np.int64)
-            first[places] = self.first.take(np.searchsorted(self.pairs, u)).take(inverse)
-            out.append(first)
-        return out
 
+def predicted(pairs: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Path lengths of the ascending pairs, and for each of ``counts`` the stretched predictions along their paths."""
+    sym = (pairs & np.uint64(255)).astype(np.intp)
+    context = pairs >> np.uint64(8)
+    new = np.concatenate([np.ones(min(len(pairs), 1), bool), context[1:] != context[:-1]])
+    size = SIZE[sym]
+    first = np.cumsum(size) - size
+    # a pair that is alone with its context has its own bits only
+    alone = new & np.concatenate([new[1:], np.ones(min(len(pairs), 1), bool)])
+    single, rest = np.flatnonzero(alone), np.flatnonzero(~alone)
+    at = _spread(first[single], size[single])
+    sign = 2 * BIT[_spread(START[sym[single]], size[single])] - 1
+    out = [np.empty(int(size.sum()), np.int8) for _ in counts]
+    for v, n in zip(out, counts, strict=True):
+        v[at] = sign * np.repeat(stretched(np.zeros(1), n[single]), size[single])
+    number = np.cumsum(new[rest])
+    cuts = [*np.flatnonzero(new[rest])[::CONTEXTS].tolist(), len(rest)]
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        own = rest[lo:hi]
+        path = _spread(START[sym[own]], size[own])
+        rep = np.repeat(np.arange(lo, hi), size[own])
+        node = (number[rep] - number[lo]) * 256 + NODE[path]
+        at = _spread(first[own], size[own])
+        for v, n in zip(out, counts, strict=True):
+            sums = np.bincount(2 * node + BIT[path], n[rest[rep]], 512 * CONTEXTS)
+            v[at] = stretched(sums[2 * node], sums[2 * node + 1])
+    return size, out
 
-def stretched(n: np.ndarray) -> np.ndarray:
-    """Counts (slots, 2) to the log odds of a one in 1/2048; 0 where nothing was seen."""
-    n = n.astype(np.float64)
-    return np.clip(np.rint(np.log((n[:, 1] + 0.3) / (n[:, 0] + 0.3)) * 2048), -32000, 32000).astype(np.int16)
 
+class Inputs:
+    """What the mixer needs for the bits of a block, from what its pairs' partitions sent.
 
-def initial() -> np.ndarray:
-    return np.full((GATES, K), 0.32, np.float32)
+    An occurrence of a token is a run of bits of its combination of ending and beginning (the
+    first two bytes), and a run of its later bytes. Both are laid out once for all occurrences.
+    """
 
+    def __init__(self, block: Block, parts: int, sent: dict[int, bytes]):
+        values = np.frombuffer(b"".join(opened(sent[p]) for p in sorted(sent)), np.int8)
+        order = np.concatenate([own for _, own in by_part(shard_of(block.pairs, parts))])
+        size = SIZE[(block.pairs[order] & np.uint64(255)).astype(np.intp)]
+        first = np.empty(len(order), np.int64)
+        first[order] = np.cumsum(size) - size
+        late = np.flatnonzero(block.place >= 2)
+        # the first bytes of the combinations, then the later bytes of the tokens
+        there = block.second >= 0
+        held = np.stack([np.ones(len(there), bool), there], 1)
+        early = (block.start[block.sample][:, None] + np.arange(2))[held]
+        at = np.concatenate([early, late])
+        sym, place = block.bytes[at], block.place[at]
+        size = SIZE[sym]
+        within = np.arange(size.sum(), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+        path = np.repeat(START[sym].astype(np.int32), size) + within
+        gate = np.repeat((np.minimum(place, PLACES - 1) * STAGES).astype(np.int16), size) + np.minimum((DEPTH[path] + 1) // 2, STAGES - 1).astype(np.int16)
+        first = first.astype(np.int32) if len(values) < 2**31 - 256 else first
+        self.x = [values.take(np.repeat(first[block.base[k] + block.at[k][at]], size) + within) for k in SHORT]
+        long = np.concatenate([block.base[BEFORE] + np.stack([block.first, block.second], 1)[held], np.where(block.at[FAR][late] >= 0, block.base[FAR] + block.at[FAR][late], -1)])
+        known = np.repeat(long >= 0, size)
+        self.x.append(values.take((np.repeat(first[long], size) + within) * known) * known)
+        gate += (self.x[3] != 0) * np.int16(PLACES * STAGES)
+        self.gate, self.sign = gate, 2 * BIT[path] - 1
+        bits = np.cumsum(size)
+        count = np.concatenate([1 + there.astype(np.int64), np.bincount(block.owner[late], minlength=len(block.tokens))])
+        last = np.cumsum(count)
+        self.size = np.concatenate([np.zeros(1, np.int64), bits])[last] - np.concatenate([np.zeros(1, np.int64), bits])[last - count]
+        self.start = np.cumsum(self.size) - self.size
+
+
+class Mixer:
+    def __init__(self, weights: np.ndarray | None = None, refine: np.ndarray | None = None):
+        self.weights = np.full((GATES, K), 0.3, np.float32) if weights is None else weights.reshape(GATES, K).astype(np.float32)
+        self.refine = np.zeros(GATES * CELLS, np.float32) if refine is None else refine.astype(np.float32)
+        self.moved: list[np.ndarray] | None = None
+
+    def learn(self, cell: np.ndarray, gate: np.ndarray, miss: np.ndarray, x: list[np.ndarray], rate: float = 0.04) -> None:
+        """A step along the gradient, each number's as long as its own steps so far allow (they add up squared)."""
+        if self.moved is None:
+            self.moved = [np.full_like(v, 1e-6, np.float64) for v in (self.weights, self.refine)]
+        step = np.stack([np.bincount(gate, miss * v, GATES) for v in x], 1), np.bincount(cell, miss, GATES * CELLS)
+        for v, g, moved in zip((self.weights, self.refine), step, self.moved, strict=True):
+            moved += g * g
+            v += rate * g / np.sqrt(moved)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.weights.ravel(), self.refine])
+
+    @classmethod
+    def of(cls, flat: np.ndarray) -> Mixer:
+        return cls(flat[: GATES * K], flat[GATES * K :])
+
+
+def score(block: Block, given: Inputs, mixer: Mixer, learn: bool = False, own_rate: float = 0.02) -> tuple[np.ndarray, int]:
+    """ln of each text's probability, and the number of bits. ``learn``: also move the mixer in place.
+
+    All texts go on together, ``STEP`` tokens at a time. A document's correction has two
+    parts, for the three short contexts and for the long one.
+    """
+    unit = np.float32(1 / UNIT)
+    # one row for each bit: the fixed part of the sum, the short and the long predictions, and the cell with the bit's sign
+    bits = np.empty((len(given.gate), 4), np.float32)
+    if not learn:
+        bits[:, 0] = 0
+        for k in range(K):
+            bits[:, 0] += mixer.weights[:, k].take(given.gate) * given.x[k]
+        bits[:, 0] *= unit
+    bits[:, 1] = (given.x[0].astype(np.int16) + given.x[1] + given.x[2]) * unit
+    bits[:, 2] = given.x[3] * unit
+    bits[:, 3] = (given.gate * CELLS + CELLS // 2) * given.sign
+    combos = len(block.first)
+    order = np.argsort(-block.sizes, kind="stable")
+    sizes, first = block.sizes[order], (np.cumsum(block.sizes) - block.sizes)[order]
+    out, total = np.zeros(len(order)), 0
+    delta = np.zeros((2, len(order)), np.float32)
+    for at in range(0, int(sizes.max(initial=0)), STEP):
+        live = int(np.searchsorted(-sizes, -at, "left"))
+        n = np.minimum(sizes[:live] - at, STEP)
+        occurs = _spread(first[:live] + at, n)
+        runs = np.stack([block.combo[occurs], combos + block.seq[occurs]], 1).ravel()
+        size = given.size[runs]
+        place = _spread(given.start[runs], size)
+        lane = np.add.reduceat(size, 2 * (np.cumsum(n) - n))
+        start = np.cumsum(lane) - lane
+        rows = bits.take(place, axis=0)
+        x, sign = (rows[:, 1], rows[:, 2]), np.sign(rows[:, 3])
+        cell = np.abs(rows[:, 3]).astype(np.intp)
+        if learn:
+            gate, each = given.gate.take(place), [v.take(place) * unit for v in given.x]
+            z = sum(mixer.weights[:, k].take(gate) * each[k] for k in range(K))
+        else:
+            z = rows[:, 0].copy()
+        for j in (0, 1):
+            z += np.repeat(delta[j, :live], lane) * x[j]
+        np.clip(z, -MOST, MOST, out=z)
+        cell += np.rint(z * np.float32(CELLS // 2 / MOST)).astype(np.intp)
+        z += mixer.refine.take(cell)
+        # of the bit as it is, ln(1 + exp(-z))
+        z *= sign
+        odds = np.exp(-z)
+        odds += 1
+        cost = np.log(odds)
+        out[:live] -= np.add.reduceat(cost, start)
+        total += len(place)
+        miss = np.subtract(1, np.reciprocal(odds, out=odds), out=odds)
+        miss *= sign
+        scale = own_rate / np.sqrt(lane).astype(np.float32)
+        for j in (0, 1):
+            delta[j, :live] += scale * np.add.reduceat(miss * x[j], start)
+        if learn:
+            mixer.learn(cell, gate, miss, each)
+    back = np.empty(len(order))
+    back[order] = out
+    return back, total
+
+
+def _row(kind: int, part: int, block: int, fold: int, a: bytes, b: bytes, ids: list | None = None, held: list | None = None, sizes: list | None = None) -> pa.RecordBatch:
+    values = {"part": part, "block": block, "fold": fold, "a": a, "b": b, "ids": ids, "held": held, "sizes": sizes, "kind": kind}
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.int32()]
+    return pa.record_batch([pa.array([v], t) for v, t in zip(values.values(), kinds, strict=True)], list(values))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """The rows with the text compressed, for the shuffle to the blocks."""
 
-def score(streams: list[bytes], tables: Counted | list[np.ndarray], weights: np.ndarray, learn: bool = False, rate: float = 0.02, own_rate: float = 0.02) -> tuple[np.ndarray, int]:
-    """ln of each stream's probability, and the number of bits. ``learn``: also move ``weights`` in place.
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                texts = [squeezed((t or "").encode("utf-8", "replace")) for t in part.column(1).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array(texts, pa.binary()), *part.columns[2:]], part.schema.names)
 
-    Plain tables hold the predictions of each order by hashed slots.
-    """
-    out, bits = np.zeros(len(streams)), 0
-    order = sorted(range(len(streams)), key=lambda i: len(streams[i]))
-    for lanes in _groups(order, streams, LANES):
-        t = Texts([streams[i] for i in lanes])
-        firsts = tables.firsts(t) if isinstance(tables, Counted) else None
-        pairs = list(t.pairs()) if firsts is None else []
-        delta = np.zeros((len(lanes), K), np.float32)
-        for at in range(0, int(t.sizes.max()), BLOCK):
-            live = np.flatnonzero(t.sizes > at)
-            n = np.minimum(t.sizes[live] - at, BLOCK)
-            places = np.repeat(t.starts[live] + at - np.cumsum(n) + n, n) + np.arange(n.sum())
-            size, path, rep = t.bits(places)
-            cost_bits = np.add.reduceat(size, np.cumsum(n) - n)
-            first = np.cumsum(cost_bits) - cost_bits
-            if firsts is None:
-                seen = [tables[k].take(t.slots(k, pairs[k], places, path, rep)) for k in range(K)]
-            else:
-                depth = np.arange(len(path)) - np.repeat(np.cumsum(size) - size, size)
-                seen = [tables.values.take(first_.take(places).take(rep) + depth) for first_ in firsts]
-            x = [v.astype(np.float32) * np.float32(1 / 2048) for v in seen]
-            gate = (x[3] != 0).astype(np.intp)
-            gate += np.where(x[4] != 0, 2, 0)
-            gate += np.where(x[5] != 0, 4, 0)
-            gate += STAGE.take(path)
-            z = np.zeros(len(path), np.float32)
-            for k in range(K):
-                z += (weights[:, k][gate] + np.repeat(delta[live, k], cost_bits)) * x[k]
-            np.clip(z, -12, 12, out=z)
-            one = BIT.take(path)
-            odds = np.exp(-z)
-            odds += 1
-            miss = one - 1 / odds
-            cost = np.log(odds) + np.where(one == 1, np.float32(0), z)
-            out[np.array(lanes)[live]] -= np.add.reduceat(cost, first, dtype=np.float64)
-            bits += len(path)
-            scale = np.sqrt(cost_bits).astype(np.float32)
-            for k in range(K):
-                step = miss * x[k]
-                delta[live, k] += own_rate * np.add.reduceat(step, first) / scale
-                if learn:
-                    weights[:, k] += rate * np.bincount(gate, step, GATES) / np.sqrt(1 + np.bincount(gate, minlength=GATES))
-    return out, bits
-
-
-def _hashes(tokens: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens)), [END]])
+    return rows.mapInArrow(work, "doc_id long, text binary, held boolean, fold int, block int")
 
 
 def _gather(rows: DataFrame, parts: int) -> DataFrame:
-    """Partial counts of (id, text, held, fold, block): kind 0 pairs of a block, kind 1 tokens of a block."""
+    """For each block of (doc_id, text, held, fold, block): kind 0 pairs with counts, kind 1 tokens with counts, kind 2 the texts as tokens."""
+
+    def done(number: int, fold: int, texts: list[str], ids: list, held: list) -> Iterator[pa.RecordBatch]:
+        block = Block.of(texts)
+        pairs, tokens = block.counts(np.array([not h for h in held]))
+        for p, own in by_part(shard_of(block.pairs, parts)):
+            yield _row(0, p, number, fold, planes(block.pairs[own]), packed_counts(pairs[own]))
+        h, at = block.hashes()
+        n = np.bincount(at, tokens, len(h)).astype(np.int64)
+        for p, own in by_part((h >> np.uint64(40)) % np.uint64(parts)):
+            yield _row(1, p, number, fold, planes(h[own]), packed_counts(n[own]))
+        yield _row(2, 0, number, fold, *block.packed(), ids, held, block.sizes.tolist())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        Parts = dict[int, list[tuple[np.ndarray, np.ndarray]]]
-        pairs: Parts = {}
-        vocab: Parts = {}
-        folds: dict[int, int] = {}
-        waiting: dict[tuple[int, bool], list[bytes]] = {}
-        size: Counter = Counter()
-
-        def merged(own: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            h = np.concatenate([x for x, _ in own])
-            order = np.argsort(h)
-            h = h[order]
-            first = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
-            n = np.concatenate([n for _, n in own])[order]
-            return h[first], np.add.reduceat(n, first) if len(first) else n
-
-        def by_order(own: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            cuts = [np.searchsorted(u, np.arange(K + 1, dtype=np.uint64) << np.uint64(56)) for u, _ in own]
-            out = [merged([(u[c[k] : c[k + 1]], n[c[k] : c[k + 1]]) for (u, n), c in zip(own, cuts, strict=True)]) for k in range(K)]
-            return np.concatenate([u for u, _ in out]), np.concatenate([n for _, n in out])
-
-        def add(to: Parts, block: int, u: np.ndarray, n: np.ndarray) -> None:
-            to.setdefault(block, []).append((u, n))
-            if len(to[block]) >= 16:
-                to[block] = [(by_order if to is pairs else merged)(to[block])]
-
-        def flush(block: int, held: bool) -> None:
-            size[block, held] = 0
-            u, n = pairs_of(waiting.pop((block, held)))
-            add(pairs, block, u, n * (not held))
-
-        row = lambda *x: pa.record_batch([pa.array([v], t) for v, t in zip(x, [pa.int32()] * 4 + [pa.binary()] * 2, strict=True)], ["kind", "part", "block", "fold", "a", "b"])
-
-        def done(block: int) -> Iterator[pa.RecordBatch]:
-            for key in list(waiting):
-                flush(*key)
-            u, n = by_order(pairs.pop(block))
-            of = shard_of(u, SHARDS * parts)
-            order = np.argsort(of, kind="stable")
-            ps, at = np.unique(of[order], return_index=True)
-            for p, own in zip(ps.tolist(), np.split(order, at[1:]), strict=True):
-                yield row(0, p, block, folds[block], packed(u[own]), zlib.compress(n[own].astype(np.uint32).tobytes(), 1))
-            h, n = merged(vocab.pop(block))
-            of = (h >> np.uint64(40)) % np.uint64(parts)
-            for p in np.unique(of).tolist():
-                yield row(1, p, block, folds[block], h[of == p].tobytes(), n[of == p].tobytes())
-
-        # blocks come one after the other
-        last = None
+        last, fold, texts, ids, held = None, 0, [], [], []
         for b in batches:
             where = b.column(4).to_numpy()
             cuts = [0, *(np.flatnonzero(where[1:] != where[:-1]) + 1).tolist(), len(where)]
-            for k, end in [(k, min(k + 512, z)) for a, z in zip(cuts[:-1], cuts[1:], strict=True) for k in range(a, z, 512)]:
-                if last is not None and where[k] != last:
-                    yield from done(last)
-                last = int(where[k])
-                part = b.slice(k, end - k)
-                seen: dict[tuple[int, bool], list[np.ndarray]] = {}
-                for text, h, fold, block in zip(*(part.column(j).to_pylist() for j in (1, 2, 3, 4)), strict=True):
-                    tokens = tokens_of(text)
-                    folds[block] = fold
-                    seen.setdefault((block, bool(h)), []).append(_hashes(tokens))
-                    waiting.setdefault((block, bool(h)), []).append(x := stream(tokens))
-                    size[block, bool(h)] += len(x)
-                    if size[block, bool(h)] > GROUP:
-                        flush(block, bool(h))
-                for (block, h), own in seen.items():
-                    u, n = np.unique(np.concatenate(own), return_counts=True)
-                    add(vocab, block, u, n * (not h))
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == z:
+                    continue
+                if last is not None and where[a] != last:
+                    yield from done(last, fold, texts, ids, held)
+                    texts, ids, held = [], [], []
+                part = b.slice(a, z - a)
+                last, fold = int(where[a]), part.column(3)[0].as_py()
+                texts += [opened(x).decode() for x in part.column(1).to_pylist()]
+                ids += part.column(0).to_pylist()
+                held += part.column(2).to_pylist()
         if last is not None:
-            yield from done(last)
+            yield from done(last, fold, texts, ids, held)
 
     return rows.mapInArrow(work, RAW)
 
 
-def predicted(pairs: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Path lengths of the ascending pairs, and for each of ``counts`` the stretched predictions along their paths."""
-    sym = (pairs & np.uint64(255)).astype(np.intp)
-    context = pairs >> np.uint64(8)
-    new = np.concatenate([np.ones(min(len(pairs), 1), bool), context[1:] != context[:-1]])
-    number = np.cumsum(new)
-    size = SIZE[sym]
-    first = np.cumsum(size) - size
-    out = [np.empty(int(size.sum()), np.int16) for _ in counts]
-    cuts = [*np.flatnonzero(new)[::CONTEXTS].tolist(), len(pairs)]
-    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        path = _spread(START[sym[lo:hi]], size[lo:hi])
-        rep = np.repeat(np.arange(lo, hi), size[lo:hi])
-        node = (number[rep] - number[lo]) * 256 + NODE[path]
-        for v, n in zip(out, counts, strict=True):
-            sums = np.bincount(2 * node + BIT[path], n[rep], 512 * CONTEXTS).reshape(-1, 2)
-            v[first[lo] : first[lo] + len(path)] = stretched(sums[node])
-    return size, out
-
-
 def _add_pairs(raw: DataFrame) -> DataFrame:
     """(block, part, rest, full): predictions for each block's pairs, with and, for tuning blocks, without the tuning documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, parts in _runs(batches):
             blocks, folds, a, b = ([x for p in parts for x in p.column(j).to_pylist()] for j in (1, 2, 3, 4))
-            own = [unpacked(x) for x in a]
-            n = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint32) for x in b]).astype(np.int64)
+            own = [from_planes(x, np.uint64) for x in a]
+            n = np.concatenate([unpacked_counts(x) for x in b])
             u, inverse = np.unique(np.concatenate(own), return_inverse=True)
             tuning = np.repeat(folds, [len(x) for x in own]) == 1
             size, (rest, full) = predicted(u, [np.bincount(inverse, n * ~tuning, len(u)), np.bincount(inverse, n, len(u))])
@@ -422,96 +492,106 @@ def _add_pairs(raw: DataFrame) -> DataFrame:
                 mine = inverse[at : at + len(x)]
                 at += len(x)
                 index = _spread(first[mine], size[mine])
-                sent = [zlib.compress(v[index].tobytes(), 1) if want else None for v, want in ((rest, fold), (full, True))]
+                sent = [squeezed(v[index].tobytes()) if want else None for v, want in ((rest, fold), (full, True))]
                 yield pa.record_batch([pa.array([v], t) for v, t in zip((block, int(part), *sent), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "part", "rest", "full"])
 
     n = max(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    own = raw.filter("kind = 0").select("part", "block", "fold", "a", "b").repartition(n, "part").sortWithinPartitions("part", "block")
+    own = raw.select("part", "block", "fold", "a", "b").repartition(n, "part").sortWithinPartitions("part", "block")
     return own.mapInArrow(work, "block int, part int, rest binary, full binary")
 
 
 def _add_tokens(raw: DataFrame) -> DataFrame:
-    """(block, part, h, n, known, total): each block's tokens with their counts in all training texts."""
+    """(block, part, n, known, total): the counts of each block's tokens, in their order, in all training texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, parts in _runs(batches):
             blocks = [x for p in parts for x in p.column(1).to_pylist()]
-            h = [np.frombuffer(x, np.uint64) for p in parts for x in p.column(2).to_pylist()]
-            n = np.concatenate([np.frombuffer(x, np.int64) for p in parts for x in p.column(3).to_pylist()])
+            h = [from_planes(x, np.uint64) for p in parts for x in p.column(2).to_pylist()]
+            n = np.concatenate([unpacked_counts(x) for p in parts for x in p.column(3).to_pylist()])
             u, inverse = np.unique(np.concatenate(h), return_inverse=True)
             total = np.bincount(inverse, n, len(u)).astype(np.int64)
             back, at = total[inverse], 0
             for k, (block, own) in enumerate(zip(blocks, h, strict=True)):
                 stats = (int((total > 0).sum()), int(total.sum())) if k == 0 else (0, 0)
-                yield pa.record_batch([pa.array([v], t) for v, t in zip((block, int(part), own.tobytes(), back[at : at + len(own)].tobytes(), *stats), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["block", "part", "h", "n", "known", "total"])
+                yield pa.record_batch([pa.array([v], t) for v, t in zip((block, int(part), packed_counts(back[at : at + len(own)]), *stats), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["block", "part", "n", "known", "total"])
                 at += len(own)
 
     n = max(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    own = raw.filter("kind = 1").select("part", "block", "a", "b").repartition(n, "part").sortWithinPartitions("part", "block")
-    return own.mapInArrow(work, "block int, part int, h binary, n binary, known long, total long")
-
-
-def _sent(rows: pa.Table, name: str) -> dict[int, bytes]:
-    return {p: v for p, v in zip(rows.column("part").to_pylist(), rows.column(name).to_pylist(), strict=True) if v is not None}
-
-
-def _tuned(rows: DataFrame, answers: DataFrame, parts: int) -> np.ndarray:
-    """Weights fitted online on the tuning documents of each block, averaged by bits."""
-
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        streams, weights = [stream(tokens_of(t)) for t in left.column("text").to_pylist()], initial()
-        bits = score(streams, Counted(streams, SHARDS * parts, _sent(right, "rest")), weights, learn=True)[1]
-        return pa.table({"i": pa.array(range(weights.size), pa.int32()), "w": pa.array(weights.ravel().astype(float) * bits), "n": pa.array([float(bits)] * weights.size)})
-
-    grouped = rows.filter("fold = 1").select("text", "block").groupBy("block").cogroup(answers.filter("rest IS NOT NULL").select("block", "part", "rest").groupBy("block"))
-    got = grouped.applyInArrow(work, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()
-    weights = initial().ravel()
+    own = raw.select("part", "block", "a", "b").repartition(n, "part").sortWithinPartitions("part", "block")
+    return own.mapInArrow(work, "block int, part int, n binary, known long, total long")
+
+
+def _met(rows: pa.Table) -> tuple[Block, pa.Table, dict[int, dict[int, bytes]]]:
+    """The block of some rows (kind, part, a, ..), the row of its texts, and by kind what the partitions sent."""
+    sent: dict[int, dict[int, bytes]] = {0: {}, 1: {}}
+    for kind, part, a in zip(*(rows.column(c).to_pylist() for c in ("kind", "part", "a")), strict=True):
+        if kind < 2:
+            sent[kind][part] = a
+    own = rows.filter(pa.compute.equal(rows.column("kind"), 2))
+    block = Block.unpacked(own.column("a")[0].as_py(), own.column("b")[0].as_py(), own.column("sizes")[0].as_py())
+    return block, own, sent
+
+
+def _tuned(texts: DataFrame, answers: DataFrame, parts: int) -> np.ndarray:
+    """The mixer fitted online on the tuning documents of each block, averaged by bits, as one array."""
+    size = len(Mixer().flat())
+
+    def work(rows: pa.Table) -> pa.Table:
+        block, _, sent = _met(rows)
+        mixer = Mixer()
+        bits = score(block, Inputs(block, parts, sent[0]), mixer, learn=True)[1]
+        return pa.table({"i": pa.array(range(size), pa.int32()), "w": pa.array(mixer.flat().astype(float) * bits), "n": pa.array([float(bits)] * size)})
+
+    rest = answers.filter("rest IS NOT NULL").select(F.lit(0).alias("kind"), "block", "part", F.col("rest").alias("a"))
+    rows = texts.filter("fold = 1").drop("fold").unionByName(rest, allowMissingColumns=True)
+    got = rows.groupBy("block").applyInArrow(work, "i int, w double, n double").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).collect()  # size rows
+    flat = Mixer().flat()
     for r in got:
-        weights[r.i] = r.w
-    return weights.reshape(GATES, K)
+        if r.w is not None:
+            flat[r.i] = r.w
+    return flat
 
 
 def score_texts(docs: DataFrame, held: Column) -> DataFrame:
-    """The contract's columns for (doc_id, text); rows for which ``held`` holds are not learned from."""
+    """The contract's columns and bits_per_byte for (doc_id, text); rows for which ``held`` holds are not learned from."""
     spark = docs.sparkSession
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held"))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held, F.lit(False)).alias("held"))
     chars = given.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    tuning = -(-blocks // TUNE)
-    folds = given.select("*", ((F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(TUNE)) == 0) & ~F.coalesce("held", F.lit(False))).cast("int").alias("fold"), F.xxhash64("doc_id", F.md5("text")).alias("hash"))
+    tuning, parts = -(-blocks // TUNE), -(-blocks // SHARE)
+    folds = given.select("*", ((F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(TUNE)) == 0) & ~F.col("held")).cast("int").alias("fold"), F.xxhash64("doc_id", F.md5("text")).alias("hash"))
     rows = folds.select("doc_id", "text", "held", "fold", F.when(F.col("fold") == 1, blocks + F.pmod("hash", F.lit(tuning))).otherwise(F.pmod("hash", F.lit(blocks))).cast("int").alias("block"))
-    raw = stored(_gather(rows.repartition(blocks + tuning, "block").sortWithinPartitions("block"), blocks), "gathered")
-    answers = stored(_add_pairs(raw), "answers")
-    weights = _tuned(rows, answers, blocks)
-    vocab = stored(_add_tokens(raw), "tokens")
-    dropped(raw)
+    raw = _gather(_small(rows).repartition(blocks + tuning, "block").sortWithinPartitions("block"), parts)
+    asked, words, texts = stored_by(raw, "kind", (0, 1, 2), "gathered")
+    answers = stored(_add_pairs(asked), "answers")
+    vocab = stored(_add_tokens(words), "tokens")
+    dropped(asked)
+    dropped(words)
+    texts = texts.select(F.lit(2).alias("kind"), "block", "fold", "a", "b", "ids", "held", "sizes")
+    mixed_by = _tuned(texts, answers, parts)
     stats = vocab.agg(F.sum("known").alias("known"), F.sum("total").alias("total")).first()
     known, total = stats.known or 0, stats.total or 0
 
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        answered = right.filter(pc.is_valid(right.column("full")))
-        right = right.filter(pc.is_valid(right.column("h")))
-        tables = Counted([stream(tokens_of(t)) for t in left.column("text").to_pylist()], SHARDS * blocks, _sent(answered, "full"))
-        h = np.concatenate([np.frombuffer(x, np.uint64) for x in right.column("h").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, np.int64) for x in right.column("n").to_pylist()])
-        order = np.argsort(h)
-        h, n = h[order], n[order]
+    def work(rows: pa.Table) -> pa.Table:
+        block, own, sent = _met(rows)
+        h, at = block.hashes()
+        n = np.empty(len(h), np.int64)
+        for p, mine in by_part((h >> np.uint64(40)) % np.uint64(parts)):
+            n[mine] = unpacked_counts(sent[1][p])
+        n = n[at]
         ln = np.log10((n + 0.1) / (total + 0.1 * (known + 1))) if total else np.full(len(n), np.nan)
-        out: list[list] = [[], [], [], []]
-        for k in range(0, left.num_rows, 1024):
-            tokens = [tokens_of(t) for t in left.column("text").slice(k, 1024).to_pylist()]
-            for x in tokens:
-                at = np.searchsorted(h, _hashes(x))
-                out[0].append(len(at))
-                out[1].append(int((n[at] > 0).sum()))
-                out[2].append(float(ln[at].sum()) if total else None)
-            out[3] += (score([stream(x) for x in tokens], tables, weights)[0] / np.log(10)).tolist()
-        rows_ = len(out[0])
-        return pa.table({"doc_id": left.column("doc_id").combine_chunks(), "held_out": left.column("held").combine_chunks(), "n_tokens": pa.array(out[0], pa.int64()), "n_known": pa.array(out[1], pa.int64()), "train_tokens": pa.array([total] * rows_, pa.int64()), "base_score": pa.array(out[2], pa.float64()), "score": pa.array(out[3], pa.float64())})
-
-    both = vocab.select("block", "h", "n").unionByName(answers.select("block", "part", "full"), allowMissingColumns=True)
-    grouped = rows.select("doc_id", "text", "held", "block").groupBy("block").cogroup(both.groupBy("block"))
-    return grouped.applyInArrow(work, SCORED)
+        first = np.cumsum(block.sizes) - block.sizes
+        base = np.add.reduceat(ln[block.seq], first)
+        got = score(block, Inputs(block, parts, sent[0]), Mixer.of(mixed_by))[0]
+        chars = np.add.reduceat(block.length[block.seq], first)
+        return pa.table({
+            "doc_id": pa.array(own.column("ids")[0].as_py(), pa.int64()), "held_out": pa.array(own.column("held")[0].as_py(), pa.bool_()), "n_tokens": pa.array(block.sizes), "n_known": pa.array(np.add.reduceat((n > 0)[block.seq].astype(np.int64), first)),
+            "train_tokens": pa.array(np.full(len(first), total), pa.int64()), "base_score": pa.array(base, pa.float64(), mask=np.full(len(first), not total)), "score": pa.array(got / np.log(10)), "bits_per_byte": pa.array(-got / np.log(2) / chars),
+        })
+
+    full = answers.select(F.lit(0).alias("kind"), "block", "part", F.col("full").alias("a"))
+    counts = vocab.select(F.lit(1).alias("kind"), "block", "part", F.col("n").alias("a"))
+    return texts.drop("fold").unionByName(full, allowMissingColumns=True).unionByName(counts, allowMissingColumns=True).groupBy("block").applyInArrow(work, SCORED)
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
