@@ -63,6 +63,11 @@ def render_json(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id").agg(F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["s"]), ","), F.lit("]")).alias("body"), F.count("*").alias("hits"))
 
 
+def cli_rows(hits: DataFrame) -> DataFrame:
+    """(query_id, rank, line) of hits (query_id, rank, file, first, last, score, text): score, place and first line."""
+    return hits.select("query_id", "rank", F.format_string("%.4f %s:%d-%d %s", "score", "file", "first", "last", T.preview_line(F.col("text"))).alias("line"))
+
+
 def grep(texts: DataFrame, words: list[str]) -> DataFrame:
     low = F.lower("text")
     return texts.filter(F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(low, w)))

@@ -189,6 +189,11 @@ def render_md(spark, sf):
     return S.render_markdown(x)
 
 
+@q("cli_rows", f"{HITS} SELECT query_id, rank, printf('%.4f %s:%d-%d %s', score, file, 1, length(text) - length(replace(text, chr(10), '')) + 1, coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '')[1], '')) AS line FROM hits WHERE rank <= 5")
+def cli_rows(spark, sf):
+    return S.cli_rows(hits(spark, sf, 5).withColumn("first", F.lit(1)).withColumn("last", F.size(F.split("text", "\n"))))
+
+
 @q("grep_any", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') OR contains(lower(text), 'token') OR contains(lower(text), '@mail')")
 def grep_any(spark, sf):
     return S.grep(table(spark, sf, "documents").select("doc_id", "text"), ["License", "token", "@mail"]).select("doc_id")
@@ -258,7 +263,10 @@ def debounce_sessions(spark, sf):
     return I.debounced(table(spark, sf, "events").select("ts", "user_id"), "12 hours")
 
 
-@q("debounce_capped")
+@q("debounce_capped", """WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+r AS (SELECT user_id, k, ts, ts AS started, 1 AS s FROM e WHERE k = 1 UNION ALL
+ SELECT e.user_id, e.k, e.ts, CASE WHEN e.ts - r.ts > INTERVAL 12 HOUR OR e.ts - r.started > INTERVAL 24 HOUR THEN e.ts ELSE r.started END, r.s + CASE WHEN e.ts - r.ts > INTERVAL 12 HOUR OR e.ts - r.started > INTERVAL 24 HOUR THEN 1 ELSE 0 END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY user_id, s""")
 def debounce_capped(spark, sf):
     return I.debounced_capped(table(spark, sf, "events"), 12 * 3600, 24 * 3600)
 
@@ -443,19 +451,36 @@ def migration_dirs(spark, sf):
     return D.migration_dirs(MIG.df(spark))
 
 
-@q("ddl_tables")
+@q("ddl_tables", """SELECT * FROM (VALUES
+ ('db/V1__init.sql', 0, 'table', 'users', 'TABLE users|  id BIGINT PRIMARY KEY|  email TEXT NOT NULL|  name VARCHAR(20)|  CONSTRAINT uq UNIQUE (email)|  INDEX ix_email (email)'),
+ ('db/V2__more.sql', 0, 'view', 'v', 'VIEW v AS SELECT id FROM users'), ('db/V2__more.sql', 1, 'alter', 'users', 'ALTER TABLE users ADD COLUMN age INT DEFAULT 0'),
+ ('db/V2__more.sql', 2, 'alter', 'users', 'ALTER TABLE users RENAME COLUMN name TO full_name'), ('db/V3__drop.sql', 0, 'table', 's.log', 'TABLE s.log|  at TIMESTAMP|  msg TEXT'),
+ ('db/V3__drop.sql', 1, 'alter', 'users', 'ALTER TABLE users DROP COLUMN age, ALTER COLUMN email TYPE VARCHAR(99)'), ('db/V3__drop.sql', 2, 'alter', 'users', 'ALTER TABLE users DROP CONSTRAINT uq'),
+ ('db/V3__drop.sql', 3, 'alter', 'users', 'ALTER TABLE users OWNER TO admin'), ('other/schema.sql', 0, 'table', 'Odd Name', 'TABLE Odd Name|  a int|  b text default ''x;y''|  UNIQUE INDEX u1 (a, b)')
+) AS t(path, seq, kind, name, b), LATERAL (SELECT replace(b, '|', chr(10)) AS body)""".replace("SELECT * FROM (VALUES", "SELECT path, CAST(seq AS INTEGER) AS seq, kind, name, body FROM (VALUES"))
 def ddl_tables(spark, sf):
     return D.parsed(spark.createDataFrame(D.EXAMPLES, "path string, text string"))
 
 
-@q("fold_migrations")
+@q("fold_migrations", """SELECT dir, CAST(seq AS INTEGER) AS seq, kind, name, replace(b, '|', chr(10)) AS body FROM (VALUES
+ ('db', 0, 'table', 'users', 'TABLE users|  id BIGINT PRIMARY KEY|  email VARCHAR(99) NOT NULL|  full_name VARCHAR(20)|  INDEX ix_email (email)'), ('db', 1, 'table', 's.log', 'TABLE s.log|  at TIMESTAMP|  msg TEXT'),
+ ('db', 2, 'view', 'v', 'VIEW v AS SELECT id FROM users'), ('db', 3, 'alter', 'users', 'ALTER TABLE users OWNER TO admin')) AS t(dir, seq, kind, name, b)""")
 def fold_migrations(spark, sf):
     return D.folded(spark.createDataFrame(D.EXAMPLES, "path string, text string"))
 
 
-@q("extract_defs")
+@q("extract_defs", """SELECT * FROM (VALUES
+ ('a.py', 'A.f(q) 4-5, g(z) 6-7', 'A', 'ValueError@f, z.run@g, p.join@g', 'p, y', 'ValueError'),
+ ('b.go', 'S.Run(x) 4-4, main() 5-5', 'S', 'Get@Run, Run@main', 'http', ''),
+ ('c.ts', 'W.draw(x) 3-3, go() 5-5', 'W', 'this.paint@draw, Error@draw, a@go', 'a', 'Error'),
+ ('d.rs', 'P.area() 3-3', 'P', 'sq@area', 'fmt', '')) AS t(path, functions, classes, calls, imports, raises)""")
 def extract_defs(spark, sf):
-    return G.extracted(spark.createDataFrame(G.EXAMPLES, "path string, text string")).select("path", F.size("functions").alias("functions"), F.size("classes").alias("classes"), F.size("call_refs").alias("calls"), F.size("imports").alias("imports"))
+    x = G.extracted(spark.createDataFrame(G.EXAMPLES, "path string, text string"))
+    listed = lambda c, f: F.array_join(F.transform(c, f), ", ").alias(c)
+    owner = lambda name, of: F.concat(F.when(of != "", F.concat(of, F.lit("."))).otherwise(""), name)
+    fn = lambda f: F.concat(owner(f["name"], f["enclosing_class"]), F.lit("("), F.array_join(f["params"], ", "), F.lit(") "), f["start_line"], F.lit("-"), f["end_line"])
+    call = lambda c: F.concat(owner(c["callee"], c["receiver"]), F.lit("@"), c["enclosing_symbol"])
+    return x.select("path", listed("functions", fn), listed("classes", lambda c: c["name"]), F.array_join(F.transform("call_refs", call), ", ").alias("calls"), F.array_join("imports", ", ").alias("imports"), F.array_join("raises", ", ").alias("raises"))
 
 
 @q("encode_mean", f"""WITH {CORPUS}, {terms_sql('corpus', 'chunk_id', 'text', 'terms')}, n AS (SELECT count(*) AS n FROM embeddings), w AS (SELECT chunk_id, length(term) % (SELECT n FROM n) AS vec_id, 1.0::DOUBLE + length(term) % 3 AS w FROM terms),
@@ -473,7 +498,8 @@ def search_response(spark, sf):
     return S.render_json(S.within_budget(hits(spark, sf, 5), 4000))
 
 
-@q("mode_downgrade")
+@q("mode_downgrade", """WITH m(mode) AS (VALUES ('bm25'), ('semantic'), ('hybrid'), ('hybrid-rerank')), b(x) AS (VALUES (true), (false))
+SELECT mode, v.x AS vectors, s.x AS scorer, CASE WHEN mode = 'bm25' OR NOT v.x THEN 'bm25' WHEN mode = 'hybrid-rerank' AND NOT s.x THEN 'hybrid' ELSE mode END AS served FROM m, b v, b s""")
 def mode_downgrade(spark, sf):
     from ..sources.index import MODES, resolve_mode
 
