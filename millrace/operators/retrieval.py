@@ -100,7 +100,7 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, itself: bool = True) ->
     """(query_id, chunk_id, score, rank): the k largest dot products of (query_id, qvec) with (chunk_id, vec), in double.
 
     Every query meets every vector, as the exact scan asks, in blocks: a pair of blocks is one
-    matrix product and keeps k for each query. ``itself``: a vector with the query's own id takes part.
+    matrix product and keeps k for each query, none for a k of 0 or less. ``itself``: a vector with the query's own id takes part.
     """
     pairs = _blocks(vectors, "chunk_id", "vec", 4096, "v").crossJoin(_blocks(queries, "query_id", "qvec", 512, "q"))
     q, c = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
@@ -114,15 +114,21 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, itself: bool = True) ->
                 scores = np.round(np.frombuffer(qcells).reshape(len(qids), -1)[:, :n] @ x.T, 9)
                 out = []
                 for i, own in zip(qids, scores, strict=True):
-                    most = min(k + (not itself), len(own))
+                    most = max(1, min(k + (not itself), len(own)))
                     near = np.flatnonzero(own >= np.partition(own, len(own) - most)[len(own) - most]).tolist()
-                    best = sorted((-own[j], vids[j]) for j in near if itself or vids[j] != i)[:k]
+                    best = sorted((-own[j], vids[j]) for j in near if itself or vids[j] != i)[: max(k, 0)]
                     out += [(i, v, -float(s)) for s, v in best]
                 yield pa.record_batch([pa.array([o[0] for o in out], b.column(3).type.value_type), pa.array([o[1] for o in out], b.column(0).type.value_type), pa.array([o[2] for o in out], pa.float64())], ["query_id", "chunk_id", "score"])
 
     return ranked(pairs.mapInArrow(work, f"query_id {q}, chunk_id {c}, score double"), k)
 
 
+def bulk(queries: DataFrame, most: int = 20) -> DataFrame:
+    """The first ``most`` queries (query_id, query) of a batch by id, with the number of those that are left out."""
+    first = queries.orderBy("query_id").limit(most)
+    return first.crossJoin(queries.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("surplus")))
+
+
 def fuse(arms: list[tuple[DataFrame, Column]]) -> DataFrame:
     """Weighted reciprocal-rank fusion of ranked arms (query_id, chunk_id, rank).
 

@@ -218,8 +218,24 @@ def search_hybrid(spark, sf):
     return out.select("query_id", "rank", "chunk_id", "file", F.round("score", 8).alias("score"))
 
 
-Q["search_bulk"] = lambda spark, sf: r6(R.ranked(R.bm25(asked(spark, sf).orderBy("query_id").limit(20), corpus(spark, sf)), 5).select("query_id", "rank", "chunk_id", "score"), "score")
-O["search_bulk"] = f"WITH {BM25}, {rank_sql('bm25', 5, 'top')} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM top WHERE query_id IN (SELECT query_id FROM asked ORDER BY query_id LIMIT 20)"
+@q("search_bulk", f"WITH {BM25}, {rank_sql('bm25', 5, 'top')} SELECT query_id, rank, chunk_id, round(score, 6) AS score, (SELECT greatest(count(*) - 20, 0) FROM asked) AS surplus FROM top WHERE query_id IN (SELECT query_id FROM asked ORDER BY query_id LIMIT 20)")
+def search_bulk(spark, sf):
+    first = R.bulk(asked(spark, sf))
+    hits = R.ranked(R.bm25(first, corpus(spark, sf)), 5).join(first.select("query_id", "surplus"), "query_id")
+    return r6(hits.select("query_id", "rank", "chunk_id", "score", "surplus"), "score")
+
+
+@q("search_stored", f"WITH {BM25}, {rank_sql('bm25', 5, 'top')} SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM top")
+def search_stored(spark, sf):
+    """The batch against an index that is written to the shared folder and read back."""
+    from uuid import uuid4
+
+    from ..sources import index
+
+    path = f"{index.shared_dir(spark)}/millrace-index-{uuid4().hex}"
+    index.save(corpus(spark, sf), path, "bm25")
+    stored = index.load(spark, path, "bm25")["index"]
+    return r6(R.ranked(R.bm25(asked(spark, sf), stored), 5).select("query_id", "rank", "chunk_id", "score"), "score")
 
 
 @q("search_filtered", f"WITH {BM25}, {rank_sql('bm25', 100, 'fetched')}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM fetched JOIN corpus USING (chunk_id) WHERE lower(string_split(file, '.')[-1]) IN ('py', 'go') AND contains(file, 'src') AND NOT contains(file, '__init__')) SELECT query_id, n AS rank, chunk_id, file, round(score, 6) AS score FROM f WHERE n <= 10")

@@ -17,8 +17,8 @@ STATE = "first timestamp, last timestamp, n long"
 OUT = "path string, first timestamp, last timestamp, n long"
 
 
-def debounced_stream(events: DataFrame, gap_s: int = 2, cap_s: int = 10, delay: str = "10 seconds") -> DataFrame:
-    """Batches of changes per path of a stream (path, ts): closed ``gap_s`` after the last event, ``cap_s`` after the first at the latest.
+def debounced_stream(events: DataFrame, gap_s: int = 2, cap_s: int = 10, delay: str = "10 seconds", by: str = "path") -> DataFrame:
+    """Batches of changes of a stream (path, ts), one timer for each ``by``, a path or the watcher of many: closed ``gap_s`` after the last event, ``cap_s`` after the first at the latest.
 
     Timers run on event time, so a burst that never pauses is still cut at the cap.
     """
@@ -43,7 +43,7 @@ def debounced_stream(events: DataFrame, gap_s: int = 2, cap_s: int = 10, delay:
         if out:
             yield pd.DataFrame(out, columns=["path", "first", "last", "n"])
 
-    return events.withWatermark("ts", delay).select("path", "ts").groupBy("path").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return events.withWatermark("ts", delay).select(F.col(by).alias("path"), "ts").groupBy("path").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout).withColumnRenamed("path", by)
 
 
 class Published:
