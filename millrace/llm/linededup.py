@@ -1,20 +1,21 @@
-"""Line dedup by runs of shared lines.
+"""Line dedup by pairwise alignment with patience diff.
 
-Lines (trimmed of white space, blank ones left out) are known by 96-bit hashes. A run is a
-sequence of lines that follow each other. A run of a document is deleted if it has at least
-``LEAST_WORDS`` words and a document with a smaller id holds it too, whichever that is, at
-whatever place and however often either holds it; so the first copy always stays.
+Lines (trimmed of white space, blank ones left out) are known by 96-bit hashes. A block is a
+sequence of lines that follow each other and have at least ``LEAST_WORDS`` words together. A
+block goes from a document if a document with a smaller id holds it too, whichever that is,
+at whatever place and however often either holds it; so the first copy always stays.
 
-Such runs are found by their least windows: from each line on, the fewest lines that have
-``LEAST_WORDS`` words, and the same from each line back. A run of enough words is the union
-of the least windows in it, and whether a window is one depends on its lines alone, so both
-documents have the same. Equal windows meet by the hash of their lines: each counts its
-smallest id, and all others of the window go. That is exact for all holders of a line
-without forming pairs of documents, so lines of any frequency take part. A window has at
-most ``LEAST_WORDS`` lines, and a line starts one window and ends one.
+Documents meet through rare hashes: not of single lines, of which some are in every third
+document, but of the least windows, from each line on the fewest lines that have
+``LEAST_WORDS`` words, and the same from each line back. A block is the union of the least
+windows in it, and whether a window is one depends on its lines alone, so both documents
+have the same. Each window is followed to its first holder, so a document meets the holders
+of its windows, at most one for each, and lines of any frequency take part.
 
-:func:`patience` aligns one pair of line sequences; all blocks of ``LEAST_WORDS`` words
-that it finds in two documents are such runs.
+Each later document is aligned with each of these holders by patience diff over the lines
+that they share; windows inside the aligned blocks go. What is left, passages in another
+order or more often than in the holder, is aligned with it again, up to ``ROUNDS`` times; a
+window that is still left is a common block by itself and goes as such.
 
 Defined results: null and empty texts have no lines and stay as they are; rows without an
 id are left alone; rows of equal id count as one document and never lose lines to each
@@ -35,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, WORD, stored, table
 
 LEAST_WORDS = 10
+#: Alignments of a pair of documents, before windows are taken one by one.
+ROUNDS = 8
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -120,6 +123,38 @@ def chained(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
+def aligned(own: list[tuple]) -> list[tuple]:
+    """The windows (place, lines, first, last, holder, place in the holder) of one document by alignments with their holders.
+
+    Equal windows tell which lines of the two documents are equal; a line of the holder is known by its first place.
+    """
+    out: list[tuple] = []
+    for holder in sorted({w[4] for w in own}):
+        left = [w for w in own if w[4] == holder]
+        for _ in range(ROUNDS):
+            if not left:
+                break
+            same: dict[int, int] = {}
+            for place, lines, _, _, _, at in left:
+                for k in range(lines):
+                    same.setdefault(place + k, at + k)
+            mine = sorted(same)
+            theirs = sorted(set(same.values()))
+            run: dict[int, int] = {}  # of an aligned line, the first of its block
+            last = None
+            for i, j in patience([same[p] for p in mine], theirs):
+                here = mine[i], theirs[j]
+                run[here[0]] = run[last[0]] if last and here == (last[0] + 1, last[1] + 1) else here[0]
+                last = here
+            done = {w for w in left if (start := run.get(w[0])) is not None and run.get(w[0] + w[1] - 1) == start}
+            if not done:
+                break
+            out += done
+            left = [w for w in left if w not in done]
+        out += left
+    return sorted(out)
+
+
 def joined(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
     """Blocks (first line, last line, lines) of the windows (place, lines, first line, last line), by place, of one document."""
     out: list[list[int]] = []
@@ -171,15 +206,16 @@ def removals(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(id, gone) with gone an array of blocks (first, last, lines), for documents that lose lines."""
     all_ = stored(windows_of(docs.filter("id IS NOT NULL AND text <> ''"), least), "windows")
     # stored, so that a window of many documents may be dealt to several tasks of the join
-    shared = stored(all_.groupBy("h", "g").agg(F.min("id").alias("holder"), F.max("id").alias("other")).filter("holder < other").drop("other"), "shared")
-    later = all_.join(shared.hint("merge"), ["h", "g"]).filter("id > holder").select("id", "place", "lines", "first", "last")
+    first = F.min(F.struct("id", "place"))
+    shared = stored(all_.groupBy("h", "g").agg(first.alias("at"), F.max("id").alias("other")).filter("at.id < other").select("h", "g", F.col("at.id").alias("holder"), F.col("at.place").alias("at")), "shared")
+    later = all_.join(shared.hint("merge"), ["h", "g"]).filter("id > holder").select("id", "place", "lines", "first", "last", "holder", "at")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_ = later.repartition(n, "id").sortWithinPartitions("id", "place")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(doc: int, rows: list) -> pa.RecordBatch:
             kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lines", pa.int32())]))
-            gone = [dict(zip(("first", "last", "lines"), g, strict=True)) for g in joined(rows)]
+            gone = [dict(zip(("first", "last", "lines"), g, strict=True)) for g in joined([w[:4] for w in aligned(rows)])]
             return pa.record_batch([pa.array([doc], pa.int64()), pa.array([gone], kind)], ["id", "gone"])
 
         last, rows = None, []
@@ -189,7 +225,7 @@ def removals(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
                     if rows:
                         yield done(last, rows)
                     last, rows = doc, []
-                rows.append(row)
+                rows.append(tuple(row))
         if rows:
             yield done(last, rows)
 
