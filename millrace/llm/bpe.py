@@ -6,7 +6,9 @@ neighbours by (rank, place); popped entries whose symbols have changed since are
 skipped. Decoding concatenates the vocabulary's byte strings.
 
 Defined results: a null text is empty and has no tokens; texts of any length are taken
-whole; repeated rows are encoded one by one; other columns are ignored.
+whole, in slices of about ``SLICE_CHARS`` characters or one text; merges of equal rank go
+from left to right; repeated rows are encoded one by one; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
+SLICE_CHARS = 32_000_000
 #: Fixed value: the byte-level pre-tokenisation pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: what \s means to the library's pattern engine.
@@ -70,7 +73,7 @@ class ByteBPE:
         back = {c: b for b, c in letters.items()}
         vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        self.ranks = {vocab[a] << 17 | vocab[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.ranks = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(merges)}
         self.made = [vocab[a + b] for a, b in merges]
         self.single = [vocab[letters[b]] for b in range(256)]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -90,7 +93,7 @@ class ByteBPE:
         after = list(range(1, n + 1))
         before = list(range(-1, n))
         # the rank of the merge of each symbol with its right neighbour, for telling stale entries
-        now = [rank_of(a << 17 | b, -1) for a, b in zip(ids, ids[1:])]
+        now = [rank_of(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]
         now.append(-1)
         heap = [rank << 32 | k for k, rank in enumerate(now) if rank >= 0]
         heapq.heapify(heap)
@@ -105,14 +108,14 @@ class ByteBPE:
             after[k] = j = after[j]
             if j < n:
                 before[j] = k
-                rank = now[k] = rank_of(new << 17 | ids[j], -1)
+                rank = now[k] = rank_of(new << 32 | ids[j], -1)
                 if rank >= 0:
                     push(heap, rank << 32 | k)
             else:
                 now[k] = -1
             i = before[k]
             if i >= 0:
-                rank = now[i] = rank_of(ids[i] << 17 | new, -1)
+                rank = now[i] = rank_of(ids[i] << 32 | new, -1)
                 if rank >= 0:
                     push(heap, rank << 32 | i)
         return [i for i in ids if i >= 0]
@@ -191,20 +194,32 @@ def decoded(rows: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return rows.select(id_col, "ids").mapInArrow(work, f"`{id_col}` {kind}, text string")
 
 
+def slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) of a batch, 256 at a time and about ``SLICE_CHARS`` characters."""
+    size = pc.fill_null(pc.utf8_length(b.column(1)), 0).to_pylist()
+    first, n = 0, 0
+    for k, x in enumerate(size):
+        if k > first and (k - first == 256 or n + x > SLICE_CHARS):
+            yield b.slice(first, k - first)
+            first, n = k, 0
+        n += x
+    if len(size) > first:
+        yield b.slice(first)
+
+
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Encode, then decode: digests of both, without moving ids between processes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
+            for part in slices(b):
                 lists = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
                 counts = np.array([len(x) for x in lists], np.int64)
                 ends = np.cumsum(counts)
                 ids = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
                 texts = bpe.decode_all(ids, ends)
-                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids).cast(pa.string())), ",")
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids).cast(pa.large_string())), pa.scalar(",", pa.large_string()))
                 ids_sha = [hashlib.sha256(x.as_buffer() if x.is_valid else b"").hexdigest() for x in joined]
                 text_sha = [hashlib.sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in texts]
                 yield pa.record_batch([part.column(0), pa.array(counts), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
