@@ -10,8 +10,8 @@ written ``\h``, ``\e`` and ``\j``, a backslash is ``\s`` and a colon in a role i
 
 Defined results: a null role or text is empty; a null conversation id is a
 conversation of its own; turns sort by (turn, role, text), null turns first;
-repeated rows stay; an empty table gives an empty result; other columns of the
-input are ignored.
+repeated rows stay; texts of any length are written whole, and one conversation is one
+string; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations

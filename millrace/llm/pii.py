@@ -15,7 +15,7 @@ always stay.
 The patterns are those of the contract with possessive quantifiers and guards that stop a
 second try inside a run that has failed, so a match is the same and time is linear.
 
-Defined results: null and empty texts have no spans; positions count code points from 0,
+Defined results: null and empty texts have no spans; texts of any length are searched whole; positions count code points from 0,
 ends exclusive; repeated rows are searched one by one; empty tables give empty results;
 other columns are ignored by :func:`find_pii` and kept by :func:`redact`.
 """
