@@ -268,8 +268,30 @@ def stretched(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(np.log((ones + 0.3) / (zeros + 0.3)) * UNIT), -127, 127).astype(np.int8)
 
 
-def predicted(pairs: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Path lengths of the ascending pairs, and for each of ``counts`` the stretched predictions along their paths."""
+def coded(values: np.ndarray, first: np.ndarray, size: np.ndarray, alone: np.ndarray) -> bytes:
+    """The predictions of some pairs: for those alone with their context one number, for the others one for each bit."""
+    rest = ~alone
+    return squeezed(np.packbits(alone).tobytes() + np.abs(values[first[alone]]).tobytes() + values[_spread(first[rest], size[rest])].tobytes())
+
+
+def decoded(data: bytes, pairs: np.ndarray) -> np.ndarray:
+    """The predictions along the paths of ``pairs`` as :func:`coded` wrote them."""
+    raw = np.frombuffer(opened(data), np.int8)
+    flags = -(-len(pairs) // 8)
+    alone = np.unpackbits(raw[:flags].view(np.uint8))[: len(pairs)].astype(bool)
+    sym = (pairs & np.uint64(255)).astype(np.intp)
+    size = SIZE[sym]
+    first = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.int8)
+    n = int(alone.sum())
+    sign = 2 * BIT[_spread(START[sym[alone]], size[alone])] - 1
+    out[_spread(first[alone], size[alone])] = sign * np.repeat(raw[flags : flags + n], size[alone])
+    out[_spread(first[~alone], size[~alone])] = raw[flags + n :]
+    return out
+
+
+def predicted(pairs: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Path lengths of the ascending pairs, whether each is alone with its context, and for each of ``counts`` the stretched predictions along their paths."""
     sym = (pairs & np.uint64(255)).astype(np.intp)
     context = pairs >> np.uint64(8)
     new = np.concatenate([np.ones(min(len(pairs), 1), bool), context[1:] != context[:-1]])
@@ -294,7 +316,7 @@ def predicted(pairs: np.ndarray, counts: list[np.ndarray]) -> tuple[np.ndarray,
         for v, n in zip(out, counts, strict=True):
             sums = np.bincount(2 * node + BIT[path], n[rest[rep]], 512 * CONTEXTS)
             v[at] = stretched(sums[2 * node], sums[2 * node + 1])
-    return size, out
+    return size, alone, out
 
 
 class Inputs:
@@ -305,8 +327,9 @@ class Inputs:
     """
 
     def __init__(self, block: Block, parts: int, sent: dict[int, bytes]):
-        values = np.frombuffer(b"".join(opened(sent[p]) for p in sorted(sent)), np.int8)
-        order = np.concatenate([own for _, own in by_part(shard_of(block.pairs, parts))])
+        shards = list(by_part(shard_of(block.pairs, parts)))
+        values = np.concatenate([decoded(sent[p], block.pairs[own]) for p, own in shards])
+        order = np.concatenate([own for _, own in shards])
         size = SIZE[(block.pairs[order] & np.uint64(255)).astype(np.intp)]
         first = np.empty(len(order), np.int64)
         first[order] = np.cumsum(size) - size
@@ -486,13 +509,12 @@ def _add_pairs(raw: DataFrame) -> DataFrame:
             n = np.concatenate([unpacked_counts(x) for x in b])
             u, inverse = np.unique(np.concatenate(own), return_inverse=True)
             tuning = np.repeat(folds, [len(x) for x in own]) == 1
-            size, (rest, full) = predicted(u, [np.bincount(inverse, n * ~tuning, len(u)), np.bincount(inverse, n, len(u))])
+            size, alone, (rest, full) = predicted(u, [np.bincount(inverse, n * ~tuning, len(u)), np.bincount(inverse, n, len(u))])
             first, at = np.cumsum(size) - size, 0
             for block, fold, x in zip(blocks, folds, own, strict=True):
                 mine = inverse[at : at + len(x)]
                 at += len(x)
-                index = _spread(first[mine], size[mine])
-                sent = [squeezed(v[index].tobytes()) if want else None for v, want in ((rest, fold), (full, True))]
+                sent = [coded(v, first[mine], size[mine], alone[mine]) if want else None for v, want in ((rest, fold), (full, True))]
                 yield pa.record_batch([pa.array([v], t) for v, t in zip((block, int(part), *sent), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "part", "rest", "full"])
 
     n = max(int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
