@@ -3,10 +3,14 @@
 Each document has a vector of four transformed statistics in thousandths, kept as whole
 numbers so that sums do not depend on the order of rows: log mean word length, and the roots
 of the shares of symbols and of capitals among word characters and of repeated words.
-For each language and source the minimum-covariance-determinant estimate is sought with
-concentration steps: from medians and median deviations, the three quarters of the
-documents that lie nearest give the next mean and covariance. A document is rejected if
-its squared Mahalanobis distance to the last estimate is over ``CUTOFF``.
+For each language and source the minimum-covariance-determinant estimate is sought from
+three starts around the medians: the median deviations, the covariance of the directions
+(spatial signs) and that of the values cut at twice the deviations. From each start,
+concentration steps go on: the three quarters of the documents that lie nearest give the next
+mean and covariance, ``STEPS`` times. The start whose last covariance has the least
+determinant is the estimate. A document is rejected if its squared Mahalanobis distance to it
+is over ``CUTOFF``. The quarter is cut at a thousandth of the distance, so that it needs
+counts only.
 
 Every step is an aggregate of counts and moments; hot groups are pre-aggregated and
 documents meet their group's row through salted keys. Groups of fewer than ``LEAST``
@@ -14,9 +18,12 @@ documents use those of their language that are as small, and if these are too fe
 ``FLOOR`` squared is added to each variance, so a statistic that is nearly constant does
 not reject documents for tiny differences.
 
+A group of fewer than ``LEAST`` documents has no covariance of its own to speak of; that its
+documents are judged by a wider group is a rule of the method here, not a limit of the work.
+
 Defined results: a null or empty text has no words and fails the base limits; null
 languages and sources are values of their own; repeated rows are judged one by one;
-ties in distance share a verdict; empty tables give empty results; other columns of the
+ties in distance share a verdict; texts of any length are read whole; empty tables give empty results; other columns of the
 input are ignored by :func:`quality_stats` and kept by :func:`keep_good`.
 """
 
@@ -30,6 +37,7 @@ from .common import WORD, let, stored, table
 LEAST = 50
 FLOOR = (120, 60, 60, 120)
 STEPS = 3
+STARTS = 3
 #: Makes the covariance of the nearest three quarters consistent for normal data in 4 dimensions.
 CONSISTENT = 1.485
 CUTOFF = 25.0
@@ -38,6 +46,7 @@ SALTS = 16
 BROADCAST_ROWS = 20_000
 X = ("x1", "x2", "x3", "x4")
 PAIRS = [(i, j) for i in range(4) for j in range(i + 1)]
+CENTRE, FACTOR = [f"m{i + 1}" for i in range(4)], [f"l{i + 1}{j + 1}" for i, j in PAIRS]
 
 
 def _windows(h: Column) -> Column:
@@ -133,35 +142,61 @@ def _distance(rows: DataFrame) -> DataFrame:
 def _moments(rows: DataFrame) -> DataFrame:
     sums = [F.sum(X[i]).alias(f"s{i + 1}") for i in range(4)]
     products = [F.sum(F.col(X[i]) * F.col(X[j])).alias(f"p{i + 1}{j + 1}") for i, j in PAIRS]
-    got = rows.groupBy("g").agg(F.count("*").cast("double").alias("n"), *sums, *products)
-    got = got.select("g", "n", *[(F.col(f"s{i + 1}") / F.col("n")).alias(f"m{i + 1}") for i in range(4)], *[f"p{i + 1}{j + 1}" for i, j in PAIRS])
+    got = rows.groupBy("g", "start").agg(F.count("*").cast("double").alias("n"), *sums, *products)
+    got = got.select("g", "start", "n", *[(F.col(f"s{i + 1}") / F.col("n")).alias(f"m{i + 1}") for i in range(4)], *[f"p{i + 1}{j + 1}" for i, j in PAIRS])
+    cov = {(i, j): (F.col(f"p{i + 1}{j + 1}") / F.col("n") - F.col(f"m{i + 1}") * F.col(f"m{j + 1}")) * CONSISTENT for i, j in PAIRS}
+    return _factor(got, cov).select("g", "start", *CENTRE, *FACTOR, "det")
+
+
+def _factor(rows: DataFrame, cov: dict[tuple[int, int], Column]) -> DataFrame:
+    """The Cholesky factor of each row's covariance plus the floor, and the log of its determinant."""
     for i, j in PAIRS:
-        cov = (F.col(f"p{i + 1}{j + 1}") / F.col("n") - F.col(f"m{i + 1}") * F.col(f"m{j + 1}")) * CONSISTENT + float(FLOOR[i] ** 2 if i == j else 0)
+        c = cov[i, j] + float(FLOOR[i] ** 2 if i == j else 0)
         for k in range(j):
-            cov = cov - F.col(f"l{i + 1}{k + 1}") * F.col(f"l{j + 1}{k + 1}")
-        got = got.withColumn(f"l{i + 1}{j + 1}", F.sqrt(cov) if i == j else cov / F.col(f"l{j + 1}{j + 1}"))
-    return got.select("g", *[f"m{i + 1}" for i in range(4)], *[f"l{i + 1}{j + 1}" for i, j in PAIRS])
+            c = c - F.col(f"l{i + 1}{k + 1}") * F.col(f"l{j + 1}{k + 1}")
+        rows = rows.withColumn(f"l{i + 1}{j + 1}", F.sqrt(c) if i == j else c / F.col(f"l{j + 1}{j + 1}"))
+    return rows.withColumn("det", sum((F.log(f"l{i}{i}") for i in range(2, 5)), F.log("l11")))
 
 
 def _bin() -> Column:
-    return F.floor(8 * F.log(1 + F.col("d2"))).cast("long")
+    return F.floor(1000 * F.log(1 + F.col("d2"))).cast("long")
+
+
+def _starts(rows: DataFrame, few: bool) -> DataFrame:
+    """(g, start, m.., l..): three first estimates of each group, all around its medians."""
+    middle = stored(rows.groupBy("g").agg(*[F.expr(f"percentile({x}, 0.5)").alias(f"m{i + 1}") for i, x in enumerate(X)]), "middle")
+    away = _meet(rows, middle, "g", few).groupBy("g").agg(*[F.expr(f"percentile(abs({x} - m{i + 1}), 0.5)").alias(f"a{i + 1}") for i, x in enumerate(X)])
+    scale = [F.greatest(1.4826 * F.col(f"a{i + 1}"), F.lit(float(FLOOR[i]))).alias(f"a{i + 1}") for i in range(4)]
+    spread = stored(middle.join(away, "g").select("g", *CENTRE, *scale), "spread")
+    u = [((F.col(X[i]) - F.col(f"m{i + 1}")) / F.col(f"a{i + 1}")).alias(f"u{i + 1}") for i in range(4)]
+    scaled = _meet(rows, spread, "g", few).select("g", *u)
+    far = F.greatest(sum((F.col(f"u{i}") * F.col(f"u{i}") for i in range(2, 5)), F.col("u1") * F.col("u1")), F.lit(1e-12))
+    cut = lambda i: F.least(F.greatest(F.col(f"u{i + 1}"), F.lit(-2.0)), F.lit(2.0))
+    whole = lambda x: F.sum(F.floor(1e6 * x + 0.5).cast("long"))  # whole numbers, for sums in any order
+    signs = [whole(4 * F.col(f"u{i + 1}") * F.col(f"u{j + 1}") / far).alias(f"s{i + 1}{j + 1}") for i, j in PAIRS]
+    cuts = [whole(cut(i) * cut(j)).alias(f"c{i + 1}{j + 1}") for i, j in PAIRS]
+    sums = spread.join(scaled.groupBy("g").agg(F.count("*").alias("n"), *signs, *cuts), "g")
+    sums = sums.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    cov = {}
+    for i, j in PAIRS:
+        part = F.when(F.col("start") == 0, F.lit(float(i == j))).when(F.col("start") == 1, F.col(f"s{i + 1}{j + 1}") / 1e6 / F.col("n")).otherwise(F.col(f"c{i + 1}{j + 1}") / 1e6 / F.col("n"))
+        cov[i, j] = part * F.col(f"a{i + 1}") * F.col(f"a{j + 1}")
+    return _factor(sums, cov).select("g", "start", *CENTRE, *FACTOR, "det")
 
 
 def estimates(rows: DataFrame, few: bool) -> DataFrame:
-    """Centre and Cholesky factor of each group g, from rows (g, salt, x1..x4)."""
-    middle = rows.groupBy("g").agg(*[F.expr(f"percentile({x}, 0.5)").alias(f"m{i + 1}") for i, x in enumerate(X)])
-    middle = stored(middle, "middle")
-    spread = _meet(rows, middle, "g", few).groupBy("g").agg(*[F.expr(f"percentile(abs({x} - m{i + 1}), 0.5)").alias(f"a{i + 1}") for i, x in enumerate(X)])
-    factor = [(F.greatest(1.4826 * F.col(f"a{i + 1}"), F.lit(float(FLOOR[i]))) if i == j else F.lit(0.0)).alias(f"l{i + 1}{j + 1}") for i, j in PAIRS]
-    now = stored(middle.join(spread, "g").select("g", *[f"m{i + 1}" for i in range(4)], *factor), "mcd0")
+    """Centre and Cholesky factor of each group g, from rows (g, salt, x1..x4): of the starts the one that ends at the least determinant."""
+    now = stored(_starts(rows, few), "mcd0")
     for step in range(STEPS):
-        bins = _distance(_meet(rows, now, "g", few)).groupBy("g", _bin().alias("b")).count()
-        w = Window.partitionBy("g")
+        bins = _distance(_meet(rows, now, "g", few)).groupBy("g", "start", _bin().alias("b")).count()
+        w = Window.partitionBy("g", "start")
         cut = bins.withColumn("cum", F.sum("count").over(w.orderBy("b"))).withColumn("all", F.sum("count").over(w))
-        cut = cut.filter(4 * F.col("cum") >= 3 * F.col("all")).groupBy("g").agg(F.min("b").alias("cut"))
-        near = _distance(_meet(rows, stored(now.join(cut, "g"), "cut"), "g", few)).filter(_bin() <= F.col("cut"))
+        cut = cut.filter(4 * F.col("cum") >= 3 * F.col("all")).groupBy("g", "start").agg(F.min("b").alias("cut"))
+        near = _distance(_meet(rows, stored(now.join(cut, ["g", "start"]), "cut"), "g", few)).filter(_bin() <= F.col("cut"))
         now = stored(_moments(near), f"mcd{step + 1}")
-    return now
+    # as whole numbers, so that starts that end at one estimate are a tie
+    best = now.groupBy("g").agg(F.min(F.struct(F.floor(1e6 * F.col("det")).alias("det"), "start")).alias("best")).select("g", F.col("best.start").alias("start"))
+    return now.join(best, ["g", "start"]).select("g", *CENTRE, *FACTOR)
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -171,7 +206,7 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     groups = stored(_groups(rows).withColumn("of", F.to_json("of")), "groups")
     few = groups.count() <= BROADCAST_ROWS
     named = _meet(rows.withColumn("of", F.to_json("of")), groups, "of", few, "left")
-    now = estimates(named.filter(~F.col("base_failed")).select("g", "salt", *X), few)
+    now = stored(estimates(named.filter(~F.col("base_failed")).select("g", "salt", *X), few), "mcd")
     seen = _distance(_meet(named, now, "g", few, "left"))
     return seen.withColumn("kept", ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF))
 
