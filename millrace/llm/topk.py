@@ -11,7 +11,8 @@ below the k-th score are left, and the others are probed for the remaining terms
 keep k each, and a window merges them.
 
 Every shard meets every block of ``QUERIES`` queries as one row of two blobs, so a task
-holds one pair of blocks at a time, whatever the input.
+holds one pair of blocks at a time; shards are packed in the order of their numbers, one at a
+time, by as many tasks as there are shards.
 
 Defined results: vectors that are null or hold null or non-finite components take no part;
 missing trailing components count as 0, so vectors of any length compare; rows without an
@@ -37,11 +38,11 @@ SCALE = 1024
 OUT = "query_id long, vec_id long, score long"
 
 
-def _packed(rows: DataFrame, block: str, most: int) -> DataFrame:
+def _packed(rows: DataFrame, block: str, most: int, blocks: int) -> DataFrame:
     """(block, width, ids, cells): rows of a block as blobs of up to ``most`` vectors of float64 whole numbers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        last, held = None, []
 
         def blob(b: int, vecs: list) -> pa.RecordBatch:
             width = max((len(v) for _, v in vecs), default=0)
@@ -52,16 +53,19 @@ def _packed(rows: DataFrame, block: str, most: int) -> DataFrame:
             return pa.record_batch([pa.array([b], pa.int64()), pa.array([cells.shape[1]], pa.int32()), pa.array([ids.tobytes()], pa.large_binary()), pa.array([np.floor(cells * SCALE).tobytes()], pa.large_binary())], ["block", "width", "ids", "cells"])
 
         for batch in batches:
-            for i, b, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = held.setdefault(b, [])
-                own.append((i, v))
-                if len(own) == most:
-                    yield blob(b, held.pop(b))
-        for b, own in held.items():
-            yield blob(b, own)
+            for k in range(0, batch.num_rows, 1024):
+                for i, b, v in zip(*(c.to_pylist() for c in batch.slice(k, 1024).columns), strict=True):
+                    if held and (b != last or len(held) == most):
+                        yield blob(last, held)
+                        held = []
+                    last = b
+                    held.append((i, v))
+        if held:
+            yield blob(last, held)
 
-    n = max(1, rows.sparkSession.sparkContext.defaultParallelism)
-    return rows.select("vec_id", block, "v").repartition(n, block).mapInArrow(work, "block long, width int, ids binary, cells binary")
+    # a task holds one block at a time, for its blocks come one after the other
+    n = max(blocks, rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.select("vec_id", block, "v").repartition(n, block).sortWithinPartitions(block).mapInArrow(work, "block long, width int, ids binary, cells binary")
 
 
 def maxscore(vecs: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +104,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     size = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
     shards, blocks = -(-size.n // SHARD) or 1, -(-size.q // QUERIES) or 1
     spread = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("long")
-    data = stored(_packed(rows.withColumn("b", spread(shards)), "b", SHARD), "shards")
-    asked = stored(_packed(rows.filter("q").withColumn("b", spread(blocks)), "b", QUERIES), "queries")
+    data = stored(_packed(rows.withColumn("b", spread(shards)), "b", SHARD, shards), "shards")
+    asked = stored(_packed(rows.filter("q").withColumn("b", spread(blocks)), "b", QUERIES, blocks), "queries")
     every = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("block"), F.col("width").alias("qwidth"), F.col("ids").alias("qids"), F.col("cells").alias("qcells"))
     met = data.join(every, "block").select("width", "ids", "cells", "qwidth", "qids", "qcells")
 
