@@ -8,13 +8,15 @@ where the cosine is below the ``REJECT`` quantile of that centroid's own texts.
 
 The model is fitted on at most ``PER_LANGUAGE`` labelled texts of each language: those with
 the smallest hash of id and text, so the sample is random, repeatable and bounded. Their
-whole texts are used; only fixed-size vectors come to the driver. At most ``LANGUAGES``
-languages are learned, the most frequent ones (ties: alphabetical).
+whole texts are used. Every language is learned, each in a task of its own; only its
+``CENTROIDS`` vectors come to the driver, so what the driver holds depends on the number of
+languages and not on the rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; where
-nothing is labelled, all texts are ``und``; a null or empty label is no label; repeated
-rows are predicted one by one; texts of any length are read whole; other columns are
-ignored.
+nothing is labelled, all texts are ``und``; a null or empty label is no label; rows of
+equal id and text count once in the sample, and are predicted one by one; of equally near
+centroids the alphabetically first language wins; texts of any length are read whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +29,11 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import dropped, stored, table
 
 DIMS = 4096
-PER_LANGUAGE = 1500
-LANGUAGES = 400
+#: Labelled texts of a language that are learned from at most; up to 1000 Spark limits groups before the shuffle.
+PER_LANGUAGE = 1000
 CENTROIDS = 4
 ROUNDS = 8
 REJECT = 0.005
@@ -52,13 +54,13 @@ def grams(text: str) -> np.ndarray:
 
 
 def _labelled(docs: DataFrame, learn: Column) -> DataFrame:
-    """A bounded sample of labelled texts as vectors: (lang, counts as bytes)."""
+    """A bounded sample of labelled texts as vectors: (lang, counts of grams as bytes)."""
     rows = docs.filter(learn & F.col("text").isNotNull() & (F.coalesce("lang", F.lit("")) != "")).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    named = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    first = rows.drop("text").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("n") <= PER_LANGUAGE)
-    edge = first.groupBy("lang").agg(F.max("h").alias("edge")).join(named, "lang")
-    # at most LANGUAGES rows
-    picked = rows.join(F.broadcast(edge), "lang").filter(F.col("h") <= F.col("edge")).select("lang", "text")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    first = rows.select("lang", "h").distinct().withColumn("n", nth).filter(F.col("n") <= PER_LANGUAGE)
+    edge = first.groupBy("lang").agg(F.max("h").alias("edge"))
+    # a row for each language, as the model has; so texts are not shuffled before they are picked
+    picked = rows.join(F.broadcast(edge), "lang").filter(F.col("h") <= F.col("edge")).dropDuplicates(["lang", "h"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -67,59 +69,86 @@ def _labelled(docs: DataFrame, learn: Column) -> DataFrame:
                 keep = [(lang, grams(t).astype(np.float32).tobytes()) for lang, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if _letter(t)]
                 yield pa.record_batch([pa.array([x for x, _ in keep], pa.string()), pa.array([x for _, x in keep], pa.binary())], ["lang", "counts"])
 
-    return picked.mapInArrow(work, "lang string, counts binary")
+    return picked.select("lang", "text").mapInArrow(work, "lang string, counts binary")
+
+
+def _frequencies(sample: DataFrame) -> tuple[int, np.ndarray]:
+    """How many texts there are, and how many have each gram."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, df = 0, np.zeros(DIMS, np.int64)
+        for b in batches:
+            n += b.num_rows
+            for x in b.column(0).to_pylist():
+                df += np.frombuffer(x, np.float32) > 0
+        yield pa.record_batch([pa.array(range(-1, DIMS), pa.int32()), pa.array([n, *df.tolist()], pa.int64())], ["i", "n"])
+
+    got = {r.i: r.n for r in sample.select("counts").mapInArrow(work, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}  # DIMS + 1 rows
+    return got.get(-1, 0), np.array([got.get(i, 0) for i in range(DIMS)], np.int64)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
+def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return unit(np.log1p(counts) * idf)
+
+
+def clusters(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of one language's unit vectors and their rejection cosines, by k-means on the sphere; starts are the farthest texts, so fits repeat."""
+    c = unit(own.mean(0, keepdims=True))
+    while len(c) < min(CENTROIDS, len(own)):
+        c = np.vstack([c, own[(own @ c.T).max(1).argmin()]])
+    for _ in range(ROUNDS):
+        near = (own @ c.T).argmax(1)
+        c = np.vstack([unit(own[near == j].mean(0, keepdims=True)) if (near == j).any() else c[j : j + 1] for j in range(len(c))])
+    cosine = own @ c.T
+    keep, floor = [], []
+    for j in range(len(c)):
+        mine = cosine[cosine.argmax(1) == j, j]
+        if len(mine) >= 3 or len(own) < 12:  # a centroid of stray texts attracts other languages
+            keep.append(j)
+            floor.append(float(np.quantile(mine, REJECT)) if len(mine) else 0.0)
+    return c[keep].astype(np.float32), np.array(floor)
+
+
 class Centroids:
-    def __init__(self, langs: list[str], of: np.ndarray, centres: np.ndarray, idf: np.ndarray, floor: np.ndarray):
-        self.langs, self.of, self.centres, self.idf, self.floor = langs, of, centres, idf, floor
+    """The model: languages, the language and the rejection cosine of each centroid, and weights of the grams."""
 
-    def vectors(self, counts: np.ndarray) -> np.ndarray:
-        return unit(np.log1p(counts) * self.idf)
+    def __init__(self, rows: list[tuple[str, bytes, float]], idf: np.ndarray):
+        rows = sorted(rows)
+        self.langs, self.idf = [lang for lang, _, _ in rows], idf
+        self.centres = np.array([np.frombuffer(c, np.float32) for _, c, _ in rows])
+        self.floor = np.array([f for _, _, f in rows])
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        near = self.vectors(counts) @ self.centres.T
+        near = vectors(counts, self.idf) @ self.centres.T
         best = near.argmax(1)
         return best, near[np.arange(len(best)), best]
 
 
-def fit(rows: list[tuple[str, np.ndarray]]) -> Centroids | None:
-    """k-means on the sphere for each language; starts are the farthest texts, so fits repeat."""
-    if not rows:
+def fit(sample: DataFrame) -> Centroids | None:
+    """The model of a sample (lang, counts): weights over all of it, then each language in its own task."""
+    n, df = _frequencies(sample)
+    if not n:
         return None
-    rows = sorted(rows, key=lambda r: (r[0], r[1].tobytes()))
-    counts = np.array([c for _, c in rows], np.float32)
-    idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-    model = Centroids(sorted({x for x, _ in rows}), np.empty(0, int), np.empty((0, DIMS)), idf, np.empty(0))
-    names, x = np.array([lang for lang, _ in rows]), model.vectors(counts)
-    of, centres, floor = [], [], []
-    for k, lang in enumerate(model.langs):
-        own = x[names == lang]
-        c = unit(own.mean(0, keepdims=True))
-        while len(c) < min(CENTROIDS, len(own)):
-            c = np.vstack([c, own[(own @ c.T).max(1).argmin()]])
-        for _ in range(ROUNDS):
-            near = (own @ c.T).argmax(1)
-            c = np.vstack([unit(own[near == j].mean(0, keepdims=True)) if (near == j).any() else c[j : j + 1] for j in range(len(c))])
-        cosine = own @ c.T
-        for j in range(len(c)):
-            mine = cosine[cosine.argmax(1) == j, j]
-            if len(mine) >= 3 or len(own) < 12:  # a centroid of stray texts attracts other languages
-                of.append(k)
-                centres.append(c[j])
-                floor.append(float(np.quantile(mine, REJECT)) if len(mine) else 0.0)
-    model.of, model.centres, model.floor = np.array(of), np.array(centres, np.float32), np.array(floor)
-    return model
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+
+    def work(rows: pa.Table) -> pa.Table:
+        counts = np.array([np.frombuffer(x, np.float32) for x in sorted(rows.column("counts").to_pylist())])  # in an order of their own
+        c, floor = clusters(vectors(counts, idf))
+        return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * len(c), pa.string()), "centre": pa.array([x.tobytes() for x in c], pa.binary()), "floor": pa.array(floor, pa.float64())})
+
+    got = sample.groupBy("lang").applyInArrow(work, "lang string, centre binary, floor double").collect()  # CENTROIDS rows a language
+    return Centroids([(r.lang, r.centre, r.floor) for r in got], idf)
 
 
 def identify(docs: DataFrame, learn: Column) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of each (doc_id, text, lang); ``learn`` picks the rows to learn from."""
-    sample = _labelled(docs, learn).limit(PER_LANGUAGE * LANGUAGES).collect()
-    shared = docs.sparkSession.sparkContext.broadcast(fit([(r.lang, np.frombuffer(r.counts, np.float32)) for r in sample]))
+    sample = stored(_labelled(docs, learn), "labelled")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(sample))
+    dropped(sample)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -132,7 +161,7 @@ def identify(docs: DataFrame, learn: Column) -> DataFrame:
                 if at:
                     best, cosine = model.nearest(np.array([grams(texts[j]) for j in at], np.float32))
                     for j, i, c in zip(at, best.tolist(), cosine.tolist(), strict=True):
-                        pred[j], score[j], far[j] = model.langs[model.of[i]], min(1.0, max(0.0, c)), bool(c < model.floor[i])
+                        pred[j], score[j], far[j] = model.langs[i], min(1.0, max(0.0, c)), bool(c < model.floor[i])
                 yield pa.record_batch([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, lang_pred string, score double, rejected boolean")
