@@ -7,12 +7,14 @@ component times the largest such component in the shard. Terms in ascending orde
 are non-essential as long as their bounds add up to less than the k-th best score so far:
 a vector in none of the essential postings cannot enter. Essential terms are summed for
 the vectors in their postings, the vectors whose sum plus the rest of the bounds stays
-below the k-th score are left, and the others are probed for the remaining terms. Shards
-keep k each, and a window merges them.
+below the k-th score are left, and the others are probed for the remaining terms.
 
-Every shard meets every block of ``QUERIES`` queries as one row of two blobs, so a task
-holds one pair of blocks at a time; shards are packed in the order of their numbers, one at a
-time, by as many tasks as there are shards.
+The vectors are dealt to groups, one task each, that hold their shards as the narrowest whole
+numbers, ``HELD`` bytes as float64 (a quarter of it as int16). Every block of ``QUERIES``
+queries then goes through every group as one row of blobs, by a shuffle and never a
+broadcast: its k best of one shard are the start for the next. A group keeps k for each
+query, and a window merges the groups. So the queries are sent once for each group, and the
+driver sees one row of counts.
 
 Defined results: vectors that are null or hold null or non-finite components take no part;
 missing trailing components count as 0, so vectors of any length compare; rows without an
@@ -34,47 +36,51 @@ from .common import stored, table
 
 SHARD = 4096
 QUERIES = 512
+#: Bytes of a group's components as float64.
+HELD = 128_000_000
 SCALE = 1024
 OUT = "query_id long, vec_id long, score long"
 
 
-def _packed(rows: DataFrame, block: str, most: int, blocks: int) -> DataFrame:
-    """(block, width, ids, cells): rows of a block as blobs of up to ``most`` vectors of float64 whole numbers."""
+def _cells(vectors: pa.Array) -> np.ndarray:
+    """Lists of numbers as rows of whole numbers, missing trailing components 0."""
+    flat, ends = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64), vectors.offsets.to_numpy()
+    size = np.diff(ends)
+    out = np.zeros((len(size), max(int(size.max(initial=0)), 1)))
+    out[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(ends[:-1] - ends[0], size)] = np.floor(flat * SCALE)
+    return out
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, []
 
-        def blob(b: int, vecs: list) -> pa.RecordBatch:
-            width = max((len(v) for _, v in vecs), default=0)
-            cells = np.zeros((len(vecs), max(width, 1)))
-            for k, (_, v) in enumerate(vecs):
-                cells[k, : len(v)] = v
-            ids = np.array([i for i, _ in vecs], np.int64)
-            return pa.record_batch([pa.array([b], pa.int64()), pa.array([cells.shape[1]], pa.int32()), pa.array([ids.tobytes()], pa.large_binary()), pa.array([np.floor(cells * SCALE).tobytes()], pa.large_binary())], ["block", "width", "ids", "cells"])
+def _narrow(cells: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest type that holds them."""
+    most = np.abs(cells).max(initial=0)
+    return cells.astype(np.int16 if most < 2**15 else np.int32 if most < 2**31 else np.float64)
+
 
+def _packed(rows: DataFrame, blocks: int) -> DataFrame:
+    """(width, bytes, ids, cells): the rows of each block b as blobs of up to ``QUERIES`` vectors of whole numbers."""
+    most = QUERIES
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                for i, b, v in zip(*(c.to_pylist() for c in batch.slice(k, 1024).columns), strict=True):
-                    if held and (b != last or len(held) == most):
-                        yield blob(last, held)
-                        held = []
-                    last = b
-                    held.append((i, v))
-        if held:
-            yield blob(last, held)
-
-    # a task holds one block at a time, for its blocks come one after the other
-    n = max(blocks, rows.sparkSession.sparkContext.defaultParallelism)
-    return rows.select("vec_id", block, "v").repartition(n, block).sortWithinPartitions(block).mapInArrow(work, "block long, width int, ids binary, cells binary")
-
-
-def maxscore(vecs: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) of one query in one shard, in descending order of (score, -id)."""
+            for k in range(0, batch.num_rows, most):
+                ids, vectors = batch.slice(k, most).columns
+                cells = _narrow(_cells(vectors))
+                yield pa.record_batch([pa.array([cells.shape[1]], pa.int32()), pa.array([cells.itemsize], pa.int32()), pa.array([ids.to_numpy().tobytes()], pa.binary()), pa.array([cells.tobytes()], pa.binary())], ["width", "bytes", "ids", "cells"])
+
+    return rows.repartition(blocks, F.xxhash64("vec_id", "v")).select("vec_id", "v").mapInArrow(work, "width int, bytes int, ids binary, cells binary")
+
+
+def maxscore(vecs: np.ndarray, ids: np.ndarray, high: np.ndarray, low: np.ndarray, query: np.ndarray, own: int, k: int, before: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The k best (ids, scores) of one query in one shard and ``before``, in descending order of (score, -id).
+
+    ``high`` and ``low``: the largest and the least of each component, or 0.
+    """
     n = len(ids)
-    postings = np.where(query > 0, np.maximum(vecs.max(0), 0), np.minimum(vecs.min(0), 0)) * query
+    postings = np.where(query > 0, high, low) * query
     order = np.argsort(postings, kind="stable")
     bounds = np.cumsum(postings[order])  # bounds[j]: of the j + 1 weakest terms
-    best_ids, best = np.empty(0, np.int64), np.empty(0, vecs.dtype)
+    best_ids, best = before
     for at in range(0, n, 1024):
         part = vecs[at : at + 1024]
         theta = best[-1] if len(best) == k else None
@@ -99,28 +105,41 @@ def maxscore(vecs: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) for (vec_id, embedding); ``is_query`` picks the queries."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("q"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind).alias("embedding"), is_query.alias("q"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~bad).withColumnRenamed("embedding", "v")
-    size = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
-    shards, blocks = -(-size.n // SHARD) or 1, -(-size.q // QUERIES) or 1
-    spread = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("long")
-    data = stored(_packed(rows.withColumn("b", spread(shards)), "b", SHARD, shards), "shards")
-    asked = stored(_packed(rows.filter("q").withColumn("b", spread(blocks)), "b", QUERIES, blocks), "queries")
-    every = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("block"), F.col("width").alias("qwidth"), F.col("ids").alias("qids"), F.col("cells").alias("qcells"))
-    met = data.join(every, "block").select("width", "ids", "cells", "qwidth", "qids", "qcells")
+    size = rows.agg(F.count("*").alias("n"), F.count_if("q").alias("q"), F.sum(F.size("v")).alias("cells")).first()
+    shard, cores = SHARD, vectors.sparkSession.sparkContext.defaultParallelism
+    groups = max(-(-8 * (size.cells or 0) // HELD), min(-(-size.n // shard), 2 * cores), 1)
+    asked = stored(_packed(rows.filter("q"), -(-size.q // QUERIES) or 1), "queries")
+    data = rows.select(F.pmod(F.xxhash64("vec_id", "v", F.lit(3)), F.lit(groups)).cast("int").alias("g"), F.lit(0).alias("kind"), "vec_id", "v")
+    every = asked.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(1).alias("kind"), "width", "bytes", "ids", "cells")
+    met = data.unionByName(every, allowMissingColumns=True).repartitionById(groups, F.col("g")).sortWithinPartitions("kind")
+
+    def held(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        cells = _cells(part.column("v"))
+        return _narrow(cells), part.column("vec_id").to_numpy(), np.maximum(cells.max(0), 0), np.minimum(cells.min(0), 0)
+
+    def best(shards: list, ids: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
+        got = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
+        for cells, names, high, low in shards:
+            width = min(cells.shape[1], asks.shape[1])
+            c, high, low, q = cells[:, :width].astype(np.float64), high[:width], low[:width], asks[:, :width]
+            if max(high.max(initial=0), -low.min(initial=0)) * np.abs(q).max(initial=0) * max(width, 1) >= 2**52:
+                c, high, low, q = (np.array([int(x) for x in v.ravel()], object).reshape(v.shape) for v in (c, high, low, q))
+            got = [maxscore(c, names, high, low, v, i, k, b) for i, v, b in zip(ids.tolist(), q, got, strict=True)]
+        score = [max(-(2**63), min(2**63 - 1, int(s))) for _, scores in got for s in scores]
+        return pa.record_batch([pa.array(np.repeat(ids, [len(x) for x, _ in got])), pa.array(np.concatenate([x for x, _ in got]), pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards: list = []
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, qids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
-                cells, qcells = np.frombuffer(r["cells"]).reshape(len(ids), -1), np.frombuffer(r["qcells"]).reshape(len(qids), -1)
-                width = min(r["width"], r["qwidth"])
-                cells, qcells = cells[:, :width], qcells[:, :width]
-                if float(np.abs(cells).max(initial=0)) * float(np.abs(qcells).max(initial=0)) * max(width, 1) >= 2**52:
-                    cells, qcells = (np.array([[int(x) for x in row] for row in c], object).reshape(c.shape) for c in (cells, qcells))
-                got = [maxscore(cells, ids, q, i, k) for i, q in zip(qids.tolist(), qcells, strict=True)]
-                score = [max(-(2**63), min(2**63 - 1, int(s))) for _, scores in got for s in scores]
-                yield pa.record_batch([pa.array(np.repeat(qids, [len(x) for x, _ in got])), pa.array(np.concatenate([x for x, _ in got]), pa.int64()), pa.array(score, pa.int64())], ["query_id", "vec_id", "score"])
+            vecs = int(np.searchsorted(batch.column("kind").to_numpy(), 1))
+            shards += [held(batch.slice(at, min(shard, vecs - at))) for at in range(0, vecs, shard)]
+            for r in batch.slice(vecs).select(["width", "bytes", "ids", "cells"]).to_pylist() if shards else ():
+                cells = np.frombuffer(r["cells"], {2: np.int16, 4: np.int32, 8: np.float64}[r["bytes"]])
+                yield best(shards, np.frombuffer(r["ids"], np.int64), cells.reshape(-1, r["width"]).astype(np.float64))
 
     found = met.mapInArrow(work, OUT)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -333,6 +333,25 @@ def test_topk_over_many_blocks(spark, monkeypatch):
         assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
 
 
+def test_topk_sends_no_queries_by_the_driver(spark, monkeypatch):
+    """Queries reach every group of shards by a shuffle; the best of many groups and shards are merged."""
+    monkeypatch.setattr(topk, "SHARD", 8)
+    monkeypatch.setattr(topk, "QUERIES", 4)
+    monkeypatch.setattr(topk, "HELD", 2000, raising=False)
+    rnd = random.Random(22)
+    rows = [(i, [rnd.choice([-0.5, 0.0, 0.25, 1.0, rnd.uniform(-60, 60)]) for _ in range(rnd.choice([0, 3, 5]))]) for i in range(400)]
+    rows += [(400, [1e6, -1e7]), (401, [1e12, 1.0])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 7)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    for q in range(0, 401, 20):
+        best = sorted((-min(2**63 - 1, sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q)[:7]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
 # --- 7 ---------------------------------------------------------------------------------------------
 def test_language_id(spark):
     from pyspark.sql import Row
