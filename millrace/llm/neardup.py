@@ -50,7 +50,8 @@ PLACES, DISTANCE = CHUNKS * WIDTH, CHUNKS * (ERRORS + 1) - 1
 SLICE = 4_000_000
 #: Buckets up to this size are searched for nodes without a partner in reach, which leave; larger ones keep all.
 SMALL = 64
-REMEMBERED = 500_000
+#: Words of a Python worker whose hashes are kept; every worker of an executor has its own.
+REMEMBERED = 50_000
 _rng = np.random.default_rng(20240607)
 _MULT = _rng.integers(0, 2**63, PLACES, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 2**63, PLACES, np.uint64)

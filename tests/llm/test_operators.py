@@ -491,6 +491,18 @@ def test_large_families_are_dealt(spark, monkeypatch):
     assert out == plain_components(texts, 2)
 
 
+def test_word_hashes_take_little_memory():
+    """However many distinct words a Python worker meets; forgotten words hash as before."""
+    import sys
+
+    first = neardup.shingles("a b c d e f", 5)
+    for k in range(200):
+        neardup.shingles(" ".join(f"word{k}x{j}" for j in range(1000)), 5)
+    held = sys.getsizeof(neardup._HASHES) + sum(sys.getsizeof(w) + sys.getsizeof(h) for w, h in neardup._HASHES.items())
+    assert held < 16_000_000
+    assert (neardup.shingles("a b c d e f", 5) == first).all()
+
+
 # --- 9 ---------------------------------------------------------------------------------------------
 def test_patience():
     assert linededup.patience(list("abcde"), list("xbcye")) == [(1, 1), (2, 2), (4, 4)]
