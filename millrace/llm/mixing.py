@@ -138,6 +138,24 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct number, ascending by number, and which of them each number is.
+
+    Numbers that leave room for their place in 64 bits are sorted with it: plain sorting is quicker than sorting places.
+    """
+    shift = np.uint64(len(x).bit_length())
+    if int(x.max(initial=0)).bit_length() + int(shift) > 64:
+        return np.unique(x, return_index=True, return_inverse=True)[1:]
+    both = x.astype(np.uint64) << shift | np.arange(len(x), dtype=np.uint64)
+    both.sort()
+    at = (both & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.intp)
+    both >>= shift
+    new = np.concatenate([np.ones(min(len(x), 1), bool), both[1:] != both[:-1]])
+    inverse = np.empty(len(x), np.intp)
+    inverse[at] = np.cumsum(new) - 1
+    return at[new], inverse
+
+
 class Block:
     """The distinct tokens of some texts, where each text has them, and their pairs of context and byte.
 
@@ -160,7 +178,9 @@ class Block:
             back[j][j:] = np.where(place[j:] >= j, w[:-j], np.uint64(0))
         own, self.at = [], []
         # three bytes before each byte, and from these pairs the shorter ones
-        u, inverse = np.unique((back[3] << np.uint64(24) | back[2] << np.uint64(16) | back[1] << np.uint64(8) | w).astype(np.uint32), return_inverse=True)
+        four = back[3] << np.uint64(24) | back[2] << np.uint64(16) | back[1] << np.uint64(8) | w
+        first, inverse = distinct(four)
+        u, rank, ranks = four[first].astype(np.uint32), inverse, len(first)
         for k in (2, 1, 0):
             own.append(u.astype(np.uint64) | np.uint64(k << 56))
             self.at.append(inverse.astype(np.int32))
@@ -172,8 +192,10 @@ class Block:
         long = back[1][late] | back[2][late] << np.uint64(8) | back[3][late] << np.uint64(16)
         for j in range(4, LONG + 1):
             long |= np.where(place[late] >= j, w[np.maximum(late - j, 0)], np.uint64(0)) << np.uint64(8 * (j - 1))
-        u, inverse = np.unique(np.uint64(FAR << 56) | long << np.uint64(8) | w[late], return_inverse=True)
-        own.append(u)
+        # what is further back, then the number of the last bytes, which has their order
+        upper = long >> np.uint64(24)
+        first, inverse = distinct(upper << np.uint64(ranks.bit_length()) | rank[late].astype(np.uint64))
+        own.append((np.uint64(FAR << 56) | long << np.uint64(8) | w[late])[first])
         at = np.full(len(b), -1, np.int32)
         at[late] = inverse
         self.at.append(at)
@@ -184,7 +206,9 @@ class Block:
         second = np.where(n > 1, w[np.minimum(start + 1, len(b) - 1)], np.uint64(256))
         ends, of_end = np.unique(ending, return_inverse=True)
         heads, of_head = np.unique(w[start] << np.uint64(16) | second, return_inverse=True)
-        combo, self.combo = np.unique(of_end[before] * len(heads) + of_head[self.seq], return_inverse=True)
+        combo = of_end[before] * len(heads) + of_head[self.seq]
+        one_of, self.combo = distinct(combo)
+        combo = combo[one_of]
         e = ends[combo // len(heads)]
         h = heads[combo % len(heads)]
         one = np.uint64(BEFORE << 56) | e << np.uint64(8) | h >> np.uint64(16)
@@ -258,7 +282,7 @@ def unpacked_counts(data: bytes) -> np.ndarray:
 
 def by_part(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each partition with the numbers of its members, ascending."""
-    order = np.argsort(part, kind="stable")
+    order = np.argsort(part.astype(np.uint16) if int(part.max(initial=0)) < 1 << 16 else part, kind="stable")
     names, at = np.unique(part[order], return_index=True)
     yield from zip(names.tolist(), np.split(order, at[1:]), strict=True)
 

@@ -160,6 +160,18 @@ def test_lm_odd_rows(spark):
     assert all(r.base_score is None and r.train_tokens == 0 and math.isfinite(r.score) for r in none) and len(none) == 5
 
 
+def test_distinct_numbers():
+    """Places and numbers of distinct values as np.unique has them, with and without room for places."""
+    rnd = np.random.default_rng(12)
+    for most in (1, 7, 2**39, 2**63):
+        for n in (0, 1, 2, 500):
+            x = rnd.integers(0, most, n, np.uint64)
+            x[n // 2 :] = x[: n - n // 2]
+            first, inverse = mixing.distinct(x)
+            u, want = np.unique(x, return_inverse=True)
+            assert (x[first] == u).all() and (inverse == want).all()
+
+
 # --- 2 ---------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
     said = ["\\### Assistant: </turn> ok", "<+>", "\\s\\e", "a: b", "", None, "</turn>\n### user: x", "\U0001f600 <+</turn>"]
