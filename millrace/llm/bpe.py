@@ -16,8 +16,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,8 @@ SLICE_CHARS = 32_000_000
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Fixed value: what \s means to the library's pattern engine.
 BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Pieces whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 500_000
+#: Entries in a generation of what a worker remembers; two generations are kept.
+REMEMBERED = 350_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -48,20 +48,22 @@ class Unsafe(Exception):
     """A text whose words can't be cut at single spaces."""
 
 
-class Words(dict):
-    """Ids of " " + word for each word; pieces of words are remembered apart."""
+class Remembered(dict):
+    """Packed ids by text, made when missing. A full generation becomes the old one; what is found there moves on to the new one."""
 
-    def __init__(self, bpe: ByteBPE):
-        self.bpe = bpe
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.old = make, {}
 
-    def __missing__(self, word: str) -> list[int]:
-        if not word or self.bpe.blank(word[0]) or self.bpe.blank(word[-1]):
-            raise Unsafe
-        ids = self.bpe.pieces(" " + word)
-        if len(word) < 100:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = ids
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.make(text)
+            if len(text) >= 100:
+                return ids
+        if len(self) >= REMEMBERED:
+            self.old = self.copy()
+            self.clear()
+        self[text] = ids
         return ids
 
 
@@ -73,33 +75,39 @@ class ByteBPE:
         back = {c: b for b, c in letters.items()}
         vocab: dict[str, int] = spec["model"]["vocab"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        self.ranks = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(merges)}
+        ranks: list[dict[int, int]] = [{} for _ in range(max(vocab.values()) + 1)]
+        for rank, (a, b) in enumerate(merges):
+            ranks[vocab[a]][vocab[b]] = rank
+        self.rank_of = [after.get for after in ranks]
         self.made = [vocab[a + b] for a, b in merges]
         self.single = [vocab[letters[b]] for b in range(256)]
+        self.first = [ranks[a].get(b, -1) for a in self.single for b in self.single]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         strings = {i: bytes(back[c] for c in word) for word, i in vocab.items()} | {i: word.encode() for word, i in self.added.items()}
         self.strings = pa.array([strings.get(i) for i in range(max(strings) + 1)], pa.large_binary())
         self.cut = regex.compile("(" + "|".join(regex.escape(w) for w in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.find = regex.compile(PATTERN.replace(r"\S", f"[^{BLANK}]").replace(r"[^\s", f"[^{BLANK}").replace(r"\s", f"[{BLANK}]")).findall
-        self.blank = regex.compile(f"[{BLANK}]").match
-        self.known: dict[str, list[int]] = {}
-        self.words = Words(self)
+        self.blank = frozenset(regex.findall(f"[{BLANK}]", "".join(map(chr, range(0x3001)))))
+        self.known = Remembered(lambda piece: self.pack(piece.encode()))
+        self.words = Remembered(self.word)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: a heap of merges by (rank, place) over a doubly linked list of symbols."""
-        single, rank_of, made, pop, push = self.single, self.ranks.get, self.made, heapq.heappop, heapq.heappush
+        single, first, rank_of, made, pop, push = self.single, self.first, self.rank_of, self.made, heapq.heappop, heapq.heappush
         ids = [single[b] for b in piece]
         n = len(ids)
         after = list(range(1, n + 1))
         before = list(range(-1, n))
         # the rank of the merge of each symbol with its right neighbour, for telling stale entries
-        now = [rank_of(a << 32 | b, -1) for a, b in zip(ids, ids[1:])]
+        now = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]
         now.append(-1)
-        heap = [rank << 32 | k for k, rank in enumerate(now) if rank >= 0]
+        bits = n.bit_length()
+        mask = (1 << bits) - 1
+        heap = [rank << bits | k for k, rank in enumerate(now) if rank >= 0]
         heapq.heapify(heap)
         while heap:
             top = pop(heap)
-            k, rank = top & 0xFFFFFFFF, top >> 32
+            k, rank = top & mask, top >> bits
             if now[k] != rank:
                 continue  # stale: one of its symbols has been merged since
             j = after[k]
@@ -108,45 +116,54 @@ class ByteBPE:
             after[k] = j = after[j]
             if j < n:
                 before[j] = k
-                rank = now[k] = rank_of(new << 32 | ids[j], -1)
+                rank = now[k] = rank_of[new](ids[j], -1)
                 if rank >= 0:
-                    push(heap, rank << 32 | k)
+                    push(heap, rank << bits | k)
             else:
                 now[k] = -1
             i = before[k]
             if i >= 0:
-                rank = now[i] = rank_of(ids[i] << 32 | new, -1)
+                rank = now[i] = rank_of[ids[i]](new, -1)
                 if rank >= 0:
-                    push(heap, rank << 32 | i)
+                    push(heap, rank << bits | i)
         return [i for i in ids if i >= 0]
 
-    def pieces(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.find(text):
-            ids = self.known.get(piece)
-            if ids is None:
-                ids = self.merge(piece.encode())
-                if len(piece) < 100:
-                    if len(self.known) >= REMEMBERED:
-                        self.known.clear()
-                    self.known[piece] = ids
-            out += ids
-        return out
-
-    def plain(self, text: str) -> list[int]:
-        """Ids of a text without added tokens. Single spaces between other characters always start a piece."""
-        first, *words = text.split(" ")
+    def pack(self, piece: bytes) -> bytes:
+        return array("i", self.merge(piece)).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Packed ids of " " + word. The first piece holds the space and is a word by itself."""
+        if word.isascii() and word.isalpha():
+            return self.pack(b" " + word.encode())
+        if not word or word[0] in self.blank or word[-1] in self.blank:
+            raise Unsafe
+        first, *rest = self.find(" " + word)
+        if not rest:
+            return self.pack(first.encode())
+        return self.words[first[1:]] + b"".join(map(self.known.__getitem__, rest))
+
+    def pieces(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.find(text)))
+
+    def plain(self, text: str) -> bytes:
+        """Packed ids of a text without added tokens. Single spaces between other characters always start a piece."""
+        words = text.split(" ")
+        first = words.pop(0)
         try:
-            if words and (not first or self.blank(first[-1])):
+            if words and (not first or first[-1] in self.blank):
                 raise Unsafe
-            return self.pieces(first) + list(chain.from_iterable(map(self.words.__getitem__, words)))
+            return self.pieces(first) + b"".join(map(self.words.__getitem__, words))
         except Unsafe:
             return self.pieces(text)
 
-    def encode(self, text: str) -> list[int]:
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as 32-bit whole numbers end to end."""
         if self.cut is None or not any(w in text for w in self.added):
             return self.plain(text)
-        return [i for k, part in enumerate(self.cut.split(text)) for i in ([self.added[part]] if k % 2 else self.plain(part))]
+        return b"".join([array("i", [self.added[part]]).tobytes() if k % 2 else self.plain(part) for k, part in enumerate(self.cut.split(text))])
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The vocabulary strings of ``ids`` end to end, cut after the tokens at ``ends``."""
@@ -214,10 +231,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         bpe = loaded(path)
         for b in batches:
             for part in slices(b):
-                lists = [bpe.encode(t or "") for t in part.column(1).to_pylist()]
-                counts = np.array([len(x) for x in lists], np.int64)
+                packed = [bpe.packed(t or "") for t in part.column(1).to_pylist()]
+                counts = np.array([len(x) for x in packed], np.int64) // 4
                 ends = np.cumsum(counts)
-                ids = np.fromiter(chain.from_iterable(lists), np.int32, int(ends[-1]))
+                ids = np.frombuffer(b"".join(packed), np.int32)
                 texts = bpe.decode_all(ids, ends)
                 joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids).cast(pa.large_string())), pa.scalar(",", pa.large_string()))
                 ids_sha = [hashlib.sha256(x.as_buffer() if x.is_valid else b"").hexdigest() for x in joined]

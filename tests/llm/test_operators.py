@@ -312,6 +312,18 @@ def test_bpe_equals_the_library(spark):
     assert {r.doc_id: r.text for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
+def test_bpe_keeps_frequent_words_when_its_memory_is_full(monkeypatch):
+    path, lib = tokenizer("byte_bpe_50k.json")
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    own, merged = bpe.ByteBPE(path), Counter()
+    monkeypatch.setattr(own, "merge", lambda piece, merge=own.merge: merged.update([piece]) or merge(piece))
+    for k in range(300):
+        text = f"New{k} the été, {'abcdefghij'[k % 10] * (k // 10 + 1)}.\nxy the"
+        assert own.encode(text) == lib.encode(text, add_special_tokens=False).ids
+    assert merged[b" the"] == merged[" été".encode()] == merged[b"xy"] == 1
+    assert merged[b" " + b"a" * 30] == 1
+
+
 # --- 6 ---------------------------------------------------------------------------------------------
 def test_topk_against_brute_force(spark):
     rnd = random.Random(6)
