@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, linededup, mixing, neardup, packing, pii, quality, topk
+from . import bpe, chat, divergence, langid, lexical, linededup, mixing, neardup, packing, pii, quality, suffixdedup, topk
 
 QUERIES = {
     "op1_lm_score": mixing.op1_lm_score,
@@ -15,8 +15,14 @@ QUERIES = {
     "op8_minhash": neardup.op8_minhash,
     "op9_line_dedup": linededup.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_suffix_dedup": suffixdedup.op12_suffix_dedup,
+    "op13_lexical_search": lexical.op13_lexical_search,
 }
 ORACLES = {
     "op2_chat_format": chat.SQL,
     "op6_topk": topk.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_suffix_dedup": suffixdedup.SQL,
+    "op13_lexical_search": lexical.SQL,
 }
