@@ -40,6 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,7 +129,7 @@ class Block:
         self.ends = np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
 
     def pieces(self, shared: np.ndarray, crowded: np.ndarray, buckets: int):
-        """The block's different pieces in a fixed order (bucket, minimizer, bytes) and their places (piece, start, windows, document)."""
+        """The block's different pieces by bucket and first place (bucket, minimizer, bytes) and their places (piece, start, windows, document)."""
         start, count, h, doc = cut(self.data, self.ends)
         order = np.argsort(shared)
         shared, crowded = shared[order], crowded[order]
@@ -140,15 +141,15 @@ class Block:
             turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             start, count, h, doc, alone = np.repeat(start, times) + turn, np.repeat(np.where(alone, 1, count), times), np.repeat(h, times), np.repeat(doc, times), np.repeat(alone, times)
             h[alone] = [zlib.crc32(self.raw[a : a + LENGTH]) for a in start[alone].tolist()]
-        texts = [self.raw[a : a + c + LENGTH - 1] for a, c in zip(start.tolist(), count.tolist(), strict=True)]
-        of = dict(zip(texts, h.tolist(), strict=True))
-        names = sorted(of)
-        hs = np.array([of[t] for t in names], np.uint64)
+        raw, known = self.raw, {}
+        number = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), (start + count + LENGTH - 1).tolist(), strict=True)], np.int64)
+        names, hs = list(known), np.empty(len(known), np.uint64)
+        hs[number] = h
         bucket = bucket_of(hs, buckets)
         order = np.argsort(bucket, kind="stable")
-        names = [names[i] for i in order.tolist()]
-        number = {t: i for i, t in enumerate(names)}
-        return bucket[order], hs[order], names, np.array([number[t] for t in texts], np.int64), start, count, doc
+        place = np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        return bucket[order], hs[order], [names[i] for i in order.tolist()], place[number], start, count, doc
 
 
 class RunIndex:
@@ -179,7 +180,9 @@ class RunIndex:
         by = np.argsort(self.heads, kind="stable")
         self.steps = np.empty(len(first), np.int64)
         self.steps[by] = np.cumsum(length[by]) - length[by]
-        self.marks = np.unique(np.concatenate([first, first + length - 1, np.flatnonzero(before == 0)]))
+        sampled = before == 0
+        sampled[first] = sampled[first + length - 1] = True
+        self.marks = np.flatnonzero(sampled)
         self.places = order[self.marks]
         a, b = order[1:], order[:-1]
         far = np.minimum(LENGTH - 28 + np.arange(n), n - 1)
@@ -194,7 +197,7 @@ class RunIndex:
         key = np.zeros(n, np.int64)
         for j in range(7):
             key = (key << 9) | np.where(rest > j, padded[j : j + n], 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         fresh = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
         rank = np.empty(n, np.int64)
@@ -205,16 +208,18 @@ class RunIndex:
             if step == 28:
                 near = rank.copy()
             if step >= most and near is not None:
+                alike = np.flatnonzero(~(fresh & np.r_[fresh[1:], True]))
+                order[alike] = order[alike][np.argsort(rank[order[alike]] * n + order[alike])]
                 return order, near
             # slots of groups of two and more, whose members differ later
             open_ = np.flatnonzero(~(fresh & np.r_[fresh[1:], True]))
             members = order[open_]
             second = np.where(rest[members] > step, rank[np.minimum(members + step, n - 1)] + 1, 0)
-            base = rank[members]
-            by = np.lexsort((second, base))
-            members, second, base = members[by], second[by], base[by]
+            both = rank[members] * (n + 1) + second
+            by = np.argsort(both)
+            members, both = members[by], both[by]
             order[open_] = members
-            new = np.r_[True, (base[1:] != base[:-1]) | (second[1:] != second[:-1])] if len(open_) else np.zeros(0, bool)
+            new = np.r_[True, both[1:] != both[:-1]] if len(open_) else np.zeros(0, bool)
             fresh[open_] = new
             rank[members] = open_[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             step *= 2
@@ -338,7 +343,7 @@ def _told(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut_block(buckets: int):
-    """A block's pieces by bucket: minimizer, least doc_id, size and bytes of each."""
+    """A block's pieces by bucket: minimizer, least doc_id, size and compressed bytes of each."""
 
     def work(rows: pa.Table, told: pa.Table) -> pa.Table:
         out: dict[str, list] = {k: [] for k in ("bucket", "block", "grams", "holders", "sizes", "bytes")}
@@ -347,10 +352,10 @@ def _cut_block(buckets: int):
             bucket, h, names, number, _, _, doc = block.pieces(*_told(told), buckets)
             holders = np.full(len(names), LAST)
             np.minimum.at(holders, number, block.ids[doc])
-            sizes = np.array([len(t) for t in names], np.int32)
+            sizes = np.array([len(t) for t in names], np.uint8)
             at = _runs(bucket)
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                for name, value in zip(out, (int(bucket[a]), block.number, h[a:b].tobytes(), holders[a:b].tobytes(), sizes[a:b].tobytes(), b"".join(names[a:b])), strict=True):
+                for name, value in zip(out, (int(bucket[a]), block.number, h[a:b].tobytes(), holders[a:b].tobytes(), sizes[a:b].tobytes(), zstandard.compress(b"".join(names[a:b]), 1)), strict=True):
                     out[name].append(value)
         kinds = dict(zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True))
         return pa.table({k: pa.array(v, kinds[k]) for k, v in out.items()})
@@ -365,9 +370,9 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams: list[np.ndarray] = []
         own = []
         for r in rows:
-            ends = np.cumsum(np.frombuffer(r["sizes"], np.int32)).tolist()
+            ends, raw = np.cumsum(np.frombuffer(r["sizes"], np.uint8), dtype=np.int64).tolist(), zstandard.decompress(r["bytes"])
             before = len(number)
-            places = np.array([number.setdefault(r["bytes"][a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
+            places = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.int64)
             grams.append(np.frombuffer(r["grams"], np.uint64)[places >= before])
             own.append(places)
         holders = np.full(len(number), LAST)
@@ -412,8 +417,9 @@ def _marked(buckets: int, kind: pa.Schema):
             np.add.at(cover, start[late], 1)
             np.add.at(cover, start[late] + count[late] + LENGTH - 1, -1)
             some = block.named[doc] & (block.ids[doc] == first) & (masks != 0)
+            start, masks = start[some], masks[some]
             for j in range(WIDE):
-                at = start[some & (masks >> j & 1 == 1)] + j
+                at = start[masks >> j & 1 == 1] + j
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + LENGTH, -1)
         gone = np.cumsum(cover[:-1]) > 0
