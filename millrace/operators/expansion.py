@@ -24,7 +24,7 @@ def names_of(queries: DataFrame, predicted: DataFrame | None = None) -> DataFram
 
 def boost_embedded(scores: DataFrame, chunks: DataFrame, queries: DataFrame, predicted: DataFrame | None = None) -> DataFrame:
     """Natural queries with cased names inside: defining candidates gain, others with a fitting stem enter."""
-    return R.raised(scores, R.tiers(scores, chunks, names_of(queries.withColumn("whole", F.lit(False)), predicted)))
+    return R.raised(scores, R.tiers(scores, R.definitions(chunks), names_of(queries.withColumn("whole", F.lit(False)), predicted)))
 
 
 def adaptive_head(scores: DataFrame, gap: float, small: int, large: int) -> DataFrame:

@@ -169,26 +169,32 @@ def stem_matches(stem: Column, name: Column) -> Column:
     return (stem == name) | (flat == name) | (F.rtrim(stem, F.lit("s")) == name) | (F.rtrim(flat, F.lit("s")) == name)
 
 
-def defining(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(query_id, symbol, chunk_id, file) of the chunks that define a symbol (query_id, symbol).
+def definitions(chunks: DataFrame) -> DataFrame:
+    """(symbol, folded, chunk_id, file) of the names that chunks define, each once; folded ones are in lower case and match in any."""
+    exact = F.transform(F.array_distinct(defined_names(F.col("text"))), lambda n: F.struct(n.alias("symbol"), F.lit(False).alias("folded")))
+    low = F.array_distinct(F.transform(defined_names(F.col("text"), SQL_KEYWORDS, "(?im)"), F.lower))
+    both = F.concat(exact, F.transform(low, lambda n: F.struct(n.alias("symbol"), F.lit(True).alias("folded"))))
+    return chunks.select("chunk_id", "file", F.inline(both)).select("symbol", "folded", "chunk_id", "file")
+
+
+def defining(found: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(query_id, symbol, chunk_id, file) of the chunks that define a symbol (query_id, symbol), from their :func:`definitions`.
 
-    Each chunk's defined names are found once and meet the symbols by an equi-join.
+    Names meet the symbols by an equi-join in lower case.
     """
-    exact = chunks.select("chunk_id", "file", F.explode(F.array_distinct(defined_names(F.col("text")))).alias("symbol")).join(symbols, "symbol")
-    low = F.array_distinct(F.transform(defined_names(F.col("text"), SQL_KEYWORDS, "(?im)"), F.lower))
-    folded = chunks.select("chunk_id", "file", F.explode(low).alias("low")).join(symbols.withColumn("low", F.lower("symbol")), "low")
-    cols = ["query_id", "symbol", "chunk_id", "file"]
-    return exact.select(*cols).unionByName(folded.select(*cols)).distinct()
+    keyed = found.select(F.lower("symbol").alias("low"), F.col("symbol").alias("name"), "folded", "chunk_id", "file")
+    met = keyed.join(symbols.withColumn("low", F.lower("symbol")), "low").filter(F.col("folded") | (F.col("name") == F.col("symbol")))
+    return met.select("query_id", "symbol", "chunk_id", "file").distinct()
 
 
-def tiers(scores: DataFrame, chunks: DataFrame, names: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, tier, enters) of the chunks that define a name (query_id, symbol, whole) of a query.
+def tiers(scores: DataFrame, defined: DataFrame, names: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, tier, enters) of the chunks that define (:func:`definitions`) a name (query_id, symbol, whole) of a query.
 
     ``whole``: the name is the query itself; its chunks gain more, and only those with its stem enter. For a
     name inside a query or predicted, a stem that begins it lets a chunk enter as well.
     """
     top = scores.groupBy("query_id").agg(F.max("score").alias("top"))
-    found = defining(chunks, names.select("query_id", "symbol")).join(names, ["query_id", "symbol"]).join(top, "query_id").withColumn("stem", F.lower(T.stem(F.col("file"))))
+    found = defining(defined, names.select("query_id", "symbol")).join(names, ["query_id", "symbol"]).join(top, "query_id").withColumn("stem", F.lower(T.stem(F.col("file"))))
     tier = F.col("top") * F.when(F.col("whole"), 3.0).otherwise(1.5) * F.when(stem_matches(F.col("stem"), F.lower("symbol")), 1.5).otherwise(1.0)
     best = found.groupBy("query_id", "chunk_id", "stem").agg(F.max(tier).alias("tier"))
     stem, flat, low = F.col("stem"), F.replace(F.col("stem"), F.lit("_"), F.lit("")), F.lower("symbol")
@@ -211,7 +217,7 @@ def raised(scores: DataFrame, tiers: DataFrame) -> DataFrame:
 
 def boost_definitions(scores: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Symbol queries: defining candidates gain the tier; other chunks with a matching stem enter at the tier."""
-    return raised(scores, tiers(scores, chunks, whole_names(queries)))
+    return raised(scores, tiers(scores, definitions(chunks), whole_names(queries)))
 
 
 def keyword_ratio(query: Column, path: Column) -> Column:
@@ -255,16 +261,20 @@ def saturated(scores: DataFrame, k: int, penalise: bool = True) -> DataFrame:
     return ranked(x.select("query_id", "chunk_id", "file", F.col("eff").alias("score")), k)
 
 
-def boosted(scores: DataFrame, chunks: DataFrame, queries: DataFrame, predicted: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, file, score): symbol queries by definitions, natural ones by stems, then by names in them or predicted."""
+def boosted(scores: DataFrame, chunks: DataFrame, queries: DataFrame, predicted: DataFrame | None = None, index: Index | None = None) -> DataFrame:
+    """(query_id, chunk_id, file, score): symbol queries by definitions, natural ones by stems, then by names in them or predicted.
+
+    An index that stores definitions gives those of the batch's names, and no text is scanned.
+    """
     from .expansion import names_of
 
-    live = chunks.filter(~F.coalesce("deleted", F.lit(False)))
     symbol = T.query_kind(F.col("query")) == "symbol"
     # an empty query has no words that a stem could hold
     stems = boost_stems(scores, queries.select("query_id", F.when(symbol, "").otherwise(F.col("query")).alias("query"))).drop("file")
     names = names_of(queries.withColumn("whole", symbol), predicted)
-    return raised(stems, tiers(stems, live, names)).join(chunks.select("chunk_id", "file"), "chunk_id")
+    stored = getattr(index, "definitions", None)
+    defined = stored(names.select("symbol")) if stored else definitions(chunks.filter(~F.coalesce("deleted", F.lit(False))))
+    return raised(stems, tiers(stems, defined, names)).join(chunks.select("chunk_id", "file"), "chunk_id")
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, qvecs: DataFrame, k: int, alpha: float | None = None, predicted: DataFrame | None = None, index: Index | None = None) -> DataFrame:
@@ -278,9 +288,10 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, qvecs: Dat
     fetch = FETCH * k
     alive = vectors.join(chunks.filter("deleted").select("chunk_id"), "chunk_id", "left_anti")
     dense = knn(qvecs, alive, fetch).join(weight, "query_id")
-    lexical = ranked(bm25(queries, chunks if index is None else index, predicted), fetch).join(weight, "query_id")
+    best = getattr(index, "best", None)
+    lexical = (best(queries, fetch, predicted) if best else ranked(bm25(queries, chunks if index is None else index, predicted), fetch)).join(weight, "query_id")
     fused = fuse([(dense, F.col("alpha")), (lexical, 1 - F.col("alpha"))])
-    out = boosted(coherence(fused, chunks.select("chunk_id", "file")), chunks, queries, predicted)
+    out = boosted(coherence(fused, chunks.select("chunk_id", "file")), chunks, queries, predicted, index)
     return saturated(out, k, alpha is None or alpha < 1)
 
 

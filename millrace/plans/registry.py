@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_rest, q_search, q_text
+from . import q_index, q_rest, q_search, q_text  # noqa: F401  (q_index adds to the queries of q_search)
 
 QUERIES = q_text.Q | q_search.Q | q_rest.Q
 ORACLES = q_text.O | q_search.O | q_rest.O
