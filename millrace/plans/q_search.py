@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import expansion as X
 from ..operators import retrieval as R
+from ..operators.substring import GramIndex, grep_cost, holders
 from .q_text import PENALTY_SQL
 from .sample import ASKED, ASKED2, CORPUS, CORPUS2, PREDICTED, Literal, asked, asked2, corpus, corpus2, table, terms_sql
 
@@ -343,25 +344,14 @@ def expand_centroid(spark, sf):
     return X.expand_centroid(qvecs(spark, sf), X.centroids(corpus(spark, sf), vectors(spark, sf)), 8, 0.3)
 
 
-#: Words of an item by which documents are found before the whole item is looked for in them.
-ANCHOR = 5
 QREL = "qrel AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
 def qrels(spark, sf):
-    """Documents that hold a benchmark item. The pieces of an item between blanks, but the first and last, are
-    pieces of the document, so documents and items meet by the hash of ``ANCHOR`` of them; items with too few meet all."""
-    pieces = F.split("item", " ")
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    b = b.withColumn("key", F.when(F.size(pieces) >= ANCHOR + 2, F.xxhash64(F.slice(pieces, 2, ANCHOR))))
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    own = F.split("text", " ")
-    runs = F.transform(F.sequence(F.lit(1), F.size(own) - ANCHOR + 1), lambda i: F.xxhash64(F.slice(own, i, ANCHOR)))
-    keys = d.filter(F.size(own) >= ANCHOR).select("doc_id", F.explode(runs).alias("key"))
-    met = keys.join(b.filter("key IS NOT NULL"), "key").select("doc_id", "query_id", "item").distinct().join(d, "doc_id")
-    short = d.join(b.filter("key IS NULL"), F.contains("text", "item"))
-    cols = ["query_id", F.col("doc_id").alias("chunk_id")]
-    return met.filter(F.contains("text", "item")).select(*cols).unionByName(short.select(*cols))
+    """Documents that hold a benchmark item, by the items' rarest 3-grams."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"))
+    found = holders(items, table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return found.select(F.col("pattern_id").alias("query_id"), F.col("id").alias("chunk_id"))
 
 
 @q("expand_oracle", f"WITH {BM25}, {QREL}, g AS (SELECT DISTINCT query_id, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM qrel JOIN post USING (chunk_id) JOIN dfs USING (term), stats), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY idf DESC, term) AS rank FROM g WHERE (query_id, term) NOT IN (SELECT query_id, term FROM wanted)) SELECT query_id, rank, term, idf FROM r WHERE rank <= 8")
@@ -395,12 +385,47 @@ def recall_decomp(spark, sf):
     return r6(E.decomposition(bm25_top(spark, sf, 50), qrels(spark, sf), 10), "pool_loss", "rank_loss")
 
 
+COST_SQL = "CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda r: (length(r) + 3) // 4)), 0) + length(regexp_replace(text, '[A-Za-z0-9_ \\t\\n\\r\\x0b\\x0c]', '', 'g')) AS BIGINT)"
+GREP = f"""cost AS (SELECT doc_id, lower(text) AS low, least({COST_SQL}, 20000) AS tokens FROM documents), parts AS (SELECT DISTINCT query_id, term FROM wanted),
+terms_in AS (SELECT term, doc_id FROM (SELECT DISTINCT term FROM parts) JOIN cost ON contains(low, term)), pairs AS (SELECT DISTINCT query_id, doc_id FROM parts JOIN terms_in USING (term)),
+grepped AS (SELECT a.query_id, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, count(p.doc_id) AS matched, coalesce(bool_or(r.chunk_id IS NOT NULL), false) AS recall
+ FROM asked a LEFT JOIN pairs p USING (query_id) LEFT JOIN cost USING (doc_id) LEFT JOIN qrel r ON r.query_id = p.query_id AND r.chunk_id = p.doc_id GROUP BY a.query_id)"""
+
+
+def grepped(spark, sf, rel, literal=False):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return grep_cost(asked(spark, sf), d, T.approx_tokens(F.col("text")).cast("long"), rel.withColumnRenamed("chunk_id", "id"), literal)
+
+
+@q("grep_baseline", f"WITH {ASKED}, {terms_sql('asked', 'query_id', 'query', 'wanted')}, {QREL}, {GREP} SELECT * FROM grepped")
+def grep_baseline(spark, sf):
+    """What an agent reads that greps each term of a query and reads the matching files whole."""
+    return grepped(spark, sf, qrels(spark, sf))
+
+
+@q("grep_literal", f"""WITH {ASKED}, {QREL}, cost AS (SELECT doc_id, lower(text) AS low, least({COST_SQL}, 20000) AS tokens FROM documents), pairs AS (SELECT query_id, doc_id FROM asked JOIN cost ON contains(low, lower(trim(query))))
+SELECT a.query_id, CAST(coalesce(sum(tokens), 0) AS BIGINT) AS tokens, count(p.doc_id) AS matched, coalesce(bool_or(r.chunk_id IS NOT NULL), false) AS recall
+FROM asked a LEFT JOIN pairs p USING (query_id) LEFT JOIN cost USING (doc_id) LEFT JOIN qrel r ON r.query_id = p.query_id AND r.chunk_id = p.doc_id GROUP BY a.query_id""")
+def grep_literal(spark, sf):
+    return grepped(spark, sf, qrels(spark, sf), literal=True)
+
+
+@q("grep_indexed", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, substring(b.text, 20, 12)) WHERE length(substring(b.text, 20, 12)) > 0")
+def grep_indexed(spark, sf):
+    """Twelve characters of each item against all documents, through a stored 3-gram index."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("pattern_id"), F.substring("text", 20, 12).alias("pattern"))
+    index = GramIndex.build(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), buckets=16)
+    return index.holders(items).select(F.col("pattern_id").alias("item_id"), F.col("id").alias("doc_id"))
+
+
 @q("tokens_at_recall", f"""{EVAL}, c AS (SELECT t.query_id, rank, CAST(coalesce(list_sum(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda r: (length(r) + 3) // 4)), 0) + length(regexp_replace(text, '[A-Za-z0-9_ \\t\\n\\r\\x0b\\x0c]', '', 'g')) AS INTEGER) AS tokens, q.chunk_id IS NOT NULL AS rel FROM top t JOIN corpus USING (chunk_id) LEFT JOIN qrel q ON q.query_id = t.query_id AND q.chunk_id = t.chunk_id),
-k AS (SELECT unnest([1, 3, 5, 10]) AS k), s AS (SELECT k, query_id, sum(tokens) AS tokens, count(*) FILTER (rel) AS hits FROM c JOIN k ON rank <= k GROUP BY ALL)
-SELECT k, round(median(tokens), 6) AS median_tokens, round(avg(hits::DOUBLE / n), 6) AS recall FROM s LEFT JOIN n USING (query_id) GROUP BY k""")
+{GREP}, k AS (SELECT unnest([1, 3, 5, 10]) AS k), s AS (SELECT k, query_id, sum(tokens) AS tokens, count(*) FILTER (rel) AS hits FROM c JOIN k ON rank <= k GROUP BY ALL)
+SELECT k, round(median(tokens), 6) AS median_tokens, round(avg(hits::DOUBLE / n), 6) AS recall, (SELECT round(median(tokens), 6) FROM grepped) AS grep_tokens FROM s LEFT JOIN n USING (query_id) GROUP BY k""")
 def tokens_at_recall(spark, sf):
     cost = corpus(spark, sf).select("chunk_id", T.approx_tokens(F.col("text")).alias("tokens"))
-    return r6(E.tokens_at(bm25_top(spark, sf), cost, qrels(spark, sf), [1, 3, 5, 10]), "median_tokens", "recall")
+    rel = qrels(spark, sf)
+    grep = grepped(spark, sf, rel).agg(F.expr("percentile(tokens, 0.5)").alias("grep_tokens"))  # one row
+    return r6(E.tokens_at(bm25_top(spark, sf), cost, rel, [1, 3, 5, 10]).crossJoin(grep), "median_tokens", "recall", "grep_tokens")
 
 
 @q("doc_collapse", f"WITH {BM25}, {rank_sql('bm25', 50, 'top')}, g AS (SELECT query_id, file, max(score) AS score, min(rank) AS first FROM top JOIN corpus USING (chunk_id) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank FROM g) SELECT query_id, rank, file, round(score, 6) AS score FROM r")
