@@ -28,7 +28,9 @@ def snake_parts(name: Column) -> Column:
 def identifier_terms(name: Column) -> Column:
     """The name lower-cased, then its parts where it has two or more; underscores rule out camel case."""
     parts = F.when(name.contains("_"), snake_parts(name)).otherwise(camel_parts(name))
-    return let(parts, lambda p: F.when(F.size(p) >= 2, F.concat(F.array(F.lower(name)), p)).otherwise(F.array(F.lower(name))))
+    split = let(parts, lambda p: F.when(F.size(p) >= 2, F.concat(F.array(F.lower(name)), p)).otherwise(F.array(F.lower(name))))
+    # most names are plain words, which have one part
+    return F.when(name.rlike("^[A-Z]?[a-z]+$"), F.array(F.lower(name))).otherwise(split)
 
 
 def terms(text: Column) -> Column:

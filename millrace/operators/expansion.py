@@ -40,7 +40,7 @@ def mixed(a: Column, b: Column, weight: float) -> Column:
 
 def unit(v: Column) -> Column:
     """A vector at length 1; a zero vector stays."""
-    return F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(0.0))
+    return T.let(norm(v), lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
 
 
 def norm(v: Column) -> Column:
