@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from .sparse import length, weighted_sums
+
 
 def line_windows(docs: DataFrame, key: str, size: int = 50, overlap: int = 5) -> DataFrame:
     """(key, first, last, text): windows of lines; a tail that lies wholly in the overlap is not a window of its own."""
@@ -64,13 +67,19 @@ def packed_chunks(docs: DataFrame, key: str, budget: int = 1500) -> DataFrame:
     return docs.select(key, "text").mapInPandas(work, f"{key} string, first int, last int, text string")
 
 
-def weighted_mean(weights: DataFrame, rows: DataFrame) -> DataFrame:
-    """(chunk_id, vec, norm): unit weighted mean of the rows (vec_id, embedding) of each chunk's (vec_id, w), in double."""
-    folded = weights.groupBy("chunk_id", "vec_id").agg(F.sum("w").alias("w"))
-    cells = folded.join(rows, "vec_id").select("chunk_id", "w", F.posexplode("embedding").alias("i", "x"))
-    mean = cells.groupBy("chunk_id", "i").agg((F.sum(F.col("w") * F.col("x").cast("double")) / F.sum("w")).alias("x"))
-    vec = mean.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return vec.select("chunk_id", F.transform("v", lambda c: F.when(F.col("norm") > 0, c["x"] / F.col("norm")).otherwise(0.0)).alias("vec"), "norm")
+def weighted_mean(weights: DataFrame, rows: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, vec, norm): unit weighted mean of the rows (vec_id, embedding) of each chunk's (vec_id, w), in double.
+
+    Of ``chunks`` (chunk_id), those without weights get a zero vector.
+    """
+    entries = weights.groupBy("chunk_id", "vec_id").agg(F.sum("w").alias("w")).select(F.col("chunk_id").alias("row"), F.col("vec_id").alias("col"), "w")
+    sums = weighted_sums(entries, rows.select(F.col("vec_id").alias("col"), F.col("embedding").alias("vec")))
+    mean = sums.select(F.col("row").alias("chunk_id"), T.let(F.col("total"), lambda n: F.transform("sums", lambda x: x / n)).alias("mean"))
+    if chunks is not None:
+        width = rows.agg(F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("width"))  # one row
+        mean = chunks.select("chunk_id").join(mean, "chunk_id", "left").crossJoin(width).select("chunk_id", F.coalesce("mean", F.array_repeat(F.lit(0.0), F.col("width"))).alias("mean"))
+    norm = mean.withColumn("norm", length(F.col("mean")))
+    return norm.select("chunk_id", F.transform("mean", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("vec"), "norm")
 
 
 def pack_markdown(text: str, budget: int) -> list[tuple[int, int, str]]:

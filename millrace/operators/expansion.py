@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from . import retrieval as R
+from .sparse import weighted_sums
 
 #: Fixed value: a name with capitals inside.
 EMBEDDED = r"\b(?:[A-Z][a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*|[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]+)\b"
@@ -73,9 +74,9 @@ def centroids(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """(term, centroid, norm): unit mean vector of the chunks with a term of middle frequency, and the mean's length."""
     post, df, stats = R.scanned(chunks)
     middle = df.crossJoin(stats).filter((F.col("df") >= 5) & (F.col("df") <= F.greatest(F.lit(50.0), F.col("n") / 100)) & _useful(F.col("term"))).select("term")
-    cells = post.join(middle, "term").join(vectors, "chunk_id").select("term", F.posexplode("vec").alias("i", "x"))
-    means = cells.groupBy("term", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    rows = means.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda c: c["x"]).alias("mean"))
+    entries = post.join(middle, "term").select(F.col("term").alias("row"), F.col("chunk_id").alias("col"), F.lit(1.0).alias("w"))
+    sums = weighted_sums(entries, vectors.select(F.col("chunk_id").alias("col"), "vec"))
+    rows = sums.select(F.col("row").alias("term"), T.let(F.col("total"), lambda n: F.transform("sums", lambda x: x / n)).alias("mean"))
     rows = rows.withColumn("norm", norm(F.col("mean"))).filter("norm > 0")
     return rows.select("term", F.transform("mean", lambda x: x / F.col("norm")).alias("centroid"), "norm")
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import Ordered
+
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(file, change) between two manifests (file, mtime_ns, size)."""
@@ -43,11 +45,8 @@ def reused(texts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def numbered(chunks: DataFrame) -> DataFrame:
-    """chunk_id by (file, seq), from 0. Offsets come from counts by file, whose running sum is taken in one task: a row for each file, not for each chunk."""
-    local = chunks.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("seq")) - 1)
-    counts = chunks.groupBy("file").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return local.join(before, "file").select((F.col("before") + F.col("nth")).alias("chunk_id"), "file", "seq", "text")
+    """chunk_id by (file, seq), from 0: places in ranges of the order, and what lies before each range."""
+    return Ordered(chunks.select("file", "seq", "text"), ["file", "seq", "text"]).numbered("chunk_id").select("chunk_id", "file", "seq", "text")
 
 
 def debounced(events: DataFrame, gap: str) -> DataFrame:

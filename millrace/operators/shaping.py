@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ordering import Ordered
 
 
 SPAN = 64
@@ -25,12 +26,11 @@ def filtered(hits: DataFrame, k: int, extensions: list[str] = (), contains: str
 
 
 def page(rows: DataFrame, order: list[str], offset: int, limit: int, most: int) -> DataFrame:
-    """The rows of a page with total, truncated and overshot."""
+    """The rows of a page with total, truncated and overshot; only the ranges of the order that hold the page are read."""
     offset, limit = max(offset, 0), limit if 0 < limit <= most else most
-    total = rows.agg(F.count("*").alias("total"))
-    cut = rows.orderBy(*order).offset(offset).limit(limit)
-    flags = total.select("total", (F.lit(offset + limit) < F.col("total")).alias("truncated"), ((F.col("total") > 0) & (F.lit(offset) >= F.col("total"))).alias("overshot"))
-    return cut.crossJoin(flags)
+    ordered = Ordered(rows, order)
+    total = ordered.total
+    return ordered.page(offset, limit).select("*", F.lit(total).cast("long").alias("total"), F.lit(offset + limit < total).alias("truncated"), F.lit(0 < total <= offset).alias("overshot"))
 
 
 def within_budget(hits: DataFrame, most: int) -> DataFrame:

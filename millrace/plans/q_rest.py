@@ -14,6 +14,7 @@ from ..operators import extraction as G
 from ..operators import incremental as I
 from ..operators import shaping as S
 from ..operators import structure as U
+from ..operators.ordering import after
 from ..sources import corpus as C
 from .q_search import BM25, bm25_top, rank_sql
 from .q_text import TOKENS_SQL
@@ -172,6 +173,12 @@ def page_window(spark, sf):
     return S.page(corpus(spark, sf).select("chunk_id", "file"), ["chunk_id"], 100, 30, 500)
 
 
+@q("page_after", f"WITH {CORPUS} SELECT chunk_id, file FROM corpus WHERE file > 'src/src1/' OR (file = 'src/src1/' AND chunk_id > 5) ORDER BY file, chunk_id LIMIT 40")
+def page_after(spark, sf):
+    """The page after a key: a filter that reaches the scan, no count of what was passed over."""
+    return after(corpus(spark, sf).select("chunk_id", "file"), ["file", "chunk_id"], {"file": "src/src1/", "chunk_id": 5}, 40)
+
+
 @q("token_budget", f"{HITS}, c AS (SELECT query_id, rank, chunk_id, {TOKENS_SQL} + {TOKENS_SQL.replace('text', 'file')} + 8 AS cost FROM hits), u AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM c) SELECT query_id, rank, chunk_id, CAST(used AS BIGINT) AS used FROM u WHERE rank = 1 OR used <= 2000")
 def token_budget(spark, sf):
     return S.within_budget(hits(spark, sf), 2000).select("query_id", "rank", "chunk_id", "used")
@@ -484,13 +491,13 @@ def extract_defs(spark, sf):
 
 
 @q("encode_mean", f"""WITH {CORPUS}, {terms_sql('corpus', 'chunk_id', 'text', 'terms')}, n AS (SELECT count(*) AS n FROM embeddings), w AS (SELECT chunk_id, length(term) % (SELECT n FROM n) AS vec_id, 1.0::DOUBLE + length(term) % 3 AS w FROM terms),
-x AS (SELECT chunk_id, i, sum(w * embedding[i]::DOUBLE) / sum(w) AS x FROM w JOIN embeddings USING (vec_id), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), z AS (SELECT chunk_id, sqrt(sum(x * x)) AS norm FROM x GROUP BY chunk_id) SELECT chunk_id, CAST(i - 1 AS INTEGER) AS i, round(x / norm, 5) + 0.0 AS x FROM x JOIN z USING (chunk_id)""")
+x AS (SELECT chunk_id, i, sum(w * embedding[i]::DOUBLE) / sum(w) AS x FROM w JOIN embeddings USING (vec_id), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), z AS (SELECT chunk_id, sqrt(sum(x * x)) AS norm FROM x GROUP BY chunk_id) SELECT chunk_id, CAST(i - 1 AS INTEGER) AS i, round(x / norm, 5) + 0.0 AS x FROM x JOIN z USING (chunk_id) UNION ALL SELECT chunk_id, CAST(i AS INTEGER), 0.0 FROM corpus, (SELECT unnest(range(0, 64)) AS i) WHERE chunk_id NOT IN (SELECT chunk_id FROM x)""")
 def encode_mean(spark, sf):
     t = corpus(spark, sf).select("chunk_id", F.explode(T.terms(F.col("text"))).alias("term"))
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
     n = e.agg(F.count("*").alias("n"))
     w = t.crossJoin(n).select("chunk_id", (F.length("term") % F.col("n")).alias("vec_id"), (1.0 + F.length("term") % 3).alias("w"))
-    return P.weighted_mean(w, e).select("chunk_id", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 5) + 0.0)
+    return P.weighted_mean(w, e, corpus(spark, sf)).select("chunk_id", F.posexplode("vec").alias("i", "x")).withColumn("x", F.round("x", 5) + 0.0)
 
 
 @q("search_response", f"{HITS}, c AS (SELECT query_id, rank, file, text, score, {TOKENS_SQL} + {TOKENS_SQL.replace('text', 'file')} + 8 AS cost FROM hits WHERE rank <= 5), u AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM c), r AS (SELECT * FROM u WHERE rank = 1 OR used <= 4000) SELECT query_id, '[' || string_agg('{{\"file\":' || to_json(file) || ',\"rank\":' || rank || ',\"score\":' || printf('%.4f', score) || ',\"text\":' || to_json(text) || '}}', ',' ORDER BY rank) || ']' AS body, count(*) AS hits FROM r GROUP BY query_id")
