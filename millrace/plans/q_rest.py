@@ -16,6 +16,7 @@ from ..operators import shaping as S
 from ..operators import structure as U
 from ..operators.ordering import after
 from ..sources import corpus as C
+from ..sources import history as H
 from .q_search import BM25, bm25_top, rank_sql
 from .q_text import TOKENS_SQL
 from .sample import ASKED, CORPUS, PATH, Literal, asked, corpus, table, terms_sql
@@ -349,9 +350,56 @@ def latency_stats(spark, sf):
     return K.latency(table(spark, sf, "events").select(F.col("event_type").alias("call"), "value"), "call", "value")
 
 
-@q("recent_commits", "SELECT event_id, ts FROM (SELECT event_id, ts, props FROM events WHERE starts_with(event_type, 'p') ORDER BY ts DESC, event_id LIMIT 100)")
+@q("recent_commits", "SELECT event_id, ts FROM (SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 100) WHERE starts_with(event_type, 'p')")
 def recent_commits(spark, sf):
-    return table(spark, sf, "events").filter(F.col("event_type").startswith("p")).select("event_id", "ts").orderBy(F.desc("ts"), "event_id").limit(100)
+    """The newest hundred, and of these the ones that pass; the filter lets no older one in."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("commit"), "ts", "event_type")
+    return H.latest(e, 100).filter(F.col("event_type").startswith("p")).select(F.col("commit").alias("event_id"), "ts")
+
+
+#: A history of the events: ten are a commit; each writes or removes a file of its user. Same text in both engines.
+COMMIT_OF, FILE_OF = "CAST(floor(event_id / 10) AS BIGINT)", "'src/' || event_type || '/u' || CAST(user_id % 40 AS STRING) || '.py'"
+VERSIONS = f"""last AS (SELECT event_id, {COMMIT_OF} AS c, {FILE_OF} AS path, 'b' || CAST(event_id % 60 AS STRING) AS blob, event_id % 9 = 4 AS gone, row_number() OVER (PARTITION BY {COMMIT_OF}, {FILE_OF} ORDER BY event_id DESC) AS k FROM events),
+versions AS (SELECT path, blob, gone, c, coalesce(lead(c) OVER (PARTITION BY path ORDER BY c), 1000000000) AS til FROM last WHERE k = 1)"""
+
+
+@q("recent_changes", f"""WITH {VERSIONS}, commits AS (SELECT {COMMIT_OF} AS c, max(ts) AS ts FROM events GROUP BY ALL), first AS (SELECT *, row_number() OVER (ORDER BY c DESC) AS place FROM commits ORDER BY c DESC LIMIT 40),
+t AS (SELECT f.c, path, blob FROM first f JOIN versions v ON v.c <= f.c AND f.c < v.til WHERE NOT gone), p AS (SELECT f.c, path, blob FROM first f JOIN versions v ON v.c <= f.c - 1 AND f.c - 1 < v.til WHERE NOT gone),
+d AS (SELECT coalesce(t.c, p.c) AS c, coalesce(t.path, p.path) AS path, t.blob AS now, p.blob AS was FROM t FULL JOIN p ON t.c = p.c AND t.path = p.path WHERE t.blob IS DISTINCT FROM p.blob),
+g AS (SELECT c, path, was AS blob, row_number() OVER (PARTITION BY c, was ORDER BY path) AS k FROM d WHERE now IS NULL), n AS (SELECT c, now AS blob, row_number() OVER (PARTITION BY c, now ORDER BY path) AS k FROM d WHERE was IS NULL),
+a AS (SELECT c, path FROM d WHERE now IS NOT NULL UNION ALL SELECT c, path FROM g ANTI JOIN n USING (c, blob, k))
+SELECT first.c AS commit, place, path FROM first JOIN a USING (c) WHERE starts_with(path, 'src/p')""")
+def recent_changes(spark, sf):
+    """The files that the newest forty commits change below a folder, against their first parents."""
+    e = table(spark, sf, "events")
+    # ten events are one commit, in the order of their numbers; some commits are merges
+    commits = e.groupBy(F.expr(COMMIT_OF).alias("commit")).agg(F.max("ts").alias("at")).select("commit", "at", F.timestamp_seconds("commit").alias("ts"))
+    commits = commits.withColumn("parents", F.expr("CASE WHEN commit = 0 THEN array() WHEN commit % 7 = 0 THEN array(commit - 1, commit - 2) ELSE array(commit - 1) END"))
+    top = commits.agg(F.max("commit")).first()[0]
+    rows = e.selectExpr("event_id", f"{COMMIT_OF} AS c", f"{FILE_OF} AS path", "concat('b', event_id % 60) AS blob", "event_id % 9 = 4 AS gone")
+    last = rows.groupBy("path", "c").agg(F.max_by(F.struct("blob", "gone"), "event_id").alias("v"))
+    til = F.coalesce(F.lead("c").over(Window.partitionBy("path").orderBy("c")), F.lit(top + 1))
+    versions = last.select("path", "c", "v.*", til.alias("til")).filter(~F.col("gone") & (F.col("til") > top - 40))
+    whole = F.sequence(F.greatest("c", F.lit(top - 40)), F.least(F.col("til") - 1, F.lit(top)))  # trees of the commits asked for and their parents
+    trees = versions.select(F.explode(whole).alias("commit"), "path", "blob")
+    return H.recent_changes(commits, trees, 40, "src/p").select("commit", "place", F.explode("files").alias("path"))
+
+
+IGNORED_SQL = f"""WITH {CORPUS}, p AS (SELECT DISTINCT file AS path, split_part(file, '/', 1) AS a, split_part(file, '/', 2) AS s, split_part(file, '/', 3) AS b FROM corpus)
+SELECT path, (a = 'src' AND ((starts_with(b, 'doc_1') AND ends_with(b, '.py') AND b <> 'doc_13.py') OR b = '__init__.py')) OR (a = 'tests' AND ends_with(b, '_test.py') AND NOT starts_with(b, 'doc_2'))
+ OR (a = 'compat' AND starts_with(s, 'src1')) OR (a = 'examples' AND regexp_full_match(b, 'doc_3.\\.ts')) OR (a = 'types' AND s = 'src2' AND starts_with(b, 'doc_4') AND ends_with(b, '.d.ts')) AS ignored FROM p"""
+
+
+@q("ignore_corpus", IGNORED_SQL)
+def ignore_corpus(spark, sf):
+    """All paths of the corpus against ignore files in every source's folders."""
+    lines = [("git", "src", 1, "doc_1*.py"), ("git", "src", 2, "!doc_13.py"), ("git", "src", 3, "__init__.py"), ("git", "tests", 1, "*_test.py"), ("git", "tests", 2, "!doc_2*_test.py")]
+    root = [("git", "", 1, "# folders"), ("git", "", 2, "compat/src1*/"), ("git", "", 3, "examples/**/doc_3?.ts"), ("own", "", 1, "types/src2/doc_4*.d.ts"), ("own", "", 2, "!src/**/doc_1*.py"), ("own", "", 3, "doc_50.py/")]
+    folders = table(spark, sf, "documents").select("source").distinct()
+    per = spark.createDataFrame(lines, "family string, top string, seq int, line string")
+    nested = folders.crossJoin(per).select("family", F.concat_ws("/", "top", "source").alias("scope"), "seq", "line")  # five lines a folder
+    rules = C.compiled_rows(nested.unionByName(spark.createDataFrame(root, "family string, scope string, seq int, line string")))
+    return C.ignored(corpus(spark, sf).select(F.col("file").alias("path")).distinct(), rules)
 
 
 # --- catalogue: the driver's tables described as a schema ------------------------------------------

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,16 +125,40 @@ def compiled(spark: SparkSession, lines: list[tuple[str, str, int, str]]) -> Dat
     return spark.createDataFrame(rows, "family string, scope string, seq int, regex string, negate boolean, dir_only boolean")
 
 
+def compiled_rows(lines: DataFrame) -> DataFrame:
+    """As :func:`compiled`, for any number of lines (family, scope, seq, line)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(f, o, n, *rule_regex(r)) for f, o, n, r in zip(b.family, b["scope"], b.seq, b.line, strict=True) if r.strip() and not r.startswith("#")]
+            yield pd.DataFrame(rows, columns=["family", "scope", "seq", "regex", "negate", "dir_only"])
+
+    return lines.select("family", "scope", "seq", "line").filter("line IS NOT NULL").mapInPandas(work, "family string, scope string, seq int, regex string, negate boolean, dir_only boolean")
+
+
 def ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """(path, ignored): the last matching rule of each family decides, inner folders after outer; any ignored ancestor counts."""
+    """(path, ignored): the last matching rule of each family decides, inner folders after outer; any ignored ancestor counts.
+
+    The paths' folders and files, each once, meet the rules of the folders above them by equality. The rules of
+    a folder and family are one row, with all patterns in one that leaves out most names at once.
+    """
     parts = F.split("path", "/")
-    node = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("node"), (i < F.size(parts)).alias("is_dir"))))
-    nodes = paths.select("path", node.alias("n")).select("path", "n.*")
-    inside = (F.col("scope") == "") | F.col("node").startswith(F.concat("scope", F.lit("/")))
-    own = F.when(F.col("scope") == "", F.col("node")).otherwise(F.expr("substring(node, length(scope) + 2)"))
-    met = nodes.join(rules, inside & (F.col("is_dir") | ~F.col("dir_only")) & F.regexp_like(own, F.col("regex")))
-    last = met.groupBy("path", "node", "family").agg(F.max_by(~F.col("negate"), F.length("scope") * 1000 + F.col("seq")).alias("hit"))
-    return paths.join(last.groupBy("path").agg(F.bool_or("hit").alias("hit")), "path", "left").select("path", F.coalesce("hit", F.lit(False)).alias("ignored"))
+    node = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("node"), (i < F.size(parts)).alias("is_dir")))
+    every = paths.select("path").distinct().select("path", F.inline(node))
+    nodes = every.select("node", "is_dir").distinct()
+    own = F.split("node", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(own) - 1), lambda i: F.array_join(F.slice(own, 1, i), "/"))
+    rule = F.struct("seq", "regex", "negate", "dir_only")
+    folders = rules.groupBy("scope", "family").agg(F.array_sort(F.collect_list(rule)).alias("rules"), F.array_join(F.transform(F.collect_set("regex"), lambda r: F.concat(F.lit("(?:"), r, F.lit(")"))), "|").alias("any"))
+    met = nodes.withColumn("scope", F.explode(above)).join(folders, "scope")
+    rest = F.when(F.col("scope") == "", F.col("node")).otherwise(F.expr("substring(node, length(scope) + 2)"))
+    met = met.withColumn("rest", rest).filter(F.regexp_like("rest", F.col("any")))
+    hits = lambda r: (F.col("is_dir") | ~r["dir_only"]) & F.regexp_like(F.col("rest"), r["regex"])
+    says = F.aggregate("rules", F.lit(None).cast("boolean"), lambda acc, r: F.when(hits(r), ~r["negate"]).otherwise(acc))
+    last = met.withColumn("says", says).filter("says IS NOT NULL").groupBy("node", "is_dir", "family").agg(F.max_by("says", F.length("scope")).alias("hit"))
+    hidden = last.filter("hit").select("node", "is_dir").distinct()
+    out = every.join(hidden, ["node", "is_dir"], "left_semi").select("path").distinct().withColumn("ignored", F.lit(True))
+    return paths.join(out, "path", "left").select("path", F.coalesce("ignored", F.lit(False)).alias("ignored"))
 
 
 def allowed_schema(name: Column, engine: str, include: list[str], exclude: list[str]) -> Column:
