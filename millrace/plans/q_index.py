@@ -67,3 +67,21 @@ def search_hybrid_stored(spark, sf):
     heads = chunks.select("chunk_id", "file", "deleted")
     out = R.hybrid(asked2(spark, sf), heads, vectors(spark, sf), qvecs(spark, sf), 10, predicted=PREDICTED.df(spark), index=store.snapshot())
     return out.select("query_id", "rank", "chunk_id", "file", F.round("score", 8).alias("score"))
+
+
+LISTED = """SELECT 'site/' || page_id % 10 || '/p' || page_id || '.html' AS file, CAST(coalesce(strlen(html), 0) AS BIGINT) AS bytes FROM pages
+WHERE page_id % 10 <> 7 AND NOT (page_id % 10 = 3 AND starts_with(CAST(page_id AS VARCHAR), '1') AND page_id <> 13) AND NOT (page_id % 10 = 4 AND ends_with(CAST(page_id AS VARCHAR), '24')) AND NOT contains(coalesce(html, ''), chr(0))"""
+
+
+@q("scan_listing", LISTED)
+def scan_listing(spark, sf):
+    """The pages as files of a tree with ignore files in its folders, read back by the listing source."""
+    from ..sources import listing as L
+
+    root = f"{shared_dir(spark)}/millrace-tree-{uuid4().hex}"
+    html = F.concat(F.lit("site/"), (F.col("page_id") % 10).cast("string"), F.lit("/p"), F.col("page_id").cast("string"), F.lit(".html"))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(html.alias("file"), F.coalesce("html", F.lit("")).alias("text"))
+    rules = [(".gitignore", "site/7/\n"), ("site/3/.gitignore", "p1*.html\n!p13.html\n"), ("site/4/.millraceignore", "*24.html\n"), ("site/4/.gitignore", "!p24.html\n")]
+    written = pages.unionByName(spark.createDataFrame(rules, "file string, text string"))
+    L.write_tree(written, root)
+    return L.listed(spark, root, folders=8).filter(F.col("file").endswith(".html")).select("file", "bytes")
