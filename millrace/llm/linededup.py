@@ -1,31 +1,31 @@
 """Line dedup by pairwise alignment with patience diff.
 
-Lines (trimmed of white space, blank ones left out) are known by 96-bit hashes. A block is a
-sequence of lines that follow each other and have at least ``LEAST_WORDS`` words together. A
-block goes from a document if a document with a smaller id holds it too, whichever that is,
-at whatever place and however often either holds it; so the first copy always stays.
-
-Documents meet through rare hashes: not of single lines, of which some are in every third
-document, but of the least windows, from each line on the fewest lines that have
-``LEAST_WORDS`` words, and the same from each line back. A block is the union of the least
-windows in it, and whether a window is one depends on its lines alone, so both documents
-have the same. Each window is followed to its first holder, so a document meets the holders
-of its windows, at most one for each, and lines of any frequency take part.
-
-Each later document is aligned with each of these holders by patience diff over the lines
-that they share; windows inside the aligned blocks go. What is left, passages in another
-order or more often than in the holder, is aligned with it again, up to ``ROUNDS`` times; a
-window that is still left is a common block by itself and goes as such.
+Lines (trimmed of white space, blank ones left out) are known by 96-bit hashes. Two documents
+overlap where they share a window: the least run of lines, from a line on or back from one,
+that has ``LEAST_WORDS`` words together. Single lines are no keys, for some are in every third
+document; a common line takes part through its neighbours. Each window of a document is
+followed to its first holder, so a document meets the holders of its windows, at most
+one for each, and a window of any frequency leads to one.
+
+Each later document is aligned with each of these holders by patience diff over the whole line
+sequences of both: lines that are once in both, in their longest common order, are anchors, and
+the gaps between them are aligned in turn; where no line is once in both, the rarest common one
+is the anchor. Aligned lines that follow each other in both documents are a block, and a
+block with ``LEAST_WORDS`` words goes from the later document. What is left is aligned with the
+holder again, until an alignment gives no block: so passages in another order and repeated ones
+go too. Nothing goes that no alignment holds: a line that matches elsewhere in the holder than
+its neighbours do stays, if it has not the words by itself.
 
 Defined results: null and empty texts have no lines and stay as they are; rows without an
-id are left alone; rows of equal id count as one document and never lose lines to each
-other; a document all of whose lines are deleted stays with an empty text; lines are those
-between \\n; empty tables give empty results; other columns are kept by
+id are left alone; rows of equal id never lose lines to each other, and each loses its
+own blocks; a document all of whose lines are deleted stays with an empty text; lines are
+those between \\n; empty tables give empty results; other columns are kept by
 :func:`dedup_lines`.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +36,6 @@ from pyspark.sql import functions as F
 from .common import SPACES, WORD, stored, table
 
 LEAST_WORDS = 10
-#: Alignments of a pair of documents, before windows are taken one by one.
-ROUNDS = 8
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -56,7 +54,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
             continue
         once = _once(b, lo2, hi2)
         anchors = [(i, once[x]) for x, i in _once(a, lo, hi).items() if x in once]
-        chain = _ascending(sorted(anchors))
+        chain = _ascending(sorted(anchors)) or _rarest(a, lo, hi, b, lo2, hi2)
         if not chain:
             continue
         at, at2 = lo, lo2
@@ -74,6 +72,16 @@ def _once(x: list, lo: int, hi: int) -> dict:
     return {k: i for k, i in seen.items() if i >= 0}
 
 
+def _rarest(a: list, lo: int, hi: int, b: list, lo2: int, hi2: int) -> list[tuple[int, int]]:
+    """The first places of the common line with the fewest pairs of places, the first such line of ``a``."""
+    n, m = Counter(a[lo:hi]), Counter(b[lo2:hi2])
+    common = [(n[x] * m[x], i) for i, x in enumerate(a[lo:hi], lo) if x in m]
+    if not common:
+        return []
+    i = min(common)[1]
+    return [(i, b.index(a[i], lo2, hi2))]
+
+
 def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest chain ascending in the second member, by patience sorting."""
     from bisect import bisect_left
@@ -123,121 +131,95 @@ def chained(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
-def aligned(own: list[tuple]) -> list[tuple]:
-    """The windows (place, lines, first, last, holder, place in the holder) of one document by alignments with their holders.
-
-    Equal windows tell which lines of the two documents are equal; a line of the holder is known by its first place.
-    """
-    out: list[tuple] = []
-    for holder in sorted({w[4] for w in own}):
-        left = [w for w in own if w[4] == holder]
-        for _ in range(ROUNDS):
-            if not left:
-                break
-            same: dict[int, int] = {}
-            for place, lines, _, _, _, at in left:
-                for k in range(lines):
-                    same.setdefault(place + k, at + k)
-            mine = sorted(same)
-            theirs = sorted(set(same.values()))
-            run: dict[int, int] = {}  # of an aligned line, the first of its block
-            last = None
-            for i, j in patience([same[p] for p in mine], theirs):
-                here = mine[i], theirs[j]
-                run[here[0]] = run[last[0]] if last and here == (last[0] + 1, last[1] + 1) else here[0]
-                last = here
-            done = {w for w in left if (start := run.get(w[0])) is not None and run.get(w[0] + w[1] - 1) == start}
-            if not done:
-                break
-            out += done
-            left = [w for w in left if w not in done]
-        out += left
+def aligned(own: list, holder: list, words: list[int], least: int) -> list[tuple[int, int]]:
+    """(first, end) of the blocks of ``own`` that alignments with ``holder`` hold, by place."""
+    out: list[tuple[int, int]] = []
+    left = list(range(len(own)))
+    while left:
+        blocks: list[list[int]] = []  # [first, end, end in the holder]
+        for i, j in patience([own[p] for p in left], holder):
+            p = left[i]
+            if blocks and blocks[-1][1:] == [p, j]:
+                blocks[-1][1:] = [p + 1, j + 1]
+            else:
+                blocks.append([p, p + 1, j + 1])
+        found = [(a, b) for a, b, _ in blocks if sum(words[a:b]) >= least]
+        if not found:
+            break
+        out += found
+        gone = {p for a, b in found for p in range(a, b)}
+        left = [p for p in left if p not in gone]
     return sorted(out)
 
 
-def joined(rows: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
-    """Blocks (first line, last line, lines) of the windows (place, lines, first line, last line), by place, of one document."""
+def joined(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The same places as blocks that do not meet."""
     out: list[list[int]] = []
-    for place, size, a, b in rows:
-        if out and place <= out[-1][1]:
-            if place + size > out[-1][1]:
-                out[-1][1], out[-1][3] = place + size, b
+    for a, b in sorted(blocks):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
         else:
-            out.append([place, place + size, a, b])
-    return [(a, b, end - place) for place, end, a, b in out]
+            out.append([a, b])
+    return [(a, b) for a, b in out]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, place, no, h, g, words) of the lines that are not blank, by document and place; place counts only these."""
-    split = docs.select("id", F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.trim(x, F.lit(SPACES)).alias("s"), i.alias("no"))).alias("lines"))
-    full = split.select("id", F.posexplode(F.filter("lines", lambda x: x["s"] != "")).alias("place", "line"))
-    return full.select("id", "place", "line.no", F.xxhash64("line.s").alias("h"), F.hash("line.s").alias("g"), F.regexp_count("line.s", F.lit(WORD)).alias("words"))
+    """(id, t, h, g, words, no): hashes, words and numbers of the lines that are not blank, a row for each document; t tells texts of one id apart."""
+    split = docs.select("id", F.xxhash64("text").alias("t"), F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.trim(x, F.lit(SPACES)).alias("s"), i.alias("no"))).alias("lines"))
+    full = split.select("id", "t", F.filter("lines", lambda x: x["s"] != "").alias("lines"))
+    of = lambda f, name: F.transform("lines", f).alias(name)
+    return full.select("id", "t", of(lambda x: F.xxhash64(x["s"]), "h"), of(lambda x: F.hash(x["s"]), "g"), of(lambda x: F.regexp_count(x["s"], F.lit(WORD)), "words"), of(lambda x: x["no"], "no"))
 
 
-def windows_of(docs: DataFrame, least: int) -> DataFrame:
-    """(h, g, id, place, lines, first, last): the least windows of all documents."""
+def windows_of(lines: DataFrame, least: int) -> DataFrame:
+    """(h, g, id, t): the least windows of all documents."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(cols: list[np.ndarray]) -> pa.RecordBatch:
-            id_, place, no, h, g, words = cols
-            at, size = windows(np.cumsum(place == 0), words, least)
-            keys = chained(h, at, size).view(np.int64), (chained(g, at, size) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            out = [*keys, id_[at], place[at], size.astype(np.int32), no[at], no[at + size - 1]]
-            return pa.record_batch([pa.array(x) for x in out], ["h", "g", "id", "place", "lines", "first", "last"])
-
-        # a document's lines come one after the other, but may be cut by the end of a batch
-        held: list[list[np.ndarray]] = []
         for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            starts = np.flatnonzero(cols[1] == 0)
-            if len(starts):
-                parts = [*held, [c[: starts[-1]] for c in cols]]
-                yield done([np.concatenate(c) for c in zip(*parts, strict=True)])
-                held = [[c[starts[-1] :] for c in cols]]
-            else:
-                held.append(cols)
-        if held:
-            yield done([np.concatenate(c) for c in zip(*held, strict=True)])
+            h, g, words = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("h", "g", "words"))
+            doc = np.repeat(np.arange(b.num_rows), np.diff(b.column("h").offsets.to_numpy()))
+            at, size = windows(doc, words, least)
+            keys = chained(h, at, size).view(np.int64), (chained(g, at, size) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.record_batch([*map(pa.array, keys), *(b.column(c).take(pa.array(doc[at])) for c in ("id", "t"))], ["h", "g", "id", "t"])
 
-    return lines_of(docs).mapInArrow(work, "h long, g int, id long, place int, lines int, first int, last int")
+    return lines.select("id", "t", "h", "g", "words").mapInArrow(work, "h long, g int, id long, t long")
 
 
 def removals(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(id, gone) with gone an array of blocks (first, last, lines), for documents that lose lines."""
-    all_ = stored(windows_of(docs.filter("id IS NOT NULL AND text <> ''"), least), "windows")
-    # stored, so that a window of many documents may be dealt to several tasks of the join
-    first = F.min(F.struct("id", "place"))
-    shared = stored(all_.groupBy("h", "g").agg(first.alias("at"), F.max("id").alias("other")).filter("at.id < other").select("h", "g", F.col("at.id").alias("holder"), F.col("at.place").alias("at")), "shared")
-    later = all_.join(shared.hint("merge"), ["h", "g"]).filter("id > holder").select("id", "place", "lines", "first", "last", "holder", "at")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_ = later.repartition(n, "id").sortWithinPartitions("id", "place")
+    """(id, t, gone) with gone an array of blocks (first, last, lines), for documents that lose lines."""
+    lines = stored(lines_of(docs.filter("id IS NOT NULL AND text <> ''")).dropDuplicates(["id", "t"]), "lines")
+    all_ = stored(windows_of(lines, least).distinct(), "windows")
+    # stored, so that a window of many documents, or a holder of many, may be dealt to several tasks of a join
+    shared = stored(all_.groupBy("h", "g").agg(F.min(F.struct("id", "t")).alias("at"), F.max("id").alias("other")).filter("at.id < other").select("h", "g", F.col("at.id").alias("holder"), F.col("at.t").alias("ht")), "shared")
+    pairs = stored(all_.join(shared.hint("merge"), ["h", "g"]).filter("id > holder").select("id", "t", "holder", "ht").distinct(), "pairs")
+    theirs = lines.select(F.col("id").alias("holder"), F.col("t").alias("ht"), F.col("h").alias("hh"), F.col("g").alias("hg"))
+    met = pairs.join(lines.hint("merge"), ["id", "t"]).join(theirs.hint("merge"), ["holder", "ht"]).select("id", "t", "h", "g", "words", "hh", "hg")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        for b in batches:
+            rows = (zip(*(b.column(c).to_pylist() for c in ("h", "g", "words", "hh", "hg")), strict=True))
+            found = [aligned(list(zip(h, g, strict=True)), list(zip(hh, hg, strict=True)), words, least) for h, g, words, hh, hg in rows]
+            yield pa.record_batch([b.column("id"), b.column("t"), pa.array([[{"a": x, "b": y} for x, y in f] for f in found], kind)], ["id", "t", "blocks"])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(doc: int, rows: list) -> pa.RecordBatch:
-            kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lines", pa.int32())]))
-            gone = [dict(zip(("first", "last", "lines"), g, strict=True)) for g in joined([w[:4] for w in aligned(rows)])]
-            return pa.record_batch([pa.array([doc], pa.int64()), pa.array([gone], kind)], ["id", "gone"])
+    blocks = met.mapInArrow(align, "id long, t long, blocks array<struct<a: int, b: int>>").filter(F.size("blocks") > 0)
+    each = blocks.groupBy("id", "t").agg(F.flatten(F.collect_list("blocks")).alias("blocks")).join(lines.select("id", "t", "no"), ["id", "t"])
 
-        last, rows = None, []
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lines", pa.int32())]))
         for b in batches:
-            for doc, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if doc != last:
-                    if rows:
-                        yield done(last, rows)
-                    last, rows = doc, []
-                rows.append(tuple(row))
-        if rows:
-            yield done(last, rows)
+            gone = [[{"first": no[x], "last": no[y - 1], "lines": y - x} for x, y in joined([(r["a"], r["b"]) for r in rows])] for rows, no in zip(b.column("blocks").to_pylist(), b.column("no").to_pylist(), strict=True)]
+            yield pa.record_batch([b.column("id"), b.column("t"), pa.array(gone, kind)], ["id", "t", "gone"])
 
-    return sorted_.mapInArrow(work, "id long, gone array<struct<first: int, last: int, lines: int>>")
+    return each.mapInArrow(merge, "id long, t long, gone array<struct<first: int, last: int, lines: int>>")
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` (doc_id, text, ..) with the blocks deleted, and the column ``gone``."""
     gone = stored(removals(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), least).withColumnRenamed("id", "doc_id"), "gone")
-    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # always by a shuffle, so that small and large inputs behave alike
-    both = inner.join(gone.hint("merge"), "doc_id", "left")
+    both = inner.join(gone.hint("merge"), ["doc_id", "t"], "left")
     left = F.filter(F.split("row.text", "\n"), lambda x, i: ~F.exists("gone", lambda g: i.between(g["first"], g["last"])))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(left, "\n"))
     return both.select("row", text.alias("text"), "gone")

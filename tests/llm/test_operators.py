@@ -547,15 +547,35 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
-def plain_runs(docs, least):
-    """Places that go, by comparing all runs of all documents: docs are (id, lines)."""
+def plain_runs(x, least):
+    """The least runs (first, end) with enough words, from each line on and back from each."""
+    n = [len(line.split()) for line in x]
+    ahead = {(a, next((b for b in range(a + 1, len(x) + 1) if sum(n[a:b]) >= least), None)) for a in range(len(x))}
+    back = {(next((a for a in range(b - 1, -1, -1) if sum(n[a:b]) >= least), None), b) for b in range(1, len(x) + 1)}
+    return {r for r in ahead | back if None not in r}
+
+
+def plain_aligned(docs, least):
+    """Places that go, by aligning each document with the first holder of each of its runs: docs are (id, lines)."""
     out = {}
     for k, x in docs:
         gone = out[k] = set()
-        for a in range(len(x)):
-            for b in range(a + 1, len(x) + 1):
-                if sum(len(s.split()) for s in x[a:b]) >= least and any(j < k and y[i : i + b - a] == x[a:b] for j, y in docs for i in range(len(y))):
-                    gone |= set(range(a, b))
+        holders = set()
+        for a, b in plain_runs(x, least):
+            holders |= set([j for j, y in docs if j < k and any(y[i : i + b - a] == x[a:b] for i in range(len(y)))][:1])
+        for j, y in docs:
+            left = list(range(len(x))) if j in holders else []
+            while left:
+                runs, last = [], None
+                for i, m in linededup.patience([x[p] for p in left], y):
+                    if last == (left[i] - 1, m - 1):
+                        runs[-1].append(left[i])
+                    else:
+                        runs.append([left[i]])
+                    last = left[i], m
+                found = {p for r in runs if sum(len(x[p].split()) for p in r) >= least for p in r}
+                gone |= found
+                left = [p for p in left if p not in found] if found else []
     return out
 
 
@@ -577,17 +597,30 @@ def test_line_dedup_plain(spark):
         out = {r.row.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    for k, gone in plain_runs(texts, linededup.LEAST_WORDS).items():
+    for k, gone in plain_aligned(texts, linededup.LEAST_WORDS).items():
         assert out[k] == "\n".join(s for i, s in enumerate(texts[k][1]) if i not in gone)
 
 
-def test_alignment_takes_every_window():
-    """Whatever the order, each window goes once; blocks in the holder's order go in the first alignment."""
-    rnd = random.Random(22)
-    for _ in range(300):
-        places = sorted(rnd.sample(range(60), rnd.randint(1, 20)))
-        own = [(p, rnd.randint(1, 3), p, p, rnd.choice([1, 2]), rnd.randrange(60)) for p in places]
-        assert linededup.aligned(own) == sorted(own)
+def test_alignment_decides(spark, monkeypatch):
+    """A line that is aligned elsewhere than its neighbours stays; without alignments other lines go."""
+    u, v, w = "u1 u2 u3", "v1 v2 v3 v4 v5 v6 v7", "w1 w2 w3 w4 w5"
+    rows = [(1, f"{u}\n{u}\n{v}\n{w}"), (2, f"{u}\n{v}\n{w}"), (3, f"{w}\n{v}\n{u}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda: {r.row.doc_id: r.text for r in linededup.dedup_lines(df).collect()}
+    assert run() == {1: rows[0][1], 2: u, 3: rows[2][1]}
+    assert linededup.aligned(list("uvw"), list("uuvw"), [3, 7, 5], 10) == [(1, 3)]
+    # all lines that any run of the holder has: what hashes of runs alone would say
+    assert plain_runs([u, v, w], 10) == {(0, 2), (1, 3)}
+    assert linededup.aligned([], ["a"], [], 10) == linededup.aligned(["a"], [], [20], 10) == []
+    assert linededup.aligned(list("xpypz"), ["p"], [1, 12, 1, 12, 1], 10) == [(1, 2), (3, 4)]
+    assert linededup.patience(list("xpypz"), list("qpqpq"))[0] == (1, 1)
+
+
+def test_line_dedup_texts_of_one_id(spark):
+    long = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, long), (6, f"own a\n{long}"), (6, f"{long}\nown b"), (6, "own c")]
+    out = sorted(r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.row.doc_id == 6)
+    assert out == ["own a", "own b", "own c"]
 
 
 def test_line_dedup_repeats_and_order(spark):
