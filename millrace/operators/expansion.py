@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.index import kept
 from . import retrieval as R
 from .sparse import weighted_sums
 
@@ -63,7 +64,7 @@ def _first(rows: DataFrame, by: str, k: int) -> DataFrame:
 
 def expand_prf(queries: DataFrame, chunks: DataFrame, top: int, k: int) -> DataFrame:
     """Terms of the first hits by score * idf * tf, without those of the query."""
-    hits = R.ranked(R.bm25(queries, chunks), top).select("query_id", "chunk_id", "score")
+    hits = kept(R.best(queries, chunks, top).select("query_id", "chunk_id", "score"), "hits")
     own = R.scanned(chunks.join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"))
     all_ = R.scanned(chunks, own.terms.select("term"))
     gain = hits.join(own.postings, "chunk_id").join(all_.terms, "term").crossJoin(all_.stats).groupBy("query_id", "term").agg(F.round(F.sum(F.col("score") * R.idf(F.col("n"), F.col("df")) * F.col("tf")), 4).alias("g"))

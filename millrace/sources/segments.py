@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import retrieval as R
 from ..operators.ordering import Ordered
-from .index import ConfigMismatch, Damaged, VersionMismatch, shared_dir
+from .index import ConfigMismatch, Damaged, VersionMismatch, kept
 
 FORMAT = 1
 SPAN = 32
@@ -313,28 +313,28 @@ class Snapshot(R.Index):
         """Scores (query_id, chunk_id, score) that hold the k best, the blocks that were scored, and all of the batch."""
         store, average = self.store, self.average or 1.0
         spark, span = store.spark, ["query_id", "segment", "span"]
-        wanted = _kept(spark, R.query_terms(queries, predicted), "wanted")
+        wanted = kept(R.query_terms(queries, predicted), "wanted")
         weight = F.col("times") * R.idf(F.lit(self.held["chunks"]), F.col("df"))
-        weighed = _kept(spark, wanted.join(self._dfs(wanted.select("term").distinct()), "term").select("query_id", "term", weight.alias("weight")), "weights")
+        weighed = kept(wanted.join(self._dfs(wanted.select("term").distinct()), "term").select("query_id", "term", weight.alias("weight")), "weights")
         blocks = store._near("blocks", weighed.select("term").distinct(), "term", self.held)
         bound = (F.col("weight") * F.array_max(F.transform("peaks", lambda x: _part(x["tf"], x["dl"], average)))).alias("bound")
-        heads = _kept(spark, blocks.select("segment", "term", "span", "peaks", "n").join(weighed, "term").select(*span, "term", "weight", "n", bound), "heads")
+        heads = kept(blocks.select("segment", "term", "span", "peaks", "n").join(weighed, "term").select(*span, "term", "weight", "n", bound), "heads")
 
         # a threshold from the ranges with the best bounds
         order = R.Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "span")
-        first = _kept(spark, heads.groupBy(*span).agg(F.sum("bound").alias("bound")).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= FIRST).select(*span), "first")
+        first = kept(heads.groupBy(*span).agg(F.sum("bound").alias("bound")).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= FIRST).select(*span), "first")
         begun = heads.join(first, span, "left_semi")
-        early = _kept(spark, self._postings(blocks, begun).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score")).filter("score > 0"), "early")
-        kth = _kept(spark, R.ranked(early, k).filter(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("least")), "kth")
+        early = kept(self._postings(blocks, begun).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score")).filter("score > 0"), "early")
+        kth = kept(R.ranked(early, k).filter(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("least")), "kth")
 
         # terms whose bounds together stay below it let no chunk in by themselves
         rising = R.Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(R.Window.unboundedPreceding, 0)
         terms = heads.groupBy("query_id", "term").agg(F.max("bound").alias("most")).withColumn("reach", F.sum("most").over(rising))
-        terms = _kept(spark, terms.join(kth, "query_id", "left").select("query_id", "term", F.coalesce(F.col("reach") >= F.col("least"), F.lit(True)).alias("lets")), "lets")
+        terms = kept(terms.join(kth, "query_id", "left").select("query_id", "term", F.coalesce(F.col("reach") >= F.col("least"), F.lit(True)).alias("lets")), "lets")
         left = heads.join(first, span, "left_anti").join(terms, ["query_id", "term"])
         weak = F.coalesce(F.sum(F.when(~F.col("lets"), F.col("bound"))), F.lit(0.0)).alias("weak")
         spans = left.groupBy(*span).agg(F.sum("bound").alias("bound"), weak, F.bool_or("lets").alias("lets")).join(kth, "query_id", "left")
-        spans = _kept(spark, spans.filter(F.col("lets") & (F.col("bound") >= F.coalesce("least", F.lit(0.0)))).select(*span, "weak", "least"), "spans")
+        spans = kept(spans.filter(F.col("lets") & (F.col("bound") >= F.coalesce("least", F.lit(0.0)))).select(*span, "weak", "least"), "spans")
 
         # chunks in these terms' postings; the best of them first, for a threshold near the last one, then those that can reach it
         strong = left.filter("lets").join(spans.select(*span), span, "left_semi").drop("lets")
@@ -342,14 +342,14 @@ class Snapshot(R.Index):
         least = F.coalesce("least", F.lit(0.0))
         able = met.withColumn("reach", F.col("score") + F.col("weak")).filter(F.col("reach") >= least).select(*span, "chunk_id", "score", "reach")
         foremost = R.Window.partitionBy("query_id").orderBy(F.desc("reach"), "segment", "chunk_id")
-        able = _kept(spark, able.withColumn("nth", F.row_number().over(foremost)), "able")
+        able = kept(able.withColumn("nth", F.row_number().over(foremost)), "able")
         weak_heads = left.filter("NOT lets").drop("lets")
         ahead, seen = self._completed(blocks, weak_heads, able.filter(F.col("nth") <= 2 * k))
-        ahead = _kept(spark, ahead, "ahead")
+        ahead = kept(ahead, "ahead")
         nearer = R.ranked(early.unionAll(ahead), k).filter(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("least"))
         later = able.filter(F.col("nth") > 2 * k).join(nearer, "query_id", "left").filter(F.col("reach") >= least)
-        late, more = self._completed(blocks, weak_heads, _kept(spark, later.drop("least"), "later"))
-        return early.unionAll(ahead).unionAll(_kept(spark, late, "late")), (begun, strong, seen, more), heads
+        late, more = self._completed(blocks, weak_heads, kept(later.drop("least"), "later"))
+        return early.unionAll(ahead).unionAll(kept(late, "late")), (begun, strong, seen, more), heads
 
     def _completed(self, blocks: DataFrame, heads: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Scores (query_id, chunk_id, score) of chunks whose strong terms are scored, and the weak terms' postings that were looked up for it."""
@@ -369,13 +369,6 @@ class Snapshot(R.Index):
         return self.store._living(rows, self.held).select("query_id", "segment", "span", "chunk_id", score)
 
 
-def _kept(spark: SparkSession, rows: DataFrame, tag: str) -> DataFrame:
-    """Rows that are used more than once, written to the shared folder."""
-    path = f"{shared_dir(spark)}/millrace-{tag}-{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
-
-
 def _mode(words: Column) -> Column:
     """The most frequent word, of several the least one; '' without words."""
     sorted_ = F.array_sort(words)
