@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import Ordered
-from .index import ConfigMismatch, Damaged
+from .index import ConfigMismatch, Damaged, kept
 from .segments import FORMAT, Conflict, Segments
 
 VECS, USES = "hash string, vec array<float>", "hash string, used bigint"
@@ -122,6 +122,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 def neural_scores(hits: DataFrame, cache: VectorCache, encode: Encode) -> DataFrame:
     """Hits (query, text, ..) with the column ``neural``: the cosine of the two encodings, each text encoded once and cached."""
+    hits = kept(hits, "hits")  # they are read for the texts to encode, for the cache's log and for the scores
     every = hits.select("text").unionByName(hits.select(F.col("query").alias("text")))
     vecs = cache.get(every, encode)
     of = lambda name: vecs.select(F.col("hash").alias(f"_{name}"), F.col("vec").alias(name))
