@@ -38,7 +38,7 @@ CHANGED_TOP = f"WITH {BM25.replace(CORPUS, CHANGED)}, {rank_sql('bm25', 10, 'top
 
 @q("search_segments", CHANGED_TOP)
 def search_segments(spark, sf):
-    """Block-max search of the batch on an index that has changed."""
+    """Search of the batch on an index that has changed; the batch is large enough to be scored whole."""
     return r6(changed_index(spark, sf).snapshot().best(asked(spark, sf), 10).select("query_id", "rank", "chunk_id", "score"), "score")
 
 
@@ -47,7 +47,7 @@ def search_compacted(spark, sf):
     """The same after all segments are one, with all postings of the batch."""
     store = changed_index(spark, sf)
     store.compact()
-    return r6(R.ranked(R.bm25(asked(spark, sf), store.snapshot()), 10).select("query_id", "rank", "chunk_id", "score"), "score")
+    return r6(R.best(asked(spark, sf), store.snapshot(), 10).select("query_id", "rank", "chunk_id", "score"), "score")
 
 
 @q("segment_stats", f"WITH {POST.replace(CORPUS, CHANGED)} SELECT term, df, n, round(avgdl, 6) AS avgdl FROM dfs, stats")
@@ -59,7 +59,7 @@ def segment_stats(spark, sf):
 
 @q("search_hybrid_stored", HYBRID)
 def search_hybrid_stored(spark, sf):
-    """Hybrid search on stored segments: pruned postings, definitions by name, and no scan of chunk texts."""
+    """Hybrid search on stored segments: the postings of the batch's terms, definitions by name, and no scan of chunk texts."""
     chunks = corpus2(spark, sf)
     store = emptied(spark)
     live = chunks.filter("NOT deleted").select("chunk_id", "file", "text")

@@ -12,7 +12,8 @@ pairs of frequency and length that bound its scores. A batch of queries adds up
 its terms' blocks for each range, scores the ranges with the best bounds and takes the k-th
 score of each query. Terms whose largest bounds together stay below it let no chunk in: the
 others' postings are read in the ranges whose bound reaches it, and the weak terms' blocks only
-where a chunk can still reach it. Chunks are neighbours by their most frequent long word and
+where a chunk can still reach it. A batch of more than ``FEW`` queries is scored whole instead, inside blocks of chunks: so
+many queries meet each block of postings that their bounds are more rows than the postings. Chunks are neighbours by their most frequent long word and
 their length, so that ranges differ.
 
 Commits are numbered files, named only where none is there: of two writers one gets the
@@ -29,7 +30,11 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +47,10 @@ FORMAT = 1
 SPAN = 32
 #: Ranges of each query that are scored before there is a threshold.
 FIRST = 8
+#: Queries of a batch whose bounds are looked at.
+FEW = 16
+#: Rows of blocks that are written at a time.
+WRITTEN = 20_000
 #: Segments of one size class that are merged.
 FAN = 4
 #: Scores are rounded to 9 places, so bounds within this of the threshold are read.
@@ -155,7 +164,7 @@ class Segments:
         return self._read(table, [s["name"] for s in (state or self.state())["segments"]], TABLES[table])
 
     def _write(self, table: str, name: str, rows: DataFrame, sort: list[str]) -> None:
-        rows = rows.withColumn("bucket", self._bucket(KEYS[table])).repartition("bucket").sortWithinPartitions("bucket", *sort)
+        rows = rows.withColumn("bucket", self._bucket(KEYS[table])).hint("rebalance", "bucket").sortWithinPartitions("bucket", *sort)
         rows.write.partitionBy("bucket").parquet(f"{self.root}/{table}/segment={name}")
 
     def _near(self, table: str, keys: DataFrame, key: str, state: dict) -> DataFrame:
@@ -182,12 +191,11 @@ class Segments:
             old = self._living(self._near("chunks", files, "file", base), base).select("segment", "chunk_id", "text", "dl")
             self._write("gone", name, old.select(F.col("segment").alias("owner"), "chunk_id"), ["chunk_id"])
             lost = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
-            rows = fresh.select("chunk_id", "file", F.coalesce("text", F.lit("")).alias("text"), F.size(T.terms(F.coalesce("text", F.lit("")))).cast("long").alias("dl"))
-            self._write("chunks", name, self._placed(rows), ["file", "chunk_id"])
+            placed = self._placed(fresh.select("chunk_id", "file", F.coalesce("text", F.lit("")).alias("text")))
+            self._write("chunks", name, placed, ["file", "chunk_id"])
             new = self._read("chunks", [name], TABLES["chunks"])
-            each = new.select("chunk_id", "place", "dl", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("chunk_id", "place", "dl", "term").agg(F.count("*").alias("tf"))
-            self._write("blocks", name, _blocks(each), ["term", "span"])
-            minus = old.select(F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"), F.lit(-1).cast("long").alias("df"))
+            self._write("blocks", name, _blocks(placed), ["term", "span"])
+            minus = _held_terms(old).select("term", F.lit(-1).cast("long").alias("df"))
             plus = self._read("blocks", [name], TABLES["blocks"]).select("term", F.col("n").cast("long").alias("df"))
             self._write("terms", name, _summed(plus.unionAll(minus)), ["term"])
             self._write("names", name, _names(new), ["name"])
@@ -198,9 +206,7 @@ class Segments:
     @staticmethod
     def _placed(rows: DataFrame) -> DataFrame:
         """Rows with their place: chunks with the same most frequent long word, then of about one length, then of one file, are neighbours."""
-        words = F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 2)
-        # the mode of the first words is enough: it only decides who is whose neighbour
-        rows = rows.withColumn("lead", _mode(F.slice(words, 1, 64))).withColumn("size", F.floor(2 * F.log2(F.col("dl") + 1)))
+        rows = kept(_measured(rows), "measured").withColumn("size", F.floor(2 * F.log2(F.col("dl") + 1)))
         return Ordered(rows, ["lead", "size", "file", "chunk_id"]).numbered("place").drop("lead", "size")
 
     def _finish(self, base: dict, kept: list[str], name: str, chunks: int, length: int, merged: bool = False) -> bool:
@@ -238,10 +244,9 @@ class Segments:
         name = uuid.uuid4().hex
         self.buckets = base["buckets"]
         rows = self._living(self._read("chunks", names, TABLES["chunks"]), base)
-        self._write("chunks", name, self._placed(rows.select("chunk_id", "file", "text", "dl")), ["file", "chunk_id"])
-        places = self._read("chunks", [name], TABLES["chunks"]).select("chunk_id", "place")
-        old = self._living(_postings(self._read("blocks", names, TABLES["blocks"])), base)
-        self._write("blocks", name, _blocks(old.join(places, "chunk_id")), ["term", "span"])
+        placed = self._placed(rows.select("chunk_id", "file", "text"))
+        self._write("chunks", name, placed, ["file", "chunk_id"])
+        self._write("blocks", name, _blocks(placed), ["term", "span"])
         self._write("terms", name, _summed(self._read("terms", names, TABLES["terms"]).select("term", "df")), ["term"])
         self._write("names", name, self._living(self._read("names", names, TABLES["names"]), base).drop("segment", "bucket"), ["name"])
         left = self._read("gone", names, TABLES["gone"]).filter(~F.col("owner").isin(names)).select("owner", "chunk_id")
@@ -301,6 +306,8 @@ class Snapshot(R.Index):
 
     def best(self, queries: DataFrame, k: int, predicted: DataFrame | None = None) -> DataFrame:
         """(query_id, chunk_id, score, rank): the k best chunks of each query, as :func:`retrieval.bm25` ranks them all."""
+        if queries.count() > FEW:
+            return R.best(queries, self, k, predicted)
         return R.ranked(self._pruned(queries, k, predicted)[0], k)
 
     def effort(self, queries: DataFrame, k: int) -> tuple[int, int]:
@@ -369,29 +376,87 @@ class Snapshot(R.Index):
         return self.store._living(rows, self.held).select("query_id", "segment", "span", "chunk_id", score)
 
 
-def _mode(words: Column) -> Column:
-    """The most frequent word, of several the least one; '' without words."""
-    sorted_ = F.array_sort(words)
-    start = F.struct(F.lit("").alias("best"), F.lit(0).alias("most"), F.lit("").alias("last"), F.lit(0).alias("run"))
-
-    def step(acc: Column, w: Column) -> Column:
-        run = F.when(w == acc["last"], acc["run"] + 1).otherwise(F.lit(1))
-        longer = run > acc["most"]
-        return F.struct(F.when(longer, w).otherwise(acc["best"]).alias("best"), F.when(longer, run).otherwise(acc["most"]).alias("most"), w.alias("last"), run.alias("run"))
-
-    return F.aggregate(sorted_, start, step, lambda acc: acc["best"])
-
-
-def _blocks(each: DataFrame) -> DataFrame:
-    """Blocks of postings (chunk_id, place, dl, term, tf), in the order of chunks."""
-    rows = each.withColumn("span", F.floor(F.col("place") / SPAN).cast("long")).groupBy("term", "span").agg(F.array_sort(F.collect_list(F.struct("chunk_id", "tf", "dl"))).alias("p"))
-    of = lambda f: F.transform("p", lambda x: x[f].cast("long"))
-    rows = rows.select("term", "span", of("chunk_id").alias("ids"), of("tf").alias("tfs"), of("dl").alias("dls"))
-    # the postings that no other one beats in both: the largest score of the block is one of theirs, whatever the average length
-    both = F.array_sort(F.transform(F.arrays_zip("dls", "tfs"), lambda x: F.struct(x["dls"].alias("dl"), (-x["tfs"]).alias("less"))))
-    none = F.array().cast("array<struct<dl: bigint, tf: bigint>>")
-    peaks = F.aggregate(both, none, lambda acc, x: F.when((F.size(acc) == 0) | (-x["less"] > F.get(acc, F.size(acc) - 1)["tf"]), F.array_append(acc, F.struct(x["dl"].alias("dl"), (-x["less"]).alias("tf")))).otherwise(acc))
-    return rows.select("term", "span", peaks.alias("peaks"), F.size("ids").alias("n"), "ids", "tfs", "dls")
+def _measured(rows: DataFrame) -> DataFrame:
+    """(chunk_id, file, text) with the length ``dl`` in terms and the most frequent of the first long words, ``lead``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = T.Names()
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            dls = [sum(T.tally(t, names).values()) for t in texts]
+            # the mode of the first words is enough: it only decides who is whose neighbour
+            words = [Counter([w for w in t[:1000].split() if len(w) > 2][:64]) for t in texts]
+            leads = [min(c, key=lambda w: (-c[w], w), default="") for c in words]
+            yield pa.record_batch([*b.columns, pa.array(dls, pa.int64()), pa.array(leads, pa.string())], [*b.schema.names, "dl", "lead"])
+
+    return rows.select("chunk_id", "file", "text").mapInArrow(work, "chunk_id long, file string, text string, dl long, lead string")
+
+
+def _held_terms(chunks: DataFrame) -> DataFrame:
+    """(term) of (text), once for each text that holds it."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = T.Names()
+        for b in batches:
+            for a in range(0, b.num_rows, 1000):
+                held = [t for text in b.column(0).slice(a, 1000).to_pylist() for t in T.tally(text or "", names)]
+                yield pa.record_batch([pa.array(held, pa.string())], ["term"])
+
+    return chunks.select("text").mapInArrow(work, "term string")
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Blocks of postings of (chunk_id, text, dl, place): a range's chunks meet in one task, which makes all its blocks."""
+    rows = placed.select(F.floor(F.col("place") / SPAN).cast("long").alias("span"), "chunk_id", "dl", "text").repartition("span").sortWithinPartitions("span", "chunk_id")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, out, at, held = T.Names(), [], None, {}
+        for b in batches:
+            for span, chunk, dl, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if span != at:
+                    out += [(term, at, *_block(p)) for term, p in held.items()]
+                    at, held = span, {}
+                    if len(out) >= WRITTEN:
+                        yield _batch(out)
+                        out = []
+                for term, tf in T.tally(text, names).items():
+                    if term in held:
+                        held[term].append((chunk, tf, dl))
+                    else:
+                        held[term] = [(chunk, tf, dl)]
+        out += [(term, at, *_block(p)) for term, p in held.items()]
+        if out:
+            yield _batch(out)
+
+    return rows.mapInArrow(work, "term string, span long, peaks array<struct<dl: long, tf: long>>, n int, ids array<long>, tfs array<long>, dls array<long>")
+
+
+def _block(postings: list[tuple[int, int, int]]) -> tuple:
+    """(peaks, n, ids, tfs, dls) of postings (chunk_id, tf, dl) in the order of chunks.
+
+    ``peaks``: those that no other one beats in both, so the largest score of the block is one of theirs, whatever the average length.
+    """
+    if len(postings) == 1:  # as most are
+        [(chunk, tf, dl)] = postings
+        return ((dl, tf),), 1, (chunk,), (tf,), (dl,)
+    ids, tfs, dls = zip(*postings, strict=True)
+    peaks: list[tuple[int, int]] = []
+    for dl, less in sorted((d, -t) for t, d in zip(tfs, dls, strict=True)):
+        if not peaks or -less > peaks[-1][1]:
+            peaks.append((dl, -less))
+    return peaks, len(ids), ids, tfs, dls
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    term, span, peaks, n, *lists = zip(*rows, strict=True)
+    long = pa.int64()
+
+    def listed(column: tuple) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, column)]), pa.int32()), pa.array([x for row in column for x in row], long))
+
+    both = [pa.array([p[i] for row in peaks for p in row], long) for i in (0, 1)]
+    highs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, peaks)]), pa.int32()), pa.StructArray.from_arrays(both, ["dl", "tf"]))
+    return pa.record_batch([pa.array(term, pa.string()), pa.array(span, long), highs, pa.array(n, pa.int32()), *map(listed, lists)], ["term", "span", "peaks", "n", "ids", "tfs", "dls"])
 
 
 def _postings(blocks: DataFrame) -> DataFrame:
