@@ -22,7 +22,7 @@ averaged online descent.
 
 The unigram base score needs exact token counts. Blocks of documents send their distinct
 tokens' counts to the tokens' partitions and get the totals back, so no vocabulary is ever
-in one place; tokens are known by 64-bit hashes.
+in one place; tokens are known by 64-bit hashes, sums over their bytes and places.
 
 Defined results: a null text is empty and has the one token that ends it; without training
 tokens the base is 0 / 0 and base_score is null; rows without an id are training rows;
@@ -34,11 +34,11 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-import xxhash
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +63,8 @@ PLACES, STAGES, LONG = 4, 3, 6
 GATES = 2 * PLACES * STAGES
 #: The mixer's sum is held within this; the last stage has so many cells of it for each gate.
 MOST, CELLS = 10.0, 17
+#: Texts that are scored together, and bytes whose bits are laid out together: the arrays in between stay small.
+LANES, LAID = 128, 1 << 14
 #: Fixed value: letters of European text by frequency.
 LETTERS = "etaoinsrhldcumfpgwybvkxjqz"
 END = b"\n"
@@ -104,12 +106,24 @@ def _tree() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 START, SIZE, NODE, BIT, DEPTH = _tree()
+#: Stage of the gate and direction of each node on the paths.
+STAGE, SIGN = np.minimum((DEPTH + 1) // 2, STAGES - 1).astype(np.int8), (2 * BIT - 1).astype(np.int8)
+#: A bit as the scoring wants it, turned so that its own side is up: fixed part of the sum, short and long predictions in 1 / UNIT, gate (with GATES added for a zero).
+TURNED = np.dtype([("z", np.float32), ("x", np.int16), ("y", np.int8), ("gate", np.uint8)])
+
+
+@cache
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each for a process, not for each text."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return _codec()[0].compress(data)
 
 
 def opened(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+    return _codec()[1].decompress(data)
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -125,14 +139,6 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
-class Numbers(dict):
-    """Numbers of things by first look-up."""
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = n = len(self)
-        return n
-
-
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, .. of each of the ranges."""
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
@@ -146,13 +152,18 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shift = np.uint64(len(x).bit_length())
     if int(x.max(initial=0)).bit_length() + int(shift) > 64:
         return np.unique(x, return_index=True, return_inverse=True)[1:]
-    both = x.astype(np.uint64) << shift | np.arange(len(x), dtype=np.uint64)
+    both = x.astype(np.uint64)
+    both <<= shift
+    both |= np.arange(len(x), dtype=np.uint64)
     both.sort()
-    at = (both & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.intp)
+    at = (both & ((np.uint64(1) << shift) - np.uint64(1))).view(np.int64)
     both >>= shift
-    new = np.concatenate([np.ones(min(len(x), 1), bool), both[1:] != both[:-1]])
-    inverse = np.empty(len(x), np.intp)
-    inverse[at] = np.cumsum(new) - 1
+    new = np.ones(len(x), bool)
+    np.not_equal(both[1:], both[:-1], out=new[1:])
+    number = np.cumsum(new, dtype=np.int32 if len(x) < 2**31 else np.int64)
+    number -= 1
+    inverse = np.empty_like(number)
+    inverse[at] = number
     return at[new], inverse
 
 
@@ -162,46 +173,50 @@ class Block:
     A pair is its kind (8 bits), the context (48 bits) and the byte (8 bits); ``pairs`` is ascending.
     """
 
-    def __init__(self, tokens: list[bytes], seq: np.ndarray, sizes: np.ndarray):
-        self.tokens, self.seq, self.sizes = tokens, seq, sizes.astype(np.int64)
+    def __init__(self, data: np.ndarray, length: np.ndarray, seq: np.ndarray, sizes: np.ndarray):
+        """``data``: the end, then the tokens, each with a space; ``length`` of each; ``seq``: the texts' tokens by number."""
+        self.seq, self.sizes = seq, sizes.astype(np.int64)
         first = np.cumsum(self.sizes) - self.sizes
         before = np.concatenate([np.zeros(1, np.int32), self.seq[:-1]])[: len(self.seq)]
         before[first] = 0
-        b = self.bytes = np.frombuffer(END + b"".join(t + b" " for t in self.tokens[1:]), np.uint8)
-        n = self.length = np.array([1, *(len(t) + 1 for t in self.tokens[1:])], np.int64)
+        b, n = self.bytes, self.length = data, length
         start = self.start = np.cumsum(n) - n
         self.owner = np.repeat(np.arange(len(n), dtype=np.int32), n)
-        place = self.place = np.arange(len(b), dtype=np.int32) - start.astype(np.int32)[self.owner]
+        place = self.place = np.arange(len(b), dtype=np.int32) - np.repeat(start.astype(np.int32), n)
         w = b.astype(np.uint64)
-        back = [np.zeros(len(b), np.uint64) for _ in range(4)]
-        for j in (1, 2, 3):
-            back[j][j:] = np.where(place[j:] >= j, w[:-j], np.uint64(0))
+        # the byte so many places before in the token, or 0
+        back = [b]
+        for _ in range(LONG):
+            older = np.empty_like(b)
+            older[1:] = back[-1][:-1]
+            older[start] = 0
+            back.append(older)
         own, self.at = [], []
         # three bytes before each byte, and from these pairs the shorter ones
-        four = back[3] << np.uint64(24) | back[2] << np.uint64(16) | back[1] << np.uint64(8) | w
+        four = np.stack(back[:4], 1).view("<u4").ravel()
         first, inverse = distinct(four)
-        u, rank, ranks = four[first].astype(np.uint32), inverse, len(first)
+        u, rank, ranks = four[first], inverse, len(first)
         for k in (2, 1, 0):
             own.append(u.astype(np.uint64) | np.uint64(k << 56))
-            self.at.append(inverse.astype(np.int32))
+            self.at.append(inverse.astype(np.int32, copy=False))
             u, shorter = np.unique(u & np.uint32((1 << 8 * (k + 1)) - 1), return_inverse=True)
-            inverse = shorter[inverse]
+            inverse = shorter.astype(np.int32)[inverse]
         own, self.at = own[::-1], self.at[::-1]
         # up to LONG bytes before each byte
         late = np.flatnonzero(place >= 3)
-        long = back[1][late] | back[2][late] << np.uint64(8) | back[3][late] << np.uint64(16)
-        for j in range(4, LONG + 1):
-            long |= np.where(place[late] >= j, w[np.maximum(late - j, 0)], np.uint64(0)) << np.uint64(8 * (j - 1))
+        far = np.zeros((len(late), 8), np.uint8)
+        for j in range(LONG + 1):
+            far[:, j] = back[j][late]
+        far = far.view("<u8").ravel()
         # what is further back, then the number of the last bytes, which has their order
-        upper = long >> np.uint64(24)
-        first, inverse = distinct(upper << np.uint64(ranks.bit_length()) | rank[late].astype(np.uint64))
-        own.append((np.uint64(FAR << 56) | long << np.uint64(8) | w[late])[first])
+        first, inverse = distinct(far >> np.uint64(32) << np.uint64(ranks.bit_length()) | rank[late].astype(np.uint64))
+        own.append(np.uint64(FAR << 56) | far[first])
         at = np.full(len(b), -1, np.int32)
         at[late] = inverse
         self.at.append(at)
         # endings and beginnings: numbers of both, and the pairs of each combination
         last = np.maximum(start + n - 2, 0)
-        ending = back[2][last] << np.uint64(16) | back[1][last] << np.uint64(8) | w[last]
+        ending = back[2][last].astype(np.uint64) << np.uint64(16) | back[1][last].astype(np.uint64) << np.uint64(8) | w[last]
         ending[0] = 0
         second = np.where(n > 1, w[np.minimum(start + 1, len(b) - 1)], np.uint64(256))
         ends, of_end = np.unique(ending, return_inverse=True)
@@ -227,28 +242,49 @@ class Block:
 
     @classmethod
     def of(cls, texts: list[str | None]) -> Block:
-        ids = Numbers({END: 0})
-        docs = [np.fromiter(map(ids.__getitem__, own), np.int32, len(own)) for x in texts for own in [[*tokens_of(x), END]]]
-        seq = np.concatenate(docs or [np.empty(0, np.int32)])
+        return cls.of_encoded([(t or "").encode("utf-8", "replace") for t in texts])
+
+    @classmethod
+    def of_encoded(cls, texts: list[bytes]) -> Block:
+        """The tokens as :func:`tokens_of` has them."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).cast(pa.large_string())))
+        coded = lists.flatten().dictionary_encode()
+        words, code, offset = coded.dictionary, coded.indices.to_numpy(), lists.offsets.to_numpy()
+        # white space at the edges of a text gives empty words
+        full = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+        kept = full[code]
+        sizes = np.diff(np.concatenate([np.zeros(1, np.int64), np.cumsum(kept)])[offset]) + 1
+        code = code[kept]
         # the end stays first, the others by frequency, so that most numbers are small
-        order = np.argsort(-np.bincount(seq, minlength=len(ids)), kind="stable")
-        order = np.concatenate([[0], order[order > 0]])
-        number = np.empty(len(order), np.int32)
-        number[order] = np.arange(len(order))
-        tokens = list(ids)
-        return cls([tokens[k] for k in order.tolist()], number[seq], np.array([len(d) for d in docs], np.int32))
+        order = np.argsort(-np.bincount(code, minlength=len(words)), kind="stable")
+        order = order[full[order]]
+        number = np.zeros(len(words), np.int32)
+        number[order] = np.arange(1, len(order) + 1)
+        end = np.zeros(len(code) + len(sizes), bool)
+        end[np.cumsum(sizes) - 1] = True
+        seq = np.zeros(len(end), np.int32)
+        seq[~end] = number[code]
+        joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(order)], words.take(pa.array(order))), pa.scalar(" ", words.type))
+        data = END + (joined[0].as_buffer().to_pybytes() + b" ") * (len(order) > 0)
+        return cls(*cls._tokens(data), seq, sizes)
+
+    @staticmethod
+    def _tokens(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the end and the tokens, and the length of each."""
+        b = np.frombuffer(data, np.uint8)
+        return b, np.diff(np.concatenate([[-1, 0], np.flatnonzero(b == 32)]))
 
     def packed(self) -> tuple[bytes, bytes]:
-        return squeezed(b"\n".join(self.tokens[1:])), planes(self.seq)
+        return squeezed(self.bytes.tobytes()), planes(self.seq)
 
     @classmethod
     def unpacked(cls, tokens: bytes, seq: bytes, sizes: list[int]) -> Block:
-        return cls([END, *opened(tokens).split()], from_planes(seq, np.int32), np.array(sizes))
+        return cls(*cls._tokens(opened(tokens)), from_planes(seq, np.int32), np.array(sizes))
 
     def counts(self, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How often each pair, and each token, is in the texts that are ``learned`` from."""
         occurs = np.repeat(learned, self.sizes)
-        tokens = np.bincount(self.seq[occurs], minlength=len(self.tokens))
+        tokens = np.bincount(self.seq[occurs], minlength=len(self.length))
         at_byte = tokens[self.owner]
         out = [np.bincount(self.at[k], at_byte, self.base[k + 1] - self.base[k]) for k in SHORT]
         late = self.at[FAR] >= 0
@@ -261,7 +297,20 @@ class Block:
 
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
         """The tokens' distinct hashes, ascending, and each token's number among them."""
-        return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, self.tokens), np.uint64, len(self.tokens)), return_inverse=True)
+        v = self.place.astype(np.int64) << 8 | self.bytes
+        terms = TERMS.take(np.minimum(v, len(TERMS) - 1))
+        late = np.flatnonzero(v >= len(TERMS))
+        terms[late] = _term(v[late].astype(np.uint64))
+        return np.unique(np.add.reduceat(terms, self.start), return_inverse=True)
+
+
+def _term(v: np.ndarray) -> np.ndarray:
+    """What a byte at its place adds to its token's hash; mixed once, the sums meet more often than by chance."""
+    return mixed(mixed(v + np.uint64(1)))
+
+
+#: The terms of the first 64 places.
+TERMS = _term(np.arange(64 << 8, dtype=np.uint64))
 
 
 def shard_of(pairs: np.ndarray, parts: int) -> np.ndarray:
@@ -355,28 +404,37 @@ class Inputs:
         values = np.concatenate([decoded(sent[p], block.pairs[own]) for p, own in shards])
         order = np.concatenate([own for _, own in shards])
         size = SIZE[(block.pairs[order] & np.uint64(255)).astype(np.intp)]
-        first = np.empty(len(order), np.int64)
+        # a context that is not there has zeros behind the values
+        first = np.empty(len(order) + 1, np.intp)
         first[order] = np.cumsum(size) - size
+        first[-1] = len(values)
+        values = np.concatenate([values, np.zeros(256, np.int8)])
         late = np.flatnonzero(block.place >= 2)
         # the first bytes of the combinations, then the later bytes of the tokens
         there = block.second >= 0
         held = np.stack([np.ones(len(there), bool), there], 1)
         early = (block.start[block.sample][:, None] + np.arange(2))[held]
         at = np.concatenate([early, late])
-        sym, place = block.bytes[at], block.place[at]
-        size = SIZE[sym]
-        within = np.arange(size.sum(), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
-        path = np.repeat(START[sym].astype(np.int32), size) + within
-        gate = np.repeat((np.minimum(place, PLACES - 1) * STAGES).astype(np.int16), size) + np.minimum((DEPTH[path] + 1) // 2, STAGES - 1).astype(np.int16)
-        first = first.astype(np.int32) if len(values) < 2**31 - 256 else first
-        self.x = [values.take(np.repeat(first[block.base[k] + block.at[k][at]], size) + within) for k in SHORT]
+        sym = block.bytes[at]
+        size, gate = SIZE[sym], (np.minimum(block.place[at], PLACES - 1) * STAGES).astype(np.int8)
         long = np.concatenate([block.base[BEFORE] + np.stack([block.first, block.second], 1)[held], np.where(block.at[FAR][late] >= 0, block.base[FAR] + block.at[FAR][late], -1)])
-        known = np.repeat(long >= 0, size)
-        self.x.append(values.take((np.repeat(first[long], size) + within) * known) * known)
-        gate += (self.x[3] != 0) * np.int16(PLACES * STAGES)
-        self.gate, self.sign = gate, 2 * BIT[path] - 1
+        source = [START.astype(np.intp)[sym], *(first[block.base[k] + block.at[k][at]] for k in SHORT), first[long]]
+        cuts = np.concatenate([[0], np.cumsum(size)])
+        self.x = [np.empty(cuts[-1], np.int8) for _ in range(K)]
+        self.gate, self.sign = np.empty(cuts[-1], np.int8), np.empty(cuts[-1], np.int8)
+        for a in range(0, len(sym), LAID):
+            own = slice(a, a + LAID)
+            bits = slice(cuts[a], cuts[min(a + LAID, len(sym))])
+            n = size[own]
+            within = np.arange(n.sum())
+            skip = np.cumsum(n) - n
+            path, *places = (np.repeat(v[own] - skip, n) + within for v in source)
+            for x, v in zip(self.x, places, strict=True):
+                x[bits] = values.take(v)
+            self.sign[bits] = SIGN.take(path)
+            self.gate[bits] = np.repeat(gate[own], n) + STAGE.take(path) + (self.x[3][bits] != 0) * np.int8(PLACES * STAGES)
         bits = np.cumsum(size)
-        count = np.concatenate([1 + there.astype(np.int64), np.bincount(block.owner[late], minlength=len(block.tokens))])
+        count = np.concatenate([1 + there.astype(np.int64), np.bincount(block.owner[late], minlength=len(block.length))])
         last = np.cumsum(count)
         self.size = np.concatenate([np.zeros(1, np.int64), bits])[last] - np.concatenate([np.zeros(1, np.int64), bits])[last - count]
         self.start = np.cumsum(self.size) - self.size
@@ -397,6 +455,11 @@ class Mixer:
             moved += g * g
             v += rate * g / np.sqrt(moved)
 
+    def turned(self) -> np.ndarray:
+        """The last stage for ones, then for zeros, where sum and correction change sides."""
+        cells = self.refine.reshape(GATES, CELLS)
+        return np.concatenate([cells, -cells[:, ::-1]]).ravel()
+
     def flat(self) -> np.ndarray:
         return np.concatenate([self.weights.ravel(), self.refine])
 
@@ -408,26 +471,33 @@ class Mixer:
 def score(block: Block, given: Inputs, mixer: Mixer, learn: bool = False, own_rate: float = 0.02) -> tuple[np.ndarray, int]:
     """ln of each text's probability, and the number of bits. ``learn``: also move the mixer in place.
 
-    All texts go on together, ``STEP`` tokens at a time. A document's correction has two
-    parts, for the three short contexts and for the long one.
+    ``LANES`` texts go on together, ``STEP`` tokens at a time; all of them where the mixer moves.
+    A document's correction has two parts, for the three short contexts and for the long one.
     """
-    unit = np.float32(1 / UNIT)
-    # one row for each bit: the fixed part of the sum, the short and the long predictions, and the cell with the bit's sign
-    bits = np.empty((len(given.gate), 4), np.float32)
-    if not learn:
-        bits[:, 0] = 0
-        for k in range(K):
-            bits[:, 0] += mixer.weights[:, k].take(given.gate) * given.x[k]
-        bits[:, 0] *= unit
-    bits[:, 1] = (given.x[0].astype(np.int16) + given.x[1] + given.x[2]) * unit
-    bits[:, 2] = given.x[3] * unit
-    bits[:, 3] = (given.gate * CELLS + CELLS // 2) * given.sign
+    unit, scaled = np.float32(1 / UNIT), np.float32(CELLS // 2 / MOST)
+    bits = np.empty(len(given.gate), TURNED)
+    weights = mixer.weights.T.copy()
+    for a in range(0, len(bits), LAID):
+        own = slice(a, a + LAID)
+        gate, sign, x = given.gate[own].astype(np.intp), given.sign[own], [v[own] for v in given.x]
+        z = weights[0].take(gate) * x[0]
+        for k in range(1, K):
+            z += weights[k].take(gate) * x[k]
+        z *= unit
+        bits["z"][own] = z * sign
+        bits["x"][own] = (x[0].astype(np.int16) + x[1] + x[2]) * sign
+        bits["y"][own] = x[3] * sign
+        bits["gate"][own] = gate + GATES * (sign < 0)
+    flat, refine = bits.view(np.int64), mixer.turned()
     combos = len(block.first)
     order = np.argsort(-block.sizes, kind="stable")
-    sizes, first = block.sizes[order], (np.cumsum(block.sizes) - block.sizes)[order]
+    every_size, every_first = block.sizes[order], (np.cumsum(block.sizes) - block.sizes)[order]
     out, total = np.zeros(len(order)), 0
-    delta = np.zeros((2, len(order)), np.float32)
-    for at in range(0, int(sizes.max(initial=0)), STEP):
+    lanes = max(len(order), 1) if learn else LANES
+    for group, at in ((slice(a, a + lanes), at) for a in range(0, len(order), lanes) for at in range(0, int(every_size[a]), STEP)):
+        if at == 0:
+            sizes, first, cost_of = every_size[group], every_first[group], out[group]
+            delta = np.zeros((2, len(sizes)), np.float32)
         live = int(np.searchsorted(-sizes, -at, "left"))
         n = np.minimum(sizes[:live] - at, STEP)
         occurs = _spread(first[:live] + at, n)
@@ -436,33 +506,39 @@ def score(block: Block, given: Inputs, mixer: Mixer, learn: bool = False, own_ra
         place = _spread(given.start[runs], size)
         lane = np.add.reduceat(size, 2 * (np.cumsum(n) - n))
         start = np.cumsum(lane) - lane
-        rows = bits.take(place, axis=0)
-        x, sign = (rows[:, 1], rows[:, 2]), np.sign(rows[:, 3])
-        cell = np.abs(rows[:, 3]).astype(np.intp)
+        rows = flat.take(place).view(TURNED)
+        x = rows["x"].astype(np.float32), rows["y"].astype(np.float32)
         if learn:
-            gate, each = given.gate.take(place), [v.take(place) * unit for v in given.x]
-            z = sum(mixer.weights[:, k].take(gate) * each[k] for k in range(K))
+            gate, each, sign = given.gate.take(place), [v.take(place) * unit for v in given.x], given.sign.take(place)
+            z = sum(mixer.weights[:, k].take(gate) * each[k] for k in range(K)) * sign
+            refine = mixer.turned()
         else:
-            z = rows[:, 0].copy()
-        for j in (0, 1):
-            z += np.repeat(delta[j, :live], lane) * x[j]
+            z = rows["z"].copy()
+        if at:
+            for j in (0, 1):
+                change = np.repeat(delta[j, :live] * unit, lane)
+                change *= x[j]
+                z += change
         np.clip(z, -MOST, MOST, out=z)
-        cell += np.rint(z * np.float32(CELLS // 2 / MOST)).astype(np.intp)
-        z += mixer.refine.take(cell)
+        cell = np.multiply(rows["gate"], CELLS, dtype=np.intp)
+        near = z * scaled
+        np.rint(near, out=near)
+        cell += near.astype(np.int8)
+        cell += CELLS // 2
+        z += refine.take(cell)
         # of the bit as it is, ln(1 + exp(-z))
-        z *= sign
-        odds = np.exp(-z)
+        np.negative(z, out=z)
+        odds = np.exp(z, out=z)
         odds += 1
-        cost = np.log(odds)
-        out[:live] -= np.add.reduceat(cost, start)
+        cost_of[:live] -= np.add.reduceat(np.log(odds), start)
         total += len(place)
         miss = np.subtract(1, np.reciprocal(odds, out=odds), out=odds)
-        miss *= sign
         scale = own_rate / np.sqrt(lane).astype(np.float32)
         for j in (0, 1):
-            delta[j, :live] += scale * np.add.reduceat(miss * x[j], start)
+            x[j][:] *= miss
+            delta[j, :live] += scale * (np.add.reduceat(x[j], start) * unit)
         if learn:
-            mixer.learn(cell, gate, miss, each)
+            mixer.learn(gate.astype(np.intp) * CELLS + CELLS // 2 + (near * sign).astype(np.int8), gate, miss * sign, each)
     back = np.empty(len(order))
     back[order] = out
     return back, total
@@ -490,8 +566,8 @@ def _small(rows: DataFrame) -> DataFrame:
 def _gather(rows: DataFrame, parts: int) -> DataFrame:
     """For each block of (doc_id, text, held, fold, block): kind 0 pairs with counts, kind 1 tokens with counts, kind 2 the texts as tokens."""
 
-    def done(number: int, fold: int, texts: list[str], ids: list, held: list) -> Iterator[pa.RecordBatch]:
-        block = Block.of(texts)
+    def done(number: int, fold: int, texts: list[bytes], ids: list, held: list) -> Iterator[pa.RecordBatch]:
+        block = Block.of_encoded(texts)
         pairs, tokens = block.counts(np.array([not h for h in held]))
         for p, own in by_part(shard_of(block.pairs, parts)):
             yield _row(0, p, number, fold, planes(block.pairs[own]), packed_counts(pairs[own]))
@@ -514,7 +590,7 @@ def _gather(rows: DataFrame, parts: int) -> DataFrame:
                     texts, ids, held = [], [], []
                 part = b.slice(a, z - a)
                 last, fold = int(where[a]), part.column(3)[0].as_py()
-                texts += [opened(x).decode() for x in part.column(1).to_pylist()]
+                texts += [opened(x) for x in part.column(1).to_pylist()]
                 ids += part.column(0).to_pylist()
                 held += part.column(2).to_pylist()
         if last is not None:
@@ -573,7 +649,7 @@ def _met(rows: pa.Table) -> tuple[Block, pa.Table, dict[int, dict[int, bytes]]]:
     for kind, part, a in zip(*(rows.column(c).to_pylist() for c in ("kind", "part", "a")), strict=True):
         if kind < 2:
             sent[kind][part] = a
-    own = rows.filter(pa.compute.equal(rows.column("kind"), 2))
+    own = rows.filter(pc.equal(rows.column("kind"), 2))
     block = Block.unpacked(own.column("a")[0].as_py(), own.column("b")[0].as_py(), own.column("sizes")[0].as_py())
     return block, own, sent
 
