@@ -7,8 +7,12 @@ changes. Frequencies are sums over segments, the number of chunks and their leng
 the commit's manifest. :meth:`Segments.merge` rewrites segments of about the same size into
 one, without what is gone, and keeps the sums as they are.
 
+A chunk is stored with its terms and their counts, so a text is cut into terms once, when it comes: what
+goes and what is merged is counted from the stored ones.
+
 Postings are blocks of one term and one range of ``SPAN`` neighbouring chunks, with the
-pairs of frequency and length that bound its scores. A batch of queries adds up the bounds of
+pairs of frequency and length that bound its scores. Most blocks hold one posting, so a row has all blocks of
+a term that one task made. A batch of queries adds up the bounds of
 its terms' blocks for each range, scores the ranges with the best bounds and takes the k-th
 score of each query. Terms whose largest bounds together stay below it let no chunk in: the
 others' postings are read in the ranges whose bound reaches it, and the weak terms' blocks only
@@ -32,9 +36,11 @@ import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,21 +49,21 @@ from ..operators import retrieval as R
 from ..operators.ordering import Ordered
 from .index import ConfigMismatch, Damaged, VersionMismatch, kept
 
-FORMAT = 1
+FORMAT = 2
 SPAN = 32
 #: Ranges of each query that are scored before there is a threshold.
 FIRST = 8
 #: Queries of a batch whose bounds are looked at.
 FEW = 16
-#: Rows of blocks that are written at a time.
-WRITTEN = 20_000
+#: Bytes of texts that are cut into terms at a time, postings that are made to rows of blocks at a time.
+BYTES, WRITTEN = 16_000_000, 2_000_000
 #: Segments of one size class that are merged.
 FAN = 4
 #: Scores are rounded to 9 places, so bounds within this of the threshold are read.
 SLACK = 1e-8
 TABLES = {
-    "chunks": "chunk_id long, file string, text string, dl long, place long",
-    "blocks": "term string, span long, peaks array<struct<dl: long, tf: long>>, n int, ids array<long>, tfs array<long>, dls array<long>",
+    "chunks": "chunk_id long, file string, text string, dl long, lead string, terms string, tfs array<int>",
+    "blocks": "term string, n int, spans array<int>, starts array<int>, tops array<int>, peak_tfs array<int>, peak_dls array<int>, ids array<long>, tfs array<int>, dls array<int>",
     "terms": "term string, df long",
     "names": "name string, symbol string, folded boolean, chunk_id long, file string",
     "gone": "owner string, chunk_id long",
@@ -141,8 +147,8 @@ class Segments:
 
     def _counted(self, name: str) -> dict:
         read = lambda t: self._read(t, [name], TABLES[t])
-        chunks = read("chunks").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"), F.coalesce(F.expr("bit_xor(xxhash64(chunk_id, file, text, dl))"), F.lit(0)).alias("sum")).first()
-        blocks = read("blocks").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.expr("bit_xor(xxhash64(term, span, peaks, ids, tfs, dls))"), F.lit(0))).first()
+        chunks = read("chunks").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"), F.coalesce(F.expr("bit_xor(xxhash64(chunk_id, file, text, dl, lead, terms, tfs))"), F.lit(0)).alias("sum")).first()
+        blocks = read("blocks").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.expr("bit_xor(xxhash64(term, spans, starts, tops, peak_tfs, peak_dls, ids, tfs, dls))"), F.lit(0))).first()
         terms = read("terms").agg(F.coalesce(F.expr("bit_xor(xxhash64(term, df))"), F.lit(0))).first()[0]
         return {"chunks": chunks.n, "length": chunks.length, "gone": read("gone").count(), "postings": blocks[0], "sum": chunks.sum ^ blocks[1] ^ terms}
 
@@ -188,14 +194,11 @@ class Segments:
             base, name = self.state(), uuid.uuid4().hex
             self.buckets = base["buckets"]
             files = changed.select("file").unionByName(fresh.select("file")).distinct()
-            old = self._living(self._near("chunks", files, "file", base), base).select("segment", "chunk_id", "text", "dl")
+            old = self._living(self._near("chunks", files, "file", base), base).select("segment", "chunk_id", "terms", "dl")
             self._write("gone", name, old.select(F.col("segment").alias("owner"), "chunk_id"), ["chunk_id"])
             lost = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length")).first()
-            placed = self._placed(fresh.select("chunk_id", "file", F.coalesce("text", F.lit("")).alias("text")))
-            self._write("chunks", name, placed, ["file", "chunk_id"])
-            new = self._read("chunks", [name], TABLES["chunks"])
-            self._write("blocks", name, _blocks(placed), ["term", "span"])
-            minus = _held_terms(old).select("term", F.lit(-1).cast("long").alias("df"))
+            new = self._filled(name, _measured(fresh.select("chunk_id", "file", F.coalesce("text", F.lit("")).alias("text"))))
+            minus = old.select(F.explode(F.split("terms", " ")).alias("term")).filter("term <> ''").select("term", F.lit(-1).cast("long").alias("df"))
             plus = self._read("blocks", [name], TABLES["blocks"]).select("term", F.col("n").cast("long").alias("df"))
             self._write("terms", name, _summed(plus.unionAll(minus)), ["term"])
             self._write("names", name, _names(new), ["name"])
@@ -203,11 +206,17 @@ class Segments:
                 return self.state()
         raise Conflict(f"{tries} commits to {self.root} were overtaken")
 
-    @staticmethod
-    def _placed(rows: DataFrame) -> DataFrame:
-        """Rows with their place: chunks with the same most frequent long word, then of about one length, then of one file, are neighbours."""
-        rows = kept(_measured(rows), "measured").withColumn("size", F.floor(2 * F.log2(F.col("dl") + 1)))
-        return Ordered(rows, ["lead", "size", "file", "chunk_id"]).numbered("place").drop("lead", "size")
+    def _filled(self, name: str, rows: DataFrame) -> DataFrame:
+        """Write a segment's chunks and their blocks; returns the chunks as stored.
+
+        Chunks with the same most frequent long word, then of about one length, then of one file, are neighbours; those without terms have no place.
+        """
+        self._write("chunks", name, rows, ["file", "chunk_id"])
+        new = self._read("chunks", [name], TABLES["chunks"])
+        size = F.floor(2 * F.log2(F.col("dl") + 1)).alias("size")
+        full = new.filter("dl > 0").select("chunk_id", "file", "dl", "lead", size, "terms", "tfs")
+        self._write("blocks", name, _blocks(Ordered(full, ["lead", "size", "file", "chunk_id"]).numbered("place")), ["term"])
+        return new
 
     def _finish(self, base: dict, kept: list[str], name: str, chunks: int, length: int, merged: bool = False) -> bool:
         """Announce segments ``kept`` and the new one; ``chunks`` and ``length`` are what went besides what came."""
@@ -244,9 +253,7 @@ class Segments:
         name = uuid.uuid4().hex
         self.buckets = base["buckets"]
         rows = self._living(self._read("chunks", names, TABLES["chunks"]), base)
-        placed = self._placed(rows.select("chunk_id", "file", "text"))
-        self._write("chunks", name, placed, ["file", "chunk_id"])
-        self._write("blocks", name, _blocks(placed), ["term", "span"])
+        self._filled(name, rows.drop("segment", "bucket"))
         self._write("terms", name, _summed(self._read("terms", names, TABLES["terms"]).select("term", "df")), ["term"])
         self._write("names", name, self._living(self._read("names", names, TABLES["names"]), base).drop("segment", "bucket"), ["name"])
         left = self._read("gone", names, TABLES["gone"]).filter(~F.col("owner").isin(names)).select("owner", "chunk_id")
@@ -325,13 +332,14 @@ class Snapshot(R.Index):
         weighed = kept(wanted.join(self._dfs(wanted.select("term").distinct()), "term").select("query_id", "term", weight.alias("weight")), "weights")
         blocks = store._near("blocks", weighed.select("term").distinct(), "term", self.held)
         bound = (F.col("weight") * F.array_max(F.transform("peaks", lambda x: _part(x["tf"], x["dl"], average)))).alias("bound")
-        heads = kept(blocks.select("segment", "term", "span", "peaks", "n").join(weighed, "term").select(*span, "term", "weight", "n", bound), "heads")
+        ranges = _ranges(blocks)
+        heads = kept(_heads(blocks).join(weighed, "term").select(*span, "term", "weight", "n", bound), "heads")
 
         # a threshold from the ranges with the best bounds
         order = R.Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "span")
         first = kept(heads.groupBy(*span).agg(F.sum("bound").alias("bound")).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= FIRST).select(*span), "first")
         begun = heads.join(first, span, "left_semi")
-        early = kept(self._postings(blocks, begun).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score")).filter("score > 0"), "early")
+        early = kept(self._postings(ranges, begun).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score")).filter("score > 0"), "early")
         kth = kept(R.ranked(early, k).filter(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("least")), "kth")
 
         # terms whose bounds together stay below it let no chunk in by themselves
@@ -345,129 +353,149 @@ class Snapshot(R.Index):
 
         # chunks in these terms' postings; the best of them first, for a threshold near the last one, then those that can reach it
         strong = left.filter("lets").join(spans.select(*span), span, "left_semi").drop("lets")
-        met = self._postings(blocks, strong).groupBy(*span, "chunk_id").agg(F.sum("score").alias("score")).join(spans, span)
+        met = self._postings(ranges, strong).groupBy(*span, "chunk_id").agg(F.sum("score").alias("score")).join(spans, span)
         least = F.coalesce("least", F.lit(0.0))
         able = met.withColumn("reach", F.col("score") + F.col("weak")).filter(F.col("reach") >= least).select(*span, "chunk_id", "score", "reach")
         foremost = R.Window.partitionBy("query_id").orderBy(F.desc("reach"), "segment", "chunk_id")
         able = kept(able.withColumn("nth", F.row_number().over(foremost)), "able")
         weak_heads = left.filter("NOT lets").drop("lets")
-        ahead, seen = self._completed(blocks, weak_heads, able.filter(F.col("nth") <= 2 * k))
+        ahead, seen = self._completed(ranges, weak_heads, able.filter(F.col("nth") <= 2 * k))
         ahead = kept(ahead, "ahead")
         nearer = R.ranked(early.unionAll(ahead), k).filter(F.col("rank") == k).select("query_id", (F.col("score") - SLACK).alias("least"))
         later = able.filter(F.col("nth") > 2 * k).join(nearer, "query_id", "left").filter(F.col("reach") >= least)
-        late, more = self._completed(blocks, weak_heads, kept(later.drop("least"), "later"))
+        late, more = self._completed(ranges, weak_heads, kept(later.drop("least"), "later"))
         return early.unionAll(ahead).unionAll(kept(late, "late")), (begun, strong, seen, more), heads
 
-    def _completed(self, blocks: DataFrame, heads: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _completed(self, ranges: DataFrame, heads: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Scores (query_id, chunk_id, score) of chunks whose strong terms are scored, and the weak terms' postings that were looked up for it."""
         span = ["query_id", "segment", "span"]
         asked = heads.select(*span, "term", "weight").join(chunks.select(*span, "chunk_id"), span)
-        found = blocks.select("segment", "term", "span", "ids", "tfs", "dls").join(asked, ["segment", "term", "span"]).withColumn("at", F.array_position("ids", F.col("chunk_id")).cast("int")).filter("at > 0")
+        found = ranges.join(asked, ["segment", "term", "span"]).withColumn("at", F.array_position("ids", F.col("chunk_id")).cast("int")).filter("at > 0")
         one = (F.col("weight") * _part(F.get("tfs", F.col("at") - 1), F.get("dls", F.col("at") - 1), self.average or 1.0)).alias("more")
         more = found.select(*span, "chunk_id", one).groupBy(*span, "chunk_id").agg(F.sum("more").alias("more"))
         whole = chunks.join(more, [*span, "chunk_id"], "left").select("query_id", "chunk_id", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), 9).alias("score"))
         return whole.filter("score > 0"), found.select(F.lit(1).alias("n"))
 
-    def _postings(self, blocks: DataFrame, heads: DataFrame) -> DataFrame:
+    def _postings(self, ranges: DataFrame, heads: DataFrame) -> DataFrame:
         """(query_id, segment, span, chunk_id, score) of the live postings in the blocks of ``heads``."""
-        met = blocks.select("segment", "term", "span", "ids", "tfs", "dls").join(heads.select("query_id", "segment", "span", "term", "weight"), ["segment", "term", "span"])
+        met = ranges.join(heads.select("query_id", "segment", "span", "term", "weight"), ["segment", "term", "span"])
         rows = met.select("query_id", "segment", "span", "weight", F.inline(F.arrays_zip(F.col("ids").alias("chunk_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))))
         score = (F.col("weight") * _part(F.col("tf"), F.col("dl"), self.average or 1.0)).alias("score")
         return self.store._living(rows, self.held).select("query_id", "segment", "span", "chunk_id", score)
 
 
 def _measured(rows: DataFrame) -> DataFrame:
-    """(chunk_id, file, text) with the length ``dl`` in terms and the most frequent of the first long words, ``lead``."""
+    """(chunk_id, file, text) with the length ``dl`` in terms, the most frequent of the first long words, ``lead``, and the different terms with their counts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = T.Names()
-        for b in batches:
-            texts = b.column(2).to_pylist()
-            dls = [sum(T.tally(t, names).values()) for t in texts]
-            # the mode of the first words is enough: it only decides who is whose neighbour
-            words = [Counter([w for w in t[:1000].split() if len(w) > 2][:64]) for t in texts]
-            leads = [min(c, key=lambda w: (-c[w], w), default="") for c in words]
-            yield pa.record_batch([*b.columns, pa.array(dls, pa.int64()), pa.array(leads, pa.string())], [*b.schema.names, "dl", "lead"])
+        for whole in batches:
+            ends = np.cumsum(pc.binary_length(whole.column(2)).to_numpy())
+            cuts = [0, *np.flatnonzero(np.diff(ends // BYTES)) + 1, len(ends)]
+            for b in (whole.slice(a, z - a) for a, z in pairwise(cuts) if z > a):
+                terms, tfs = T.tallies(b.column(2), names)
+                dls = np.diff(np.r_[0, np.cumsum(tfs.flatten().to_numpy(), dtype=np.int64)][tfs.offsets.to_numpy()])
+                # the mode of the first words is enough: it only decides who is whose neighbour
+                words = [Counter([w for w in t.split() if len(w) > 2][:64]) for t in pc.utf8_slice_codeunits(b.column(2), 0, 1000).to_pylist()]
+                leads = [min(c, key=lambda w: (-c[w], w), default="") for c in words]
+                yield pa.record_batch([*b.columns, pa.array(dls), pa.array(leads, pa.string()), pc.binary_join(terms, " "), tfs], [*b.schema.names, "dl", "lead", "terms", "tfs"])
 
-    return rows.select("chunk_id", "file", "text").mapInArrow(work, "chunk_id long, file string, text string, dl long, lead string")
+    return rows.select("chunk_id", "file", "text").mapInArrow(work, TABLES["chunks"])
 
 
-def _held_terms(chunks: DataFrame) -> DataFrame:
-    """(term) of (text), once for each text that holds it."""
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Blocks of (chunk_id, dl, terms, tfs, place), a row for each term of some ``WRITTEN`` postings; a range that two tasks share has two blocks of a term."""
+    rows, most = placed.select(F.floor(F.col("place") / SPAN).cast("int").alias("span"), "chunk_id", F.col("dl").cast("int").alias("dl"), "terms", "tfs"), WRITTEN
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = T.Names()
+        held, n = [], 0
         for b in batches:
-            for a in range(0, b.num_rows, 1000):
-                held = [t for text in b.column(0).slice(a, 1000).to_pylist() for t in T.tally(text or "", names)]
-                yield pa.record_batch([pa.array(held, pa.string())], ["term"])
+            held.append(b)
+            n += len(b.column(4).flatten())
+            if n >= most:
+                yield _packed(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield _packed(pa.Table.from_batches(held))
 
-    return chunks.select("text").mapInArrow(work, "term string")
+    return rows.mapInArrow(work, TABLES["blocks"])
 
 
-def _blocks(placed: DataFrame) -> DataFrame:
-    """Blocks of postings of (chunk_id, text, dl, place): a range's chunks meet in one task, which makes all its blocks."""
-    rows = placed.select(F.floor(F.col("place") / SPAN).cast("long").alias("span"), "chunk_id", "dl", "text").repartition("span").sortWithinPartitions("span", "chunk_id")
+def _packed(chunks: pa.Table) -> pa.RecordBatch:
+    """Rows of blocks of chunks (span, chunk_id, dl, terms, tfs) that all have terms.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, out, at, held = T.Names(), [], None, {}
-        for b in batches:
-            for span, chunk, dl, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if span != at:
-                    out += [(term, at, *_block(p)) for term, p in held.items()]
-                    at, held = span, {}
-                    if len(out) >= WRITTEN:
-                        yield _batch(out)
-                        out = []
-                for term, tf in T.tally(text, names).items():
-                    if term in held:
-                        held[term].append((chunk, tf, dl))
-                    else:
-                        held[term] = [(chunk, tf, dl)]
-        out += [(term, at, *_block(p)) for term, p in held.items()]
-        if out:
-            yield _batch(out)
-
-    return rows.mapInArrow(work, "term string, span long, peaks array<struct<dl: long, tf: long>>, n int, ids array<long>, tfs array<long>, dls array<long>")
-
-
-def _block(postings: list[tuple[int, int, int]]) -> tuple:
-    """(peaks, n, ids, tfs, dls) of postings (chunk_id, tf, dl) in the order of chunks.
-
-    ``peaks``: those that no other one beats in both, so the largest score of the block is one of theirs, whatever the average length.
+    The peaks of a block are those postings that no other one beats in both frequency and length, so the largest score of the block is
+    one of theirs, whatever the average length. ``starts`` and ``tops`` say where a block's postings and peaks begin in its row.
     """
-    if len(postings) == 1:  # as most are
-        [(chunk, tf, dl)] = postings
-        return ((dl, tf),), 1, (chunk,), (tf,), (dl,)
-    ids, tfs, dls = zip(*postings, strict=True)
-    peaks: list[tuple[int, int]] = []
-    for dl, less in sorted((d, -t) for t, d in zip(tfs, dls, strict=True)):
-        if not peaks or -less > peaks[-1][1]:
-            peaks.append((dl, -less))
-    return peaks, len(ids), ids, tfs, dls
+    chunks = chunks.sort_by([("span", "ascending"), ("chunk_id", "ascending")]).combine_chunks()
+    spans, ids, dls = (chunks.column(c).to_numpy() for c in range(3))
+    words = pc.split_pattern(chunks.column(3).combine_chunks(), " ").flatten().dictionary_encode()
+    lists = chunks.column(4).combine_chunks()
+    at = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy())
+    code, tf = words.indices.to_numpy().astype(np.int64), lists.flatten().to_numpy()
+    by = np.argsort(code * len(ids) + at)
+    code, at, tf = code[by], at[by], tf[by]
+    new = code[1:] != code[:-1]
+    rows = np.flatnonzero(np.r_[True, new])
+    first = np.flatnonzero(np.r_[True, new | (spans[at[1:]] != spans[at[:-1]])])
+    dl, block = dls[at], np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(code)]))
+
+    order = np.lexsort((-tf, dl, block))
+    high = block[order] * (int(tf.max()) + 1) + tf[order]  # the largest so far is one of the own block
+    peak = order[np.r_[True, high[1:] > np.maximum.accumulate(high)[:-1]]]
+    top = np.r_[0, np.cumsum(np.bincount(block[peak], minlength=len(first)))]
 
+    ends = np.r_[rows, len(code)]
+    edges = np.searchsorted(first, ends)  # the blocks of each row
+    row = np.repeat(np.arange(len(rows)), np.diff(edges))
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    term, span, peaks, n, *lists = zip(*rows, strict=True)
-    long = pa.int64()
+    def lists_of(at: np.ndarray, values: np.ndarray, kind: pa.DataType = pa.int32()) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
 
-    def listed(column: tuple) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, column)]), pa.int32()), pa.array([x for row in column for x in row], long))
+    each = [lists_of(edges, x) for x in (spans[at[first]], first - rows[row], top[:-1] - top[edges[row]])]
+    peaks = [lists_of(top[edges], x[peak]) for x in (tf, dl)]
+    postings = [lists_of(ends, ids[at], pa.int64()), lists_of(ends, tf), lists_of(ends, dl)]
+    return pa.record_batch([words.dictionary.take(pa.array(code[rows])), pa.array(np.diff(ends), pa.int32()), *each, *peaks, *postings], ["term", "n", "spans", "starts", "tops", "peak_tfs", "peak_dls", "ids", "tfs", "dls"])
 
-    both = [pa.array([p[i] for row in peaks for p in row], long) for i in (0, 1)]
-    highs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, peaks)]), pa.int32()), pa.StructArray.from_arrays(both, ["dl", "tf"]))
-    return pa.record_batch([pa.array(term, pa.string()), pa.array(span, long), highs, pa.array(n, pa.int32()), *map(listed, lists)], ["term", "span", "peaks", "n", "ids", "tfs", "dls"])
+
+def _part_of(values: str, starts: str, i: Column) -> Column:
+    """The values of a row's block ``i``: up to the next one's start, or all that are left."""
+    start = F.get(starts, i)
+    return F.slice(values, start + 1, F.coalesce(F.get(starts, i + 1), F.size(values)) - start)
+
+
+def _heads(blocks: DataFrame) -> DataFrame:
+    """(segment, term, span, peaks, n), a row for each block."""
+
+    def head(span: Column, i: Column) -> Column:
+        peaks = F.arrays_zip(_part_of("peak_tfs", "tops", i).alias("tf"), _part_of("peak_dls", "tops", i).alias("dl"))
+        n = F.coalesce(F.get("starts", i + 1), F.col("n")) - F.get("starts", i)
+        return F.struct(span.alias("span"), peaks.alias("peaks"), n.alias("n"))
+
+    return blocks.select("segment", "term", F.inline(F.transform("spans", head)))
+
+
+def _ranges(blocks: DataFrame) -> DataFrame:
+    """(segment, term, span, ids, tfs, dls), a row for each block."""
+    own = lambda i: [_part_of(c, "starts", i).alias(c) for c in ("ids", "tfs", "dls")]
+    return blocks.select("segment", "term", F.inline(F.transform("spans", lambda span, i: F.struct(span.alias("span"), *own(i)))))
 
 
 def _postings(blocks: DataFrame) -> DataFrame:
     """(segment, term, chunk_id, tf, dl) of blocks."""
-    return blocks.select("segment", "term", F.inline(F.arrays_zip(F.col("ids").alias("chunk_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))))
+    rows = blocks.select("segment", "term", F.inline(F.arrays_zip(F.col("ids").alias("chunk_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))))
+    return rows.select("segment", "term", "chunk_id", *(F.col(c).cast("long").alias(c) for c in ("tf", "dl")))
 
 
 def _summed(terms: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.sum("df").alias("df")).filter("df <> 0")
 
 
+#: A text defines names only where one of these is among its terms.
+DEFINE = sorted({k.split()[-1] for k in R.KEYWORDS.split("|")} | {k.split()[0].lower() for k in R.SQL_KEYWORDS.split("|")})
+
+
 def _names(chunks: DataFrame) -> DataFrame:
     """(name, symbol, folded, chunk_id, file): the names that chunks define, in lower case as the key."""
-    return R.definitions(chunks).select(F.lower("symbol").alias("name"), "symbol", "folded", "chunk_id", "file")
+    able = chunks.filter(F.arrays_overlap(F.split("terms", " "), F.array(*map(F.lit, DEFINE))))
+    return R.definitions(able).select(F.lower("symbol").alias("name"), "symbol", "folded", "chunk_id", "file")
