@@ -333,7 +333,8 @@ class Snapshot(R.Index):
         blocks = store._near("blocks", weighed.select("term").distinct(), "term", self.held)
         bound = (F.col("weight") * F.array_max(F.transform("peaks", lambda x: _part(x["tf"], x["dl"], average)))).alias("bound")
         ranges = _ranges(blocks)
-        heads = kept(_heads(blocks).join(weighed, "term").select(*span, "term", "weight", "n", bound), "heads")
+        heads = _heads(blocks).join(weighed, "term").select(*span, "term", "weight", "n", bound)
+        heads = kept(heads.groupBy(*span, "term", "weight").agg(F.sum("n").alias("n"), F.max("bound").alias("bound")), "heads")  # once, where a range is shared
 
         # a threshold from the ranges with the best bounds
         order = R.Window.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "span")
@@ -390,9 +391,7 @@ def _measured(rows: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = T.Names()
         for whole in batches:
-            ends = np.cumsum(pc.binary_length(whole.column(2)).to_numpy())
-            cuts = [0, *np.flatnonzero(np.diff(ends // BYTES)) + 1, len(ends)]
-            for b in (whole.slice(a, z - a) for a, z in pairwise(cuts) if z > a):
+            for b in _cut(whole, pc.binary_length(whole.column(2)), BYTES):
                 terms, tfs = T.tallies(b.column(2), names)
                 dls = np.diff(np.r_[0, np.cumsum(tfs.flatten().to_numpy(), dtype=np.int64)][tfs.offsets.to_numpy()])
                 # the mode of the first words is enough: it only decides who is whose neighbour
@@ -403,18 +402,27 @@ def _measured(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "file", "text").mapInArrow(work, TABLES["chunks"])
 
 
+def _cut(batch: pa.RecordBatch, sizes: pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose rows' sizes come to some ``most``, or to that of one row."""
+    ends = np.cumsum(sizes.to_numpy(), dtype=np.int64)
+    for a, z in pairwise([0, *np.flatnonzero(np.diff(ends // most)) + 1, len(ends)]):
+        if z > a:
+            yield batch.slice(a, z - a)
+
+
 def _blocks(placed: DataFrame) -> DataFrame:
     """Blocks of (chunk_id, dl, terms, tfs, place), a row for each term of some ``WRITTEN`` postings; a range that two tasks share has two blocks of a term."""
     rows, most = placed.select(F.floor(F.col("place") / SPAN).cast("int").alias("span"), "chunk_id", F.col("dl").cast("int").alias("dl"), "terms", "tfs"), WRITTEN
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += len(b.column(4).flatten())
-            if n >= most:
-                yield _packed(pa.Table.from_batches(held))
-                held, n = [], 0
+        for whole in batches:
+            for b in _cut(whole, pc.list_value_length(whole.column(4)), most):
+                held.append(b)
+                n += len(b.column(4).flatten())
+                if n >= most:
+                    yield _packed(pa.Table.from_batches(held))
+                    held, n = [], 0
         if n:
             yield _packed(pa.Table.from_batches(held))
 
